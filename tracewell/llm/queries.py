@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import bpe, token_files
+from tracewell.llm import bpe, perplexity, token_files
 from tracewell.llm.common import documents
 
 
@@ -17,6 +17,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op4_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.quality_rules(documents(spark, sf_dir))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_positions(documents(spark, sf_dir), tokenizer_path())
 
@@ -26,7 +30,7 @@ def op9_bpe_speculate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_token_files, op9_bpe_speculate)}
+    return {f.__name__: f for f in (op4_perplexity_rules, op6_token_files, op9_bpe_speculate)}
 
 
 def oracle_sql() -> dict[str, str]:
