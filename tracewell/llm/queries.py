@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import bpe, perplexity, token_files
+from tracewell.llm import bpe, perplexity, positional_index, token_files
 from tracewell.llm.common import documents
 
 
@@ -29,9 +29,51 @@ def op9_bpe_speculate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(documents(spark, sf_dir), tokenizer_path())
 
 
+def op10_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positional_index.decontamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+OP10_SQL = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS row_id, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM documents
+), items AS (
+    SELECT item_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM benchmark
+), windows AS (
+    SELECT DISTINCT item_id, least(len(words), 10) AS size, array_to_string(words[k:k + least(len(words), 10) - 1], ' ') AS phrase
+    FROM items, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS t(k)
+    WHERE len(words) > 0
+), sizes AS (
+    SELECT DISTINCT size FROM windows
+), found AS (
+    SELECT row_id, k, size, item_id
+    FROM (SELECT row_id, k, size, array_to_string(words[k:k + size - 1], ' ') AS phrase
+          FROM docs, sizes, unnest(range(1, len(words) - size + 2)) AS t(k))
+    JOIN windows USING (size, phrase)
+), hit AS (
+    SELECT row_id, count(DISTINCT k + j) AS n_hit
+    FROM (SELECT DISTINCT row_id, k, size FROM found), unnest(range(0, size)) AS t(j)
+    GROUP BY row_id
+), matched AS (
+    SELECT row_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS all_items
+    FROM (SELECT DISTINCT row_id, CAST(item_id AS VARCHAR) AS item FROM found)
+    GROUP BY row_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(all_items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (row_id) LEFT JOIN matched USING (row_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_perplexity_rules, op6_token_files, op9_bpe_speculate)}
+    return {f.__name__: f for f in (op4_perplexity_rules, op6_token_files, op9_bpe_speculate, op10_positional_index)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_positional_index": OP10_SQL}
