@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import bpe, perplexity, positional_index, token_files
+from tracewell.llm import bpe, perplexity, positional_index, quality_gam, token_files, toxicity
 from tracewell.llm.common import documents
 
 
@@ -17,6 +17,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.quality_rules(documents(spark, sf_dir))
 
@@ -25,6 +29,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_positions(documents(spark, sf_dir), tokenizer_path())
 
 
+def op7_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_bpe_speculate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(documents(spark, sf_dir), tokenizer_path())
 
@@ -72,7 +80,7 @@ FROM docs LEFT JOIN hit USING (row_id) LEFT JOIN matched USING (row_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_perplexity_rules, op6_token_files, op9_bpe_speculate, op10_positional_index)}
+    return {f.__name__: f for f in (op1_quality_gam, op4_perplexity_rules, op6_token_files, op7_toxic_segments, op9_bpe_speculate, op10_positional_index)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
 import re
 import unicodedata
 from collections.abc import Callable, Iterable
@@ -287,6 +288,7 @@ class LibraryEncoder:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallel units
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.vocab = vocabulary(path)
@@ -302,8 +304,10 @@ class LibraryEncoder:
             single = [self.encode([w]) if w not in special else (np.array([special[w]]), np.ones(1, np.int64)) for w in words]
             return np.concatenate([x for x, _ in single]), np.concatenate([n for _, n in single])
         texts = [" ".join(words[k : k + 500]) for k in range(0, len(words), 500)]
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        flat = np.concatenate([np.array(x.ids, np.int64) for x in found]) if found else np.zeros(0, np.int64)
+        runs = [np.zeros(0, np.int64)]
+        for k in range(0, len(texts), 16):  # the library's results are large, so few at a time
+            runs += [np.array(x.ids, np.int64) for x in self.library.encode_batch_fast(texts[k : k + 16], add_special_tokens=False)]
+        flat = np.concatenate(runs)
         stops = np.flatnonzero(self.ends[flat]) + 1
         if len(stops) != len(words):
             raise ValueError("word ends and words disagree")
