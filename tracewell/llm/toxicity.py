@@ -47,6 +47,7 @@ class Model:
     scale: float = 0.1  # K
     slope: float = 0.0
     intercept: float = 0.0
+    bound: float = 10.0
     level: float = 0.5  # expected number of chance segments below which one is significant
 
 
@@ -76,12 +77,16 @@ def maximal_segments(positions: np.ndarray, gains: np.ndarray, loss: float) -> l
 
 
 def evidence(model: Model, n_tokens: int, segments: list[tuple[int, int, float]]) -> float:
-    """Sum of -log expected numbers of the significant segments; the best one's where none is."""
+    """Sum of -log expected numbers of the significant segments; the best one's where none is.
+
+    Held within plus and minus bound, so that a few wrong labels can't bend the fit.
+    """
     if not segments:
-        return -np.log(model.scale * max(n_tokens, 1) + 1.0)
+        return -model.bound
     expected = [np.log(model.scale * max(n_tokens, 1)) - model.decay * s for _, _, s in segments]
     strong = [-e for e in expected if e < np.log(model.level)]
-    return float(sum(strong)) if strong else -min(expected)
+    found = float(sum(strong)) if strong else -min(expected)
+    return min(max(found, -model.bound), model.bound)
 
 
 class Scanner:
