@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import bpe, perplexity, positional_index, quality_gam, token_files, toxicity
+from tracewell.llm import bpe, perplexity, positional_index, quality_gam, simhash, token_files, toxicity
 from tracewell.llm.common import documents
 
 
@@ -21,6 +21,10 @@ def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op2_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op4_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.quality_rules(documents(spark, sf_dir))
 
@@ -80,7 +84,7 @@ FROM docs LEFT JOIN hit USING (row_id) LEFT JOIN matched USING (row_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_gam, op4_perplexity_rules, op6_token_files, op7_toxic_segments, op9_bpe_speculate, op10_positional_index)}
+    return {f.__name__: f for f in (op1_quality_gam, op2_simhash_pigeonhole, op4_perplexity_rules, op6_token_files, op7_toxic_segments, op9_bpe_speculate, op10_positional_index)}
 
 
 def oracle_sql() -> dict[str, str]:
