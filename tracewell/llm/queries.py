@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import bpe, perplexity, positional_index, quality_gam, sharding, simhash, token_files, toxicity
+from tracewell.llm import bpe, perplexity, pii, positional_index, quality_gam, sharding, simhash, token_files, toxicity
 from tracewell.llm.common import documents
 
 
@@ -25,6 +25,10 @@ def op2_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op3_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_spans(documents(spark, sf_dir))
+
+
 def op4_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.quality_rules(documents(spark, sf_dir))
 
@@ -88,7 +92,7 @@ FROM docs LEFT JOIN hit USING (row_id) LEFT JOIN matched USING (row_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_gam, op2_simhash_pigeonhole, op4_perplexity_rules, op5_label_propagation, op6_token_files, op7_toxic_segments, op9_bpe_speculate, op10_positional_index)}
+    return {f.__name__: f for f in (op1_quality_gam, op2_simhash_pigeonhole, op3_weak_supervision, op4_perplexity_rules, op5_label_propagation, op6_token_files, op7_toxic_segments, op9_bpe_speculate, op10_positional_index)}
 
 
 def oracle_sql() -> dict[str, str]:
