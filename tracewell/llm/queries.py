@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import bpe, perplexity, pii, positional_index, quality_gam, sharding, simhash, token_files, toxicity
+from tracewell.llm import bpe, perplexity, pii, positional_index, quality_gam, sharding, simhash, substrings, token_files, toxicity
 from tracewell.llm.common import documents
 
 
@@ -45,6 +45,10 @@ def op7_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op8_interval_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(documents(spark, sf_dir))
+
+
 def op9_bpe_speculate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(documents(spark, sf_dir), tokenizer_path())
 
@@ -91,8 +95,14 @@ FROM docs LEFT JOIN hit USING (row_id) LEFT JOIN matched USING (row_id)
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_gam, op2_simhash_pigeonhole, op3_weak_supervision, op4_perplexity_rules, op5_label_propagation, op6_token_files, op7_toxic_segments, op9_bpe_speculate, op10_positional_index)}
+    return {f.__name__: f for f in (op1_quality_gam, op2_simhash_pigeonhole, op3_weak_supervision, op4_perplexity_rules, op5_label_propagation, op6_token_files, op7_toxic_segments, op8_interval_expansion, op9_bpe_speculate, op10_positional_index, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
