@@ -12,7 +12,8 @@ sum p exp(lambda score) = 1 over the words of clean texts, K is fitted on clean
 texts. The segments that are significant by it are summed as evidence -log(expected
 number), and two numbers fitted on training texts turn evidence into a probability.
 
-The counts cover all labelled training texts; the lexicon that goes to the executors has
+The counts cover count_rows labelled training texts, those with the smallest hash of their
+id (a documented bound of the sample, which is 16 bytes a row where it is sent); the lexicon that goes to the executors has
 at most max_words words (the most significant ones, a documented size of the model).
 
 Defined cases: null and empty texts have no segment and the base score; without labels
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import bytes_of, crc_remainder, slices
+from tracewell.llm.common import bytes_of, crc_remainder, slices, written
 from tracewell.llm.quality_gam import sigmoid
 
 TOKEN = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -104,11 +105,16 @@ class Scanner:
         return len(tokens), maximal_segments(np.array([k for k, _ in hits]), np.array([w for _, w in hits]), self.model.loss)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int) -> DataFrame:
-    """text and y of the labelled documents outside the held-out part."""
+def chosen_labels(labels: DataFrame, label: str, modulus: int, held: int, rows: int) -> DataFrame:
+    """label_id and y of at most that many labelled rows outside the held-out part, the smallest hashes first."""
     known = labels.select(F.col("doc_id").alias("label_id"), F.col(label).cast("int").alias("y"))
     known = known.where(F.col("y").isin(0, 1) & F.col("label_id").isNotNull() & (crc_remainder("label_id", modulus) != held))
-    return docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "y")
+    return known.orderBy(F.xxhash64("label_id"), "label_id", "y").limit(rows)
+
+
+def labelled(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """text and y of the chosen rows; they are few enough to go to the texts, which stay where they are."""
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("text", "y")
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
@@ -148,25 +154,25 @@ def lexicon(counts: DataFrame, totals: dict[str, int], prior_share: float, min_z
     return found.where(F.col("z") >= min_z).orderBy(F.desc("z"), "word").limit(max_words)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, held: int = 0, prior_share: float = 0.1, min_z: float = 4.5, max_words: int = 20_000, fit_rows: int = 20_000) -> Model:
-    """The model; lexicon from all training texts, calibration from at most fit_rows of them (smallest hash of id)."""
-    rows = labelled(docs, labels, label, modulus, held)
-    share = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")).first()
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, held: int = 0, prior_share: float = 0.1, min_z: float = 4.5, max_words: int = 20_000, count_rows: int = 40_000, fit_rows: int = 20_000) -> Model:
+    """The model; lexicon from at most count_rows labelled texts, calibration from fit_rows of them."""
+    chosen = chosen_labels(labels, label, modulus, held, count_rows)
+    rows = labelled(docs, chosen)
+    share = chosen.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")).first()
     n, toxic = share["n"], share["y"] or 0
     base = (toxic + 0.5) / (n + 1.0)
     model = Model(intercept=float(np.log(base / (1 - base))))
     if not toxic or toxic == n:
         return model
-    counts = word_counts(rows).persist()
+    counts = written(word_counts(rows), "word-counts")
     totals = counts.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).first().asDict()
+    if not totals["toxic"] or not totals["clean"]:
+        return model
     words = lexicon(counts, totals, prior_share, min_z, max_words).toPandas()
-    counts.unpersist()
     if not len(words):
         return model
     model.weights = {bytes(w): float(x) for w, x in zip(words["word"], words["weight"])}
-    chosen = labels.select(F.col("doc_id").alias("label_id"), F.col(label).cast("int").alias("y"))
-    chosen = chosen.where(F.col("y").isin(0, 1) & (crc_remainder("label_id", modulus) != held)).orderBy(F.xxhash64("label_id"), "label_id", "y").limit(fit_rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("text", "y")
+    sample = labelled(docs, chosen_labels(labels, label, modulus, held, fit_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = model.weights.get
