@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.plans import traces
+from tracewell.plans import scalars, traces
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [traces]
+MODULES = [traces, scalars]
 
 
 def queries() -> dict[str, Query]:

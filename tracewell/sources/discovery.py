@@ -62,7 +62,7 @@ def enriched(events: DataFrame, mapping: DataFrame) -> DataFrame:
 def _small(df: DataFrame, most_bytes: int = 64_000_000) -> bool:
     """Whether the planner's size estimate allows a broadcast."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size.toString()) <= most_bytes
+    return int(str(size)) <= most_bytes
 
 
 __all__ = ["MAPPING_DDL", "enriched", "inspected", "read_mapping", "remove", "upsert"]
