@@ -24,6 +24,7 @@ def buckets(observations: DataFrame, samples: int | None = SAMPLES) -> DataFrame
     kept = F.col("duration_us") if samples is None else F.when(F.col("_n") <= samples, F.col("duration_us"))
     return observations.groupBy(*KEYS, "sec").agg(
         F.count(F.lit(1)).alias("count"), F.count_if("is_error").alias("errors"), F.sum("duration_us").alias("sum_us"), F.min("duration_us").alias("min_us"), F.max("duration_us").alias("max_us"), F.array_sort(F.collect_list(kept)).alias("samples"),
+        F.count(kept).alias("s_n"), F.sum(kept).alias("s_sum"), F.sum(kept.cast("decimal(18,0)") * kept.cast("decimal(18,0)")).cast("decimal(38,0)").alias("s_squares"),
     )
 
 
@@ -34,6 +35,7 @@ def over_range(bucket_rows: DataFrame, frames: dict[str, tuple[int, int]]) -> Da
     for name, (a, b) in frames.items():
         w = order.rangeBetween(-(a - 1), -b)
         total = lambda c: F.coalesce(F.sum(c).over(w), F.lit(0))  # noqa: E731, B023
+        out |= {f"{name}_s_n": total("s_n"), f"{name}_s_sum": total("s_sum"), f"{name}_s_squares": total("s_squares").cast("decimal(38,0)")}
         out |= {f"{name}_count": total("count"), f"{name}_errors": total("errors"), f"{name}_sum_us": total("sum_us"), f"{name}_min_us": F.min("min_us").over(w), f"{name}_max_us": F.max("max_us").over(w), f"{name}_samples": F.array_sort(F.flatten(F.collect_list("samples").over(w)))}
     return bucket_rows.withColumns(out)
 
@@ -54,15 +56,16 @@ def nearest_rank(samples: Column, p: float) -> Column:
     return F.when(n > 0, F.try_element_at(samples, rank)).otherwise(F.lit(0)).cast("double")
 
 
-def mean_of(samples: Column) -> Column:
-    return F.when(F.size(samples) > 0, F.aggregate(samples, F.lit(0).cast("bigint"), lambda s, x: s + x) / F.size(samples)).otherwise(F.lit(0.0))
+def mean_of(name: str) -> Column:
+    """Mean of the samples of a frame, 0 without any."""
+    return ratio(F.col(f"{name}_s_sum"), F.col(f"{name}_s_n"))
 
 
-def spread_of(samples: Column) -> Column:
-    """Sample standard deviation, 0 for fewer than two samples."""
-    mean = mean_of(samples)
-    squares = F.aggregate(samples, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean))
-    return F.when(F.size(samples) > 1, F.sqrt(squares / (F.size(samples) - 1))).otherwise(F.lit(0.0))
+def spread_of(name: str) -> Column:
+    """Sample standard deviation of a frame, 0 for fewer than two samples; from exact whole sums."""
+    n, total, squares = (F.col(f"{name}_{c}") for c in ("s_n", "s_sum", "s_squares"))
+    whole = n.cast("decimal(12,0)") * squares.cast("decimal(26,0)") - total.cast("decimal(19,0)") * total.cast("decimal(19,0)")
+    return F.when(n > 1, F.sqrt(whole.cast("double") / (n.cast("double") * (n - 1)))).otherwise(F.lit(0.0))
 
 
 def metric_of(metric: Column, name: str) -> Column:
@@ -75,9 +78,9 @@ def metric_of(metric: Column, name: str) -> Column:
 
 
 def metric_spread(metric: Column, name: str) -> Column:
-    count, samples = F.col(f"{name}_count"), F.col(f"{name}_samples")
+    count = F.col(f"{name}_count")
     rate = ratio(F.col(f"{name}_errors"), count)
-    return F.when(metric == "error_rate", F.when(count > 0, F.sqrt(rate * (1 - rate) / count)).otherwise(F.lit(0.0))).when(metric == "request_count", count * 0.1).otherwise(spread_of(samples))
+    return F.when(metric == "error_rate", F.when(count > 0, F.sqrt(rate * (1 - rate) / count)).otherwise(F.lit(0.0))).when(metric == "request_count", count * 0.1).otherwise(spread_of(name))
 
 
 def for_services(rules: DataFrame, services: DataFrame) -> DataFrame:
@@ -136,7 +139,7 @@ def _verdict(r: dict) -> dict[str, Column]:
         b, e = r["baseline_window_secs"], r["evaluation_window_secs"]
         base, current = metric_of(metric, _frame(b, e)), metric_of(metric, _frame(e, 0))
         spread = metric_spread(metric, _frame(b, e))
-        enough = F.size(f"{_frame(b, e)}_samples") >= 10
+        enough = F.col(f"{_frame(b, e)}_s_n") >= 10
         varied = spread >= 1e-10
         z = F.abs(current - base) / F.when(varied, spread)
         fired = enough & varied & F.coalesce(z > F.col("r_z_score_threshold"), F.lit(False))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.plans import scalars, traces
+from tracewell.plans import alerts, scalars, traces
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [traces, scalars]
+MODULES = [traces, scalars, alerts]
 
 
 def queries() -> dict[str, Query]:
