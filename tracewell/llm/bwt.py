@@ -12,6 +12,7 @@ from __future__ import annotations
 import numpy as np
 
 PACKED = 7  # symbols of 9 bits in a first sort key
+INNER = 3  # symbols that stand for a common part
 
 
 def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -21,7 +22,7 @@ def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     key = np.zeros(n, np.int64)
     for k in range(PACKED):
         key = (key << 9) | padded[k : k + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     sorted_key = key[order]
     change = np.ones(n + 1, bool)
     change[1:n] = sorted_key[1:] != sorted_key[:-1]
@@ -37,7 +38,7 @@ def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         suffix = order[rows]
         second = rank[np.minimum(suffix + width, n)] + 1
         both = rank[suffix] * (n + 1) + second
-        at = np.argsort(both, kind="stable")
+        at = np.argsort(both)
         order[rows], both = suffix[at], both[at]
         fresh = np.ones(len(rows), bool)
         fresh[1:] = both[1:] != both[:-1]
@@ -54,7 +55,7 @@ def long_borders(text: np.ndarray, order: np.ndarray, first: np.ndarray, length:
     """
     n = len(text)
     bwt = np.where(order > 0, text[np.maximum(order - 1, 0)], 0).astype(np.int64)
-    by_symbol = np.argsort(bwt, kind="stable")
+    by_symbol = np.argsort(bwt.astype(np.uint16), kind="stable")
     step = np.empty(n, np.int64)  # where the suffix one longer stands
     step[by_symbol] = np.arange(n)
     before, after = np.full(n, -1, np.int64), np.full(n, n, np.int64)
@@ -80,8 +81,8 @@ def long_borders(text: np.ndarray, order: np.ndarray, first: np.ndarray, length:
             break
         begin = (before[rows] < lows) & (symbol > 0)
         key = np.repeat(np.arange(len(left)) * 512, sizes) + symbol
-        opened = rows[begin][np.argsort(key[begin], kind="stable")]
-        closed = np.argsort(key[last], kind="stable")
+        opened = rows[begin][np.argsort(key[begin])]
+        closed = np.argsort(key[last])
         new_left = np.empty(len(new_right), np.int64)
         new_left[closed] = step[opened]
         left, right = new_left[fresh], new_right[fresh]
@@ -92,12 +93,13 @@ def long_borders(text: np.ndarray, order: np.ndarray, first: np.ndarray, length:
     return border
 
 
-def repeated_starts(strings: list[bytes], owners: list[tuple[int, int]], several: list[bool], length: int) -> list[np.ndarray]:
+def repeated_starts(strings: list[bytes], owners: list[tuple[int, int]], several: list[bool], length: int, inner: list[tuple[int, int]] | None = None) -> list[np.ndarray]:
     """For each string, the offsets at which a repeated string of the given length starts.
 
     owners: a text's number and the string's place in it; the same place of the same text,
     seen through two strings, is no repeat. several: the whole string is known to stand
-    elsewhere too.
+    elsewhere too. inner: (offset, number) of a long common part of each string, for which
+    INNER placeholder bytes stand at the offset; parts of other numbers are other parts.
     """
     sizes = np.array([len(x) for x in strings], np.int64)
     n = int(sizes.sum()) + len(strings)
@@ -106,6 +108,11 @@ def repeated_starts(strings: list[bytes], owners: list[tuple[int, int]], several
     filled = np.ones(n, bool)
     filled[starts + sizes] = False
     text[filled] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int16) + 1
+    if inner is not None:
+        at = starts + np.array([a for a, _ in inner], np.int64)
+        number = np.array([k for _, k in inner], np.int64)
+        for k in range(INNER):
+            text[at + k] = 257 + number // 255**k % 255
     order, first = suffix_order(text, length)
     border = long_borders(text, order, first, length)
     string = np.repeat(np.arange(len(strings)), sizes + 1)

@@ -4,12 +4,14 @@ Equal texts are one text with a number of copies. In each text, anchors are the
 grams whose hash is the least in some window of min_bytes: equal strings of min_bytes have
 an anchor in common, at the same place. Anchors that stand once in the corpus are dropped.
 Around each of the others a segment is cut that holds every string of min_bytes with that
-anchor, and segments of one anchor meet in one task, where interval expansion on their
-Burrows-Wheeler transform (bwt.py) finds the strings that repeat.
-
-Hot anchors (more than hot_count places) are split further: the strings around them by
-their place relative to the anchor, in classes of 48, and by the bytes that all strings of
-a class share. Equal segments within a map task are settled there: all but one of them
+anchor, and segments of one anchor meet in one task. There the strings are taken in classes
+of 48 by their place relative to the anchor, and by the bytes that all strings of a class
+share, their core. What stands around the core differs; for the core, a number is written,
+which keeps repeats as they are and makes texts short. Interval expansion on the
+Burrows-Wheeler transform of those texts (bwt.py) finds the strings that repeat.
+
+Hot anchors (more than hot_count places) leave the map task by class and core rather than
+by anchor, so that they are dealt out. Equal segments within a map task are settled there: all but one of them
 leave it as results, so that a passage in any number of texts sends a few rows per task.
 
 Defined cases: null and empty texts have nothing to remove; texts under min_bytes keep
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.bwt import repeated_starts
+from tracewell.llm.bwt import INNER, repeated_starts
 from tracewell.llm.common import bytes_of, slices, written
 
 GRAM = 64
@@ -133,36 +135,46 @@ def covered(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.append(0, cut + 1)].tolist(), (starts[np.append(cut, len(starts) - 1)] + length).tolist()))
 
 
-SEGMENT_SCHEMA = "bucket long, segment binary, key binary, place long, several boolean, stop long"
+SEGMENT_SCHEMA = "bucket long, segment binary, key binary, place long, several boolean, stop long, pivot int, level int"
+
+
+def classes(pivot: int, size: int, min_bytes: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(class, low, high, core start, core stop) of the strings around an anchor at pivot in size bytes.
+
+    Strings of the class start in low .. high and all hold the core.
+    """
+    for k in range(0, min_bytes - GRAM + 1, CLASS):
+        most = min(CLASS, min_bytes - GRAM + 1 - k) - 1
+        low, high = max(0, pivot - k - most), min(pivot - k, size - min_bytes)
+        if low <= high:
+            yield k, low, high, pivot - k, pivot - k - most + min_bytes
 
 
 def cut_segments(texts: DataFrame, min_bytes: int) -> DataFrame:
     """Segments around repeated anchors, one row each; rows with a stop are results already."""
 
-    def around(h: int, p: int, n: int, text: bytes, hot: bool) -> Iterator[tuple[int, int, int]]:
-        """(bucket, start, stop) of the segments of an anchor."""
+    def around(h: int, p: int, text: bytes, hot: bool) -> Iterator[tuple[int, int, int, int, int]]:
+        """(bucket, start, stop, pivot, level) of the segments of an anchor.
+
+        The pivot is the anchor's place in the segment; for a hot one it is the core's, and level its class.
+        """
         if not hot:
-            yield h, max(0, p - min_bytes + GRAM), min(n, p + min_bytes)
+            start = max(0, p - min_bytes + GRAM)
+            yield h, start, min(len(text), p + min_bytes), p - start, -1
             return
-        for k in range(0, min_bytes - GRAM + 1, CLASS):
-            most = min(CLASS, min_bytes - GRAM + 1 - k) - 1
-            low, high = max(0, p - k - most), min(p - k, n - min_bytes)
-            if low <= high:
-                core = text[p - k : p - k - most + min_bytes]
-                yield xxhash.xxh64_intdigest(core, k) - (1 << 63), low, high + min_bytes
+        for k, low, high, core, end in classes(p, len(text), min_bytes):
+            yield xxhash.xxh64_intdigest(text[core:end], k) - (1 << 63), low, high + min_bytes, core - low, k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 4_000_000, 100_000):
-                found: dict[tuple[int, bytes], tuple[bytes, int]] = {}
-                several: set[tuple[int, bytes]] = set()
+                found: dict[tuple, tuple[bytes, int]] = {}
+                several: set[tuple] = set()
                 settled: dict[bytes, list[tuple[int, int]]] = {}
                 for text, key, anchors in zip(bytes_of(part), part.column("key").to_pylist(), part.column("anchors").to_pylist()):
                     for x in anchors:
-                        for bucket, a, b in around(x["h"], x["p"], len(text), text, x["hot"]):
-                            if b - a < min_bytes:
-                                continue
-                            name = (bucket, text[a:b])
+                        for bucket, a, b, pivot, level in around(x["h"], x["p"], text, x["hot"]):
+                            name = (bucket, text[a:b], pivot, level)
                             first = found.setdefault(name, (key, a))
                             if first != (key, a):
                                 if name not in several:
@@ -172,8 +184,8 @@ def cut_segments(texts: DataFrame, min_bytes: int) -> DataFrame:
                 names = list(found)
                 for k in range(0, len(names), 5000):
                     some = names[k : k + 5000]
-                    yield _segment_batch([(n[0], n[1], *found[n], n in several, None) for n in some])
-                rows = [(xxhash.xxh64_intdigest(key) - (1 << 63), None, key, a, True, b) for key, spans in settled.items() for a, b in _merged(spans)]
+                    yield _segment_batch([(n[0], n[1], *found[n], n in several, None, n[2], n[3]) for n in some])
+                rows = [(xxhash.xxh64_intdigest(key) - (1 << 63), None, key, a, True, b, None, None) for key, spans in settled.items() for a, b in _merged(spans)]
                 for k in range(0, len(rows), 20000):
                     yield _segment_batch(rows[k : k + 20000])
 
@@ -181,8 +193,8 @@ def cut_segments(texts: DataFrame, min_bytes: int) -> DataFrame:
 
 
 def _segment_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.bool_(), pa.int64()]
-    return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["bucket", "segment", "key", "place", "several", "stop"])
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32()]
+    return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["bucket", "segment", "key", "place", "several", "stop", "pivot", "level"])
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -195,39 +207,82 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def repeated_spans(segments: DataFrame, min_bytes: int, block_bytes: int = 1 << 20) -> DataFrame:
-    """(key, spans) of removed stretches, from the segments of each bucket together."""
+class Block:
+    """Strings of some buckets, for one run of the interval expansion per length."""
 
-    def block(groups: list[list[tuple]]) -> dict[bytes, list[tuple[int, int]]]:
-        """Results of whole buckets."""
-        out: dict[bytes, list[tuple[int, int]]] = {}
-        strings, owners, several, places = [], [], [], []
-        numbers: dict[bytes, int] = {}
-        for rows in groups:
-            distinct: dict[bytes, list] = {}
-            for segment, key, place, many in rows:
-                entry = distinct.setdefault(segment, [set(), False])
-                entry[0].add((key, place))
+    def __init__(self, min_bytes: int):
+        self.min_bytes = min_bytes
+        self.out: dict[bytes, list[tuple[int, int]]] = {}
+        self.numbers: dict[bytes, int] = {}
+        self.symbols = self.cores = 0
+        self.runs: dict[int, tuple[list, list, list, list, list]] = {}
+
+    def add(self, rows: list[tuple]) -> None:
+        """A bucket's rows (segment, key, place, several, pivot, level)."""
+        if len(rows) == 1 and not rows[0][3]:
+            return
+        distinct: dict[tuple, list] = {}
+        for segment, key, place, many, pivot, level in rows:
+            entry = distinct.setdefault((segment, pivot, level), [set(), False])
+            entry[0].add((key, place))
+            entry[1] |= many
+        if len(distinct) == 1:
+            (((segment, _, _), (where, many)),) = distinct.items()
+            if many or len(where) > 1:
+                self._settle(where, 0, len(segment))
+            return
+        cored: dict[tuple, dict[tuple, list]] = {}
+        for (segment, pivot, level), (where, many) in distinct.items():
+            if level >= 0:
+                most = min(CLASS, self.min_bytes - GRAM + 1 - level) - 1
+                found = [(level, 0, len(segment) - self.min_bytes, pivot, pivot - most + self.min_bytes)]
+            else:
+                found = classes(pivot, len(segment), self.min_bytes)
+            for k, low, high, core, end in found:
+                parts = cored.setdefault((k, segment[core:end]), {})
+                entry = parts.setdefault((segment[low:core], segment[end : high + self.min_bytes]), [[], False])
+                entry[0].append((where, low))
                 entry[1] |= many
-            if len(distinct) == 1:
-                ((segment, (where, many)),) = distinct.items()
-                if many or len(where) > 1:
-                    for key, place in where:
-                        out.setdefault(key, []).append((place, place + len(segment)))
-                continue
-            for segment, (where, many) in distinct.items():
-                key, place = next(iter(where))
-                strings.append(segment)
-                owners.append((numbers.setdefault(key, len(numbers)), place))
-                several.append(many or len(where) > 1)
-                places.append(where)
-        if strings:
-            for starts, where in zip(repeated_starts(strings, owners, several, min_bytes), places):
-                for a, b in covered(starts, min_bytes):
-                    for key, place in where:
-                        out.setdefault(key, []).append((place + a, place + b))
-        return out
-
+        for (_, core), parts in cored.items():
+            self._strings(len(core), parts)
+
+    def _settle(self, where: set, start: int, stop: int) -> None:
+        for key, place in where:
+            self.out.setdefault(key, []).append((place + start, place + stop))
+
+    def _strings(self, core: int, parts: dict[tuple, list]) -> None:
+        """Texts around one core; equal ones in two places are settled, a single one has no repeat."""
+        for (left, right), entry in parts.items():
+            entry[1] |= len(entry[0]) > 1 or len(entry[0][0][0]) > 1
+            if entry[1]:
+                for where, low in entry[0]:
+                    self._settle(where, low, low + len(left) + core + len(right))
+        if len(parts) < 2:
+            return
+        length = self.min_bytes - core + INNER
+        strings, owners, several, inner, places = self.runs.setdefault(length, ([], [], [], [], []))
+        for (left, right), (wheres, many) in parts.items():
+            where, low = wheres[0]
+            key, place = next(iter(where))
+            strings.append(left + bytes(INNER) + right)
+            owners.append((self.numbers.setdefault(key, len(self.numbers)), place + low))
+            several.append(many)
+            inner.append((len(left), self.cores))
+            places.append((wheres, core))
+            self.symbols += len(left) + len(right) + INNER + 1
+        self.cores += 1
+
+    def finish(self) -> dict[bytes, list[tuple[int, int]]]:
+        for length, (strings, owners, several, inner, places) in self.runs.items():
+            for starts, (wheres, core) in zip(repeated_starts(strings, owners, several, length, inner), places):
+                for a, b in covered(starts, self.min_bytes):
+                    for where, low in wheres:
+                        self._settle(where, low + a, low + b)
+        return self.out
+
+
+def repeated_spans(segments: DataFrame, min_bytes: int, block_symbols: int = 1 << 18) -> DataFrame:
+    """(key, spans) of removed stretches, from the segments of each bucket together."""
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def batch_of(found: dict[bytes, list[tuple[int, int]]]) -> pa.RecordBatch:
@@ -235,26 +290,25 @@ def repeated_spans(segments: DataFrame, min_bytes: int, block_bytes: int = 1 <<
         return pa.record_batch([pa.array(list(found), pa.binary()), pa.array(spans, kind)], ["key", "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: list[list[tuple]] = []
-        held, last = 0, None
+        block, rows, last = Block(min_bytes), [], None
         for batch in batches:
             done: dict[bytes, list[tuple[int, int]]] = {}
-            for bucket, segment, key, place, many, stop in zip(*(batch.column(k).to_pylist() for k in range(6))):
+            for bucket, segment, key, place, many, stop, pivot, level in zip(*(batch.column(k).to_pylist() for k in range(8))):
                 if segment is None:
                     done.setdefault(key, []).append((place, stop))
                     continue
                 if bucket != last:
-                    if held >= block_bytes:
-                        yield batch_of(block(groups))
-                        groups, held = [], 0
-                    groups.append([])
-                    last = bucket
-                groups[-1].append((segment, key, place, many))
-                held += len(segment)
+                    block.add(rows) if rows else None
+                    rows, last = [], bucket
+                    if block.symbols >= block_symbols:
+                        yield batch_of(block.finish())
+                        block = Block(min_bytes)
+                rows.append((segment, key, place, many, pivot, level))
             if done:
                 yield batch_of(done)
-        if groups:
-            yield batch_of(block(groups))
+        if rows:
+            block.add(rows)
+        yield batch_of(block.finish())
 
     return segments.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "key binary, spans array<struct<start:long,stop:long>>")
 
