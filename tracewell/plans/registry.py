@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.plans import alerts, scalars, traces
+from tracewell.plans import alerts, assembly, scalars, traces
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [traces, scalars, alerts]
+MODULES = [traces, scalars, alerts, assembly]
 
 
 def queries() -> dict[str, Query]:
