@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.plans import alerts, assembly, scalars, traces
+from tracewell.plans import alerts, assembly, scalars, sources, traces
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [traces, scalars, alerts, assembly]
+MODULES = [traces, scalars, alerts, assembly, sources]
 
 
 def queries() -> dict[str, Query]:
