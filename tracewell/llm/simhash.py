@@ -165,7 +165,7 @@ def plan_partitions(prints: DataFrame, distance: int, probe_cost: float = 4.0) -
             row = [0.0]
             for t in range(distance + 1):
                 probes = sum(comb(len(bits), r) for r in range(t + 1))
-                row.append(equal.get((m, i), 0.0) + n * n / 2 * (near[t] - near[0]) + probe_cost * n * probes)
+                row.append(equal.get((m, i), 0.0) + n * n / 2 * (near[t] - near[0]) + probe_cost * max(n, 1) * probes)
             costs.append(row)
         cost, thresholds = allocate(costs, distance + 1)
         if cost < best[0]:
