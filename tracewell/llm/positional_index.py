@@ -240,14 +240,12 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, bloc
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
         (F.count(F.lit(1)) / len(found)).cast("int").alias("copies"),
     )
-    merge = F.aggregate(
-        "all_spans",
-        F.array().cast("array<struct<start:long,stop:long>>"),
-        lambda done, x: F.when(
-            (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["stop"] >= x["start"]),
-            F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(done, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(done, F.lit(-1))["stop"], x["stop"]).alias("stop")))),
-        ).otherwise(F.concat(done, F.array(x))),
-    )
+    kind = "array<struct<start:bigint,stop:bigint>>"
+    # Sorted spans: one that touches the last joins it, any other is added.
+    merge = F.expr(f"""aggregate(all_spans, cast(array() AS {kind}), (done, x) -> CASE
+        WHEN size(done) > 0 AND try_element_at(done, -1).stop >= x.start THEN concat(slice(done, 1, size(done) - 1),
+            cast(array(struct(try_element_at(done, -1).start AS start, greatest(try_element_at(done, -1).stop, x.stop) AS stop)) AS {kind}))
+        ELSE concat(done, cast(array(x) AS {kind})) END)""")
     return grouped.select("doc_id", "text_key", "n_words", merge.alias("spans"), "items", F.explode(F.sequence(F.lit(1), "copies"))).drop("col")
 
 
