@@ -235,24 +235,22 @@ def assemble_stateful(events: DataFrame, max_pending: int = 64, connection_spans
     return parsed(events).groupBy("conn").applyInPandas(lambda rows: walked(rows, Assembler(None, max_pending, connection_spans)), SPAN_ROW)
 
 
-def assemble_stream(events: DataFrame, max_pending: int = 64, connection_spans: bool = True, idle_ms: int = 3_600_000) -> DataFrame:
-    """Spans of a stream of events; a 4-tuple's state goes after idle_ms without events."""
+def assemble_stream(events: DataFrame, max_pending: int = 64, connection_spans: bool = True, idle_ms: int = 3_600_000, delay: str = "10 minutes") -> DataFrame:
+    """Spans of a stream of events; a 4-tuple's state goes once event time is idle_ms past its last event."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         assembler = Assembler(state.get[0] if state.exists else None, max_pending, connection_spans)
-        yield walked(pd.concat(list(frames)), assembler)
-        if assembler.sides:
-            state.update((assembler.state(),))
-            state.setTimeoutDuration(idle_ms)
-        elif state.exists:
-            # Nothing is open: only the number of closes is left, which keeps later ids apart.
-            state.update((assembler.state(),))
-            state.setTimeoutDuration(idle_ms)
-
-    return parsed(events).groupBy("conn").applyInPandasWithState(step, SPAN_ROW, "state string", "append", "ProcessingTimeTimeout")
+        rows = pd.concat(list(frames)).drop(columns="event_time")
+        yield walked(rows, assembler)
+        # Kept after a close too: the number of closes keeps later ids apart.
+        state.update((assembler.state(),))
+        state.setTimeoutTimestamp(max(int(rows["ts"].max()) // 1_000_000, state.getCurrentWatermarkMs()) + idle_ms)
+
+    timed = parsed(events).withColumn("event_time", F.timestamp_micros(F.floor(F.col("ts") / 1000).cast("bigint"))).withWatermark("event_time", delay)
+    return timed.groupBy("conn").applyInPandasWithState(step, SPAN_ROW, "state string", "append", "EventTimeTimeout")
 
 
 def over_cap(events: DataFrame, max_pending: int = 64) -> DataFrame:

@@ -113,7 +113,7 @@ def cooldown_fixed(spark, sf_dir):
 
 
 def stale_resolve(spark, sf_dir):
-    return alerting.stale(verdicts(spark, sf_dir, "r1"), as_of_sec=474500, max_age=480)
+    return alerting.stale(verdicts(spark, sf_dir, "r1"), as_of_sec=474500, max_age=429)
 
 
 def alert_event_filter(spark, sf_dir):
@@ -230,7 +230,7 @@ SQL = {
         r(id, name, scope) AS (VALUES ('r1', 'errors', ''), ('r2', 'slow', 'svc_1'), ('r3', 'odd errors', ''), ('r4', 'more traffic', 'svc_2'), ('r7', 'less traffic', ''), ('r8', 'odd latency', ''))
         SELECT id, name, watched_service FROM r JOIN s ON scope = '' OR scope = watched_service""",
     "cooldown_emit": f"{FIRED} SELECT rule_id, service_id, sec, fingerprint FROM (SELECT *, sec - lag(sec) OVER (PARTITION BY fingerprint ORDER BY sec) AS gap FROM f) WHERE gap IS NULL OR gap >= 48",
-    "stale_resolve": f"{FIRED} SELECT fingerprint, rule_id, service_id, max(sec) AS last_fired FROM f GROUP BY ALL HAVING 474500 - max(sec) >= 480",
+    "stale_resolve": f"{FIRED} SELECT fingerprint, rule_id, service_id, max(sec) AS last_fired FROM f GROUP BY ALL HAVING 474500 - max(sec) >= 429",
     "rule_validation": f"""{CANDIDATES} SELECT id, CASE k WHEN 0 THEN 'name must be 1 to 256 bytes' WHEN 1 THEN 'name must be 1 to 256 bytes' WHEN 2 THEN 'project_id is over 128 bytes' WHEN 3 THEN 'unknown rule_type' WHEN 4 THEN 'unknown severity' END AS problem FROM c""",
     "rule_delete_cascade": f"{CANDIDATES} SELECT 'rule_' || o_custkey AS rule_id, o_orderkey AS event FROM orders WHERE 'rule_' || o_custkey IN (SELECT id FROM c WHERE k <> 4)",
     "rule_update": f"{CANDIDATES} SELECT id, CASE WHEN k = 4 THEN 'critical' ELSE 'info' END AS severity, k = 4 AS enabled FROM c",
