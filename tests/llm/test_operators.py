@@ -68,6 +68,29 @@ def test_simhash(spark, texts):
     assert simhash.near_duplicates(table(spark, texts).limit(0)).count() == 0
 
 
+def test_stages_decide_by_row(spark):
+    a, b, c, d = (prose(60) for _ in range(4))
+    rows = [(None, a), (None, b), (None, c), (7, c), (9, a + " q"), (3, d), (3, b + " z z z"), (None, d), (None, None)]
+    item = prose(12)
+    rows += [(None, prose(60) + " " + item), (5, prose(60)), (5, prose(60) + " " + item), (6, "x"), (6, "x")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    prints = simhash.fingerprint_array([(t or "").encode() for _, t in rows], 3, 42)
+    groups = components.roots(spark.createDataFrame([(i, j) for i in range(len(rows)) for j in range(i, len(rows)) if int(prints[i] ^ prints[j]).bit_count() <= 3], "a long, b long"))
+    root = {r.node: r.root for r in groups.collect()}
+    least = defaultdict(list)
+    for k, row in enumerate(rows):
+        least[root.get(k, k)].append(row)
+    got = [(r.doc_id, r.text) for r in simhash.one_of_each(docs).collect()]
+    assert len(got) == len(least)
+    for some in least.values():
+        ids = [k for k, _ in some]
+        best = min((k for k in ids if k is not None), default=None)
+        assert sum(row in some and row[0] == best for row in got) == 1
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    left = [(r.doc_id, r.text) for r in positional_index.clean_documents(docs, bench).collect()]
+    assert sorted(left, key=str) == sorted((row for row in rows if not (row[1] or "").endswith(item)), key=str)
+
+
 def test_pigeonhole_finds_all_pairs(spark):
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 63, 60, dtype=np.int64)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 import zlib
@@ -45,6 +46,16 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def text_key(column: str = "text") -> Column:
+    """16 bytes of the SHA-256 of the text; null counts as empty. Rows of equal texts share it."""
+    return F.substring(F.unhex(F.sha2(F.encode(text_of(column), "UTF-8"), 256)), 1, 16)
+
+
+def key_of(text: bytes) -> bytes:
+    """text_key in Python."""
+    return hashlib.sha256(text).digest()[:16]
+
+
 def crc_remainder(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as the empty text."""
     return F.crc32(F.encode(F.coalesce(F.col(column).cast("string"), F.lit("")), "UTF-8")) % modulus

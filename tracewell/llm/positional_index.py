@@ -19,7 +19,6 @@ the id and text columns are read.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.common import bytes_of, slices, written
+from tracewell.llm.common import bytes_of, key_of, slices, text_key, written
 
 TERM = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 INDEX_SCHEMA = "doc_ids array<long>, text_keys array<binary>, starts binary, terms binary, stops binary, positions binary"
@@ -90,7 +89,7 @@ class Entry:
         steps = np.diff(at[kept], prepend=0).astype(np.int32)
         return {
             "doc_ids": doc_ids,
-            "text_keys": [hashlib.blake2b(x, digest_size=16).digest() for x in texts],
+            "text_keys": [key_of(x) for x in texts],
             "starts": starts.tobytes(),
             "terms": kinds.astype(np.int32).tobytes(),
             "stops": np.cumsum(counts).astype(np.int64).tobytes(),
@@ -287,8 +286,7 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) ->
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The documents without a hit, with their columns as they are.
 
-    All rows of an id go if one of them has a hit; a null id is an id of its own.
+    A hit is a matter of the text alone, so each row is decided by its own text, whatever its id.
     """
-    shown = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    bad = phrase_matches(docs, benchmark, window).where(F.size("spans") > 0).select(shown.alias("hit_id")).distinct()
-    return docs.join(bad, shown == F.col("hit_id"), "left_anti")
+    bad = phrase_matches(docs, benchmark, window).where(F.size("spans") > 0).select(F.col("text_key").alias("hit_key")).distinct()
+    return docs.join(bad, text_key() == F.col("hit_key"), "left_anti")

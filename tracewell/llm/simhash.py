@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm import components
-from tracewell.llm.common import bytes_of, slices, written
+from tracewell.llm.common import bytes_of, key_of, slices, text_key, written
 
 BITS = 64
 
@@ -65,15 +65,16 @@ def fingerprint_array(texts: list[bytes], shingle: int, seed: int) -> np.ndarray
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
+    """doc_id, text_key and fp (the fingerprint as a signed long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1_000_000):
-                found = fingerprint_array(bytes_of(part), shingle, seed)
-                yield pa.record_batch([part.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+                texts = bytes_of(part)
+                found = fingerprint_array(texts, shingle, seed)
+                yield pa.record_batch([part.column("doc_id"), pa.array([key_of(x) for x in texts], pa.binary()), pa.array(found.view(np.int64))], ["doc_id", "text_key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, text_key binary, fp long")
 
 
 @dataclass
@@ -271,8 +272,8 @@ def _linked(columns: list[np.ndarray], distance: int, rows: int = 8192) -> Itera
         a = b
 
 
-def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of every row."""
+def classified(docs: DataFrame, distance: int, shingle: int, seed: int) -> DataFrame:
+    """doc_id, text_key, fp, root (a fingerprint that names the component) and component_id of every row."""
     rows = written(fingerprints(docs, shingle, seed), "fingerprints")
     prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("head")), "different-fingerprints")
     edges = links(prints, plan_partitions(prints, distance), distance)
@@ -281,27 +282,28 @@ def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3, seed:
     named = member.groupBy("root").agg(F.min("head").alias("component_id"))
     # Only components of several fingerprints need another name than their own head.
     other = member.where("root <> fp").select("fp", F.col("root").alias("r")).unionAll(joined.select(F.col("root").alias("fp"), F.col("root").alias("r")).distinct())
-    names = other.join(named, F.col("r") == F.col("root")).select(F.col("fp").alias("member"), "component_id")
-    classes = written(prints.join(names, F.col("fp") == F.col("member"), "left").select(F.col("fp").alias("class_fp"), F.coalesce("component_id", "head").alias("component_id")), "classes")
-    out = rows.join(classes, F.col("fp") == F.col("class_fp"))
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    names = other.join(named, F.col("r") == F.col("root")).select(F.col("fp").alias("member"), "root", "component_id")
+    classes = prints.join(names, F.col("fp") == F.col("member"), "left").select(F.col("fp").alias("class_fp"), F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "head").alias("component_id"))
+    return rows.join(written(classes, "classes"), F.col("fp") == F.col("class_fp")).drop("class_fp")
+
+
+def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3, seed: int = 42) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id of every row."""
+    return classified(docs, distance, shingle, seed).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, distance: int = 3, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """The documents with one of each component kept, the one with the least doc_id; their columns as they are.
+    """The documents with one row of each component kept, one with the least doc_id; their columns as they are.
 
-    Of rows that share that id, the first by text stays; a component whose members all have
-    null ids keeps its first text.
+    Rows are told apart by doc_id and text, components by their fingerprints: null ids and ids
+    that different texts share lose nothing. Among rows of the least id the first by text_key
+    stays; null ids come last; of rows with equal id and text one stays.
     """
-    found = near_duplicates(docs, distance, shingle, seed)
-    # Everything but one row of each component goes; most rows are alone, so ids decide.
-    keep = found.groupBy("component_id").agg(F.min("doc_id").alias("keep_id"))
-    heads = keep.select(F.coalesce(F.col("keep_id").cast("string"), F.lit("null")).alias("keep_key"))
-    shown = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    kept = docs.join(heads.distinct(), shown == F.col("keep_key"), "left_semi")
-    twins = docs.groupBy(shown.alias("id")).count().where("count > 1").select("id")
-    single = kept.join(twins, shown == F.col("id"), "left_anti")
-    several = kept.join(twins, shown == F.col("id"), "left_semi")
-    order = [c for c in docs.columns]
-    first = several.groupBy(shown.alias("twin")).agg(F.min(F.struct("text", *[F.col(c).alias(f"c{k}") for k, c in enumerate(order)])).alias("x"))
-    return single.unionAll(first.select(*[F.col(f"x.c{k}").alias(c) for k, c in enumerate(order)]))
+    found = classified(docs, distance, shingle, seed).groupBy("root", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "n")).alias("x")
+    heads = written(found.groupBy("root").agg(first).select(F.col("x.doc_id").alias("head_id"), F.col("x.text_key").alias("head_key"), F.col("x.n").alias("n")), "heads")
+    same = (text_key() == F.col("head_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("head_id"))
+    single = docs.join(heads.where("n = 1"), same, "left_semi")
+    several = docs.join(heads.where("n > 1"), same, "left_semi")
+    least = several.groupBy(text_key().alias("key"), "doc_id").agg(F.min(F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)])).alias("x"))
+    return single.unionAll(least.select(*[F.col(f"x.c{k}").alias(c) for k, c in enumerate(docs.columns)]))
