@@ -192,6 +192,40 @@ def test_sharding(spark, texts):
         assert sum(r.size for r in got) == sum(len((t or "").encode()) + 1 for t in some)
 
 
+def uncut(rows, groups):
+    """Share of the linked pairs whose rows are in one shard; groups maps doc_id to its group."""
+    pairs = lambda counts: sum(n * (n - 1) // 2 for n in counts)
+    inside = pairs(Counter((groups[r.doc_id], r.shard) for r in rows if r.doc_id in groups).values())
+    return inside / pairs(Counter(groups.values()).values())
+
+
+def test_sharding_keeps_large_groups_together(spark):
+    # A group of a third of the rows fills 5 of 16 shards and a third of one: 0.176 of its pairs at most.
+    for n, small in ((480, 120), (480, 460)):
+        groups = {k: "hot" if k < n // 3 else f"g{k // 3}" for k in range(max(small, n // 3 + small // 4))}
+        docs = spark.createDataFrame([(k, groups.get(k, f"alone {k}")) for k in range(n)], "doc_id long, text string")
+        rows = sharding.sharded(docs, chunk_rows=100).collect()
+        assert set(Counter(r.shard for r in rows).values()) == {n // 16}
+        hot = {k: g for k, g in groups.items() if g == "hot"}
+        assert uncut(rows, hot) > 0.17
+        assert uncut(rows, {k: g for k, g in groups.items() if g != "hot"}) > 0.5
+    assert sharding.seeded([(b"a", 7), (b"b", 3)], [4, 4, 3]) == ([(b"a", [4, 0, 3]), (b"b", [0, 3, 0])], [0, 1, 0])
+
+
+def test_full_shards_exchange_and_fill_in_part():
+    assert sharding.flows({(0, 1): 5, (1, 0): 3}, [0, 0]) == {(0, 1): 3, (1, 0): 3}
+    assert sharding.flows({(0, 1): 5, (1, 2): 4, (2, 0): 6}, [0, 0, 0]) == {(0, 1): 4, (1, 2): 4, (2, 0): 4}
+    assert sharding.flows({(0, 1): 5, (1, 2): 4}, [0, 0, 2]) == {(1, 2): 2, (0, 1): 2}
+    rng = random.Random(8)
+    for _ in range(200):
+        wanted = {(s, t): rng.randint(0, 9) for s in range(5) for t in range(5) if s != t}
+        free = [rng.randint(0, 4) for _ in range(5)]
+        out = sharding.flows(wanted, free)
+        after = [free[s] + sum(out.get((s, t), 0) - out.get((t, s), 0) for t in range(5)) for s in range(5)]
+        assert min(after) >= 0 and all(out[k] <= wanted[k] for k in out)
+        assert not any(after[t] and wanted[s, t] > out.get((s, t), 0) for s, t in wanted)
+
+
 def test_substrings(spark):
     rng = random.Random(2)
     passages = [prose(n) for n in (90, 150, 300)]
