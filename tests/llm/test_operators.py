@@ -142,6 +142,65 @@ def test_kneser_ney_sums_to_one_and_rejects_noise(spark):
     assert 60 not in kept and len(kept) >= 55
 
 
+def fluent(rng, follow, n):
+    """Words of a language in which each word has few followers."""
+    words = [rng.choice(sorted(follow))]
+    while len(words) < n:
+        words.append(rng.choice(follow[words[-1]]))
+    return words
+
+
+def test_salad_of_fluent_words_leaves_the_band(spark):
+    rng = random.Random(31)
+    vocabulary = sorted({word() for _ in range(900)})[:400]
+    follow = {w: rng.sample(vocabulary, 4) for w in vocabulary}
+    texts = [" ".join(fluent(rng, follow, rng.randint(100, 200))) for _ in range(300)]
+    shuffled = [" ".join(rng.sample(x, len(x))) for x in (fluent(rng, follow, 150) for _ in range(5))]
+    salad = [" ".join(rng.choice(vocabulary) for _ in range(150)) for _ in range(5)]
+    rows = [(k, t, "en", "s", 0) for k, t in enumerate([*texts, *shuffled, *salad])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = {r.doc_id for r in perplexity.quality_rules(docs).where("kept").collect()}
+    assert not kept & set(range(300, 310)) and len(kept) >= 290
+    assert {r.doc_id for r in perplexity.kept_documents(docs).collect()} == kept
+
+
+def test_word_model_against_brute_force(spark):
+    rng = random.Random(32)
+    texts = [" ".join(rng.choice("ab cd ef gh ij kl".split()) for _ in range(rng.randint(0, 30))) for _ in range(40)]
+    docs = spark.createDataFrame([(k, t, ["x", None][k % 2], "s", 0) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = {r.doc_id: r.word_bits for r in perplexity.learned(docs, 5.0, 0.1)[0].collect()}
+    for odd in (0, 1):
+        mine = [k for k in range(40) if k % 2 == odd]
+        pairs = lambda t: list(zip(["", *t.split()], t.split()))
+        count = Counter(p for k in mine for p in pairs(texts[k]))
+        kinds = Counter(count.values())
+        d = perplexity.discounts(np.array(list(count.values())))
+        assert np.allclose(d, perplexity.word_model.discounts(*(kinds[k] for k in (1, 2, 3, 4))))
+        for k in mine:
+            bits = 0.0
+            for a, b in pairs(texts[k]):
+                some = [n for (x, _), n in count.items() if x == a]
+                spared = sum(d[min(n, 3) - 1] for n in some)
+                bits -= np.log2((count[a, b] - d[min(count[a, b], 3) - 1] + spared * sum(y == b for _, y in count) / len(count)) / sum(some))
+            assert abs(got[k] - bits / max(1, len(texts[k].split()))) < 1e-6
+
+
+def test_each_language_has_its_own_band(spark):
+    rng = random.Random(33)
+    rows, noise = [], []
+    for k in range(20):
+        signs = rng.sample("abcdefghijklmnopqrstuvwxyz", 5) if k < 19 else list("0123456789")
+        some = lambda n: " ".join("".join(rng.choice(signs) for _ in range(rng.randint(2, 4))) for _ in range(n))
+        rows += [(f"l{k:02}", some(120)) for _ in range(60 - k)]
+    for k in (16, 19):
+        noise.append(len(rows))
+        rows.append((f"l{k:02}", " ".join("".join(rng.choice("#~^@") for _ in range(3)) for _ in range(120))))
+    docs = spark.createDataFrame([(k, t, lang, "s", 0) for k, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long").repartition(2)
+    kept = {r.doc_id for r in perplexity.quality_rules(docs).where("kept").collect()}
+    last = [k for k, (lang, _) in enumerate(rows) if lang == "l19" and k not in noise]
+    assert not kept & set(noise) and len(kept & set(last)) >= 0.9 * len(last)
+
+
 def test_decontamination(spark, texts):
     items = [(1, texts[12]), (2, "short item here"), (3, None), (4, ""), (20, texts[14]), (100, texts[14])]
     docs = [*texts, "A SHORT  item, here! " + (texts[12] or "")[:80], (texts[14] or "") + " short item here"]

@@ -1,32 +1,36 @@
 """Quality rules: base counts of a text and an n-gram perplexity band of its language.
 
-Model: modified Kneser-Ney of order 4 over symbols. A symbol is one of 32 classes of a
-UTF-8 byte (white space, the letters without case, digits, marks, other signs, and two
-classes of lead bytes; continuation bytes share the letters' classes), so that a language
-has at most 2**20 grams whatever the corpus holds: what goes to the executors has a
-proven bound of 8 MB a language slot. The counts cover every document and are summed by
-Spark; they are kept as arrays sorted by gram (the hash of a gram is its packed code).
+Two models a language, both modified Kneser-Ney and both keyed by lang itself. Words: bigrams
+of words, as many as the corpus holds (word_model.py); they find salad of fluent words.
+Spelling: order 4 over 32 classes of a UTF-8 byte (white space, the letters without case,
+digits, marks, other signs, and two classes of lead bytes; continuation bytes share the
+letters' classes), so that a language's table has 4 MB. The counts cover every document and
+are summed by Spark. Models stay in the shared folder; a task reads those it needs.
 
 Verdict: bits per symbol must lie in the band of the document's language, the median of
-all its documents plus and minus a multiple of their median deviation. Histograms of all
-documents give both; nothing is sampled.
+all its documents plus and minus a multiple of their median deviation; bits per word must
+not lie above theirs (copies of a text lie below and are left to deduplication). Histograms
+of all documents give both; nothing is sampled.
 
 Defined cases: a null text has no words; a text without words has no perplexity and fails
-by its base counts; a null language is a language of its own; languages beyond the
-language_slots largest share one slot; equal rows get equal results; an empty table gives
-an empty result; other columns pass through untouched or are not read.
+by its base counts; a null language is a language of its own; equal rows get equal results;
+an empty table gives an empty result; other columns pass through untouched or are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import bytes_of, slices, written
+from tracewell.llm import word_model
+from tracewell.llm.common import bytes_of, scratch_dir, slices, written
 from tracewell.llm.wordbpe import _Numbers
 
 ORDER, SYMBOLS = 4, 32
@@ -130,32 +134,30 @@ def gram_codes(flat: Flat) -> tuple[np.ndarray, np.ndarray]:
     return codes[keep], np.concatenate([[0], flat.ends])
 
 
-def slots_of(docs: DataFrame, language_slots: int) -> dict[str | None, int]:
-    """Slot of each of the largest languages; all others have slot 0."""
-    found = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(language_slots).collect()
-    return {r["lang"]: k + 1 for k, r in enumerate(found)}
+def count_grams(docs: DataFrame) -> DataFrame:
+    """Counts (lang, gram, n) over all documents, summed within tasks before the shuffle."""
 
-
-def count_grams(docs: DataFrame, slots: dict[str | None, int]) -> DataFrame:
-    """Counts (slot, gram, n) over all documents, summed within tasks before the shuffle."""
+    def rows(tables: dict[str | None, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for lang, table in tables.items():
+            at = np.flatnonzero(table)
+            for k in range(0, len(at), 50_000):
+                some = at[k : k + 50_000]
+                yield pa.record_batch([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(table[some])], ["lang", "gram", "n"])
+        tables.clear()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[int, np.ndarray] = {}
+        tables: dict[str | None, np.ndarray] = {}
         for batch in batches:
             for part in slices(batch, "text"):
-                slot = np.array([slots.get(x, 0) for x in part.column("lang").to_pylist()])
-                texts = bytes_of(part)
-                for s in np.unique(slot).tolist():
-                    codes, _ = gram_codes(Flat([x for x, y in zip(texts, slot) if y == s]))
-                    tables[s] = tables.get(s, 0) + np.bincount(codes, minlength=GRAMS)
-        for s, table in tables.items():
-            at = np.flatnonzero(table)
-            for k in range(0, len(at), 50_000):
-                some = at[k : k + 50_000]
-                yield pa.record_batch([pa.array(np.full(len(some), s, np.int32)), pa.array(some.astype(np.int32)), pa.array(table[some])], ["slot", "gram", "n"])
+                for lang, _, texts in word_model.by_language(part):
+                    codes, _ = gram_codes(Flat(texts))
+                    tables[lang] = tables.get(lang, 0) + np.bincount(codes, minlength=GRAMS)
+                    if len(tables) > 8:  # of 8 MB each
+                        yield from rows(tables)
+        yield from rows(tables)
 
-    parts = docs.select("lang", "text").mapInArrow(run, "slot int, gram int, n long")
-    return parts.groupBy("slot", "gram").agg(F.sum("n").alias("n"))
+    parts = docs.select("lang", "text").mapInArrow(run, "lang string, gram int, n long")
+    return parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def discounts(counts: np.ndarray) -> tuple[float, float, float]:
@@ -202,62 +204,84 @@ class KneserNey:
         return full
 
 
-def fit(docs: DataFrame, slots: dict[str | None, int]) -> dict[int, KneserNey]:
-    """One model a language slot, from all documents; at most 2**20 counts each come to the driver."""
-    rows = count_grams(docs, slots).toPandas()
-    return {int(s): KneserNey(x["gram"].to_numpy(), x["n"].to_numpy()) for s, x in rows.groupby("slot")}
+def language_key(lang: str | None) -> str:
+    return hashlib.sha256(repr(lang).encode()).hexdigest()
+
+
+def fit(docs: DataFrame) -> str:
+    """Folder of the spelling models, one folder a language, each from at most 2**20 counts."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        model = KneserNey(rows.column("gram").to_numpy(), rows.column("n").to_numpy())
+        data = zstandard.ZstdCompressor(level=1).compress(model.table().tobytes())
+        return pa.table([pa.array([language_key(rows.column("lang")[0].as_py())]), pa.array([data], pa.binary())], ["folder", "data"])
+
+    path = scratch_dir(docs.sparkSession, "spelling-models")
+    count_grams(docs).groupBy("lang").applyInArrow(run, "folder string, data binary").write.partitionBy("folder").parquet(path)
+    return path
 
 
 class Scorer:
-    """Measures, slot and bits per symbol of the texts of a batch."""
+    """Measures, languages, bits per symbol and bits per word of the texts of a batch."""
+
+    def __init__(self, spelling: str, words: tuple[str, str]):
+        self.words = words
 
-    def __init__(self, models: dict[int, KneserNey], slots: dict[str | None, int]):
-        self.tables = {s: m.table() for s, m in models.items()}
-        self.slots = slots
+        @lru_cache(16)
+        def table(lang: str | None) -> np.ndarray:
+            data = word_model.folder_rows(spelling, language_key(lang))[0]["data"]
+            return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.float32)
 
-    def __call__(self, part: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        flat = Flat(bytes_of(part))
-        slot = np.array([self.slots.get(x, 0) for x in part.column("lang").to_pylist()])
-        bits = np.zeros(len(slot))
-        for s in np.unique(slot).tolist():
-            mine = np.flatnonzero(slot == s)
-            codes, bounds = gram_codes(Flat([flat.texts[k] for k in mine]))
-            sums = np.concatenate([[0], np.cumsum(self.tables[s][codes], dtype=np.float64)])
-            bits[mine] = -np.diff(sums[bounds]) / np.maximum(np.diff(bounds), 1)
-        return measures(flat), slot, bits
+        self.table = table
 
+    def spelling_bits(self, part: pa.RecordBatch) -> np.ndarray:
+        bits = np.zeros(part.num_rows)
+        for lang, mine, texts in word_model.by_language(part):
+            codes, bounds = gram_codes(Flat(texts))
+            if len(codes):
+                sums = np.concatenate([[0], np.cumsum(self.table(lang)[codes], dtype=np.float64)])
+                bits[mine] = -np.diff(sums[bounds]) / np.maximum(np.diff(bounds), 1)
+        return bits
 
-def scored(docs: DataFrame, models: dict[int, KneserNey], slots: dict[str | None, int]) -> DataFrame:
-    """doc_id, the measures, slot and bits per symbol of all documents."""
-    shipped = docs.sparkSession.sparkContext.broadcast((models, slots))
+    def __call__(self, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], np.ndarray, np.ndarray]]:
+        for chunk in slices(batch, "text", word_model.CHUNK_BYTES, 1 << 30):
+            words, at = word_model.chunk_bits(chunk, *self.words), 0
+            for part in slices(chunk, "text"):
+                yield part, measures(Flat(bytes_of(part))), self.spelling_bits(part), words[at : at + part.num_rows]
+                at += part.num_rows
+
+
+def scored(docs: DataFrame, spelling: str, words: tuple[str, str]) -> DataFrame:
+    """doc_id, the measures, lang, bits per symbol and bits per word of all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = Scorer(*shipped.value)
+        score = Scorer(spelling, words)
         for batch in batches:
-            for part in slices(batch, "text"):
-                found, slot, bits = score(part)
-                yield pa.record_batch([part.column("doc_id"), *map(pa.array, found), pa.array(slot.astype(np.int32)), pa.array(bits)], names)
+            for part, found, bits, word_bits in score(batch):
+                yield pa.record_batch([part.column("doc_id"), *map(pa.array, found), part.column("lang"), pa.array(bits), pa.array(word_bits)], names)
 
-    names = ["doc_id", *(x.split()[0] for x in MEASURES.split(", ")), "slot", "bits"]
-    return docs.select("doc_id", "text", "lang").mapInArrow(run, f"doc_id long, {MEASURES}, slot int, bits double")
+    names = ["doc_id", *(x.split()[0] for x in MEASURES.split(", ")), "lang", "bits", "word_bits"]
+    return docs.mapInArrow(run, f"doc_id long, {MEASURES}, lang string, bits double, word_bits double")
 
 
 def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def bands(scores: DataFrame, width: float, least_bits: float) -> dict[int, tuple[float, float]]:
-    """Lower and upper bits per symbol by slot: median and median deviation of the texts that pass the base rules."""
+def bands(scores: DataFrame, width: float, least_bits: float) -> dict[str | None, tuple[float, float, float]]:
+    """Lower and upper bits per symbol and upper bits per word by language: median and median deviation of the texts that pass the base rules."""
     fine = scores.where(~base_failed())
-    rows = fine.groupBy("slot", F.floor(F.col("bits") * BINS_PER_BIT).cast("int").alias("bin")).count().toPandas()
-    out = {}
-    for slot, x in rows.groupby("slot"):
-        x = x.sort_values("bin")
-        value, n = (x["bin"].to_numpy() + 0.5) / BINS_PER_BIT, x["count"].to_numpy()
-        middle = _median(value, n)
-        spread = 1.4826 * _median(np.abs(value - middle), n)
-        reach = max(width * spread, least_bits)
-        out[int(slot)] = (middle - reach, middle + reach)
+    out: dict[str | None, tuple] = {}
+    for column in ("bits", "word_bits"):
+        found: dict[str | None, list] = {}
+        for r in fine.groupBy("lang", F.floor(F.col(column) * BINS_PER_BIT).cast("int").alias("bin")).count().collect():
+            found.setdefault(r["lang"], []).append((r["bin"], r["count"]))
+        for lang, some in found.items():
+            bins, n = np.array(sorted(some)).T
+            value = (bins + 0.5) / BINS_PER_BIT
+            middle = _median(value, n)
+            reach = max(width * 1.4826 * _median(np.abs(value - middle), n), least_bits)
+            out[lang] = (*out.get(lang, ()), middle + reach) if column == "word_bits" else (middle - reach, middle + reach)
     return out
 
 
@@ -267,39 +291,37 @@ def _median(value: np.ndarray, n: np.ndarray) -> float:
     return float(value[order][np.searchsorted(held, held[-1] / 2)])
 
 
-def in_band(limits: dict[int, tuple[float, float]]) -> Column:
-    verdict = F.lit(True)
-    for slot, (low, high) in limits.items():
-        verdict = F.when(F.col("slot") == slot, F.col("bits").between(low, high)).otherwise(verdict)
-    return verdict
+def learned(docs: DataFrame, width: float, least_bits: float) -> tuple[DataFrame, tuple[str, tuple[str, str]], dict[str | None, tuple[float, float, float]]]:
+    """The stored scores, the models and the limits of the languages."""
+    models = fit(docs), word_model.fit(docs)
+    scores = written(scored(docs, *models), "perplexity")
+    return scores, models, bands(scores, width, least_bits)
 
 
-def quality_rules(docs: DataFrame, width: float = 5.0, least_bits: float = 0.1, language_slots: int = 15) -> DataFrame:
+def quality_rules(docs: DataFrame, width: float = 5.0, least_bits: float = 0.1) -> DataFrame:
     """doc_id, the measures, bits, base_failed and kept of every document."""
-    slots = slots_of(docs, language_slots)
-    scores = written(scored(docs, fit(docs, slots), slots), "perplexity")
-    limits = bands(scores, width, least_bits)
-    return scores.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & in_band(limits)).drop("slot")
+    scores, _, limits = learned(docs.select("doc_id", "text", "lang"), width, least_bits)
+    rows = docs.sparkSession.createDataFrame([(k, *x) for k, x in limits.items()], "of string, low double, high double, word_high double")
+    judged = scores.join(F.broadcast(rows), F.col("lang").eqNullSafe(F.col("of")), "left")
+    inside = F.col("bits").between(F.col("low"), F.col("high")) & (F.col("word_bits") <= F.col("word_high"))
+    kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(True))
+    return judged.withColumn("base_failed", base_failed()).withColumn("kept", kept).drop("of", "lang", "low", "high", "word_high", "word_bits")
 
 
-def kept_documents(docs: DataFrame, width: float = 5.0, least_bits: float = 0.1, language_slots: int = 15) -> DataFrame:
+def kept_documents(docs: DataFrame, width: float = 5.0, least_bits: float = 0.1) -> DataFrame:
     """The documents that quality_rules keeps, with their columns as they are.
 
     Texts are scored once for the bands and once more for the verdict: that costs less
     than to store or shuffle them.
     """
-    slots = slots_of(docs, language_slots)
-    models = fit(docs, slots)
-    limits = bands(written(scored(docs, models, slots), "perplexity"), width, least_bits)
-    shipped = docs.sparkSession.sparkContext.broadcast((models, slots, limits))
+    _, models, limits = learned(docs, width, least_bits)
+    shipped = docs.sparkSession.sparkContext.broadcast(limits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models, slots, limits = shipped.value
-        score = Scorer(models, slots)
+        limits, score = shipped.value, Scorer(*models)
         for batch in batches:
-            for part in slices(batch, "text"):
-                (n_words, _, _, _, repeated), slot, bits = score(part)
-                low, high = np.array([limits.get(s, (-np.inf, np.inf)) for s in slot.tolist()]).reshape(-1, 2).T
-                yield part.filter(pa.array((n_words >= 50) & (100 * repeated <= 50 * n_words) & (bits >= low) & (bits <= high)))
+            for part, (n_words, _, _, _, repeated), bits, word_bits in score(batch):
+                low, high, top = np.array([limits.get(x, (-np.inf, np.inf, np.inf)) for x in part.column("lang").to_pylist()]).reshape(-1, 3).T
+                yield part.filter(pa.array((n_words >= 50) & (100 * repeated <= 50 * n_words) & (bits >= low) & (bits <= high) & (word_bits <= top)))
 
     return docs.mapInArrow(run, docs.schema)
