@@ -39,6 +39,19 @@ def test_equals_the_library(library, encoder):
             assert back.decode() == library.decode(want, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("encoder", [SpeculativeEncoder, LibraryEncoder])
+def test_every_code_point_in_three_contexts(library, encoder):
+    """Planes 0 and 1 and the tags whole, every 53rd point of the rest."""
+    points = [c for c in [*range(0x20000), *range(0x20000, 0x110000, 53), *range(0xE0000, 0xE1000)] if not 0xD800 <= c < 0xE000]
+    codes = Codes(encoder(tokenizer_path()))
+    for k in range(0, len(points), 4000):
+        some = [chr(c) for c in points[k : k + 4000]]
+        texts = ["\n".join(f.format(c) for c in some) for f in ("a{0}b", "{0}{0}", "1{0}! {0}'s")]
+        ids, _ = codes.ids([x.encode() for x in texts])
+        for text, got in zip(texts, ids):
+            assert got.tolist() == library.encode(text, add_special_tokens=False).ids, f"from {points[k]:x}"
+
+
 def test_both_exact_merges_agree():
     vocab = vocabulary(tokenizer_path())
     rng = random.Random(3)

@@ -3,7 +3,8 @@
 The tokenizer file names the rules: NFC, lower case, a split into contractions, letter
 runs, single numbers and runs of other signs; byte-level symbols; the last symbol of a
 word carries the word end. Words repeat, so every distinct word of a chunk is resolved
-once and texts are put together from word codes with numpy.
+once and texts are put together from word codes with numpy. Latin text is split here;
+of any other sign the library's own tables decide the class, as Unicode versions differ.
 """
 
 from __future__ import annotations
@@ -12,19 +13,15 @@ import heapq
 import json
 import os
 import re
-import unicodedata
 from collections.abc import Callable, Iterable
 from functools import lru_cache
 from itertools import chain, islice
 
 import numpy as np
-import regex
 
 WORD_END = "</w>"
 NO_MERGE = 1 << 40
-#: The split of the tokenizer file. They must equal the file's.
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-#: The same split for lower-case text made of ASCII and the Latin letters below U+0180.
+#: The file's split, for lower-case text made of ASCII and the Latin letters below U+0180. They must equal the file's.
 LATIN_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\t-\r 0-9a-zß-öø-ſ]+")
 LATIN_UNITS = re.compile(r"\n|" + LATIN_SPLIT.pattern)
 BEYOND_LATIN = re.compile(r"[^\x00-\x7fÀ-ÖØ-öø-įĲ-ſ]")
@@ -73,6 +70,18 @@ class Vocabulary:
         for token in self.ids:
             self.reach[token[:2]] = max(len(token), self.reach.get(token[:2], 1))
         self.pattern = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallel units
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        self.normalize, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+
+    def words(self, text: str) -> list[str]:
+        """The words of a text without special tokens."""
+        if text.isascii() or BEYOND_LATIN.search(text) is None:
+            return LATIN_SPLIT.findall(text.lower())
+        text = self.normalize(text)
+        return [text[a:b] for _, (a, b) in self.split(text)]
 
     def spelled(self, word: str) -> str:
         """The word in byte symbols, with its word end."""
@@ -96,19 +105,11 @@ def pieces(text: str, vocab: Vocabulary) -> list[str]:
     if vocab.pattern is not None and "<|" in text and vocab.pattern.search(text):
         out, at = [], 0
         for m in vocab.pattern.finditer(text):
-            out += _words(text[at : m.start()])
+            out += vocab.words(text[at : m.start()])
             out.append(m.group())
             at = m.end()
-        return out + _words(text[at:])
-    return _words(text)
-
-
-def _words(text: str) -> list[str]:
-    if text.isascii() or BEYOND_LATIN.search(text) is None:
-        return LATIN_SPLIT.findall(text.lower())
-    text = unicodedata.normalize("NFC", text)
-    # Lower case letter by letter: the word-final sigma of str.lower() is not wanted.
-    return SPLIT.findall(text.replace("Σ", "σ").lower())
+        return out + vocab.words(text[at:])
+    return vocab.words(text)
 
 
 def merged(symbols: list[int], vocab: Vocabulary) -> list[int]:
@@ -288,7 +289,6 @@ class LibraryEncoder:
     """
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallel units
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.vocab = vocabulary(path)
