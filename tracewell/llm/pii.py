@@ -10,11 +10,14 @@ shape features, and the spans that it accepts are added to the base spans.
 A pattern's matches and the pieces between them give the offsets: a match starts where
 the lengths of all pieces and matches before it end. Patterns start only at the begin of a
 run or where the last match ended and are possessive, so that long runs take linear time;
-what they match is the same as for the plain patterns.
+what they match is the same as for the plain patterns. Lists are folded in chunks, and
+long texts are cut into blocks before pieces are taken out of them: an array that grows by
+one copies itself each time, and a substring counts code points from the text's begin.
 
 Defined cases: null and empty texts have no spans; equal rows get equal results; without
 candidates nothing is learnt and nothing added; offsets are code points, end exclusive;
-only doc_id and text are read (redaction passes other columns through).
+only doc_id and text are read (redaction passes other columns through, whatever their
+names, as one struct).
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import written
+from tracewell.llm.common import quoted, written
 
 KINDS = ["email", "ip", "card", "phone", "secret", "national"]
 LOCAL = "A-Za-z0-9._%+-"
@@ -94,37 +97,70 @@ def _found(kind: str) -> dict[str, Column]:
     }
 
 
+CHUNK = 128  # list entries folded at a time
+BLOCK = 4096  # code points of a text block
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL of body with name standing for value.
+
+    What stands in a lambda is worked out at each element, columns that the planner merges
+    in included; a lambda's own variable is not.
+    """
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _chunked(items: str) -> str:
+    """SQL of a list of lists: items, of which there is at least one, in chunks and in order."""
+    return _let("whole", items, f"transform(sequence(0, int(size(whole) - 1) div {CHUNK}), j -> slice(whole, j * {CHUNK} + 1, {CHUNK}))")
+
+
+def _folded(chunks: str, kind: str, pos: str, item: str, done: str) -> str:
+    """SQL of a fold over chunks whose state is a position a.pos and a growing list.
+
+    For each x, pos gives the next position and item a list of what is added to the list (of kind).
+    done: what comes of the end state r (r.pos, r.done).
+    """
+    inner = f"aggregate(chunk, struct(acc.pos AS pos, cast(array() AS array<{kind}>) AS done), (a, x) -> struct({pos} AS pos, concat(a.done, {item}) AS done))"
+    step = _let("i", inner, "struct(i.pos AS pos, concat(acc.done, array(i.done)) AS done)")
+    start = f"struct(0L AS pos, cast(array() AS array<array<{kind}>>) AS done)"
+    fold = f"aggregate({chunks}, {start}, (acc, chunk) -> {step}, q -> struct(q.pos AS pos, flatten(q.done) AS done))"
+    return _let("r", fold, done)
+
+
 def _spans(kind: str) -> Column:
-    """array of (m, start) of a kind."""
-    none = "cast(array() AS array<struct<m:string,start:bigint>>)"
-    return F.expr(f"""CASE WHEN size(m_{kind}) = 0 THEN {none} ELSE aggregate(
-        arrays_zip(p_{kind}, m_{kind}),
-        struct(0L AS pos, {none} AS done),
-        (a, x) -> CASE WHEN x.m_{kind} IS NULL THEN a ELSE struct(
-            a.pos + length(x.p_{kind}) + length(x.m_{kind}) AS pos,
-            concat(a.done, array(struct(x.m_{kind} AS m, a.pos + length(x.p_{kind}) AS start))) AS done) END,
-        a -> a.done) END""")
+    """array of (m, start, c) of a kind; c is the context before a candidate, of up to CONTEXT code points.
+
+    A candidate has 12 code points or more, so the last three and the pieces between hold its context.
+    """
+    m, p = f"m_{kind}", f"p_{kind}"
+    none = "cast(array() AS array<struct<m:string,start:bigint,c:string>>)"
+    pairs = _chunked(f"zip_with({m}, slice({p}, 1, size({m})), (x, y) -> struct(length(y) AS gap, length(x) AS size))")
+    starts = _folded(pairs, "bigint", "a.pos + x.gap + x.size", "array(a.pos + x.gap)", "r.done")
+    context = "''" if kind not in KINDS[4:] else f"right(concat_ws('', get(f.m, k - 3), get(f.p, k - 2), get(f.m, k - 2), get(f.p, k - 1), get(f.m, k - 1), get(f.p, k)), {CONTEXT})"
+    texts = _let("f", f"struct({m} AS m, {p} AS p)", f"transform(f.m, (x, k) -> struct(x AS m, {context} AS c))")
+    return F.expr(f"CASE WHEN size({m}) = 0 THEN {none} ELSE zip_with({starts}, {texts}, (s, x) -> struct(x.m AS m, s AS start, x.c AS c)) END")
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """docs with base (start, kind, stop) and candidates (the same, votes and features)."""
-    names = docs.columns
-    out = docs.select(*[F.col(f"`{c}`") for c in names], F.coalesce("text", F.lit("")).alias("t"))
+    """row (the columns of docs as one struct), t (the text), base (start, kind, stop) and candidates (the same, votes and features)."""
+    out = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("t"))
     for kind in KINDS:
         out = out.withColumns(_found(kind))
     out = out.withColumns({f"s_{kind}": _spans(kind) for kind in KINDS})
     base = ", ".join(f"transform(filter(s_{k}, x -> {CHECKS[k]}), x -> struct(x.start AS start, {n} AS kind, x.start + length(x.m) AS stop))" for n, k in enumerate(KINDS[:4]))
     votes = ", ".join(f"{e} AS v_{n}" for n, e in LABELERS.items())
     facts = ", ".join(f"int({e}) AS f_{n}" for n, e in FEATURES.items())
-    raw = ", ".join(
-        f"transform(s_{k}, x -> struct(x.start AS start, {n} AS kind, x.start + length(x.m) AS stop, x.m AS m, substring(t, int(greatest(x.start - {CONTEXT}, 0L) + 1), int(least(x.start, {CONTEXT}L))) AS c))"
-        for n, k in enumerate(KINDS)
-        if n >= 4
-    )
-    out = out.withColumn("base", F.expr(f"concat({base})"))
-    out = out.withColumn("raw", F.expr(f"filter(concat({raw}), x -> NOT exists(base, b -> b.start < x.stop AND x.start < b.stop))"))
+    raw = ", ".join(f"transform(s_{k}, x -> struct(x.start AS start, {n} AS kind, x.start + length(x.m) AS stop, x.m AS m, x.c AS c))" for n, k in enumerate(KINDS) if n >= 4)
+    out = out.withColumn("base", F.expr(f"array_sort(concat({base}))"))
+    # Base spans in chunks with their bounds: a candidate looks only into chunks that it may touch.
+    bounds = "struct(element_at(c, 1).start AS low, array_max(transform(c, b -> b.stop)) AS high, c AS items)"
+    out = out.withColumn("zones", F.expr(f"CASE WHEN size(base) > 0 THEN transform({_chunked('base')}, c -> {bounds}) END"))
+    touched = "exists(zs, z -> z.low < x.stop AND x.start < z.high AND exists(z.items, b -> b.start < x.stop AND x.start < b.stop))"
+    apart = _let("zs", "zones", f"filter(concat({raw}), x -> NOT {touched})")
+    out = out.withColumn("raw", F.expr(f"CASE WHEN zones IS NULL THEN concat({raw}) ELSE {apart} END"))
     out = out.withColumn("candidates", F.expr(f"transform(raw, x -> struct(x.start AS start, x.kind AS kind, x.stop AS stop, {votes}, {facts}))"))
-    return out.select(*[F.col(f"`{c}`") for c in names], "base", "candidates")
+    return out.select("row", "t", "base", "candidates")
 
 
 def estimate_reliability(patterns: list[tuple[tuple[int, ...], float]], rounds: int = 100) -> list[float]:
@@ -213,12 +249,35 @@ def _listed(column: str) -> Column:
 
 def pii_spans(docs: DataFrame) -> DataFrame:
     """doc_id, counts by kind, base_sha256, spans and n_added of every row."""
-    found = written(with_spans(docs.select(F.col("doc_id").cast("long"), "text")).drop("text"), "pii-spans")
-    out = found.withColumn("base", F.array_sort("base")).withColumn("every", _all_spans(fit(found)))
+    spans = with_spans(docs.select(F.col("doc_id").cast("long"), "text")).select("row.doc_id", "base", "candidates")
+    found = written(spans, "pii-spans")
+    out = found.withColumn("every", _all_spans(fit(found)))
     counts = [F.expr(f"cast(size(filter(base, x -> x.kind = {n})) AS bigint)").alias(f"n_{k}") for n, k in enumerate(KINDS[:4])]
     return out.select("doc_id", *counts, F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("every").alias("spans"), (F.size("every") - F.size("base")).cast("long").alias("n_added"))
 
 
+def _redaction() -> Column:
+    """The text t with the spans of every in their kind's name; of overlapping ones the first names all.
+
+    cuts: stretches (low, high) that stay, each followed by a kind (-1: none, after the last).
+    """
+    kind = "struct<low:bigint,high:bigint,kind:int>"
+    cuts = _folded(
+        _chunked("every"),
+        kind,
+        "CASE WHEN x.start < a.pos THEN greatest(a.pos, x.stop) ELSE x.stop END",
+        f"CASE WHEN x.start < a.pos THEN cast(array() AS array<{kind}>) ELSE array(struct(a.pos AS low, x.start AS high, x.kind AS kind)) END",
+        "concat(r.done, array(struct(r.pos AS low, bigint(length(t)) AS high, -1 AS kind)))",
+    )
+    names = ", ".join(f"'<{k.upper()}>'" for k in KINDS)
+    low, high = f"(k * {BLOCK}L)", f"((k + 1) * {BLOCK}L)"
+    name = f"CASE WHEN c.kind >= 0 AND c.high >= {low} AND c.high < {high} THEN element_at(array({names}), c.kind + 1) ELSE '' END"
+    piece = f"substring(b, int(greatest(c.low - {low}, 0L) + 1), int(least(c.high, {high}) - greatest(c.low, {low})))"
+    block = f"array_join(transform(filter(cuts, c -> c.low < {high} AND c.high >= {low}), c -> concat({piece}, {name})), '')"
+    whole = f"array_join(transform(regexp_extract_all(t, r'(?s).{{1,{BLOCK}}}', 0), (b, k) -> {block}), '')"
+    return F.expr(_let("cuts", cuts, whole))
+
+
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with every span of the text replaced by its kind in angle brackets; overlapping spans count as one.
 
@@ -226,15 +285,9 @@ def redacted(docs: DataFrame) -> DataFrame:
     """
     found = with_spans(docs)
     weights = fit(written(found.select("candidates").where(F.size("candidates") > 0), "pii-candidates"))
-    names = ", ".join(f"'<{k.upper()}>'" for k in KINDS)
-    none = "cast(array() AS array<string>)"
-    text = F.expr(f"""CASE WHEN size(every) = 0 THEN text ELSE aggregate(every,
-        struct(0L AS pos, {none} AS done),
-        (a, x) -> CASE WHEN x.start < a.pos THEN struct(greatest(a.pos, x.stop) AS pos, a.done AS done) ELSE struct(
-            x.stop AS pos,
-            concat(a.done, array(substring(text, int(a.pos + 1), int(x.start - a.pos)), element_at(array({names}), x.kind + 1))) AS done) END,
-        a -> concat(array_join(a.done, ''), substring(text, int(a.pos + 1)))) END""")
-    out = found.withColumn("every", _all_spans(weights)).withColumn("text", text)
+    out = found.withColumn("every", _all_spans(weights))
+    out = out.withColumn("redacted", F.when(F.size("every") > 0, _redaction()))
+    changed = {"text": F.coalesce("redacted", "row.text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("every") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        changed["n_chars"] = F.coalesce(F.length("redacted").cast(docs.schema["n_chars"].dataType), F.col("row.n_chars"))
+    return out.select(*[changed.get(c, F.col("row." + "`" + c.replace("`", "``") + "`")).alias(c) for c in docs.columns])

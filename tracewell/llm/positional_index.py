@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.common import bytes_of, key_of, slices, text_key, written
+from tracewell.llm.common import bytes_of, key_of, slices, text_key, unused, written
 
 TERM = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 INDEX_SCHEMA = "doc_ids array<long>, text_keys array<binary>, starts binary, terms binary, stops binary, positions binary"
@@ -288,5 +288,6 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10) ->
 
     A hit is a matter of the text alone, so each row is decided by its own text, whatever its id.
     """
-    bad = phrase_matches(docs, benchmark, window).where(F.size("spans") > 0).select(F.col("text_key").alias("hit_key")).distinct()
-    return docs.join(bad, text_key() == F.col("hit_key"), "left_anti")
+    (hit_key,) = unused(docs.columns, "hit_key")
+    bad = phrase_matches(docs, benchmark, window).where(F.size("spans") > 0).select(F.col("text_key").alias(hit_key)).distinct()
+    return docs.join(bad, text_key() == F.col(hit_key), "left_anti")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm import components
-from tracewell.llm.common import bytes_of, key_of, slices, text_key, written
+from tracewell.llm.common import bytes_of, key_of, quoted, slices, text_key, unused, written
 
 BITS = 64
 
@@ -301,9 +301,10 @@ def one_of_each(docs: DataFrame, distance: int = 3, shingle: int = 3, seed: int
     """
     found = classified(docs, distance, shingle, seed).groupBy("root", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "n")).alias("x")
-    heads = written(found.groupBy("root").agg(first).select(F.col("x.doc_id").alias("head_id"), F.col("x.text_key").alias("head_key"), F.col("x.n").alias("n")), "heads")
-    same = (text_key() == F.col("head_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("head_id"))
-    single = docs.join(heads.where("n = 1"), same, "left_semi")
-    several = docs.join(heads.where("n > 1"), same, "left_semi")
-    least = several.groupBy(text_key().alias("key"), "doc_id").agg(F.min(F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)])).alias("x"))
-    return single.unionAll(least.select(*[F.col(f"x.c{k}").alias(c) for k, c in enumerate(docs.columns)]))
+    head_id, head_key, many, key, row = unused(docs.columns, "head_id", "head_key", "many", "key", "row")
+    heads = written(found.groupBy("root").agg(first).select(F.col("x.doc_id").alias(head_id), F.col("x.text_key").alias(head_key), F.col("x.n").alias(many)), "heads")
+    same = (text_key() == F.col(head_key)) & F.col("doc_id").cast("long").eqNullSafe(F.col(head_id))
+    single = docs.join(heads.where(F.col(many) == 1), same, "left_semi")
+    several = docs.join(heads.where(F.col(many) > 1), same, "left_semi")
+    least = several.groupBy(text_key().alias(key), F.col("doc_id").alias(head_id)).agg(F.min(F.struct(*[quoted(c).alias(f"c{k}") for k, c in enumerate(docs.columns)])).alias(row))
+    return single.unionAll(least.select(*[F.col(f"{row}.c{k}").alias(c) for k, c in enumerate(docs.columns)]))
