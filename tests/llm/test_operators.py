@@ -297,13 +297,19 @@ def test_substrings(spark):
             t = t[:a] + p[i : i + rng.randint(200, 800)] + t[a:]
         texts.append(t)
     texts += [texts[20], texts[25][:300] + "Z" + texts[25][301:]]
+    texts += [f"{prose(20)}\n{' '.join(passages[0].split()[:55])} {prose(9)}", f"{prose(5)} {'  '.join(passages[0].split()[2:54])}\n{prose(9)}", prose(51), prose(50)]
+    texts += [prose(3) + " " + texts[-2], prose(2) + " " + texts[-1]]
+    passage_counts = Counter(tuple(w[i : i + 51]) for t in texts for w in [(t or "").encode().split()] for i in range(len(w) - 50))
     counts = Counter(b[i : i + 400] for t in texts for b in [(t or "").encode()] for i in range(len(b) - 399))
     want = []
     for k, t in enumerate(texts):
         b = (t or "").encode()
         spans = substrings._merged([(i, i + 400) for i in range(len(b) - 399) if counts[b[i : i + 400]] > 1])
         kept = b"".join(b[a:e] for a, e in zip([0, *(y for _, y in spans)], [*(x for x, _ in spans), len(b)]))
-        want.append((str(k if k != 2 else None), len(b), len(b) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
+        w = b.split()
+        covered = {j for i in range(len(w) - 50) if passage_counts[tuple(w[i : i + 51])] > 1 for j in range(i, i + 51)}
+        want.append((str(k if k != 2 else None), len(b), len(b) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), len(covered)))
+    assert any(0 < x[-1] and not x[2] for x in want)
     for hot in (2000, 1):
         got = substrings.without_repeats(table(spark, texts), hot_count=hot).collect()
         assert sorted((str(r[0]), *r[1:]) for r in got) == sorted(want)

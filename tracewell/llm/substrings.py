@@ -14,6 +14,11 @@ Hot anchors (more than hot_count places) leave the map task by class and core ra
 by anchor, so that they are dealt out. Equal segments within a map task are settled there: all but one of them
 leave it as results, so that a passage in any number of texts sends a few rows per task.
 
+The same search runs in a second unit: a text's words (runs without ASCII white space) as
+symbols of 3 bytes of their hash. It finds passages of min_words words that stand elsewhere
+too, shorter than min_bytes or differently spaced ones included; they are told, not removed.
+Two different words are taken for one with a chance of 2^-24.
+
 Defined cases: null and empty texts have nothing to remove; texts under min_bytes keep
 everything; overlapping occurrences count (a long run of one byte removes itself); equal
 rows are copies of each other; a null doc_id is kept as it is; an empty table gives an
@@ -24,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +40,8 @@ from pyspark.sql import functions as F
 from tracewell.llm.bwt import INNER, repeated_starts
 from tracewell.llm.common import bytes_of, slices, written
 
-GRAM = 64
 CLASS = 48
+SYMBOL = 3  # bytes of a word's symbol
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 BLOCK = 1 << 20
@@ -47,12 +53,34 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+@dataclass(frozen=True)
+class Unit:
+    """What repeats: strings of least bytes; anchors are grams of gram bytes. words: of word symbols, not of the text."""
+
+    words: bool
+    least: int
+    gram: int
+
+
+class Symbols(dict):
+    """Symbols of words, as they come."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        self[word] = found = xxhash.xxh3_64_digest(word)[:SYMBOL]
+        return found
+
+    def of(self, text: bytes) -> bytes:
+        if len(self) > 1_000_000:
+            self.clear()
+        return b"".join(map(self.__getitem__, text.split()))
+
+
 class Anchors:
     """Anchors (hash, place) of a text, found block by block."""
 
-    def __init__(self, min_bytes: int):
-        self.window = min_bytes - GRAM + 1
-        self.min_bytes = min_bytes
+    def __init__(self, unit: Unit):
+        self.gram, self.min_bytes = unit.gram, unit.least
+        self.window = self.min_bytes - self.gram + 1
         self.up = self.down = np.zeros(0, np.uint64)
         rng = np.random.default_rng(20)
         self.value = rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -76,7 +104,7 @@ class Anchors:
             self.up, self.down = _powers(BASE, 2 * n), _powers(INVERSE, 2 * n)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(self.value[raw] * self.up[:n], out=sums[1:])
-        g = (sums[GRAM:] - sums[:-GRAM]) * self.down[: n - GRAM + 1]
+        g = (sums[self.gram :] - sums[: -self.gram]) * self.down[: n - self.gram + 1]
         g ^= g >> np.uint64(32)
         g *= np.uint64(0xD6E8FEB86659FD93)
         g ^= g >> np.uint64(32)
@@ -104,27 +132,30 @@ class Anchors:
         return g[places].view(np.int64), places.astype(np.int64)
 
 
-def described(docs: DataFrame, min_bytes: int) -> DataFrame:
-    """doc_id, key (SHA-256 of the text), n_bytes and anchors of every row."""
+def described(docs: DataFrame, units: tuple[Unit, Unit]) -> DataFrame:
+    """doc_id, key (SHA-256 of the text), n_bytes, n_words and anchors (in bytes, then in word symbols) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors = Anchors(min_bytes)
+        in_bytes, in_words = map(Anchors, units)
+        symbols = Symbols()
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = bytes_of(part)
-                found = [anchors(x) for x in texts]
+                coded = [symbols.of(x) for x in texts]
+                found = [(*in_bytes(x), *in_words(y)) for x, y in zip(texts, coded)]
                 yield pa.record_batch(
                     [
                         part.column("doc_id"),
                         pa.array([hashlib.sha256(x).digest() for x in texts], pa.binary()),
                         pa.array([len(x) for x in texts], pa.int64()),
-                        pa.array([h for h, _ in found], pa.list_(pa.int64())),
-                        pa.array([p for _, p in found], pa.list_(pa.int64())),
+                        pa.array([len(x) // SYMBOL for x in coded], pa.int64()),
+                        *(pa.array([x[k] for x in found], pa.list_(pa.int64())) for k in range(4)),
                     ],
-                    ["doc_id", "key", "n_bytes", "hashes", "places"],
+                    ["doc_id", "key", "n_bytes", "n_words", "hashes", "places", "word_hashes", "word_places"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, key binary, n_bytes long, hashes array<long>, places array<long>")
+    lists = ", ".join(f"{x} array<long>" for x in ("hashes", "places", "word_hashes", "word_places"))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, key binary, n_bytes long, n_words long, {lists}")
 
 
 def covered(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -135,57 +166,61 @@ def covered(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.append(0, cut + 1)].tolist(), (starts[np.append(cut, len(starts) - 1)] + length).tolist()))
 
 
-SEGMENT_SCHEMA = "bucket long, segment binary, key binary, place long, several boolean, stop long, pivot int, level int"
+SEGMENT_SCHEMA = "bucket long, segment binary, key binary, place long, several boolean, stop long, pivot int, level int, words boolean"
 
 
-def classes(pivot: int, size: int, min_bytes: int) -> Iterator[tuple[int, int, int, int, int]]:
+def classes(pivot: int, size: int, min_bytes: int, gram: int) -> Iterator[tuple[int, int, int, int, int]]:
     """(class, low, high, core start, core stop) of the strings around an anchor at pivot in size bytes.
 
     Strings of the class start in low .. high and all hold the core.
     """
-    for k in range(0, min_bytes - GRAM + 1, CLASS):
-        most = min(CLASS, min_bytes - GRAM + 1 - k) - 1
+    for k in range(0, min_bytes - gram + 1, CLASS):
+        most = min(CLASS, min_bytes - gram + 1 - k) - 1
         low, high = max(0, pivot - k - most), min(pivot - k, size - min_bytes)
         if low <= high:
             yield k, low, high, pivot - k, pivot - k - most + min_bytes
 
 
-def cut_segments(texts: DataFrame, min_bytes: int) -> DataFrame:
+def cut_segments(texts: DataFrame, units: tuple[Unit, Unit]) -> DataFrame:
     """Segments around repeated anchors, one row each; rows with a stop are results already."""
 
-    def around(h: int, p: int, text: bytes, hot: bool) -> Iterator[tuple[int, int, int, int, int]]:
+    def around(unit: Unit, h: int, p: int, text: bytes, hot: bool) -> Iterator[tuple[int, int, int, int, int]]:
         """(bucket, start, stop, pivot, level) of the segments of an anchor.
 
         The pivot is the anchor's place in the segment; for a hot one it is the core's, and level its class.
         """
         if not hot:
-            start = max(0, p - min_bytes + GRAM)
-            yield h, start, min(len(text), p + min_bytes), p - start, -1
+            start = max(0, p - unit.least + unit.gram)
+            yield h, start, min(len(text), p + unit.least), p - start, -1
             return
-        for k, low, high, core, end in classes(p, len(text), min_bytes):
-            yield xxhash.xxh64_intdigest(text[core:end], k) - (1 << 63), low, high + min_bytes, core - low, k
+        for k, low, high, core, end in classes(p, len(text), unit.least, unit.gram):
+            yield xxhash.xxh64_intdigest(text[core:end], k) - (1 << 63), low, high + unit.least, core - low, k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols = Symbols()
         for batch in batches:
             for part in slices(batch, "text", 4_000_000, 100_000):
                 found: dict[tuple, tuple[bytes, int]] = {}
                 several: set[tuple] = set()
-                settled: dict[bytes, list[tuple[int, int]]] = {}
-                for text, key, anchors in zip(bytes_of(part), part.column("key").to_pylist(), part.column("anchors").to_pylist()):
+                settled: dict[tuple[bytes, bool], list[tuple[int, int]]] = {}
+                for raw, key, anchors in zip(bytes_of(part), part.column("key").to_pylist(), part.column("anchors").to_pylist()):
+                    shown = (raw, symbols.of(raw) if any(x["w"] for x in anchors) else b"")
                     for x in anchors:
-                        for bucket, a, b, pivot, level in around(x["h"], x["p"], text, x["hot"]):
-                            name = (bucket, text[a:b], pivot, level)
+                        w = x["w"]
+                        text = shown[w]
+                        for bucket, a, b, pivot, level in around(units[w], x["h"], x["p"], text, x["hot"]):
+                            name = (bucket, text[a:b], pivot, level, w)
                             first = found.setdefault(name, (key, a))
                             if first != (key, a):
                                 if name not in several:
                                     several.add(name)
-                                    settled.setdefault(first[0], []).append((first[1], first[1] + b - a))
-                                settled.setdefault(key, []).append((a, b))
+                                    settled.setdefault((first[0], w), []).append((first[1], first[1] + b - a))
+                                settled.setdefault((key, w), []).append((a, b))
                 names = list(found)
                 for k in range(0, len(names), 5000):
                     some = names[k : k + 5000]
-                    yield _segment_batch([(n[0], n[1], *found[n], n in several, None, n[2], n[3]) for n in some])
-                rows = [(xxhash.xxh64_intdigest(key) - (1 << 63), None, key, a, True, b, None, None) for key, spans in settled.items() for a, b in _merged(spans)]
+                    yield _segment_batch([(n[0], n[1], *found[n], n in several, None, n[2], n[3], n[4]) for n in some])
+                rows = [(xxhash.xxh64_intdigest(key) - (1 << 63), None, key, a, True, b, None, None, w) for (key, w), spans in settled.items() for a, b in _merged(spans)]
                 for k in range(0, len(rows), 20000):
                     yield _segment_batch(rows[k : k + 20000])
 
@@ -193,8 +228,8 @@ def cut_segments(texts: DataFrame, min_bytes: int) -> DataFrame:
 
 
 def _segment_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32()]
-    return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["bucket", "segment", "key", "place", "several", "stop", "pivot", "level"])
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+    return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["bucket", "segment", "key", "place", "several", "stop", "pivot", "level", "words"])
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -210,8 +245,8 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 class Block:
     """Strings of some buckets, for one run of the interval expansion per length."""
 
-    def __init__(self, min_bytes: int):
-        self.min_bytes = min_bytes
+    def __init__(self, unit: Unit):
+        self.unit, self.min_bytes = unit, unit.least
         self.out: dict[bytes, list[tuple[int, int]]] = {}
         self.numbers: dict[bytes, int] = {}
         self.symbols = self.cores = 0
@@ -234,10 +269,10 @@ class Block:
         cored: dict[tuple, dict[tuple, list]] = {}
         for (segment, pivot, level), (where, many) in distinct.items():
             if level >= 0:
-                most = min(CLASS, self.min_bytes - GRAM + 1 - level) - 1
+                most = min(CLASS, self.min_bytes - self.unit.gram + 1 - level) - 1
                 found = [(level, 0, len(segment) - self.min_bytes, pivot, pivot - most + self.min_bytes)]
             else:
-                found = classes(pivot, len(segment), self.min_bytes)
+                found = classes(pivot, len(segment), self.min_bytes, self.unit.gram)
             for k, low, high, core, end in found:
                 parts = cored.setdefault((k, segment[core:end]), {})
                 entry = parts.setdefault((segment[low:core], segment[end : high + self.min_bytes]), [[], False])
@@ -281,77 +316,95 @@ class Block:
         return self.out
 
 
-def repeated_spans(segments: DataFrame, min_bytes: int, block_symbols: int = 1 << 18) -> DataFrame:
-    """(key, spans) of removed stretches, from the segments of each bucket together."""
+def repeated_spans(segments: DataFrame, units: tuple[Unit, Unit], block_symbols: int = 1 << 18) -> DataFrame:
+    """(key, words, spans) of repeated stretches, from the segments of each bucket together."""
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
-    def batch_of(found: dict[bytes, list[tuple[int, int]]]) -> pa.RecordBatch:
+    def batch_of(found: dict[bytes, list[tuple[int, int]]], words: bool) -> pa.RecordBatch:
         spans = [[{"start": a, "stop": b} for a, b in _merged(x)] for x in found.values()]
-        return pa.record_batch([pa.array(list(found), pa.binary()), pa.array(spans, kind)], ["key", "spans"])
+        return pa.record_batch([pa.array(list(found), pa.binary()), pa.array([words] * len(found), pa.bool_()), pa.array(spans, kind)], ["key", "words", "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, rows, last = Block(min_bytes), [], None
+        blocks, rows, last = [Block(x) for x in units], [], None
         for batch in batches:
-            done: dict[bytes, list[tuple[int, int]]] = {}
-            for bucket, segment, key, place, many, stop, pivot, level in zip(*(batch.column(k).to_pylist() for k in range(8))):
+            done: tuple[dict, dict] = ({}, {})
+            for bucket, segment, key, place, many, stop, pivot, level, words in zip(*(batch.column(k).to_pylist() for k in range(9))):
                 if segment is None:
-                    done.setdefault(key, []).append((place, stop))
+                    done[words].setdefault(key, []).append((place, stop))
                     continue
-                if bucket != last:
-                    block.add(rows) if rows else None
-                    rows, last = [], bucket
-                    if block.symbols >= block_symbols:
-                        yield batch_of(block.finish())
-                        block = Block(min_bytes)
+                if (bucket, words) != last:
+                    if rows:
+                        blocks[last[1]].add(rows)
+                        if blocks[last[1]].symbols >= block_symbols:
+                            yield batch_of(blocks[last[1]].finish(), last[1])
+                            blocks[last[1]] = Block(units[last[1]])
+                    rows, last = [], (bucket, words)
                 rows.append((segment, key, place, many, pivot, level))
-            if done:
-                yield batch_of(done)
+            for words in (False, True):
+                if done[words]:
+                    yield batch_of(done[words], words)
         if rows:
-            block.add(rows)
-        yield batch_of(block.finish())
+            blocks[last[1]].add(rows)
+        for words in (False, True):
+            yield batch_of(blocks[words].finish(), words)
+
+    return segments.repartition("bucket", "words").sortWithinPartitions("bucket", "words").mapInArrow(run, "key binary, words boolean, spans array<struct<start:long,stop:long>>")
 
-    return segments.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "key binary, spans array<struct<start:long,stop:long>>")
 
+def whole_words(spans: list[tuple[int, int]], least: int) -> int:
+    """Words within the spans of symbols that hold at least so many; spans may start or end within a symbol."""
+    sizes = [b // SYMBOL - -(-a // SYMBOL) for a, b in spans]
+    return sum(n for n in sizes if n >= least)
 
-def remaining(texts: DataFrame) -> DataFrame:
-    """key, n_removed, n_spans and kept_sha256 of texts with removed spans."""
+
+def remaining(texts: DataFrame, min_words: int) -> DataFrame:
+    """key, n_removed, n_spans, kept_sha256 and n_passage_words of texts with repeated spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 rows = []
-                for text, key, spans in zip(bytes_of(part), part.column("key").to_pylist(), part.column("spans").to_pylist()):
-                    spans = _merged([(x["start"], x["stop"]) for x in spans])
+                for text, key, spans, passages in zip(bytes_of(part), *(part.column(x).to_pylist() for x in ("key", "spans", "passages"))):
+                    spans, passages = (_merged([(x["start"], x["stop"]) for x in y]) for y in (spans, passages))
                     ends = [0, *(b for _, b in spans)]
                     kept = b"".join(text[a:b] for a, b in zip(ends, [*(a for a, _ in spans), len(text)]))
-                    rows.append((key, len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
-                kinds = [pa.binary(), pa.int64(), pa.int64(), pa.string()]
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["key", "n_removed", "n_spans", "kept_sha256"])
+                    rows.append((key, len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), whole_words(passages, min_words)))
+                kinds = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["key", "n_removed", "n_spans", "kept_sha256", "n_passage_words"])
+
+    return texts.mapInArrow(run, "key binary, n_removed long, n_spans long, kept_sha256 string, n_passage_words long")
 
-    return texts.mapInArrow(run, "key binary, n_removed long, n_spans long, kept_sha256 string")
 
+def without_repeats(docs: DataFrame, min_bytes: int = 400, min_words: int = 51, hot_count: int = 2000) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row, and n_passage_words.
 
-def without_repeats(docs: DataFrame, min_bytes: int = 400, hot_count: int = 2000) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
-    rows = written(described(docs, min_bytes), "anchors")
+    The last counts words in passages of at least min_words words that stand elsewhere too.
+    """
+    units = (Unit(False, min_bytes, min(64, min_bytes)), Unit(True, SYMBOL * min_words, min(24, SYMBOL * min_words)))
+    rows = written(described(docs, units), "anchors")
     # One row stands for all with its text: the one of the least doc_id.
-    distinct = rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep_id"), F.min(F.struct("hashes", "places")).alias("anchors"))
-    distinct = written(distinct.select("key", "copies", "rep_id", F.arrays_zip("anchors.hashes", "anchors.places").alias("anchors")), "different-texts")
-    places = distinct.select("key", "rep_id", F.explode("anchors").alias("x")).select("key", "rep_id", F.col("x.hashes").alias("h"), F.col("x.places").alias("p"))
-    counts = places.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("hash"), (F.col("n") > hot_count).alias("hot"))
-    wanted = places.join(counts, F.col("h") == F.col("hash")).groupBy("key", "rep_id").agg(F.collect_list(F.struct("h", "p", "hot")).alias("anchors"))
+    lists = ["hashes", "places", "word_hashes", "word_places"]
+    distinct = rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep_id"), F.min(F.struct(*lists)).alias("x"))
+    both = [F.expr(f"transform(arrays_zip(x.{h}, x.{p}), z -> struct(z.{h} AS h, z.{p} AS p, {w} AS w))") for h, p, w in (("hashes", "places", "false"), ("word_hashes", "word_places", "true"))]
+    distinct = written(distinct.select("key", "copies", "rep_id", F.concat(*both).alias("anchors")), "different-texts")
+    places = distinct.select("key", "rep_id", F.explode("anchors").alias("x")).select("key", "rep_id", "x.*")
+    # As a table of its own, so that adaptive execution can split the places of a hot anchor in the join.
+    counts = places.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("hash"), F.col("w").alias("of_words"), (F.col("n") > hot_count).alias("hot"))
+    counts = written(counts, "repeated-anchors")
+    wanted = places.join(counts, (F.col("h") == F.col("hash")) & (F.col("w") == F.col("of_words"))).groupBy("key", "rep_id").agg(F.collect_list(F.struct("h", "p", "w", "hot")).alias("anchors"))
     utf8 = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.sha2(utf8, 256)).alias("text_key"))
     texts = whole.join(wanted, (F.col("text_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("key", "text", "anchors")
     texts = written(texts, "texts-with-repeats")
-    spans = repeated_spans(cut_segments(texts, min_bytes), min_bytes)
-    spans = spans.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans")).select(F.col("key").alias("span_key"), "spans")
-    left = remaining(texts.select("key", "text").join(spans, F.col("key") == F.col("span_key")).select("key", "text", "spans")).dropDuplicates(["key"])
+    spans = repeated_spans(cut_segments(texts, units), units)
+    of = lambda words: F.flatten(F.collect_list(F.when(F.col("words") == words, F.col("spans"))))
+    spans = spans.groupBy("key").agg(of(False).alias("spans"), of(True).alias("passages")).withColumnRenamed("key", "span_key")
+    left = remaining(texts.select("key", "text").join(spans, F.col("key") == F.col("span_key")).select("key", "text", "spans", "passages"), min_words).dropDuplicates(["key"])
     # Texts with copies go whole, if they are long enough; for others, what the search found.
     empty = hashlib.sha256(b"").hexdigest()
     copied = distinct.where("copies > 1").select("key", F.lit(True).alias("copied"))
-    verdict = copied.join(left, "key", "full_outer").select(F.col("key").alias("found_key"), "copied", "n_removed", "n_spans", "kept_sha256")
-    out = rows.select("doc_id", "key", "n_bytes").join(written(verdict, "removed"), F.col("key") == F.col("found_key"), "left")
+    verdict = copied.join(left, "key", "full_outer").select(F.col("key").alias("found_key"), "copied", "n_removed", "n_spans", "kept_sha256", "n_passage_words")
+    out = rows.select("doc_id", "key", "n_bytes", "n_words").join(written(verdict, "removed"), F.col("key") == F.col("found_key"), "left")
     gone = F.col("copied") & (F.col("n_bytes") >= min_bytes)
     return out.select(
         "doc_id",
@@ -359,4 +412,5 @@ def without_repeats(docs: DataFrame, min_bytes: int = 400, hot_count: int = 2000
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(gone, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(gone, F.lit(empty)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("key")))).alias("kept_sha256"),
+        F.when(F.col("copied") & (F.col("n_words") >= min_words), F.col("n_words")).otherwise(F.coalesce("n_passage_words", F.lit(0))).cast("long").alias("n_passage_words"),
     )
