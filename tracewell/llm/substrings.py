@@ -44,7 +44,7 @@ CLASS = 48
 SYMBOL = 3  # bytes of a word's symbol
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-BLOCK = 1 << 20
+BLOCK = 1 << 16
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -62,48 +62,88 @@ class Unit:
     gram: int
 
 
-class Symbols(dict):
-    """Symbols of words, as they come."""
+def _space() -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[[0x20, *range(0x09, 0x0E)]] = True
+    return out
 
-    def __missing__(self, word: bytes) -> bytes:
-        self[word] = found = xxhash.xxh3_64_digest(word)[:SYMBOL]
-        return found
 
-    def of(self, text: bytes) -> bytes:
-        if len(self) > 1_000_000:
-            self.clear()
-        return b"".join(map(self.__getitem__, text.split()))
+SPACE = _space()
+VALUES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+POWERS = _powers(BASE, 4096)
+
+
+def word_symbols(texts: list[bytes]) -> list[bytes]:
+    """The symbols of each text's words, one after another."""
+    counts, parts = [], []
+    for at, stop in _pieces([len(x) for x in texts]):
+        raw = np.frombuffer(b" ".join(texts[at:stop]) + b" ", np.uint8)
+        gap = SPACE[raw]
+        before = np.concatenate([[True], gap[:-1]])
+        begin = np.flatnonzero(~gap & before)
+        bounds = np.concatenate([[0], np.cumsum([len(x) + 1 for x in texts[at:stop]])])
+        counts += np.diff(np.searchsorted(begin, bounds)).tolist()
+        if not len(begin):
+            continue
+        first = begin[0]
+        place = np.arange(first, len(raw)) - np.repeat(begin, np.diff(np.append(begin, len(raw))))
+        terms = VALUES[raw[first:]] * POWERS[place & 4095]
+        terms[gap[first:]] = 0
+        h = np.add.reduceat(terms, begin - first)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        parts.append(np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, 8 - SYMBOL :]).tobytes())
+    whole, cuts = b"".join(parts), (np.concatenate([[0], np.cumsum(counts)]) * SYMBOL).astype(int).tolist()
+    return [whole[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def _pieces(sizes: list[int], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about so many bytes together, or one longer text."""
+    at = held = 0
+    for k, n in enumerate(sizes):
+        if k > at and held + n > most:
+            yield at, k
+            at, held = k, 0
+        held += n
+    if sizes:
+        yield at, len(sizes)
 
 
 class Anchors:
-    """Anchors (hash, place) of a text, found block by block."""
+    """Anchors (hash, place) of texts, found together block by block."""
 
     def __init__(self, unit: Unit):
         self.gram, self.min_bytes = unit.gram, unit.least
         self.window = self.min_bytes - self.gram + 1
         self.up = self.down = np.zeros(0, np.uint64)
-        rng = np.random.default_rng(20)
-        self.value = rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-
-    def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        if len(text) < self.min_bytes:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        hashes, places = [], []
-        raw = np.frombuffer(text, np.uint8)
+
+    def __call__(self, texts: list[bytes]) -> tuple[pa.Array, pa.Array]:
+        """Lists of hashes and of places, one of each a text."""
+        long = np.array([len(x) >= self.min_bytes for x in texts], bool)
+        sizes = np.array([len(x) for x in texts], np.int64) * long
+        ends = np.cumsum(sizes)
+        raw = np.frombuffer(b"".join(x for x, use in zip(texts, long) if use), np.uint8)
+        stop = np.repeat(ends, sizes)
+        hashes, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for a in range(0, len(raw) - self.min_bytes + 1, BLOCK):
-            h, p = self._block(raw[a : a + BLOCK + self.min_bytes - 1])
+            part = slice(a, a + BLOCK + self.min_bytes - 1)
+            h, p = self._block(raw[part], np.arange(a, min(part.stop, len(raw))) + self.min_bytes <= stop[part])
             hashes.append(h)
             places.append(p + a)
-        places = np.concatenate(places)
-        places, at = np.unique(places, return_index=True)
-        return np.concatenate(hashes)[at], places
-
-    def _block(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        places, at = np.unique(np.concatenate(places), return_index=True)
+        hashes = np.concatenate(hashes)[at]
+        starts = ends - sizes
+        bounds = np.append(np.searchsorted(places, starts), len(places)).astype(np.int32)
+        own = places - np.repeat(starts, np.diff(bounds))
+        return pa.ListArray.from_arrays(bounds, hashes), pa.ListArray.from_arrays(bounds, own)
+
+    def _block(self, raw: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """inside: whether the window that starts at a place stays in its text."""
         n = len(raw)
         if len(self.up) < n:
             self.up, self.down = _powers(BASE, 2 * n), _powers(INVERSE, 2 * n)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.value[raw] * self.up[:n], out=sums[1:])
+        np.cumsum(VALUES[raw] * self.up[:n], out=sums[1:])
         g = (sums[self.gram :] - sums[: -self.gram]) * self.down[: n - self.gram + 1]
         g ^= g >> np.uint64(32)
         g *= np.uint64(0xD6E8FEB86659FD93)
@@ -116,7 +156,7 @@ class Anchors:
         grid = padded.reshape(rows, w)
         ahead = np.minimum.accumulate(grid, 1).ravel()
         behind = np.minimum.accumulate(grid[:, ::-1], 1)[:, ::-1].ravel()
-        least = np.minimum(behind[: len(g) - w + 1], ahead[w - 1 : len(g)])
+        least = np.where(inside[: len(g) - w + 1], np.minimum(behind[: len(g) - w + 1], ahead[w - 1 : len(g)]), 0).astype(np.uint64)
         # A gram is an anchor if it equals the least of some window that holds it: the nearest
         # change of minimum tells, so compare with the largest least among those windows.
         lows = np.zeros(len(g) + w - 1, np.uint64)
@@ -128,7 +168,7 @@ class Anchors:
         ahead = np.maximum.accumulate(grid, 1).ravel()
         behind = np.maximum.accumulate(grid[:, ::-1], 1)[:, ::-1].ravel()
         most = np.maximum(behind[: len(g)], ahead[w - 1 : w - 1 + len(g)])
-        places = np.flatnonzero(g == most)
+        places = np.flatnonzero((g == most) & (most > 0))
         return g[places].view(np.int64), places.astype(np.int64)
 
 
@@ -137,19 +177,18 @@ def described(docs: DataFrame, units: tuple[Unit, Unit]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         in_bytes, in_words = map(Anchors, units)
-        symbols = Symbols()
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = bytes_of(part)
-                coded = [symbols.of(x) for x in texts]
-                found = [(*in_bytes(x), *in_words(y)) for x, y in zip(texts, coded)]
+                coded = word_symbols(texts)
                 yield pa.record_batch(
                     [
                         part.column("doc_id"),
                         pa.array([hashlib.sha256(x).digest() for x in texts], pa.binary()),
                         pa.array([len(x) for x in texts], pa.int64()),
                         pa.array([len(x) // SYMBOL for x in coded], pa.int64()),
-                        *(pa.array([x[k] for x in found], pa.list_(pa.int64())) for k in range(4)),
+                        *in_bytes(texts),
+                        *in_words(coded),
                     ],
                     ["doc_id", "key", "n_bytes", "n_words", "hashes", "places", "word_hashes", "word_places"],
                 )
@@ -197,14 +236,14 @@ def cut_segments(texts: DataFrame, units: tuple[Unit, Unit]) -> DataFrame:
             yield xxhash.xxh64_intdigest(text[core:end], k) - (1 << 63), low, high + unit.least, core - low, k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols = Symbols()
         for batch in batches:
             for part in slices(batch, "text", 4_000_000, 100_000):
                 found: dict[tuple, tuple[bytes, int]] = {}
                 several: set[tuple] = set()
                 settled: dict[tuple[bytes, bool], list[tuple[int, int]]] = {}
-                for raw, key, anchors in zip(bytes_of(part), part.column("key").to_pylist(), part.column("anchors").to_pylist()):
-                    shown = (raw, symbols.of(raw) if any(x["w"] for x in anchors) else b"")
+                texts = bytes_of(part)
+                for raw, coded, key, anchors in zip(texts, word_symbols(texts), part.column("key").to_pylist(), part.column("anchors").to_pylist()):
+                    shown = (raw, coded)
                     for x in anchors:
                         w = x["w"]
                         text = shown[w]
