@@ -53,27 +53,44 @@ def test_reset_forgets_and_noise_is_skipped(spark):
     assert spans(spark, [(0, 1, "send", 5, b"\x16\x03\x01\x00"), (1, 1, "recv", 5, b""), (2, 1, "recv", 5, OK)]) == []
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(4))
 def test_forms_agree_on_random_events(spark, seed):
+    """All columns, trace and parent ids too: two or three namespaces, both roles on a side, more waiting than the cap."""
     rng = random.Random(seed)
+    given = GET.replace(b"Host", b"TraceParent: 00-" + b"ab" * 16 + b"-00000000000000ff-01\r\nHost")
     rows = []
-    for k in range(900):
-        kind = rng.choice(["connect", "accept", "send", "recv", "send", "recv", "send", "recv", "close"] if rng.random() < 0.5 else ["send", "recv"])
-        payload = b"" if kind not in ("send", "recv") else rng.choice([GET, OK, GET, OK, b"", b"junk", b"GET broken"])
-        rows.append((k * 1000, rng.choice([1, 2]), kind, rng.randint(1, 25), payload))
+    for k in range(1500):
+        kind = rng.choice(["connect", "accept", "send", "recv", "send", "recv", "send", "recv", "close"] if rng.random() < 0.4 else ["send", "recv"])
+        port, ns = rng.randint(1, 40), rng.choice([1, 2, 10])
+        payload = b"" if kind not in ("send", "recv") else rng.choice([GET, OK, GET, OK, b"", b"junk", b"GET broken", given])
+        if port < 20:  # usual ones: namespace 1 asks and namespace 2 answers
+            ns = 1 if ns == 1 else 2
+            if kind in ("send", "recv") and payload in (GET, OK, given):
+                kind = {(1, True): "send", (2, True): "recv", (1, False): "recv", (2, False): "send"}[ns, payload != OK]
+        rows.append((k * 1000, ns, kind, port, payload))
     df = events(spark, rows)
-    # Chains of contexts over several hops are the stateful form's alone; ids and times must agree.
-    columns = ["span_id", "netns", "http_method", "http_path", "http_status", "start_time_ns", "duration_us", "src_port", "is_error"]
-    whole = [tuple(r) for r in assembly.assemble(df).select(*columns).collect()]
-    walked = [tuple(r) for r in assembly.assemble_stateful(df).select(*columns).collect()]
+    cap = 3 if seed % 2 else 64
+    whole = [tuple(r) for r in assembly.assemble(df, max_pending=cap).collect()]
+    walked = [tuple(r) for r in assembly.assemble_stateful(df, max_pending=cap).collect()]
     assert sorted(whole) == sorted(walked) and whole
+    odd = {r.conn: r.odd for r in assembly._counted(assembly.parsed(df), cap).select("conn", "odd").distinct().collect()}
+    assert set(odd.values()) == {True, False}
 
 
 def test_cap_drops_the_oldest(spark):
     rows = [(k, 1, "send", 5, GET.replace(b"/a", b"/%d" % k)) for k in range(4)] + [(10, 1, "recv", 5, OK)]
-    (s,) = assembly.assemble_stateful(events(spark, rows), max_pending=2).collect()
-    assert s.http_path == "/2"
-    assert assembly.over_cap(events(spark, rows), 2).count() == 1
+    for form in (assembly.assemble, assembly.assemble_stateful):
+        (s,) = form(events(spark, rows), max_pending=2).collect()
+        assert s.http_path == "/2"
+
+
+def test_seventy_open_requests_leave_the_newest_64(spark):
+    rows = [(k, 1, "send", 5, GET.replace(b"/a", b"/%d" % k)) for k in range(70)] + [(1000, 1, "close", 5, b"")]
+    assert sorted(int(s.http_path[1:]) for s in spans(spark, rows)) == list(range(6, 70))
+
+
+def test_no_events_give_no_spans(spark):
+    assert assembly.assemble(events(spark, [(0, 1, "send", 5, GET)]).limit(0)).count() == 0
 
 
 def test_stream_equals_batch(spark, tmp_path):

@@ -68,7 +68,8 @@ def parse_headers(payload: Column) -> Column:
     Lines end at a CRLF; an empty line ends the headers; an unterminated last line doesn't
     count; lines without a colon or a name are passed over.
     """
-    head = F.split(F.regexp_replace(latin(payload), "(?s)^.*?\r\n", ""), "\r\n\r\n", 2)
+    # What follows the first line, from its CRLF on: a second CRLF there is the empty line.
+    head = F.split(F.regexp_replace(latin(payload), "(?s)^.*?\r\n", "\r\n"), "\r\n\r\n", 2)
     text = F.when(F.size(head) == 2, F.concat(head[0], F.lit("\r\n"))).otherwise(head[0])
     lines = F.split(text, "\r\n", -1)
     whole = F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0)))
@@ -79,6 +80,15 @@ def parse_headers(payload: Column) -> Column:
     return F.map_from_entries(kept)
 
 
+def header_value(text: Column, name: str) -> Column:
+    """The last value of one header of a message (text as of latin), without a map of all; null without one.
+
+    The same as header(parse_headers(..), name), for names of letters.
+    """
+    head = F.concat(F.substring_index(text, "\r\n\r\n", 1), F.when(text.contains("\r\n\r\n"), "\r\n").otherwise(""))
+    return F.trim(F.try_element_at(F.regexp_extract_all(head, F.lit(rf"(?is)\r\n\x20*{name}\x20*:((?:(?!\r\n).)*)(?=\r\n)"), 1), F.lit(-1)))
+
+
 def header(headers: Column, name: str) -> Column:
     return F.try_element_at(headers, F.lit(name.lower()))
 

@@ -1,14 +1,20 @@
 """HTTP spans from TCP events.
 
-Two forms with equal results. The window form is one plan of window functions and equal
-joins: requests and responses of a connection are numbered, a response answers the oldest
-open request, and running minima tell responses that answer nothing. It takes connections
-whose number of open requests stays below the cap. The stateful form walks the events of a
-4-tuple in arrival order; it knows the cap and serves streams.
+The window form is one plan of window functions over one shuffle by connection: requests and
+responses of a side (a namespace of a 4-tuple) are numbered, a response answers the oldest open
+request, and running minima tell responses that answer nothing. What a server's request is part
+of follows from the other side's counters at that moment, without a join.
+
+Three kinds of connections need more than counters: those on which more requests wait than the
+cap (the oldest are forgotten), those of three or more namespaces, and those on which a side both
+takes and sends requests (contexts pass on in turn). The window form finds them, and their events
+are walked one by one in arrival order, in state of one connection at a time. The same walk
+serves streams.
 
 Ids come from the connection and the request's number, so that retried tasks make the same.
 A connection's life ends at a close of its 4-tuple (on every namespace); connect and accept
-begin it anew and forget what was open.
+begin it anew and forget what was open. Where several other namespaces have a waiting request, a
+server's request belongs to the newest of the lowest namespace.
 """
 
 from __future__ import annotations
@@ -18,10 +24,12 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import http
+from tracewell.functions.spans import derived_span_id, derived_trace_id
 from tracewell.sources.scratch import written
 
 SPAN_ROW = (
@@ -30,135 +38,173 @@ SPAN_ROW = (
 )
 COLUMNS = [x.split()[0] for x in SPAN_ROW.split(", ")]
 
-#: The window form in four parts, each a list of table expressions over the ones before;
-#: {hex_..} turn 15 hex digits into a number, in the dialect at hand.
-LIVES = """
-e1 AS (
-    SELECT *, coalesce(sum(CASE WHEN kind = 'close' THEN 1 ELSE 0 END) OVER (PARTITION BY conn ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS closes,
-        min(netns) OVER (PARTITION BY conn) AS lo, max(netns) OVER (PARTITION BY conn) AS hi FROM {ev}
-), e2 AS (
-    SELECT *, sum(CASE WHEN kind IN ('connect', 'accept') THEN 1 ELSE 0 END) OVER (PARTITION BY conn, netns, closes ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS opens,
-        max(CASE WHEN req = 1 AND netns = lo THEN seq END) OVER past AS lo_req, max(CASE WHEN req = 1 AND netns = hi THEN seq END) OVER past AS hi_req,
-        max(CASE WHEN kind IN ('connect', 'accept') AND netns = lo THEN seq END) OVER past AS lo_open, max(CASE WHEN kind IN ('connect', 'accept') AND netns = hi THEN seq END) OVER past AS hi_open
-    FROM e1 WINDOW past AS (PARTITION BY conn ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-), e3 AS (
-    SELECT *, sum(req) OVER life AS nreq, sum(resp) OVER life AS nresp, max(CASE WHEN req = 1 AND kind = 'recv' THEN seq END) OVER life AS context_seq
-    FROM e2 WINDOW life AS (PARTITION BY conn, netns, closes, opens ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-), e4 AS (
-    SELECT *, least(0, min(nreq - nresp) OVER (PARTITION BY conn, netns, closes, opens ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS low,
-        least(0, coalesce(min(nreq - nresp) OVER (PARTITION BY conn, netns, closes, opens ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS low_before FROM e3
-)
-"""
-MATCHED = """
-answers AS (
-    SELECT conn, netns, closes, opens, nresp + low AS n, seq AS answer_seq, ts AS answer_ts, status FROM e4 WHERE resp = 1 AND low = low_before
-), requests AS (
-    SELECT e.*, e.nreq AS n, a.answer_seq, a.answer_ts, a.status AS answer_status,
-        md5(concat('trace|', e.conn, '|', CAST(e.netns AS {string}), '|', CAST(e.closes AS {string}), '|', CAST(e.opens AS {string}), '|', CAST(e.nreq AS {string}))) AS own_trace,
-        {hex_own} AS span_id,
-        CASE WHEN lo = hi THEN NULL WHEN e.netns = lo THEN hi_req ELSE lo_req END AS peer_seq, CASE WHEN e.netns = lo THEN hi_open ELSE lo_open END AS peer_open
-    FROM e4 e LEFT JOIN answers a ON e.conn = a.conn AND e.netns = a.netns AND e.closes = a.closes AND e.opens = a.opens AND e.nreq = a.n WHERE e.req = 1
-)
-"""
-SERVED = """
-served AS (
-    SELECT r.*, CASE WHEN r.kind <> 'recv' THEN coalesce(r.tp_trace, r.own_trace) ELSE coalesce(r.tp_trace, p.tp_trace, p.own_trace, r.own_trace) END AS trace1,
-        CASE WHEN r.tp_trace IS NOT NULL THEN r.tp_parent WHEN r.kind = 'recv' AND p.seq IS NOT NULL THEN p.span_id ELSE 0 END AS parent1
-    FROM requests r LEFT JOIN requests p ON r.conn = p.conn AND r.peer_seq = p.seq AND p.closes = r.closes AND coalesce(r.peer_open, -1) < p.seq AND coalesce(p.answer_seq, r.seq + 1) > r.seq
-)
-"""
-FINISHED = """
-traced AS (
-    SELECT s.*, CASE WHEN s.kind = 'send' AND s.tp_trace IS NULL AND c.seq IS NOT NULL THEN c.trace1 ELSE s.trace1 END AS trace_id,
-        CASE WHEN s.kind = 'send' AND s.tp_trace IS NULL AND c.seq IS NOT NULL THEN c.span_id ELSE s.parent1 END AS parent_span_id
-    FROM served s LEFT JOIN served c ON s.conn = c.conn AND s.context_seq = c.seq
-), ends AS (
-    SELECT conn, closes, ts AS close_ts FROM e4 WHERE kind = 'close'
-), entries AS (
-    SELECT conn, netns, closes, max(opens) AS opens FROM e4 WHERE registers = 1 GROUP BY conn, netns, closes
-), begun AS (
-    SELECT e.conn, e.netns, e.closes, e.opens, min(x.ts) AS begin_ts, min(x.src_ip) AS src_ip, min(x.src_port) AS src_port, min(x.dst_ip) AS dst_ip, min(x.dst_port) AS dst_port
-    FROM entries e JOIN e4 x ON e.conn = x.conn AND e.netns = x.netns AND e.closes = x.closes AND e.opens = x.opens AND x.registers = 1 GROUP BY e.conn, e.netns, e.closes, e.opens
-), waiting AS (
-    SELECT t.*, d.close_ts FROM traced t JOIN entries e ON t.conn = e.conn AND t.netns = e.netns AND t.closes = e.closes AND t.opens = e.opens
-    JOIN ends d ON t.conn = d.conn AND t.closes = d.closes WHERE t.answer_seq IS NULL
-), bare AS (
-    SELECT b.*, d.close_ts FROM begun b JOIN ends d ON b.conn = d.conn AND b.closes = d.closes
-    WHERE NOT EXISTS (SELECT 1 FROM waiting w WHERE w.conn = b.conn AND w.netns = b.netns AND w.closes = b.closes)
-), spans AS (
-    SELECT trace_id, span_id, parent_span_id, netns, method, path, host, answer_status AS status, ts AS start_ns, answer_ts AS end_ns, src_ip, src_port, dst_ip, dst_port FROM traced WHERE answer_seq IS NOT NULL
-    UNION ALL
-    SELECT trace_id, span_id, parent_span_id, netns, method, path, host, 0, ts, close_ts, src_ip, src_port, dst_ip, dst_port FROM waiting
-    UNION ALL
-    SELECT md5(concat('trace|', conn, '|', CAST(netns AS {string}), '|', CAST(closes AS {string}), '|', CAST(opens AS {string}), '|tcp')), {hex_tcp}, 0, netns, 'TCP',
-        concat(dst_ip, ':', CAST(dst_port AS {string})), concat(dst_ip, ':', CAST(dst_port AS {string})), 0, begin_ts, close_ts, src_ip, src_port, dst_ip, dst_port FROM bare WHERE {tcp}
-)
-SELECT trace_id, span_id, CAST(parent_span_id AS BIGINT) AS parent_span_id, netns, method AS http_method, path AS http_path, host AS http_host, CAST(status AS INT) AS http_status,
-    CASE WHEN method = 'TCP' THEN end_ns - {took} * 1000 ELSE start_ns END AS start_time_ns, {took} AS duration_us,
-    src_ip, src_port, dst_ip, dst_port, status >= 400 AS is_error, parent_span_id = 0 AS is_root
-FROM spans
-"""
-_SPARK = {"string": "STRING", "took": "CAST(greatest(floor((end_ns - start_ns) / 1000), 0) AS BIGINT)"}
-_DUCK = {"string": "VARCHAR", "took": "CAST(greatest(end_ns - start_ns, 0) // 1000 AS BIGINT)"}
-
-
-def _hex(dialect: str, last: str, prefix: str = "") -> str:
-    kind = "STRING" if dialect == "spark" else "VARCHAR"
-    parts = ", '|', ".join(f"CAST({prefix}{c} AS {kind})" for c in ("netns", "closes", "opens"))
-    digits = f"substr(md5(concat('span|', {prefix}conn, '|', {parts}, '|', {last})), 1, 15)"
-    return f"CAST(conv({digits}, 16, 10) AS BIGINT)" if dialect == "spark" else f"CAST('0x' || {digits} AS BIGINT)"
-
+MAX_PENDING = 64  # requests of a side that may wait
 
-def _words(dialect: str, connection_spans: bool = True, ev: str = "ev") -> dict:
-    words = _SPARK if dialect == "spark" else _DUCK
-    return words | {"ev": ev, "hex_own": _hex(dialect, f"CAST(e.nreq AS {words['string']})", "e."), "hex_tcp": _hex(dialect, "'tcp'"), "tcp": "true" if connection_spans else "false"}
 
+def parsed(events: DataFrame, *more: str) -> DataFrame:
+    """What assembly reads of each event: requests, responses, and whether it makes the connection known.
 
-def window_sql(dialect: str, ev: str, connection_spans: bool = True) -> str:
-    """The whole window form as one statement."""
-    return "WITH " + ",".join((LIVES, MATCHED, SERVED, FINISHED)).format(**_words(dialect, connection_spans, ev))
-
-
-def parsed(events: DataFrame) -> DataFrame:
-    """What assembly reads of each event: requests, responses, and whether it makes the connection known."""
+    Each step is read more than once by the next, so that no text is worked out twice. more: columns of events that pass through.
+    """
     p = F.col("payload")
+    data = F.col("kind").isin("send", "recv")
     empty = F.coalesce(F.octet_length(p), F.lit(0)) == 0
-    data = F.col("kind").isin("send", "recv") & ~empty
-    out = events.withColumns({"_rq": F.when(data & http.is_request(p), http.parse_request(p)), "_rs": F.when(data & ~http.is_request(p) & http.is_response(p), http.parse_response(p))})
-    out = out.withColumn("_h", F.when(F.col("_rq").isNotNull(), http.parse_headers(p)))
-    tp = http.parse_traceparent(http.header(F.col("_h"), "traceparent"))
-    out = out.withColumn("_tp", tp)
-    known = F.col("kind").isin("connect", "accept") | (F.col("kind").isin("send", "recv") & (empty | F.col("_rq").isNotNull()))
     conn = F.concat(F.col("src_ip"), F.lit(":"), F.col("src_port").cast("string"), F.lit(">"), F.col("dst_ip"), F.lit(":"), F.col("dst_port").cast("string"))
+    # Payloads that can't be HTTP are never decoded.
+    out = events.select("seq", F.col("timestamp_ns").alias("ts"), "netns", "kind", "src_ip", "src_port", "dst_ip", "dst_port", "payload", conn.alias("conn"), F.when(data & http.passes_prefilter(p), http.latin(p)).alias("t"), (data & empty).alias("blank"), *more)
+    asks, answers = F.col("t").rlike(http.REQUEST_PREFIX), F.col("t").startswith("HTTP/")
+    line = F.try_validate_utf8(F.substring(p, F.lit(1), F.col("at") - 1).cast("string"))
+    out = out.withColumns({"at": F.locate("\r\n", F.col("t")), "asks": F.coalesce(asks, F.lit(False)), "answers": F.coalesce(answers, F.lit(False))})
+    out = out.withColumn("parts", F.split(F.when((F.col("at") > 0) & (F.col("asks") | F.col("answers")), line), " ", 3))
+    whole = F.col("asks") & (F.size("parts") == 3)
+    status = F.when(F.col("answers") & (F.size("parts") >= 2) & F.try_element_at("parts", F.lit(2)).rlike("^[+]?[0-9]{1,9}$"), F.try_element_at("parts", F.lit(2)).try_cast("int"))
+    out = out.withColumns({"is_req": F.coalesce(whole, F.lit(False)), "code": F.when(status.between(100, 599), status)})
+    out = out.withColumn("tp", F.when(F.col("is_req"), http.parse_traceparent(http.header_value(F.col("t"), "traceparent"))))
+    known = F.col("kind").isin("connect", "accept") | F.col("blank") | F.col("is_req")
+    of_request = lambda c: F.when(F.col("is_req"), c)
     return out.select(
-        "seq", F.col("timestamp_ns").alias("ts"), "netns", "kind", "src_ip", "src_port", "dst_ip", "dst_port", conn.alias("conn"),
-        F.col("_rq").isNotNull().cast("int").alias("req"), F.col("_rs").isNotNull().cast("int").alias("resp"), known.cast("int").alias("registers"),
-        F.col("_rq.method").alias("method"), F.col("_rq.path").alias("path"), F.coalesce(http.header(F.col("_h"), "host"), F.lit("")).alias("host"),
-        F.col("_rs.status").alias("status"), F.col("_tp.trace_id").alias("tp_trace"), http.hex_to_long(F.col("_tp.parent_hex")).alias("tp_parent"),
+        "seq", "ts", "netns", "kind", "src_ip", "src_port", "dst_ip", "dst_port", "conn",
+        F.col("is_req").cast("int").alias("req"), F.col("code").isNotNull().cast("int").alias("resp"), known.cast("int").alias("registers"),
+        of_request(F.try_element_at("parts", F.lit(1))).alias("method"), of_request(F.try_element_at("parts", F.lit(2))).alias("path"),
+        of_request(F.coalesce(http.header_value(F.col("t"), "host"), F.lit(""))).alias("host"),
+        F.col("code").alias("status"), F.col("tp.trace_id").alias("tp_trace"), http.hex_to_long(F.col("tp.parent_hex")).alias("tp_parent"), *more,
     )
 
 
-def assemble(events: DataFrame, connection_spans: bool = True) -> DataFrame:
-    """Spans of a batch of events, in window form. connection_spans: also one TCP span for each
-    side of a closed connection on which nothing waits.
+def _counted(events: DataFrame, max_pending: int) -> DataFrame:
+    """Parsed events with the counters of their side, what waits on the other, and odd: whether the connection is walked."""
+    first, now = Window.unboundedPreceding, Window.currentRow
+    of = lambda *keys: Window.partitionBy("conn", *keys)
+    running = lambda *keys: of(*keys).orderBy("seq").rowsBetween(first, now)
+    out = events.withColumn("closes", F.coalesce(F.sum(F.when(F.col("kind") == "close", 1).otherwise(0)).over(of().orderBy("seq").rowsBetween(first, -1)), F.lit(0)))
+    out = out.withColumn("opens", F.sum(F.when(F.col("kind").isin("connect", "accept"), 1).otherwise(0)).over(running("netns", "closes")))
+    side, life = ("netns", "closes"), ("netns", "closes", "opens")
+    out = out.withColumns({"final": F.max("opens").over(of(*side)), "is_last": F.lead("seq").over(of(*side).orderBy("seq")).isNull()})
+    out = out.withColumns({
+        "nreq": F.sum("req").over(running(*life)), "nresp": F.sum("resp").over(running(*life)),
+        "begun": F.min(F.when(F.col("registers") == 1, F.col("ts"))).over(running(*life)),
+        "last_tp": F.last(F.when(F.col("req") == 1, F.struct("tp_trace")), ignorenulls=True).over(running(*life)),
+    })
+    open_now = F.col("nreq") - F.col("nresp")
+    least = lambda w: F.least(F.lit(0), F.coalesce(F.min(open_now).over(w), F.lit(0)))
+    out = out.withColumns({"low": least(running(*life)), "low_before": least(of(*life).orderBy("seq").rowsBetween(first, -1))})
+    out = out.withColumn("pending", open_now - F.col("low"))
+    out = out.withColumns({"lo": F.min("netns").over(of()), "hi": F.max("netns").over(of())})
+    # The newest request of each of two sides that waits at this moment.
+    newest = F.struct("opens", F.col("nreq").alias("n"), "pending", F.col("last_tp.tp_trace").alias("tp_trace"))
+    out = out.withColumns({x: F.last(F.when(F.col("netns") == F.col(x), newest), ignorenulls=True).over(running("closes")) for x in ("lo", "hi")} | {"lo_ns": F.col("lo"), "hi_ns": F.col("hi"), "close_ts": F.max(F.when(F.col("kind") == "close", F.col("ts"))).over(of("closes"))})
+    takes, sends = ((F.col("req") == 1) & (F.col("kind") == k) for k in ("recv", "send"))
+    low_side = F.col("netns") == F.col("lo_ns")
+    some = lambda c: F.max(c.cast("int")).over(of()) == 1
+    both = (some(takes & low_side) & (some(sends & low_side) | some(takes & ~low_side))) | (some(takes & ~low_side) & some(sends & ~low_side))
+    return out.withColumn("odd", both | some(F.col("pending") > max_pending) | some(~F.col("netns").isin(F.col("lo_ns"), F.col("hi_ns"))))
+
+
+def _entries(counted: DataFrame) -> DataFrame:
+    """One row per request with its answer, per end of a side's life (n = -1), and per event of an odd connection (n = -2)."""
+    answers = (F.col("resp") == 1) & (F.col("low") == F.col("low_before"))
+    kinds = F.array(
+        F.when(~F.col("odd") & (F.col("req") == 1), F.col("nreq")),
+        F.when(~F.col("odd") & answers, F.col("nresp") + F.col("low")),
+        F.when(~F.col("odd") & F.col("is_last"), F.lit(-1).cast("bigint")),
+        F.when(F.col("odd"), F.lit(-2).cast("bigint")),
+    )
+    peer = F.when(F.col("netns") == F.col("lo_ns"), F.col("hi")).otherwise(F.col("lo"))
+    peer_ns = F.when(F.col("lo_ns") != F.col("hi_ns"), F.when(F.col("netns") == F.col("lo_ns"), F.col("hi_ns")).otherwise(F.col("lo_ns")))
+    found = (F.col("req") == 1) & (F.col("kind") == "recv") & peer_ns.isNotNull() & (peer["pending"] > 0)
+    parent = F.when(found, F.struct(peer_ns.alias("netns"), peer["opens"].alias("opens"), peer["n"].alias("n"), peer["tp_trace"].alias("tp_trace")))
+    event = [F.col(c) for c in EVENT]
+    return counted.select(F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("n"), *event, "closes", "opens", "final", "pending", "begun", "close_ts", parent.alias("peer"))
+
+
+EVENT = ["seq", "ts", "netns", "kind", "src_ip", "src_port", "dst_ip", "dst_port", "conn", "req", "resp", "registers", "method", "path", "host", "status", "tp_trace", "tp_parent"]
+
+
+def _cause(netns: Column, opens: Column, last: Column) -> list[Column]:
+    return [F.col("conn"), netns.cast("string"), F.col("closes").cast("string"), opens.cast("string"), last.cast("string")]
+
+
+def _spans(pairs: DataFrame, connection_spans: bool) -> DataFrame:
+    """Spans of the paired entries: answered requests, those that wait at a close, and closed sides without any."""
+    request, answer = F.col("r"), F.col("a")
+    asked = (F.col("n") > 0) & request.isNotNull()
+    waits = asked & answer.isNull() & (F.col("opens") == request["final"]) & request["close_ts"].isNotNull()
+    bare = (F.col("n") == -1) & (answer["pending"] == 0) & answer["begun"].isNotNull() & answer["close_ts"].isNotNull() & F.lit(connection_spans)
+    rows = pairs.where((asked & answer.isNotNull()) | waits | bare)
+    tcp = F.col("n") == -1
+    last = F.when(tcp, F.lit("tcp")).otherwise(F.col("n").cast("string"))
+    own, peer = _cause(F.col("netns"), F.col("opens"), last), request["peer"]
+    theirs = _cause(peer["netns"], peer["opens"], peer["n"])
+    trace = F.coalesce(request["tp_trace"], peer["tp_trace"], F.when(peer.isNotNull(), derived_trace_id(F.lit("trace"), *theirs)), derived_trace_id(F.lit("trace"), *own))
+    parent = F.when(request["tp_trace"].isNotNull(), request["tp_parent"]).when(peer.isNotNull(), derived_span_id(F.lit("span"), *theirs)).otherwise(F.lit(0).cast("bigint"))
+    where = F.concat(F.col("dst_ip"), F.lit(":"), F.col("dst_port").cast("string"))
+    start = F.when(tcp, answer["begun"]).otherwise(request["ts"])
+    end = F.when(tcp, answer["close_ts"]).when(answer.isNull(), request["close_ts"]).otherwise(answer["ts"])
+    shown = rows.select(
+        trace.alias("trace_id"), derived_span_id(F.lit("span"), *own).alias("span_id"), parent.alias("parent_span_id"), "netns",
+        F.when(tcp, "TCP").otherwise(request["method"]).alias("http_method"), F.when(tcp, where).otherwise(request["path"]).alias("http_path"), F.when(tcp, where).otherwise(request["host"]).alias("http_host"),
+        F.when(tcp | answer.isNull(), 0).otherwise(answer["status"]).alias("http_status"),
+        start.alias("start"), end.alias("end"), F.greatest(F.floor((end - start) / 1000), F.lit(0)).cast("bigint").alias("duration_us"), "src_ip", "src_port", "dst_ip", "dst_port",
+    )
+    begin = F.when(F.col("http_method") == "TCP", F.col("end") - F.col("duration_us") * 1000).otherwise(F.col("start"))
+    return shown.withColumns({"start_time_ns": begin, "is_error": F.col("http_status") >= 400, "is_root": F.col("parent_span_id") == 0}).select(*COLUMNS)
+
 
-    Lives, matched requests and their causes are each read several times later on, so they
-    are written; all steps partition by connection.
+def assemble(events: DataFrame, connection_spans: bool = True, max_pending: int = MAX_PENDING) -> DataFrame:
+    """Spans of a batch of events. connection_spans: also one TCP span for each side of a closed
+    connection on which nothing waits.
+
+    The paired entries are a table: spans and the events to walk are both read from it.
     """
-    spark = events.sparkSession
-    words = _words("spark", connection_spans, "{ev}")
-    step = lambda sql, name, **tables: written(spark.sql("WITH " + sql.format(**words) + f"SELECT * FROM {name}", **tables), f"assembly-{name}")
-    e4 = step(LIVES, "e4", ev=parsed(events))
-    requests = step("e4 AS (SELECT * FROM {{lives}}), " + MATCHED, "requests", lives=e4)
-    served = step("requests AS (SELECT * FROM {{matched}}), " + SERVED, "served", matched=requests)
-    last = "WITH e4 AS (SELECT * FROM {lives}), served AS (SELECT * FROM {causes}), " + FINISHED.format(**words)
-    return spark.sql(last, lives=e4, causes=served)
+    entries = _entries(_counted(parsed(events), max_pending))
+    keys = ["conn", "netns", "closes", "opens", "n", F.when(F.col("n") == -2, F.col("seq")).alias("one")]
+    asks = F.struct("ts", "tp_trace", "tp_parent", "method", "path", "host", "final", "close_ts", "peer")
+    answer = F.struct("ts", "status", "pending", "begun", "close_ts")
+    pairs = entries.groupBy(*keys).agg(
+        F.max(F.when((F.col("n") > 0) & (F.col("req") == 1), asks)).alias("r"), F.max(F.when((F.col("n") == -1) | ((F.col("n") > 0) & (F.col("resp") == 1)), answer)).alias("a"),
+        F.first("src_ip").alias("src_ip"), F.first("src_port").alias("src_port"), F.first("dst_ip").alias("dst_ip"), F.first("dst_port").alias("dst_port"),
+        F.max(F.when(F.col("n") == -2, F.struct(*EVENT))).alias("event"),
+    )
+    pairs = written(pairs, "assembly")
+    return _spans(pairs.where("n > -2"), connection_spans).unionByName(_walk(pairs.where("n = -2").select("event.*"), max_pending, connection_spans))
+
+
+def _walk(rows: DataFrame, max_pending: int, connection_spans: bool) -> DataFrame:
+    """Spans of parsed events, walked in arrival order; a task holds the state of one connection at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, assembler = None, None
+        for batch in batches:
+            found = []
+            for e in batch.to_pylist():
+                if e["conn"] != last:
+                    last, assembler = e["conn"], Assembler(None, max_pending, connection_spans)
+                found += assembler.process(e)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found) if found else [[]] * len(KINDS), KINDS)], COLUMNS)
+
+    return rows.repartition("conn").sortWithinPartitions("conn", "seq").mapInArrow(run, SPAN_ROW)
+
+
+#: Arrow kinds of SPAN_ROW.
+KINDS = [{"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[x.split()[1]] for x in SPAN_ROW.split(", ")]
+
+
+def side_counters(events: DataFrame) -> DataFrame:
+    """Of each namespace: events, requests, responses, skipped (payloads that are neither), empty ones, and payload bytes sent and received."""
+    read = parsed(events.withColumn("size", F.octet_length("payload")), "size")
+    data = F.col("kind").isin("send", "recv")
+    size = F.coalesce(F.col("size"), F.lit(0)).cast("bigint")
+    return read.groupBy("netns").agg(
+        F.count(F.lit(1)).alias("events"), F.sum("req").alias("requests"), F.sum("resp").alias("responses"),
+        F.count_if(data & (size > 0) & (F.col("req") + F.col("resp") == 0)).alias("skipped"), F.count_if(data & (size == 0)).alias("empty"),
+        F.sum(F.when(F.col("kind") == "send", size).otherwise(0)).alias("bytes_sent"), F.sum(F.when(F.col("kind") == "recv", size).otherwise(0)).alias("bytes_received"),
+    )
 
 
 class Assembler:
     """The stateful form, for the events of one 4-tuple in arrival order."""
 
-    def __init__(self, state: str | None = None, max_pending: int = 64, connection_spans: bool = True):
+    def __init__(self, state: str | None = None, max_pending: int = MAX_PENDING, connection_spans: bool = True):
         loaded = json.loads(state) if state else {"closes": 0, "sides": {}, "opens": {}}
         self.closes, self.sides, self.opens = loaded["closes"], loaded["sides"], loaded["opens"]
         self.max_pending, self.connection_spans = max_pending, connection_spans
@@ -196,7 +242,7 @@ class Assembler:
         if e["tp_trace"]:
             trace, parent = e["tp_trace"], int(e["tp_parent"])
         elif e["kind"] == "recv":
-            other = next((s["pending"][-1] for k, s in sorted(self.sides.items()) if k != key and s["pending"]), None)
+            other = next((s["pending"][-1] for k, s in sorted(self.sides.items(), key=lambda x: int(x[0])) if k != key and s["pending"]), None)
             if other:
                 trace, parent = other["trace"], other["span"]
         elif side["context"]:
@@ -230,12 +276,12 @@ def walked(rows: pd.DataFrame, assembler: Assembler) -> pd.DataFrame:
     return pd.DataFrame(found, columns=COLUMNS)
 
 
-def assemble_stateful(events: DataFrame, max_pending: int = 64, connection_spans: bool = True) -> DataFrame:
-    """Spans of a batch in stateful form: for connections that may reach the cap."""
-    return parsed(events).groupBy("conn").applyInPandas(lambda rows: walked(rows, Assembler(None, max_pending, connection_spans)), SPAN_ROW)
+def assemble_stateful(events: DataFrame, max_pending: int = MAX_PENDING, connection_spans: bool = True) -> DataFrame:
+    """Spans of a batch by the walk alone."""
+    return _walk(parsed(events), max_pending, connection_spans)
 
 
-def assemble_stream(events: DataFrame, max_pending: int = 64, connection_spans: bool = True, idle_ms: int = 3_600_000, delay: str = "10 minutes") -> DataFrame:
+def assemble_stream(events: DataFrame, max_pending: int = MAX_PENDING, connection_spans: bool = True, idle_ms: int = 3_600_000, delay: str = "10 minutes") -> DataFrame:
     """Spans of a stream of events; a 4-tuple's state goes once event time is idle_ms past its last event."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -251,8 +297,3 @@ def assemble_stream(events: DataFrame, max_pending: int = 64, connection_spans:
 
     timed = parsed(events).withColumn("event_time", F.timestamp_micros(F.floor(F.col("ts") / 1000).cast("bigint"))).withWatermark("event_time", delay)
     return timed.groupBy("conn").applyInPandasWithState(step, SPAN_ROW, "state string", "append", "EventTimeTimeout")
-
-
-def over_cap(events: DataFrame, max_pending: int = 64) -> DataFrame:
-    """4-tuples on which more requests may wait than the cap; they take the stateful form."""
-    return parsed(events).groupBy("conn").agg(F.sum("req").alias("requests")).where(F.col("requests") > max_pending).select("conn")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewell.functions import http, spans as fn
+from tracewell.functions import http
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -147,5 +147,31 @@ def tcp_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def with_ns(df: DataFrame) -> DataFrame:
-    return df.withColumn("start_time", fn.ns_to_timestamp(F.col("start_time_ns")))
+BURST = 70  # requests of a burst, over the cap of 64
+
+
+def unusual_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TCP events of connections that need the walk, one of every 40th event, in three shapes.
+
+    0: BURST requests, then as many answers. 1: a request seen in three namespaces, answered in each.
+    2: a chain on one 4-tuple: a request out and in, one back out and in, no answer, a close.
+    """
+    e = table(spark, sf_dir, "events").where("event_id % 40 = 0").select("event_id", (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("t0"), (F.col("event_id") / 40).cast("bigint").alias("k"))
+    ask = lambda path: F.concat(F.lit("GET /"), path, F.lit(" HTTP/1.1\r\nHost: demo\r\n\r\n"))
+    ok = F.lit("HTTP/1.1 200 OK\r\n\r\n")
+    step = lambda i, ns, kind, payload: F.struct(i.cast("bigint").alias("i"), F.lit(ns).cast("bigint").alias("netns"), F.lit(kind).alias("kind"), payload.alias("payload"))
+    burst = lambda first, kind, payload: F.transform(F.sequence(F.lit(1), F.lit(BURST)), lambda i: step(i + first, 1001, kind, payload(i)))
+    listed = lambda *rows: F.array(*[step(F.lit(i + 1), *row) for i, row in enumerate(rows)])
+    a, b, none = ask(F.lit("a")), ask(F.lit("b")), F.lit("")
+    shapes = (
+        F.concat(burst(0, "send", lambda i: ask(i.cast("string"))), burst(BURST, "recv", lambda i: ok)),
+        listed((1001, "send", a), (1002, "recv", a), (1003, "recv", a), (1003, "send", ok), (1002, "send", ok), (1001, "recv", ok)),
+        listed((1001, "send", a), (1002, "recv", a), (1002, "send", b), (1001, "recv", b), (1001, "close", none)),
+    )
+    shape = F.col("k") % 3
+    x = e.select("event_id", "t0", "k", F.explode(F.when(shape == 0, shapes[0]).when(shape == 1, shapes[1]).otherwise(shapes[2])).alias("s"))
+    return x.select(
+        (F.col("event_id") * 1000 + F.col("s.i")).alias("seq"), (F.col("t0") + F.col("s.i") * 10_000).alias("timestamp_ns"), "s.netns", "s.kind",
+        F.lit("10.9.0.1").alias("src_ip"), (F.lit(1024) + F.col("k")).cast("int").alias("src_port"), F.lit("10.9.0.2").alias("dst_ip"), F.lit(80).alias("dst_port"),
+        F.encode("s.payload", "UTF-8").alias("payload"),
+    )
