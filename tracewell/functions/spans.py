@@ -25,7 +25,8 @@ def derived_span_id(*parts: Column) -> Column:
 
 
 def ns_to_timestamp(ns: Column) -> Column:
-    return F.timestamp_micros(F.floor(ns / 1000).cast("bigint"))
+    """The time of nanoseconds since the epoch, cut to microseconds; whole numbers throughout, as doubles don't hold them."""
+    return F.timestamp_micros(F.call_function("div", ns - F.pmod(ns, F.lit(1000)), F.lit(1000)))
 
 
 def duration_us(start_ns: Column, end_ns: Column) -> Column:
@@ -50,6 +51,11 @@ def bucket(ts: Column, seconds: int = 300) -> Column:
     return F.timestamp_seconds(F.floor(F.unix_micros(ts) / (seconds * 1_000_000)) * seconds)
 
 
+def date_keys(ts: Column) -> list[Column]:
+    """The day as a date and as a number, and the month as a number: keys of partitions."""
+    return [F.to_date(ts).alias("day"), F.date_format(ts, "yyyyMMdd").cast("int").alias("day_key"), F.date_format(ts, "yyyyMM").cast("int").alias("month_key")]
+
+
 def ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 

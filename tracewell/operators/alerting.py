@@ -11,35 +11,65 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.spans import compare, fingerprint, ratio
+from tracewell.operators.rules import number_of
 
 KEYS = ["project_id", "service_id"]
 SAMPLES = 100
 
 
-def buckets(observations: DataFrame, samples: int | None = SAMPLES) -> DataFrame:
-    """count, errors, sum, min, max and the first samples of each second; samples None: all."""
+def buckets(observations: DataFrame, samples: int | None = SAMPLES, gather: bool = True) -> DataFrame:
+    """count, errors, sum, min, max and the first samples of each second; samples None: all.
+
+    gather False: without the samples themselves, whose number follows from the count; no row is ordered then.
+    """
+    whole = [F.count(F.lit(1)).alias("count"), F.count_if("is_error").alias("errors"), F.sum("duration_us").alias("sum_us"), F.min("duration_us").alias("min_us"), F.max("duration_us").alias("max_us")]
+    if not gather:
+        n = F.count("duration_us")
+        return observations.groupBy(*KEYS, "sec").agg(*whole, (n if samples is None else F.least(n, F.lit(samples))).alias("s_n"))
     if samples is not None:
         order = Window.partitionBy(*KEYS, "sec").orderBy("arrival_seq")
         observations = observations.withColumn("_n", F.row_number().over(order))
     kept = F.col("duration_us") if samples is None else F.when(F.col("_n") <= samples, F.col("duration_us"))
     return observations.groupBy(*KEYS, "sec").agg(
-        F.count(F.lit(1)).alias("count"), F.count_if("is_error").alias("errors"), F.sum("duration_us").alias("sum_us"), F.min("duration_us").alias("min_us"), F.max("duration_us").alias("max_us"), F.array_sort(F.collect_list(kept)).alias("samples"),
+        *whole, F.array_sort(F.collect_list(kept)).alias("samples"),
         F.count(kept).alias("s_n"), F.sum(kept).alias("s_sum"), F.sum(kept.cast("decimal(18,0)") * kept.cast("decimal(18,0)")).cast("decimal(38,0)").alias("s_squares"),
     )
 
 
 def over_range(bucket_rows: DataFrame, frames: dict[str, tuple[int, int]]) -> DataFrame:
-    """Aggregates of the seconds in (sec - a, sec - b] for each named frame (a, b), at every bucket."""
+    """Aggregates of the seconds in (sec - a, sec - b] for each named frame (a, b), at every bucket; of samples if the buckets have them."""
     order = Window.partitionBy(*KEYS).orderBy("sec")
     out = {}
     for name, (a, b) in frames.items():
         w = order.rangeBetween(-(a - 1), -b)
         total = lambda c: F.coalesce(F.sum(c).over(w), F.lit(0))  # noqa: E731, B023
-        out |= {f"{name}_s_n": total("s_n"), f"{name}_s_sum": total("s_sum"), f"{name}_s_squares": total("s_squares").cast("decimal(38,0)")}
-        out |= {f"{name}_count": total("count"), f"{name}_errors": total("errors"), f"{name}_sum_us": total("sum_us"), f"{name}_min_us": F.min("min_us").over(w), f"{name}_max_us": F.max("max_us").over(w), f"{name}_samples": F.array_sort(F.flatten(F.collect_list("samples").over(w)))}
+        out |= {f"{name}_count": total("count"), f"{name}_errors": total("errors"), f"{name}_sum_us": total("sum_us"), f"{name}_min_us": F.min("min_us").over(w), f"{name}_max_us": F.max("max_us").over(w), f"{name}_s_n": total("s_n")}
+        if "samples" in bucket_rows.columns:
+            out |= {f"{name}_s_sum": total("s_sum"), f"{name}_s_squares": total("s_squares").cast("decimal(38,0)"), f"{name}_samples": F.array_sort(F.flatten(F.collect_list("samples").over(w)))}
     return bucket_rows.withColumns(out)
 
 
+def accepted(observations: DataFrame, capacity: int = 3600) -> DataFrame:
+    """The observations that a window of so many one-second buckets takes, in arrival order; others come too late.
+
+    A newer second adds buckets up to itself, at most capacity of them: after a longer gap those
+    right after the former newest second, and its own. The oldest buckets go beyond capacity. A late
+    observation counts if its second has a bucket at that moment. Buckets are numbered as they are
+    made, so that one is still there if fewer than capacity came after it.
+    """
+    arrival = Window.partitionBy(*KEYS).orderBy("arrival_seq")
+    gap = F.col("sec") - F.col("_newest")
+    rows = observations.withColumn("_newest", F.max("sec").over(arrival.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("_made", F.when(F.col("_newest").isNull(), F.lit(1)).when(gap > 0, F.least(gap, F.lit(capacity))))
+    rows = rows.withColumn("_number", F.sum(F.coalesce("_made", F.lit(0))).over(arrival.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    # Of the seconds that were the newest when they came, the first that isn't before this one.
+    later = Window.partitionBy(*KEYS).orderBy("sec").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    step = F.first(F.when(F.col("_made").isNotNull(), F.struct("sec", "_newest", "_made", "_number")), ignorenulls=True).over(later)
+    rows = rows.withColumn("_step", step)
+    at = F.when(F.col("sec") == F.col("_step.sec"), F.col("_step._number")).when(F.col("sec") - F.col("_step._newest") < F.col("_step._made"), F.col("_step._number") - F.col("_step._made") + F.col("sec") - F.col("_step._newest"))
+    return rows.where(F.col("_made").isNotNull() | (F.col("_number") - at < capacity)).drop("_newest", "_made", "_number", "_step")
+
+
 def trailing(bucket_rows: DataFrame, seconds: int, name: str = "w") -> DataFrame:
     return over_range(bucket_rows, {name: (seconds, 0)})
 
@@ -68,33 +98,47 @@ def spread_of(name: str) -> Column:
     return F.when(n > 1, F.sqrt(whole.cast("double") / (n.cast("double") * (n - 1)))).otherwise(F.lit(0.0))
 
 
-def metric_of(metric: Column, name: str) -> Column:
+def fixed(value: Column, digits: int) -> Column:
+    """value with so many decimals, halves to the even digit."""
+    return F.format_string(f"%.{digits}f", F.bround(value, digits))
+
+
+LATENCIES = {"p99_latency_us": 0.99, "p95_latency_us": 0.95, "p50_latency_us": 0.5}
+
+
+def metric_of(metric: str, name: str) -> Column:
     """Value of a metric over the frame of that name."""
-    count, errors, samples = F.col(f"{name}_count"), F.col(f"{name}_errors"), F.col(f"{name}_samples")
-    value = F.when(metric == "error_rate", ratio(errors, count)).when(metric == "request_count", count.cast("double"))
-    for key, p in (("p99_latency_us", 0.99), ("p95_latency_us", 0.95), ("p50_latency_us", 0.5)):
-        value = value.when(metric == key, nearest_rank(samples, p))
-    return value
+    count, errors = F.col(f"{name}_count"), F.col(f"{name}_errors")
+    if metric == "error_rate":
+        return ratio(errors, count)
+    if metric == "request_count":
+        return count.cast("double")
+    return nearest_rank(F.col(f"{name}_samples"), LATENCIES[metric])
 
 
-def metric_spread(metric: Column, name: str) -> Column:
+def metric_spread(metric: str, name: str) -> Column:
     count = F.col(f"{name}_count")
-    rate = ratio(F.col(f"{name}_errors"), count)
-    return F.when(metric == "error_rate", F.when(count > 0, F.sqrt(rate * (1 - rate) / count)).otherwise(F.lit(0.0))).when(metric == "request_count", count * 0.1).otherwise(spread_of(name))
+    if metric == "error_rate":
+        rate = ratio(F.col(f"{name}_errors"), count)
+        return F.when(count > 0, F.sqrt(rate * (1 - rate) / count)).otherwise(F.lit(0.0))
+    return count * 0.1 if metric == "request_count" else spread_of(name)
 
 
 def for_services(rules: DataFrame, services: DataFrame) -> DataFrame:
-    """Enabled rules with the services they watch: their own, or all of their project if blank."""
+    """Enabled rules with the services they watch: their own, or all of their project if blank; both by equal keys."""
     watched = services.select(F.col("project_id").alias("_p"), F.col("service_id").alias("watched_service"))
-    scope = (F.col("project_id") == F.col("_p")) & ((F.col("service_id") == "") | (F.col("service_id") == F.col("watched_service")))
-    return rules.where("enabled").join(watched, scope).drop("_p")
+    on = rules.where("enabled")
+    same = F.col("project_id") == F.col("_p")
+    scoped = on.where("service_id <> ''").join(watched, same & (F.col("service_id") == F.col("watched_service")))
+    return scoped.unionByName(on.where("service_id = ''").join(watched, same)).drop("_p")
 
 
 def evaluate(observations: DataFrame, rules: DataFrame, rule_rows: list, every_second: bool = False, samples: int | None = SAMPLES) -> DataFrame:
-    """Verdicts of all rules at each service's newest second, or at every second that has a bucket.
+    """Verdicts of the rules at each service's newest second, or at every second that has a bucket.
 
-    rule_rows: the rules' distinct windows as dicts, known to the caller (rules are few); frames
-    of all of them are computed in one pass over the buckets.
+    rule_rows: the rules as dicts, known to the caller (rules are few); those that the table rules
+    has and that are on count. All of them are answered in one pass over the buckets, which keep
+    samples only if some rule looks at latencies.
     """
     frames: dict[str, tuple[int, int]] = {}
     for r in rule_rows:
@@ -106,16 +150,18 @@ def evaluate(observations: DataFrame, rules: DataFrame, rule_rows: list, every_s
         else:
             w = r["window_secs"]
             frames |= {_frame(2 * w, w): (2 * w, w), _frame(w, 0): (w, 0)}
-    rows = over_range(buckets(observations, samples), frames)
+    rows = over_range(buckets(observations, samples, any(r["metric"] in LATENCIES for r in rule_rows)), frames)
     if not every_second:
         rows = newest(rows)
-    out = None
+    found = []
     for r in rule_rows:
-        mine = rules.where(F.col("id") == r["id"]).select(*[F.col(c).alias(f"r_{c}") for c in rules.columns])
-        scoped = rows.join(F.broadcast(mine), (F.col("project_id") == F.col("r_project_id")) & ((F.col("r_service_id") == "") | (F.col("r_service_id") == F.col("service_id"))) & F.col("r_enabled"))
-        verdict = scoped.withColumns(_verdict(r)).select(F.col("r_id").alias("rule_id"), F.col("r_name").alias("rule_name"), "project_id", "service_id", F.col("r_severity").alias("severity"), F.col("r_cooldown_secs").alias("cooldown_secs"), "sec", "fired", "metric_value", "threshold_value", "message")
-        out = verdict if out is None else out.unionAll(verdict)
-    return out.withColumn("fingerprint", fingerprint(F.col("rule_id"), F.col("service_id"), F.col("severity")))
+        fields = {"rule_id": F.lit(r["id"]), "rule_name": F.lit(r["name"]), "severity": F.lit(r["severity"]), "cooldown_secs": F.lit(r["cooldown_secs"]).cast("bigint")} | _verdict(r)
+        scope = (F.col("project_id") == r["project_id"]) & (F.lit(r["service_id"] == "") | (F.col("service_id") == r["service_id"]))
+        found.append(F.when(scope, F.struct(*[v.alias(k) for k, v in fields.items()])))
+    out = rows.select("project_id", "service_id", "sec", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("v"))
+    out = out.select("v.rule_id", "v.rule_name", "project_id", "service_id", "v.severity", "v.cooldown_secs", "sec", "v.fired", "v.metric_value", "v.threshold_value", "v.message")
+    on = rules.where("enabled").select(F.col("id").alias("rule_id"))
+    return out.join(on, "rule_id", "left_semi").withColumn("fingerprint", fingerprint(F.col("rule_id"), F.col("service_id"), F.col("severity")))
 
 
 def _frame(a: int, b: int) -> str:
@@ -123,35 +169,38 @@ def _frame(a: int, b: int) -> str:
 
 
 def _verdict(r: dict) -> dict[str, Column]:
-    metric = F.col("r_metric")
+    metric = r["metric"]
+    shown = F.lit(metric)
     if r["rule_type"] == "threshold":
         name = _frame(r["window_secs"], 0)
-        enough = F.col(f"{name}_count") >= F.col("r_min_requests")
+        limit, least, operator = F.lit(float(r["value"])), F.lit(r["min_requests"]).cast("bigint"), F.lit(r["operator"])
+        enough = F.col(f"{name}_count") >= least
         value = F.when(enough, metric_of(metric, name)).otherwise(F.lit(0.0))
-        fired = enough & compare(F.col("r_operator"), value, F.col("r_value"))
+        fired = enough & compare(operator, value, limit)
         message = (
-            F.when(~enough, F.format_string("insufficient data: %d requests < %d min_requests", F.col(f"{name}_count"), F.col("r_min_requests")))
-            .when(fired, F.concat_ws(" ", metric, F.col("r_operator"), value.cast("string"), F.lit("FIRING"), F.concat(F.lit("(threshold: "), F.col("r_value").cast("string"), F.lit(")"))))
-            .otherwise(F.format_string("%s = %.4f (threshold: %s %s)", metric, value, F.col("r_operator"), F.col("r_value").cast("string")))
+            F.when(~enough, F.format_string("insufficient data: %d requests < %d min_requests", F.col(f"{name}_count"), least))
+            .when(fired, F.concat_ws(" ", shown, operator, value.cast("string"), F.lit("FIRING"), F.concat(F.lit("(threshold: "), limit.cast("string"), F.lit(")"))))
+            .otherwise(F.format_string("%s = %s (threshold: %s %s)", shown, fixed(value, 4), operator, limit.cast("string")))
         )
-        return {"fired": fired, "metric_value": value, "threshold_value": F.col("r_value"), "message": message}
+        return {"fired": fired, "metric_value": value, "threshold_value": limit, "message": message}
     if r["rule_type"] == "anomaly":
         b, e = r["baseline_window_secs"], r["evaluation_window_secs"]
+        limit = F.lit(float(r["z_score_threshold"]))
         base, current = metric_of(metric, _frame(b, e)), metric_of(metric, _frame(e, 0))
         spread = metric_spread(metric, _frame(b, e))
         enough = F.col(f"{_frame(b, e)}_s_n") >= 10
         varied = spread >= 1e-10
         z = F.abs(current - base) / F.when(varied, spread)
-        fired = enough & varied & F.coalesce(z > F.col("r_z_score_threshold"), F.lit(False))
+        fired = enough & varied & F.coalesce(z > limit, F.lit(False))
         message = (
             F.when(~enough, F.lit("insufficient baseline data"))
-            .when(~varied, F.concat(F.lit("baseline has zero variance for "), metric))
-            .otherwise(F.format_string("%s: current=%.2f, baseline=%.2f, stddev=%.2f, z_score=%.2f (threshold: %.1f)", metric, current, base, spread, z, F.col("r_z_score_threshold")))
+            .when(~varied, F.concat(F.lit("baseline has zero variance for "), shown))
+            .otherwise(F.format_string("%s: current=%s, baseline=%s, stddev=%s, z_score=%s (threshold: %s)", shown, fixed(current, 2), fixed(base, 2), fixed(spread, 2), fixed(z, 2), fixed(limit, 1)))
         )
         return {
             "fired": fired,
             "metric_value": F.when(enough, current).otherwise(F.lit(0.0)),
-            "threshold_value": F.when(enough & varied, base).otherwise(F.col("r_z_score_threshold")),
+            "threshold_value": F.when(enough & varied, base).otherwise(limit),
             "message": message,
         }
     w = r["window_secs"]
@@ -159,9 +208,9 @@ def _verdict(r: dict) -> dict[str, Column]:
     some = F.col(f"{_frame(2 * w, w)}_count") > 0
     small = 1e-10
     change = F.when(F.abs(before) < small, F.when(F.abs(now) < small, F.lit(0.0)).otherwise(F.lit(100.0))).otherwise((now - before) / F.when(F.abs(before) >= small, before) * 100.0)
-    limit = F.col("r_change_threshold_pct")
-    fired = some & F.when(limit < 0, change <= limit).otherwise(change >= limit)
-    message = F.when(~some, F.lit("no previous window data")).otherwise(F.format_string("%s: previous=%.2f, current=%.2f, change=%.1f%% (threshold: %.1f%%)", metric, before, now, change, limit))
+    limit = F.lit(float(r["change_threshold_pct"]))
+    fired = some & (change <= limit if r["change_threshold_pct"] < 0 else change >= limit)
+    message = F.when(~some, F.lit("no previous window data")).otherwise(F.format_string("%s: previous=%s, current=%s, change=%s%% (threshold: %s%%)", shown, fixed(before, 2), fixed(now, 2), fixed(change, 1), fixed(limit, 1)))
     return {"fired": fired, "metric_value": now, "threshold_value": F.when(some, before).otherwise(limit), "message": message}
 
 
@@ -177,9 +226,13 @@ def emitted(verdicts: DataFrame, mode: str = "sliding") -> DataFrame:
     if mode == "sliding":
         last = F.lag("sec").over(own)
         return fired.withColumn("_gap", F.col("sec") - last).where("_gap IS NULL OR _gap >= cooldown_secs").drop("_gap")
-    seen = F.array_sort(F.collect_list("sec").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    spoke = F.aggregate(seen, F.lit(None).cast("bigint"), lambda last, x: F.when(last.isNull() | (x - last >= F.col("cooldown_secs")), x).otherwise(last))
-    return fired.withColumn("_spoke", spoke).where("_spoke = sec").drop("_spoke")
+    # A fold over the seconds of a fingerprint, once; what spoke is a short list.
+    none = F.array().cast("array<bigint>")
+    cooldown = F.max("cooldown_secs").alias("c")
+    seconds = fired.groupBy("fingerprint").agg(F.array_sort(F.collect_set(F.col("sec").cast("bigint"))).alias("secs"), cooldown)
+    spoke = F.aggregate("secs", none, lambda done, x: F.when((F.size(done) == 0) | (x - F.try_element_at(done, F.lit(-1)) >= F.col("c")), F.array_append(done, x)).otherwise(done))
+    told = seconds.select(F.col("fingerprint").alias("_f"), F.explode(spoke).alias("_sec"))
+    return fired.join(told, (F.col("fingerprint") == F.col("_f")) & (F.col("sec") == F.col("_sec")), "left_semi")
 
 
 def stale(verdicts: DataFrame, as_of_sec: int, max_age: int) -> DataFrame:
@@ -199,4 +252,18 @@ def list_events(events: DataFrame, project: str, status: str | None = None, seve
         found = found.where(F.col("status") == status)
     if severity is not None:
         found = found.where(F.col("severity") == severity)
-    return found.orderBy("fired_at", "id").limit(limit)
+    return found.orderBy("fired_at", number_of("id")).limit(limit)
+
+
+def every_nth(observations: DataFrame, n: int = 50, chunk: int = 1_000_000) -> DataFrame:
+    """The observations at which rules are evaluated: every nth over all services, by arrival_seq (which is unique).
+
+    Counted in chunks of arrival numbers, so that no task orders all rows.
+    """
+    part = F.floor(F.col("arrival_seq") / chunk)
+    sizes = observations.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
+    # One row a chunk.
+    before = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("arrival_seq"))
+    placed = observations.withColumn("_part", part).withColumn("_place", place).join(before, "_part")
+    return placed.where((F.col("_before") + F.col("_place")) % n == 0).drop("_part", "_place", "_before")

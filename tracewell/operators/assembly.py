@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import http
-from tracewell.functions.spans import derived_span_id, derived_trace_id
+from tracewell.functions.spans import derived_span_id, derived_trace_id, ns_to_timestamp
 from tracewell.sources.scratch import written
 
 SPAN_ROW = (
@@ -295,5 +295,5 @@ def assemble_stream(events: DataFrame, max_pending: int = MAX_PENDING, connectio
         state.update((assembler.state(),))
         state.setTimeoutTimestamp(max(int(rows["ts"].max()) // 1_000_000, state.getCurrentWatermarkMs()) + idle_ms)
 
-    timed = parsed(events).withColumn("event_time", F.timestamp_micros(F.floor(F.col("ts") / 1000).cast("bigint"))).withWatermark("event_time", delay)
+    timed = parsed(events).withColumn("event_time", ns_to_timestamp(F.col("ts"))).withWatermark("event_time", delay)
     return timed.groupBy("conn").applyInPandasWithState(step, SPAN_ROW, "state string", "append", "EventTimeTimeout")

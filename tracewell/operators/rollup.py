@@ -69,6 +69,27 @@ def error_rate_by_service(spans: DataFrame, project: str, since: datetime) -> Da
     return out.select("service_id", F.col("request_count").alias("requests"), F.col("error_count").alias("errors"), ratio(F.col("error_count"), F.col("request_count")).alias("error_rate"), "p99_us").orderBy(F.desc("error_rate"), "service_id")
 
 
+def _stored_of(stored: DataFrame, project: str, since: datetime, service: str | None = None) -> DataFrame:
+    mine = stored.where((F.col("project_id") == project) & (F.col("window_start") >= F.lit(since)))
+    return mine if service is None else mine.where(F.col("service_id") == service)
+
+
+def service_metrics_stored(stored: DataFrame, project: str, service: str, since: datetime) -> DataFrame:
+    """service_metrics from stored partial rows: sketches are merged, so that no task holds a group's durations; quantiles have the sketch's error."""
+    out = merged(_stored_of(stored, project, since, service), ["window_start"]).withColumn("error_rate", ratio(F.col("error_count"), F.col("request_count")))
+    return out.select("window_start", "request_count", "error_count", "error_rate", *QUANTILES, "min_us", "max_us").orderBy("window_start")
+
+
+def top_endpoints_stored(stored: DataFrame, project: str, service: str, since: datetime, limit: int = 20) -> DataFrame:
+    out = merged(_stored_of(stored, project, since, service), ["http_route", "http_method"])
+    return out.select("http_route", "http_method", "request_count", "error_count", "p99_us").orderBy(F.desc("request_count"), "http_route", "http_method").limit(limit)
+
+
+def error_rate_by_service_stored(stored: DataFrame, project: str, since: datetime) -> DataFrame:
+    out = merged(_stored_of(stored, project, since), ["service_id"])
+    return out.select("service_id", F.col("request_count").alias("requests"), F.col("error_count").alias("errors"), ratio(F.col("error_count"), F.col("request_count")).alias("error_rate"), "p99_us").orderBy(F.desc("error_rate"), "service_id")
+
+
 def retained(df: DataFrame, column: str, as_of: datetime, days: int) -> DataFrame:
     """Rows that a retention of some days keeps."""
     return df.where(F.col(column) >= F.lit(as_of) - F.make_dt_interval(days=F.lit(days)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TYPES = ["threshold", "anomaly", "rate_of_change"]
@@ -47,6 +47,31 @@ def add(rules: DataFrame, fresh: DataFrame) -> DataFrame:
     return rules.unionByName(fresh)
 
 
+DEFAULT_COOLDOWN = 300
+
+
+def number_of(id_column: str) -> Column:
+    """N of an id like rule_N or evt_N, for order and for the next id; null for other ids."""
+    return F.regexp_extract(id_column, "^[a-z]+_([0-9]{1,18})$", 1).try_cast("bigint")
+
+
+def create(rules: DataFrame, fresh: DataFrame) -> DataFrame:
+    """rules with new ones, which must be free of violations: on, numbered after the highest rule_N by project and name, with the default cooldown where none is given.
+
+    fresh needs no id, enabled or cooldown_secs. Rules are few, so one task numbers the new ones.
+    """
+    last = rules.agg(F.coalesce(F.max(number_of("id")), F.lit(0)).alias("_last"))
+    place = F.row_number().over(Window.orderBy("project_id", "name"))
+    cooldown = F.coalesce(F.col("cooldown_secs"), F.lit(DEFAULT_COOLDOWN)) if "cooldown_secs" in fresh.columns else F.lit(DEFAULT_COOLDOWN)
+    rows = fresh.withColumn("_place", place).join(last, F.lit(True)).withColumns({"id": F.concat(F.lit("rule_"), (F.col("_last") + F.col("_place")).cast("string")), "enabled": F.lit(True), "cooldown_secs": cooldown.cast("bigint")})
+    return rules.unionByName(rows.drop("_last", "_place"))
+
+
+def get(rules: DataFrame, rule_id: str) -> DataFrame:
+    """The rule of an id; no row: there is none."""
+    return rules.where(F.col("id") == rule_id)
+
+
 def update(rules: DataFrame, changed: DataFrame) -> DataFrame:
     """changed replaces rules of the same id; updated rules are on again."""
     return rules.join(changed.select("id"), "id", "left_anti").unionByName(changed.withColumn("enabled", F.lit(True)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WATERFALL = ["trace_id", "span_id", "parent_span_id", "service_id", "http_method", "http_path", "http_status", "start_time", "duration_us", "is_error"]
@@ -29,26 +29,31 @@ def slow_roots(spans: DataFrame, project: str, service: str, since: datetime, ov
     return found.select("trace_id", "service_id", "http_method", "http_path", "http_status", "duration_us", "start_time", "is_error").orderBy(F.desc("duration_us"), "trace_id").limit(limit)
 
 
-def summaries(spans: DataFrame) -> DataFrame:
-    """One row per trace: its root (the first span without a parent, else the first), longest span, size and errors."""
+def summaries(spans: DataFrame, **flags: Column) -> DataFrame:
+    """One row per trace: its root (the first span without a parent, else the first), longest span, size and errors, and for each flag whether it holds for some span."""
     root = F.min_by(F.struct("service_id", "http_path", "http_method", "start_time"), F.struct(F.col("parent_span_id") != 0, "arrival_seq"))
     return spans.groupBy("project_id", "trace_id").agg(
-        root.alias("root"), F.max("duration_us").alias("total_duration_us"), F.count(F.lit(1)).alias("span_count"), F.bool_or("is_error").alias("has_error"), F.array_sort(F.collect_set("service_id")).alias("services"), F.array_sort(F.collect_set("http_route")).alias("routes"),
-    ).select("project_id", "trace_id", F.col("root.service_id").alias("root_service"), F.col("root.http_path").alias("root_path"), F.col("root.http_method").alias("root_method"), "total_duration_us", "span_count", "has_error", F.col("root.start_time").alias("start_time"), "services", "routes")
+        root.alias("root"), F.max("duration_us").alias("total_duration_us"), F.count(F.lit(1)).alias("span_count"), F.bool_or("is_error").alias("has_error"), *[F.bool_or(c).alias(k) for k, c in flags.items()],
+    ).select("project_id", "trace_id", F.col("root.service_id").alias("root_service"), F.col("root.http_path").alias("root_path"), F.col("root.http_method").alias("root_method"), "total_duration_us", "span_count", "has_error", F.col("root.start_time").alias("start_time"), *flags)
 
 
 SUMMARY = ["trace_id", "root_service", "root_path", "root_method", "total_duration_us", "span_count", "has_error", "start_time"]
 
 
-def list_traces(spans: DataFrame, project: str, service: str | None = None, route: str | None = None, errors_only: bool = False, min_duration_us: int | None = None, limit: int = 50) -> DataFrame:
+def _of(spans: DataFrame, project: str, since: datetime | None, until: datetime | None) -> DataFrame:
+    found = spans.where(F.col("project_id") == project)
+    if since is not None:
+        found = found.where(F.col("start_time") >= F.lit(since))
+    return found if until is None else found.where(F.col("start_time") <= F.lit(until))
+
+
+def list_traces(spans: DataFrame, project: str, service: str | None = None, route: str | None = None, errors_only: bool = False, min_duration_us: int | None = None, limit: int = 50, since: datetime | None = None, until: datetime | None = None) -> DataFrame:
     """Latest traces with some span of the service, of the route and with an error, as asked for."""
-    found = summaries(spans.where(F.col("project_id") == project))
-    if service is not None:
-        found = found.where(F.array_contains("services", service))
-    if route is not None:
-        found = found.where(F.array_contains("routes", route))
-    if errors_only:
-        found = found.where("has_error")
+    asked = {"of_service": ("service_id", service), "of_route": ("http_route", route)}
+    flags = {k: F.col(c) == x for k, (c, x) in asked.items() if x is not None}
+    found = summaries(_of(spans, project, since, until), **flags)
+    for flag in [*flags, *["has_error"] * errors_only]:
+        found = found.where(flag)
     if min_duration_us is not None:
         found = found.where(F.col("total_duration_us") >= min_duration_us)
     return found.select(*SUMMARY).orderBy(F.desc("start_time"), "trace_id").limit(limit)
@@ -61,9 +66,9 @@ def trace_detail(spans: DataFrame, project: str, trace_id: str) -> DataFrame:
     return found.groupBy("trace_id").agg(F.max("duration_us").alias("total_duration_us"), F.count(F.lit(1)).alias("span_count"), F.bool_or("is_error").alias("has_error"), rows.alias("spans"))
 
 
-def metric_to_traces(spans: DataFrame, project: str, service: str, metric: str, min_duration_us: int | None = None, limit: int = 50) -> DataFrame:
+def metric_to_traces(spans: DataFrame, project: str, service: str, metric: str, min_duration_us: int | None = None, limit: int = 50, since: datetime | None = None, until: datetime | None = None) -> DataFrame:
     """The slowest traces with a span of the service; for error_rate those with an error."""
-    found = summaries(spans.where(F.col("project_id") == project)).where(F.array_contains("services", service))
+    found = summaries(_of(spans, project, since, until), of_service=F.col("service_id") == service).where("of_service")
     if metric == "error_rate":
         found = found.where("has_error")
     if min_duration_us is not None:
@@ -101,9 +106,3 @@ def parent_links(spans: DataFrame) -> DataFrame:
     parent = spans.select(F.col("trace_id").alias("pt"), F.col("span_id").alias("ps"), F.col("service_id").alias("parent_service"), F.col("start_time").alias("parent_start"))
     child = spans.where("parent_span_id <> 0")
     return child.join(parent, (F.col("trace_id") == F.col("pt")) & (F.col("parent_span_id") == F.col("ps"))).select("trace_id", "span_id", "parent_service", "service_id", (F.unix_micros("start_time") - F.unix_micros("parent_start")).alias("offset_us"))
-
-
-def newest_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The newest row of each key."""
-    own = Window.partitionBy(*keys).orderBy(F.desc(order))
-    return df.withColumn("_n", F.row_number().over(own)).where("_n = 1").drop("_n")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewell.operators import alerting, rules as rule_ops
+from tracewell.functions.spans import lookback_secs
+from tracewell.operators import alerting, api, rules as rule_ops
 from tracewell.schema import RULE_DDL
 from tracewell.sources import adapters
 
@@ -121,6 +122,54 @@ def alert_event_filter(spark, sf_dir):
     return alerting.list_events(events, "proj_demo", status="firing", severity="info", limit=20).select("id", "rule_id", "service_id", "severity", "status", "fired_at")
 
 
+def alert_messages(spark, sf_dir):
+    """Messages of threshold and change verdicts: of too little data, firing and quiet."""
+    return verdicts(spark, sf_dir, "r1", "r7").select("rule_id", "service_id", "sec", "message")
+
+
+def every_nth_span(spark, sf_dir):
+    return alerting.every_nth(adapters.observations(spark, sf_dir), n=50, chunk=1000).select("arrival_seq", "service_id", "sec")
+
+
+def late_data(spark, sf_dir):
+    """What windows of 24 buckets take of observations of which some come late."""
+    o = adapters.observations(spark, sf_dir)
+    k = F.col("arrival_seq")
+    return alerting.accepted(o.withColumn("sec", F.col("sec") - F.when(k % 7 == 0, k % 60).otherwise(0)), capacity=W).select("service_id", "sec", "arrival_seq")
+
+
+def health(spark, sf_dir):
+    return api.health(spark)
+
+
+FRESH = "name string, project_id string, service_id string, rule_type string, severity string, cooldown_secs bigint"
+
+
+def rule_create(spark, sf_dir):
+    """Rules of some customers and new ones, of which those without violations are stored."""
+    rules = _candidates(spark, sf_dir).where("severity = 'info'").withColumns({"enabled": F.lit(False), "cooldown_secs": F.lit(7).cast("bigint")})
+    fresh = _candidates(spark, sf_dir).select(F.concat(F.lit("new "), F.col("id"), F.lit(" "), F.col("name")).alias("name"), "project_id", "service_id", "rule_type", "severity", F.when(F.length("id") % 2 == 0, F.lit(60)).cast("bigint").alias("cooldown_secs"))
+    good = rule_ops.violations(fresh).where("problem IS NULL").drop("problem")
+    return rule_ops.create(rules, good).select("id", "name", "enabled", "cooldown_secs")
+
+
+def rule_get(spark, sf_dir):
+    return rule_ops.get(_candidates(spark, sf_dir), "rule_42").select("id", "name", "severity")
+
+
+def rules_of_project(spark, sf_dir):
+    return rule_ops.of_project(_candidates(spark, sf_dir), "BUILDING").select("id", "name", "severity")
+
+
+def rule_duplicates(spark, sf_dir):
+    """(project, name) pairs that the unique constraint forbids."""
+    return rule_ops.duplicates(_candidates(spark, sf_dir))
+
+
+def rule_lookback(spark, sf_dir):
+    return rule_table(spark).select("id", lookback_secs().alias("lookback"))
+
+
 def _candidates(spark, sf_dir):
     c = adapters.table(spark, sf_dir, "customer")
     k = F.col("c_custkey") % 6
@@ -211,7 +260,32 @@ CANDIDATES = """WITH c AS (SELECT 'rule_' || c_custkey AS id, c_custkey % 6 AS k
 SAMPLES_OUT = "SELECT project_id, service_id, sec, count, errors, sum_us, min_us, max_us, array_to_string(samples, ',') AS samples FROM buckets"
 FIRED = f"{BASE}, {_frame('w', W, 0)}, v AS ({R1}), f AS (SELECT * FROM v WHERE fired)"
 
+CHANGED = f"""{_frame('b', 2 * W, W)}, {_frame('c', W, 0)}, j AS (SELECT service_id, sec, b.count AS before, c.count AS now FROM b JOIN c USING (service_id, sec)),
+    ch AS (SELECT *, before > 0 AND (CASE WHEN before = 0 THEN 0 ELSE (now - before) / before * 100 END) <= -20.0 AS fired FROM j)"""
+SPOKE = f"""{FIRED.replace("WITH obs", "WITH RECURSIVE obs", 1)}, spoke AS (SELECT fingerprint, min(sec) AS sec FROM f GROUP BY fingerprint UNION ALL
+    SELECT s.fingerprint, min(f.sec) FROM spoke s JOIN f ON f.fingerprint = s.fingerprint AND f.sec >= s.sec + 48 GROUP BY s.fingerprint)"""
+NAMED = f"""{CANDIDATES}, r AS (SELECT c.id, c.k, c.name, CASE WHEN c.k = 2 THEN repeat('p', 129) ELSE c_mktsegment END AS project_id, CASE WHEN c.k = 4 THEN 'loud' ELSE 'info' END AS severity FROM c JOIN customer ON c.id = 'rule_' || c_custkey)"""
+
 SQL = {
+    "alert_messages": f"""{BASE}, {_frame('w', W, 0)}, {CHANGED}
+        SELECT 'r1' AS rule_id, service_id, sec, CASE WHEN count < 10 THEN printf('insufficient data: %d requests < 10 min_requests', count)
+            WHEN errors / count > 0.1 THEN 'error_rate > ' || CAST(errors / count AS VARCHAR) || ' FIRING (threshold: 0.1)' ELSE printf('error_rate = %.4f (threshold: > 0.1)', errors / count) END AS message FROM w
+        UNION ALL SELECT 'r7', service_id, sec, CASE WHEN before = 0 THEN 'no previous window data' ELSE printf('request_count: previous=%.2f, current=%.2f, change=%.1f%% (threshold: -20.0%%)', CAST(before AS DOUBLE), CAST(now AS DOUBLE), (now - before) / before * 100.0) END FROM j""",
+    "every_nth_span": "SELECT event_id AS arrival_seq, 'svc_' || (user_id % 4) AS service_id, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS sec FROM events QUALIFY row_number() OVER (ORDER BY event_id) % 50 = 0",
+    "health": f"SELECT 'ok' AS status, '{api.VERSION}' AS version",
+    "cooldown_fixed": f"{SPOKE} SELECT 'r1' AS rule_id, f.service_id, f.sec, f.fingerprint FROM f JOIN spoke USING (fingerprint, sec)",
+    "alert_event_filter": f"""{BASE}, {_frame('w', W, 0)}, {CHANGED}, one AS ({R1}),
+        fired AS (SELECT rule_id, service_id, severity, sec, fingerprint, 48 AS cooldown FROM one WHERE fired UNION ALL SELECT 'r7', service_id, 'info', sec, {_finger('r7', 'info')}, 24 FROM ch WHERE fired),
+        spoke AS (SELECT * FROM (SELECT *, sec - lag(sec) OVER (PARTITION BY fingerprint ORDER BY sec) AS gap FROM fired) WHERE gap IS NULL OR gap >= cooldown),
+        numbered AS (SELECT *, row_number() OVER (ORDER BY sec, fingerprint) AS n FROM spoke)
+        SELECT 'evt_' || n AS id, rule_id, service_id, severity, 'firing' AS status, TIMESTAMP '1970-01-01' + to_seconds(sec) AS fired_at FROM numbered WHERE severity = 'info' ORDER BY sec, n LIMIT 20""",
+    "rule_create": f"""{NAMED}, good AS (SELECT *, 'new ' || id || ' ' || name AS fresh FROM r WHERE k = 0 OR k = 5), top AS (SELECT max(CAST(substr(id, 6) AS BIGINT)) AS last FROM r WHERE severity = 'info')
+        SELECT id, name, false AS enabled, CAST(7 AS BIGINT) AS cooldown_secs FROM r WHERE severity = 'info'
+        UNION ALL SELECT 'rule_' || (last + row_number() OVER (ORDER BY project_id, fresh)), fresh, true, CAST(CASE WHEN length(id) % 2 = 0 THEN 60 ELSE 300 END AS BIGINT) FROM good, top""",
+    "rule_get": f"{NAMED} SELECT id, name, severity FROM r WHERE id = 'rule_42'",
+    "rules_of_project": f"{NAMED} SELECT id, name, severity FROM r WHERE project_id = 'BUILDING'",
+    "rule_duplicates": f"{NAMED} SELECT project_id, name, count(*) AS count FROM r GROUP BY ALL HAVING count(*) > 1",
+    "rule_lookback": f"SELECT * FROM (VALUES ('r1', CAST({W} AS BIGINT)), ('r2', {W}), ('r3', 168), ('r4', {2 * W}), ('r5', {W}), ('r6', {W}), ('r7', {2 * W}), ('r8', 168)) t(id, lookback)",
     "bucket_1s": BASE + SAMPLES_OUT,
     "bucket_first_samples": OBS.format(cap=3) + SAMPLES_OUT,
     "trailing_window": f"{BASE}, {_frame('w', W, 0)} SELECT service_id, sec, count AS w_count, errors AS w_errors, sum_us AS w_sum_us, min_us AS w_min_us, max_us AS w_max_us FROM w",
@@ -239,4 +313,5 @@ SQL = {
 QUERIES = {f.__name__: f for f in (
     bucket_1s, bucket_first_samples, trailing_window, range_window, nearest_rank_percentile, zscore_baseline, rate_of_change, threshold_rule, threshold_newest,
     anomaly_rule, anomaly_latency_rule, rate_rule, rule_service_scope, cooldown_emit, cooldown_fixed, stale_resolve, alert_event_filter, rule_validation, rule_delete_cascade, rule_update,
+    alert_messages, every_nth_span, late_data, health, rule_create, rule_get, rules_of_project, rule_duplicates, rule_lookback,
 )}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewell.functions import http, spans as fn
+from tracewell.operators import rules
 from tracewell.sources import adapters, discovery
 
 CR = "\r\n"
@@ -138,10 +139,44 @@ def event_decode(spark, sf_dir):
 
 
 def config_decode(spark, sf_dir):
-    e = adapters.table(spark, sf_dir, "events")
-    return e.select("event_id", F.try_variant_get(F.parse_json("props"), "$.k", "bigint").alias("k"))
+    """Rule configs as JSON, of each type and broken."""
+    k = F.col("event_id") % 4
+    number = F.get_json_object("props", "$.k")
+    text = (
+        F.when(k == 0, F.concat(F.lit('{"type":"threshold","metric":"error_rate","operator":">=","value":0.5,"min_requests":10,"window_secs":'), number, F.lit("}")))
+        .when(k == 1, F.concat(F.lit('{"type":"anomaly","metric":"p95_latency_us","baseline_window_secs":3600,"z_score_threshold":3.5,"evaluation_window_secs":'), number, F.lit("}")))
+        .when(k == 2, F.concat(F.lit('{"type":"rate_of_change","metric":"request_count","change_threshold_pct":-50,"window_secs":'), number, F.lit("}")))
+        .otherwise(F.lit("{}"))
+    )
+    raw = adapters.table(spark, sf_dir, "events").select("event_id", text.alias("config"))
+    return rules.decode_config(raw)
+
+
+def id_functions(spark, sf_dir):
+    k = F.col("event_id")
+    text = F.when(k % 3 == 0, F.upper(F.md5("event_type"))).when(k % 3 == 1, F.md5("event_type")).otherwise(F.concat(F.lit("g"), F.substring(F.md5("event_type"), 2, 31)))
+    raw = fn.trace_from_hex(text)
+    swapped = fn.reversed_tuple("src_ip", "src_port", "dst_ip", "dst_port")
+    rows = adapters.table(spark, sf_dir, "events").withColumns({"src_ip": F.lit("10.0.0.1"), "src_port": (k % 65536).cast("int"), "dst_ip": F.lit("10.0.0.2"), "dst_port": F.lit(80)})
+    return rows.select("event_id", F.coalesce(fn.trace_hex(raw), F.lit("none")).alias("trace_id"), fn.ns_to_timestamp(F.lit(1_700_000_000_000_000_000) + k * 1_234_567).alias("begun"), fn.shown_tuple(swapped["src_ip"], swapped["src_port"], swapped["dst_ip"], swapped["dst_port"]).alias("reversed"))
+
+
+def date_keys(spark, sf_dir):
+    return adapters.table(spark, sf_dir, "events").select("event_id", *fn.date_keys(F.col("ts").cast("timestamp")))
+
+
+def payload_tests(spark, sf_dir):
+    """Whether a payload is HTTP, and how much of it a capture keeps."""
+    body = F.concat(F.when(F.col("page_id") % 3 == 0, "GET / HTTP/1.1\r\n").when(F.col("page_id") % 3 == 1, "HTTP/1.1 200 OK\r\n").otherwise("gopher "), F.repeat(F.lit("x"), (F.col("page_id") % 50 * 100).cast("int")))
+    payload = F.encode(body, "UTF-8")
+    return _pages(spark, sf_dir).select("page_id", http.is_http(payload).alias("is_http"), F.octet_length(http.clipped(payload)).alias("kept"))
 
 
+STEPS = """WITH b AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 1001 WHEN 1 THEN 1001 ELSE 1002 END AS client, CASE event_id % 3 WHEN 0 THEN 1002 WHEN 1 THEN 1003 ELSE 1004 END AS server FROM events),
+    steps(k, kind, side, what) AS (VALUES (0, 'connect', 'c', ''), (1, 'accept', 's', ''), (2, 'send', 'c', ''), (3, 'recv', 's', ''), (4, 'send', 'c', 'twice'), (5, 'recv', 's', 'twice'),
+        (6, 'send', 's', 'answer'), (7, 'recv', 'c', 'answer'), (8, 'send', 's', 'both'), (9, 'recv', 'c', 'both'), (10, 'close', 'c', '')),
+    e AS (SELECT event_id * 16 + k AS seq, event_id, kind, CAST(CASE side WHEN 'c' THEN client ELSE server END AS BIGINT) AS netns FROM b, steps
+        WHERE (what NOT IN ('twice', 'both') OR event_id % 13 = 0) AND (what NOT IN ('answer', 'both') OR event_id % 11 <> 0))"""
 EVENT = """CASE event_id % 6 WHEN 0 THEN 'connect' WHEN 1 THEN 'accept' WHEN 2 THEN 'send' WHEN 3 THEN 'recv' ELSE 'close' END"""
 SQL = {
     "route_normalize": PAGES + r""", v AS (SELECT page_id, unnest([path, regexp_split_to_array(path, '[?#]')[1], regexp_split_to_array(path, '[?#]')[1] || '/u/' || md5(url) || '/7f',
@@ -187,10 +222,22 @@ SQL = {
     "mapping_delete_anti": "SELECT user_id + 1000 AS netns, arg_max(event_type, event_id) AS service_id, 'c-' || max(event_id) AS container_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 100) GROUP BY user_id",
     "event_decode": f"""SELECT event_id, {EVENT} AS kind, '10.0.0.1:' || (event_id % 65536) || ' -> 10.0.0.2:80' AS shown, CASE WHEN event_id % 2 = 0 THEN '10.1.2.3' ELSE '0.0.0.0' END AS ip,
         CAST(greatest(floor((5000999 - event_id * 1000) / 1000), 0) AS BIGINT) AS duration_us FROM events""",
-    "config_decode": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
+    "config_decode": """WITH e AS (SELECT event_id, event_id % 4 AS t, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
+        SELECT event_id, CASE t WHEN 0 THEN 'threshold' WHEN 1 THEN 'anomaly' WHEN 2 THEN 'rate_of_change' END AS rule_type, CASE t WHEN 0 THEN 'error_rate' WHEN 1 THEN 'p95_latency_us' WHEN 2 THEN 'request_count' END AS metric,
+            CASE t WHEN 0 THEN '>=' END AS operator, CASE t WHEN 0 THEN CAST(0.5 AS DOUBLE) END AS value, CASE WHEN t IN (0, 2) THEN k END AS window_secs, CASE t WHEN 0 THEN CAST(10 AS BIGINT) END AS min_requests,
+            CASE t WHEN 1 THEN CAST(3600 AS BIGINT) END AS baseline_window_secs, CASE t WHEN 1 THEN k END AS evaluation_window_secs, CASE t WHEN 1 THEN CAST(3.5 AS DOUBLE) END AS z_score_threshold, CASE t WHEN 2 THEN CAST(-50 AS DOUBLE) END AS change_threshold_pct FROM e""",
+    "id_functions": """SELECT event_id, CASE WHEN event_id % 3 = 2 THEN 'none' ELSE md5(event_type) END AS trace_id, make_timestamp(1700000000000000 + event_id * 1234567 // 1000) AS begun,
+        '10.0.0.2:80 -> 10.0.0.1:' || (event_id % 65536) AS reversed FROM events""",
+    "date_keys": "SELECT event_id, CAST(ts AS DATE) AS day, CAST(strftime(ts, '%Y%m%d') AS INTEGER) AS day_key, CAST(strftime(ts, '%Y%m') AS INTEGER) AS month_key FROM events",
+    "payload_tests": "SELECT page_id, page_id % 3 < 2 AS is_http, CAST(least(2048, page_id % 50 * 100 + CASE page_id % 3 WHEN 0 THEN 16 WHEN 1 THEN 17 ELSE 7 END) AS INTEGER) AS kept FROM pages",
+    "service_enrich_left": STEPS + """ SELECT netns, seq, kind, CASE WHEN netns = 1004 THEN 'unknown' ELSE 'proj_demo' END AS project_id,
+        CASE netns WHEN 1001 THEN 'svc_api_gateway' WHEN 1002 THEN 'svc_user_service' WHEN 1003 THEN 'svc_payment_service' ELSE 'unknown' END AS service_id, CASE WHEN netns = 1004 THEN 'unknown' ELSE 'production' END AS environment_id,
+        CASE netns WHEN 1001 THEN 'c-gateway' WHEN 1002 THEN 'c-user' WHEN 1003 THEN 'c-payment' ELSE 'netns-1004' END AS container_id FROM e""",
+    "dst_service_resolve": """SELECT event_id * 16 AS seq, CASE event_id % 3 WHEN 0 THEN '172.17.0.3' WHEN 1 THEN '172.17.0.4' ELSE '172.17.0.5' END AS dst_ip,
+        CASE event_id % 3 WHEN 0 THEN 'svc_user_service' WHEN 1 THEN '' ELSE 'svc_db_service' END AS dst_service_id FROM events""",
 }
 
 QUERIES = {f.__name__: f for f in (
     route_normalize, traceparent_parse, http_request_parse, http_response_parse, header_parse, netns_parse, docker_event_parse, docker_inspect,
-    service_enrich_left, dst_service_resolve, mapping_upsert, mapping_delete_anti, event_decode, config_decode,
+    service_enrich_left, dst_service_resolve, mapping_upsert, mapping_delete_anti, event_decode, config_decode, id_functions, date_keys, payload_tests,
 )}

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from tracewell.sources import adapters, capture, synthetic
+from tracewell.sources import adapters, capture, discovery, scratch, synthetic, tables
 from tracewell.streaming import queries as streaming
 
 
@@ -36,6 +36,34 @@ def synthetic_requests(spark, sf_dir):
     return synthetic.requests(spark, 5000)
 
 
+def event_expansion(spark, sf_dir):
+    """The seven TCP events of requests made from events."""
+    k = F.col("event_id")
+    requests = adapters.table(spark, sf_dir, "events").select(
+        k.alias("request_id"), (F.lit(1001) + k % 3).cast("bigint").alias("client"), (F.lit(1002) + k % 3).cast("bigint").alias("server"), F.when(k % 2 == 0, "GET").otherwise("POST").alias("method"), F.concat(F.lit("/"), F.col("event_type")).alias("path"), F.lit(8001).alias("dst_port"),
+        (F.lit(40000) + k % 20001).cast("int").alias("src_port"), (k * 1_000_000_000).alias("start_ns"), (F.lit(5000) + k % 100).alias("latency_us"), F.element_at(F.array(F.lit(200), F.lit(201), F.lit(500), F.lit(404)), (k % 4 + 1).cast("int")).alias("status"),
+    )
+    return synthetic.expanded(requests).withColumn("payload", F.decode("payload", "UTF-8"))
+
+
+def mapping_file(spark, sf_dir):
+    """A mapping written as JSON and read again."""
+    c = adapters.table(spark, sf_dir, "customer")
+    key = F.col("c_custkey").cast("string")
+    mapping = c.select((F.col("c_custkey") + 1000).alias("netns"), F.lit("p").alias("project_id"), F.concat(F.lit("svc_"), key).alias("service_id"), F.concat(F.lit('na"me\\n}{'), key).alias("service_name"), F.lit("production").alias("environment_id"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("c-"), key)).otherwise("").alias("container_id"))
+    path = scratch.path(spark, "services.json")
+    discovery.write_mapping(mapping, path)
+    return discovery.read_mapping(spark, path)
+
+
+def stored_spans(spark, sf_dir):
+    """Spans written by day and read back for some days."""
+    path = scratch.path(spark, "spans")
+    found = adapters.root_spans(spark, sf_dir).where("start_time < '1995-03-01'")
+    tables.write_spans(found, path)
+    return tables.read_spans(spark, path, datetime(1995, 1, 5), datetime(1995, 1, 9)).select("trace_id", "span_id", "project_id", "http_route", "start_time", "duration_us", "_date")
+
+
 def _stream(spark, sf_dir, name):
     """A table as a stream of files."""
     schema = adapters.table(spark, sf_dir, name).schema
@@ -45,7 +73,7 @@ def _stream(spark, sf_dir, name):
 def stream_rollup(spark, sf_dir):
     """The streaming roll-up of root spans, run to the end of what is there; closed windows only."""
 
-    root = f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/checkpoints').rstrip('/')}/tracewell/stream-{uuid.uuid4().hex}"
+    root = scratch.path(spark, "stream")
     e = _stream(spark, sf_dir, "events")
     spans = e.select(
         F.lit("proj_demo").alias("project_id"), F.concat(F.lit("svc_"), (F.col("user_id") % 4).cast("string")).alias("service_id"), F.lit("production").alias("environment_id"),
@@ -67,5 +95,15 @@ SQL = {
         SELECT seq, pid, CASE WHEN netns <> 0 THEN netns ELSE coalesce(c_custkey + 5000, 0) END AS netns, CASE WHEN src_ip = '0.0.0.0' AND payload <> '' AND p IS NOT NULL THEN '10.0.1.2' ELSE src_ip END AS src_ip,
             CASE WHEN src_ip = '0.0.0.0' AND payload <> '' AND p IS NOT NULL THEN '10.0.3.4' ELSE dst_ip END AS dst_ip, CASE WHEN src_ip = '0.0.0.0' AND payload <> '' AND p IS NOT NULL THEN p ELSE src_port END AS src_port
         FROM f LEFT JOIN customer ON pid = c_custkey""",
+    "event_expansion": """WITH r AS (SELECT event_id AS id, 1001 + event_id % 3 AS client, 1002 + event_id % 3 AS server, 5000 + event_id % 100 AS latency,
+            CASE WHEN event_id % 2 = 0 THEN 'GET' ELSE 'POST' END || ' /' || event_type || ' HTTP/1.1' || chr(13) || chr(10) || 'Host: ' || ['user-service', 'payment-service', 'db-service'][event_id % 3 + 1] || ':8001' || chr(13) || chr(10) || chr(13) || chr(10) AS ask,
+            'HTTP/1.1 ' || ['200 OK', '201 Created', '500 Internal Server Error', '404 Unknown'][event_id % 4 + 1] || chr(13) || chr(10) || 'Content-Length: 0' || chr(13) || chr(10) || chr(13) || chr(10) AS answer FROM events),
+        s(k, kind, side, off_us, late, what) AS (VALUES (0, 'connect', 'c', 0, 0, ''), (1, 'accept', 's', 100, 0, ''), (2, 'send', 'c', 200, 0, 'a'), (3, 'recv', 's', 300, 0, 'a'), (4, 'send', 's', -200, 1, 'b'), (5, 'recv', 'c', -100, 1, 'b'), (6, 'close', 'c', 0, 1, ''))
+        SELECT id * 7 + k AS seq, CAST(id * 1000000000 + (off_us + late * latency) * 1000 AS BIGINT) AS timestamp_ns, CAST(CASE side WHEN 'c' THEN client ELSE server END AS BIGINT) AS netns, kind, '172.17.0.' || (client - 999) AS src_ip, CAST(40000 + id % 20001 AS INTEGER) AS src_port,
+            '172.17.0.' || (server - 999) AS dst_ip, CAST(8001 AS INTEGER) AS dst_port, CASE what WHEN 'a' THEN ask WHEN 'b' THEN answer ELSE '' END AS payload FROM r, s""",
+    "mapping_file": """SELECT c_custkey + 1000 AS netns, 'p' AS project_id, 'svc_' || c_custkey AS service_id, 'na"me' || chr(92) || 'n}{' || c_custkey AS service_name, 'production' AS environment_id, CASE WHEN c_custkey % 2 = 0 THEN 'c-' || c_custkey ELSE '' END AS container_id FROM customer""",
+    "stored_spans": """WITH s AS (SELECT md5(CAST(o_orderkey AS VARCHAR)) AS trace_id, o_orderkey * 1000 + 1 AS span_id, CASE WHEN o_custkey % 10 = 0 THEN 'proj_other' ELSE 'proj_demo' END AS project_id, '/api/orders/:id' AS http_route,
+            o_orderdate + to_seconds(o_orderkey % 86400) AS start_time, CAST(floor(o_totalprice) AS BIGINT) AS duration_us FROM orders)
+        SELECT *, CAST(start_time AS DATE) AS _date FROM s WHERE start_time BETWEEN TIMESTAMP '1995-01-05' AND TIMESTAMP '1995-01-09'""",
 }
-QUERIES = {f.__name__: f for f in (record_decode, address_fill, synthetic_requests, stream_rollup)}
+QUERIES = {f.__name__: f for f in (record_decode, address_fill, synthetic_requests, event_expansion, mapping_file, stored_spans, stream_rollup)}

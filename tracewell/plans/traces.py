@@ -65,7 +65,30 @@ def q1_trace_waterfall(spark, sf_dir):
 
 
 def q2_service_metrics(spark, sf_dir):
-    return rollup.service_metrics(adapters.root_spans(spark, sf_dir), PROJECT, SERVICE, SINCE)
+    return rollup.service_metrics(spans(spark, sf_dir), PROJECT, SERVICE, SINCE)
+
+
+def q2_service_metrics_stored(spark, sf_dir):
+    return rollup.service_metrics_stored(rollup.partial(spans(spark, sf_dir)), PROJECT, SERVICE, SINCE)
+
+
+def q3_top_endpoints_stored(spark, sf_dir):
+    return rollup.top_endpoints_stored(rollup.partial(spans(spark, sf_dir)), PROJECT, SERVICE, SINCE)
+
+
+def q8_error_rate_stored(spark, sf_dir):
+    return rollup.error_rate_by_service_stored(rollup.partial(spans(spark, sf_dir)), PROJECT, SINCE)
+
+
+def rollup_stored_counters(spark, sf_dir):
+    """Counters of stored partial rows, merged to services; the sketches of the same rows merge beside them."""
+    return rollup.merged(rollup.partial(spans(spark, sf_dir)), ["project_id", "service_id"]).drop(*rollup.QUANTILES)
+
+
+def span_details(spark, sf_dir):
+    """Detail rows; blank routes are made from the path."""
+    blank = F.when(F.col("span_id") % 2 == 0, F.lit("")).otherwise(F.lit("/given"))
+    return traces.detail_rows(spans(spark, sf_dir).withColumn("http_route", blank))
 
 
 def q3_top_endpoints(spark, sf_dir):
@@ -185,8 +208,12 @@ SQL = {
         count(*) FILTER (WHERE is_error) AS error_count, CAST(sum(duration_us) AS BIGINT) AS total_duration_us, count(*) AS duration_count FROM spans WHERE dst_service_id <> '' GROUP BY ALL""",
     "spike_join": f"""{SPANS}, r AS (SELECT project_id, service_id, window_start, quantile_cont(duration_us, 0.99) AS p99_us FROM spans GROUP BY ALL)
         SELECT project_id, service_id, window_start, trace_id, span_id, duration_us FROM spans JOIN r USING (project_id, service_id, window_start) WHERE duration_us > p99_us""",
-    "parent_links": f"""{SPANS} SELECT c.trace_id, c.span_id, p.service_id AS parent_service, c.service_id, epoch_us(c.start_time) - epoch_us(p.start_time) AS offset_us
-        FROM spans c JOIN spans p ON c.trace_id = p.trace_id AND c.parent_span_id = p.span_id WHERE c.parent_span_id <> 0""",
+    # A line's parent is its order's span, which begins rn milliseconds before it.
+    "parent_links": """SELECT md5(CAST(l_orderkey AS VARCHAR)) AS trace_id, l_orderkey * 1000 + 1 + rn AS span_id, 'svc_api_gateway' AS parent_service, 'svc_s' || (l_suppkey % 8) AS service_id, rn * 1000 AS offset_us
+        FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS rn FROM lineitem)
+        WHERE l_orderkey IN (SELECT o_orderkey FROM orders)""",
+    "span_details": f"""{SPANS} SELECT trace_id, span_id, parent_span_id, service_id, http_method, http_path, CASE WHEN span_id % 2 = 1 THEN '/given' ELSE http_route END AS http_route, http_status, start_time, duration_us, is_error FROM spans""",
+    "rollup_stored_counters": f"{SPANS} SELECT project_id, service_id, count(*) AS request_count, count(*) FILTER (WHERE is_error) AS error_count, CAST(sum(duration_us) AS BIGINT) AS total_duration_us, min(duration_us) AS min_us, max(duration_us) AS max_us FROM spans GROUP BY ALL",
     "ttl_retention": f"{SPANS} SELECT trace_id, span_id, start_time FROM spans WHERE start_time >= TIMESTAMP '2001-08-01' - INTERVAL 7 DAY",
 }
 
@@ -194,4 +221,5 @@ QUERIES = {f.__name__: f for f in (
     q1_trace_waterfall, q2_service_metrics, q3_top_endpoints, q4_dependency_graph, q5_slow_roots, q6_spike_spans, q7_trace_logs, q8_error_rate_by_service,
     r2_trace_list, r2_trace_list_errors, r3_trace_detail, r5_topology_nodes, r5_live_edges, r11_metric_to_traces_latency, r11_metric_to_traces_errors,
     r12_synth_logs, rollup_5min_exact, rollup_remerge, rollup_kll, dependency_5min, spike_join, parent_links, ttl_retention,
+    q2_service_metrics_stored, q3_top_endpoints_stored, q8_error_rate_stored, rollup_stored_counters, span_details,
 )}

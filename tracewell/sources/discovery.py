@@ -32,13 +32,21 @@ def inspected(raw: DataFrame, column: str = "inspect", labels: str = "observe")
 
 
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON object of namespace to service; a broken file is an error."""
-    text = spark.read.text(path, wholetext=True)
+    """JSON objects of namespace to service, one a file or one a line; a broken one is an error."""
+    whole = spark.read.text(path, wholetext=True)
+    text = whole.select(F.explode(F.split("value", r"(?<=\})\n(?=\{)")).alias("value")).where(F.trim("value") != "")
     kind = "map<string,struct<project_id:string,service_id:string,service_name:string,environment_id:string,container_id:string>>"
     rows = text.select(F.explode(F.from_json("value", kind, {"mode": "FAILFAST"})).alias("netns", "x"))
     return rows.select(F.col("netns").cast("bigint").alias("netns"), "x.*")
 
 
+def write_mapping(mapping: DataFrame, path: str) -> None:
+    """The mapping as JSON objects of namespace to service, one a line; a reader sees the old files or the new ones, as Spark's writer commits them by renaming."""
+    fields = ["project_id", "service_id", "service_name", "environment_id", "container_id"]
+    line = F.to_json(F.create_map(F.col("netns").cast("string"), F.struct(*fields)))
+    mapping.select(line.alias("value")).write.mode("overwrite").text(path)
+
+
 def upsert(changes: DataFrame, order: str = "seq") -> DataFrame:
     """The last change of each namespace."""
     columns = [c for c in changes.columns if c not in ("netns", order)]
@@ -65,4 +73,4 @@ def _small(df: DataFrame, most_bytes: int = 64_000_000) -> bool:
     return int(str(size)) <= most_bytes
 
 
-__all__ = ["MAPPING_DDL", "enriched", "inspected", "read_mapping", "remove", "upsert"]
+__all__ = ["MAPPING_DDL", "enriched", "inspected", "read_mapping", "remove", "upsert", "write_mapping"]

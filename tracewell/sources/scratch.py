@@ -4,13 +4,25 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, which spark.checkpoint.dir names.
+
+    Only a local master, where driver and tasks are one process, may go without the setting.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file:///tmp/checkpoints"
+    return f"{root.rstrip('/')}/tracewell/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder (spark.checkpoint.dir; a local one only where that is unset)."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    path = f"{root.rstrip('/')}/tracewell/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """df as a table in the shared folder: cuts lineage and survives lost executors."""
+    at = path(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
