@@ -1,14 +1,16 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is split by documents: each entry holds some MB of documents as sorted posting
-lists (term, word positions) of the test terms, so that no list of a frequent word meets
-in one task and building it takes no shuffle. It is stored as a table in the shared folder.
-A query goes to every entry; there, its terms are ordered by list length and the lists,
-shifted by the term's offset, are intersected from the rarest term on, until nothing is
-left. Terms are numbers of a dictionary of the test words, so matches are exact.
-
-Test items are taken in blocks of at most block_bytes of text, which bounds the dictionary
-that goes to the executors; each block is answered over all documents.
+The index holds the postings of every word of the training documents and is built once, whatever
+is asked later. It is split by documents: each entry holds some MB of them as sorted posting lists
+(term, word positions), so that no list of a frequent word meets in one task and building it takes
+no shuffle. It is stored as a table in the shared folder. A query goes to every entry; there, its
+terms are ordered by list length and the lists, shifted by the term's offset, are intersected from
+the rarest term on, until nothing is left. Terms are 64-bit hashes of words (XXH64); two different
+words are taken for one with a chance of 2^-64 a pair.
+
+Test items are sent to the executors in blocks of at most block_bytes of text; each block is
+answered by the same stored index over all documents. Of a block, an entry looks only at the items
+whose windows have all terms in it.
 
 Defined cases: words are runs of [0-9a-z] and non-ASCII signs after lower-casing A-Z; a null
 or empty text has no words and no hits; an item of fewer words than a window is one window,
@@ -26,6 +28,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,26 +45,29 @@ def words_of(text: bytes) -> list[bytes]:
     return TERM.findall(text.lower())
 
 
+def term_of(word: bytes) -> int:
+    """A word's term: its XXH64 as a signed number."""
+    h = xxhash.xxh64_intdigest(word)
+    return h - (1 << 64) if h >> 63 else h
+
+
 class TestSet:
-    """The windows of a block of test items, by number of the terms' dictionary."""
+    """The windows of a block of test items, as numbers of its own sorted terms."""
 
     def __init__(self, items: list[tuple[object, str | None]], window: int):
-        self.terms: dict[bytes, int] = {}
+        split = [(item_id, [term_of(w) for w in words_of((text or "").encode())]) for item_id, text in items]
+        self.terms = np.array(sorted({t for _, x in split for t in x}), np.int64)
+        number = {t: k for k, t in enumerate(self.terms.tolist())}
         found: dict[tuple[int, ...], set[str]] = defaultdict(set)
-        for item_id, text in items:
-            words = words_of((text or "").encode())
-            ids = [self.terms.setdefault(w, len(self.terms)) for w in words]
+        for item_id, terms in split:
+            ids = [number[t] for t in terms]
             for k in range(max(1, len(ids) - window + 1) if ids else 0):
                 found[tuple(ids[k : k + window])].add(str(item_id))
         self.windows = [np.array(w) for w in found]
         self.items = [sorted(x) for x in found.values()]
-
-
-class _Known(dict):
-    """Terms outside the test set have no number."""
-
-    def __missing__(self, key: bytes) -> int:
-        return -1
+        # All windows in a row, to test at once which have all their terms in an entry.
+        self.flat = np.concatenate([*self.windows, np.zeros(0, np.int64)]).astype(np.int64)
+        self.starts = np.cumsum([0, *map(len, self.windows)])[:-1]
 
 
 class Entry:
@@ -71,57 +77,60 @@ class Entry:
         self.doc_ids, self.text_keys = row["doc_ids"], row["text_keys"]
         self.starts = np.frombuffer(row["starts"], np.int64)
         unpack = zstandard.ZstdDecompressor().decompress
-        self.terms = np.frombuffer(row["terms"], np.int32)
+        self.terms = np.frombuffer(row["terms"], np.int64)
         self.stops = np.concatenate([[0], np.frombuffer(row["stops"], np.int64)])
         self.positions = np.cumsum(np.frombuffer(unpack(row["positions"]), np.int32), dtype=np.int64) if len(self.terms) else np.zeros(0, np.int64)
 
     @staticmethod
-    def build(doc_ids: list, texts: list[bytes], terms: dict[bytes, int]) -> dict:
-        known = _Known(terms)
+    def build(doc_ids: list, texts: list[bytes]) -> dict:
+        known: dict[bytes, int] = {}
         split = [words_of(x) for x in texts]
         starts = np.concatenate([[0], np.cumsum([len(x) + 1 for x in split])]).astype(np.int64)
         total = int(starts[-1]) - len(split)
-        flat = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int32, total)
+        # Words are numbered as they come, so that each different one is hashed once and rows sort by small numbers.
+        flat = np.fromiter((known.setdefault(w, len(known)) for w in chain.from_iterable(split)), np.int64, total)
+        terms = np.fromiter(map(term_of, known), np.int64, len(known))
+        by_term = np.argsort(terms)
+        rank = np.empty(len(terms), np.int32)
+        rank[by_term] = np.arange(len(terms))
         at = np.arange(total) + np.repeat(np.arange(len(split)), np.diff(starts) - 1)
-        kept = np.flatnonzero(flat >= 0)
-        kept = kept[np.argsort(flat[kept], kind="stable")]
-        kinds, counts = np.unique(flat[kept], return_counts=True)
-        steps = np.diff(at[kept], prepend=0).astype(np.int32)
+        place = rank[flat] if total else np.zeros(0, np.int32)
+        counts = np.bincount(place, minlength=len(terms))
+        steps = np.diff(at[np.argsort(place, kind="stable")], prepend=0).astype(np.int32)
         return {
             "doc_ids": doc_ids,
             "text_keys": [key_of(x) for x in texts],
             "starts": starts.tobytes(),
-            "terms": kinds.astype(np.int32).tobytes(),
+            "terms": terms[by_term].tobytes(),
             "stops": np.cumsum(counts).astype(np.int64).tobytes(),
             "positions": zstandard.ZstdCompressor(level=1).compress(steps.tobytes()),
         }
 
-    def postings(self, term: int) -> np.ndarray:
-        k = np.searchsorted(self.terms, term)
-        if k == len(self.terms) or self.terms[k] != term:
-            return np.zeros(0, np.int64)
-        return self.positions[self.stops[k] : self.stops[k + 1]]
-
-    def sizes(self, n_terms: int) -> np.ndarray:
-        sizes = np.zeros(n_terms, np.int64)
-        sizes[self.terms] = np.diff(self.stops)
-        return sizes
-
-    def phrase(self, terms: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """First positions of all exact occurrences."""
-        order = np.argsort(sizes[terms], kind="stable")
-        at = self.postings(terms[order[0]]) - order[0]
+    def numbers(self, terms: np.ndarray) -> np.ndarray:
+        """Where the terms stand in this entry, -1 for those it doesn't have."""
+        if not len(self.terms):
+            return np.full(len(terms), -1)
+        k = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        return np.where(self.terms[k] == terms, k, -1)
+
+    def postings(self, number: int) -> np.ndarray:
+        return self.positions[self.stops[number] : self.stops[number + 1]] if number >= 0 else np.zeros(0, np.int64)
+
+    def phrase(self, numbers: np.ndarray) -> np.ndarray:
+        """First positions of all exact occurrences of terms that the entry has."""
+        order = np.argsort(self.stops[numbers + 1] - self.stops[numbers], kind="stable")
+        at = self.postings(numbers[order[0]]) - order[0]
         for k in order[1:]:
             if not len(at):
                 break
-            other = self.postings(terms[k])
+            other = self.postings(numbers[k])
             where = np.minimum(np.searchsorted(other, at + k), len(other) - 1)
             at = at[other[where] == at + k]
         return at
 
-    def near(self, terms: np.ndarray, within: int) -> list[tuple[int, int]]:
+    def near(self, numbers: np.ndarray, within: int) -> list[tuple[int, int]]:
         """(first, last) position of every smallest stretch of at most within words, in one document, that holds all terms."""
-        lists = [self.postings(t) for t in dict.fromkeys(terms.tolist())]
+        lists = [self.postings(t) for t in dict.fromkeys(numbers.tolist())]
         if not all(map(len, lists)):
             return []
         out = set()
@@ -148,14 +157,13 @@ class Entry:
 
     def search(self, test: TestSet) -> Iterator[tuple]:
         """One row per document: covered spans of words, and the items whose windows occur."""
-        sizes = self.sizes(len(test.terms))
         spans: dict[int, list] = defaultdict(list)
         items: dict[int, set] = defaultdict(set)
-        present = sizes > 0
-        for k, terms in enumerate(test.windows):
-            if not present[terms].all():
-                continue
-            at = self.phrase(terms, sizes)
+        numbers = self.numbers(test.terms)
+        whole = np.minimum.reduceat(numbers[test.flat], test.starts) >= 0 if len(test.windows) else np.zeros(0, bool)
+        for k in np.flatnonzero(whole).tolist():
+            terms = test.windows[k]
+            at = self.phrase(numbers[terms])
             if len(at):
                 documents = np.searchsorted(self.starts, at, "right") - 1
                 for d, a in zip(documents.tolist(), (at - self.starts[documents]).tolist()):
@@ -175,17 +183,15 @@ def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def build_index(docs: DataFrame, terms: dict[bytes, int], entry_bytes: int = 6_000_000) -> DataFrame:
-    """Store the postings of the given terms; one row per entry of about entry_bytes of text."""
-    shipped = docs.sparkSession.sparkContext.broadcast(terms)
+def build_index(docs: DataFrame, entry_bytes: int = 6_000_000) -> DataFrame:
+    """Store the postings of all words; one row per entry of about entry_bytes of text."""
     kind = T._parse_datatype_string(INDEX_SCHEMA)
     fields = pa.schema([("doc_ids", pa.list_(pa.int64())), ("text_keys", pa.list_(pa.binary())), *((f.name, pa.binary()) for f in kind.fields[2:])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", entry_bytes, 100_000):
-                row = Entry.build(part.column("doc_id").to_pylist(), bytes_of(part), shipped.value)
-                yield pa.RecordBatch.from_pylist([row], fields)
+                yield pa.RecordBatch.from_pylist([Entry.build(part.column("doc_id").to_pylist(), bytes_of(part))], fields)
 
     return written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, INDEX_SCHEMA), "positional-index")
 
@@ -218,16 +224,14 @@ def blocks_of(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[obj
     yield held
 
 
-def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 16_000_000) -> DataFrame:
-    """doc_id, text_key, n_words, spans (of words, stop exclusive) and items of every document.
+def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 16_000_000, index: DataFrame | None = None) -> DataFrame:
+    """doc_id, text_key, n_words, spans (of words, stop exclusive) and items of every document. index: of docs, if there is one already.
 
     With more than one block, the blocks' rows of one document are united by (doc_id, key of
     the text); rows with both equal have equal results and keep their number.
     """
-    found = []
-    for items in blocks_of(benchmark, block_bytes):
-        test = TestSet(items, window)
-        found.append(_searched(build_index(docs, test.terms), test))
+    index = build_index(docs) if index is None else index
+    found = [_searched(index, TestSet(items, window)) for items in blocks_of(benchmark, block_bytes)]
     if len(found) == 1:
         return found[0]
     whole = found[0]
@@ -252,15 +256,15 @@ def proximity_matches(docs: DataFrame, queries: list[tuple[str, str]], within: i
     """(doc_id, query, first, last): stretches of at most within words that hold all words of a query, in any order."""
     test = TestSet(queries, 1 << 30)
     wanted = [(items, terms) for items, terms in zip(test.items, test.windows)]
-    index = build_index(docs, test.terms)
+    index = build_index(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 entry = Entry(batch.slice(k, 1).to_pylist()[0])
-                rows = []
+                numbers, rows = entry.numbers(test.terms), []
                 for items, terms in wanted:
-                    for a, b in entry.near(terms, within):
+                    for a, b in entry.near(numbers[terms], within):
                         d = int(np.searchsorted(entry.starts, a, "right")) - 1
                         rows += [(entry.doc_ids[d], item, a - int(entry.starts[d]), b - int(entry.starts[d])) for item in items]
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64()]

@@ -13,8 +13,8 @@ texts. The segments that are significant by it are summed as evidence -log(expec
 number), and two numbers fitted on training texts turn evidence into a probability.
 
 The counts cover count_rows labelled training texts, those with the smallest hash of their
-id (a documented bound of the sample, which is 16 bytes a row where it is sent); the lexicon that goes to the executors has
-at most max_words words (the most significant ones, a documented size of the model).
+id (a documented bound of the sample, which is 16 bytes a row where it is sent). The lexicon that
+goes to the executors has every word of that sample that stands out, so that the sample bounds it.
 
 Defined cases: null and empty texts have no segment and the base score; without labels
 of both kinds nothing is learnt and the score is the share of label 1 (or 0.5 without
@@ -80,14 +80,15 @@ def maximal_segments(positions: np.ndarray, gains: np.ndarray, loss: float) -> l
 def evidence(model: Model, n_tokens: int, segments: list[tuple[int, int, float]]) -> float:
     """Sum of -log expected numbers of the significant segments; the best one's where none is.
 
-    Held within plus and minus bound, so that a few wrong labels can't bend the fit.
+    Beyond bound it grows with the logarithm, so that a few wrong labels can't bend the fit and
+    more evidence still scores higher; it is held at minus bound.
     """
     if not segments:
         return -model.bound
     expected = [np.log(model.scale * max(n_tokens, 1)) - model.decay * s for _, _, s in segments]
     strong = [-e for e in expected if e < np.log(model.level)]
     found = float(sum(strong)) if strong else -min(expected)
-    return min(max(found, -model.bound), model.bound)
+    return max(found, -model.bound) if found <= model.bound else model.bound + float(np.log1p(found - model.bound))
 
 
 class Scanner:
@@ -141,7 +142,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text", "y").mapInArrow(run, "word binary, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def lexicon(counts: DataFrame, totals: dict[str, int], prior_share: float, min_z: float, max_words: int) -> DataFrame:
+def lexicon(counts: DataFrame, totals: dict[str, int], prior_share: float, min_z: float) -> DataFrame:
     """word, weight and z of the words that stand out in toxic texts (log-odds with a Dirichlet prior)."""
     both = totals["toxic"] + totals["clean"]
     prior = prior_share * both
@@ -151,10 +152,10 @@ def lexicon(counts: DataFrame, totals: dict[str, int], prior_share: float, min_z
     spread = F.sqrt(1 / (F.col("toxic") + alpha) + 1 / (F.col("clean") + alpha))
     weight = odds(F.col("toxic"), float(totals["toxic"])) - odds(F.col("clean"), float(totals["clean"]))
     found = counts.select("word", weight.alias("weight"), (weight / spread).alias("z"))
-    return found.where(F.col("z") >= min_z).orderBy(F.desc("z"), "word").limit(max_words)
+    return found.where(F.col("z") >= min_z)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, held: int = 0, prior_share: float = 0.1, min_z: float = 4.5, max_words: int = 20_000, count_rows: int = 40_000, fit_rows: int = 20_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, held: int = 0, prior_share: float = 0.1, min_z: float = 4.5, count_rows: int = 40_000, fit_rows: int = 20_000) -> Model:
     """The model; lexicon from at most count_rows labelled texts, calibration from fit_rows of them."""
     chosen = chosen_labels(labels, label, modulus, held, count_rows)
     rows = labelled(docs, chosen)
@@ -168,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
     totals = counts.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).first().asDict()
     if not totals["toxic"] or not totals["clean"]:
         return model
-    words = lexicon(counts, totals, prior_share, min_z, max_words).toPandas()
+    words = lexicon(counts, totals, prior_share, min_z).toPandas()
     if not len(words):
         return model
     model.weights = {bytes(w): float(x) for w, x in zip(words["word"], words["weight"])}
