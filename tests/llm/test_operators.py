@@ -231,6 +231,15 @@ def test_decontamination(spark, texts):
     assert not any(r.contaminated for r in positional_index.decontamination(table(spark, docs), bench.limit(0)).collect())
 
 
+def test_one_index_answers_any_benchmark(spark):
+    docs = spark.createDataFrame([(k, f"w{k} alpha beta gamma delta w{k + 1}") for k in range(20)], "doc_id long, text string")
+    index = positional_index.build_index(docs, entry_bytes=100)
+    assert index.count() > 3
+    for item, hits in (("alpha beta", set(range(20))), ("w3 alpha", {3}), ("delta w7", {6}), ("gamma beta", set()), ("w99", set())):
+        found = positional_index.phrase_matches(docs, spark.createDataFrame([(1, item)], "item_id long, text string"), index=index)
+        assert {r.doc_id for r in found.collect() if r.spans} == hits
+
+
 def test_proximity(spark):
     docs = table(spark, ["a x b", "b q q q a", "a", "c a b a"], 1)
     got = {(r.doc_id, r.first, r.last) for r in positional_index.proximity_matches(docs, [("q1", "a b")], 3).collect()}
@@ -272,6 +281,14 @@ def test_sharding_keeps_large_groups_together(spark):
     assert sharding.seeded([(b"a", 7), (b"b", 3)], [4, 4, 3]) == ([(b"a", [4, 0, 3]), (b"b", [0, 3, 0])], [0, 1, 0])
 
 
+def test_sharding_brings_pairs_together(spark):
+    """With every row in a pair there is no free place; an optimum cuts no pair."""
+    rows = sharding.sharded(spark.createDataFrame([(k, f"text {k // 2}") for k in range(640)], "doc_id long, text string"), chunk_rows=100).collect()
+    assert set(Counter(r.shard for r in rows).values()) == {40}
+    cut = 1 - uncut(rows, {k: k // 2 for k in range(640)})
+    assert cut < 0.1, cut
+
+
 def test_full_shards_exchange_and_fill_in_part():
     assert sharding.flows({(0, 1): 5, (1, 0): 3}, [0, 0]) == {(0, 1): 3, (1, 0): 3}
     assert sharding.flows({(0, 1): 5, (1, 2): 4, (2, 0): 6}, [0, 0, 0]) == {(0, 1): 4, (1, 2): 4, (2, 0): 4}

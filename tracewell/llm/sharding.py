@@ -135,15 +135,15 @@ def flows(wanted: dict[tuple[int, int], int], free: list[int]) -> dict[tuple[int
 def propagate(groups: DataFrame, quotas: list[int], shards: int, rounds: int) -> DataFrame:
     """Groups (grp, counts array per shard) after the moves; never more than quotas[s] members in shard s."""
     state = groups
-    for _ in range(rounds):
+    for turn in range(rounds):
         used = state.select(F.posexplode("counts").alias("s", "n")).groupBy("s").agg(F.sum("n").alias("n")).collect()
         free = list(quotas)
         for r in used:
             free[r["s"]] -= r["n"]
         most = F.array_max("counts")
-        # The target is the shard with most members; among equals one by the group's hash.
+        # The target is the shard with most members; among equals one by the group's hash, another each round, as what had no counterpart may find one.
         ties = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.element_at("counts", s + 1) == F.element_at("counts", F.array_position("counts", F.array_max("counts")).cast("int")))
-        wish = state.withColumn("t", F.element_at(ties, F.pmod(F.xxhash64("grp"), F.size(ties)).cast("int") + 1)).withColumn("most", most)
+        wish = state.withColumn("t", F.element_at(ties, F.pmod(F.xxhash64("grp", F.lit(turn)), F.size(ties)).cast("int") + 1)).withColumn("most", most)
         moves = wish.select("grp", "t", "most", F.posexplode("counts").alias("s", "n")).where("n > 0 AND s <> t")
         # Uncut edges gained by moving n members to m others: n * m; its class is the power of two.
         moves = moves.withColumn("gain", F.least(F.lit(GAINS - 1), F.floor(F.log2(F.col("n").cast("double") * F.col("most"))).cast("int"))).withColumn("split", F.pmod(F.xxhash64("grp", "s"), F.lit(SPLITS)).cast("int"))
