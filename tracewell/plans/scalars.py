@@ -162,7 +162,8 @@ def id_functions(spark, sf_dir):
 
 
 def date_keys(spark, sf_dir):
-    return adapters.table(spark, sf_dir, "events").select("event_id", *fn.date_keys(F.col("ts").cast("timestamp")))
+    found = adapters.table(spark, sf_dir, "events").select("event_id", *fn.date_keys(F.col("ts").cast("timestamp")))
+    return found.withColumn("day", F.col("day").cast("string"))
 
 
 def payload_tests(spark, sf_dir):
@@ -228,7 +229,7 @@ SQL = {
             CASE t WHEN 1 THEN CAST(3600 AS BIGINT) END AS baseline_window_secs, CASE t WHEN 1 THEN k END AS evaluation_window_secs, CASE t WHEN 1 THEN CAST(3.5 AS DOUBLE) END AS z_score_threshold, CASE t WHEN 2 THEN CAST(-50 AS DOUBLE) END AS change_threshold_pct FROM e""",
     "id_functions": """SELECT event_id, CASE WHEN event_id % 3 = 2 THEN 'none' ELSE md5(event_type) END AS trace_id, make_timestamp(1700000000000000 + event_id * 1234567 // 1000) AS begun,
         '10.0.0.2:80 -> 10.0.0.1:' || (event_id % 65536) AS reversed FROM events""",
-    "date_keys": "SELECT event_id, CAST(ts AS DATE) AS day, CAST(strftime(ts, '%Y%m%d') AS INTEGER) AS day_key, CAST(strftime(ts, '%Y%m') AS INTEGER) AS month_key FROM events",
+    "date_keys": "SELECT event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(strftime(ts, '%Y%m%d') AS INTEGER) AS day_key, CAST(strftime(ts, '%Y%m') AS INTEGER) AS month_key FROM events",
     "payload_tests": "SELECT page_id, page_id % 3 < 2 AS is_http, CAST(least(2048, page_id % 50 * 100 + CASE page_id % 3 WHEN 0 THEN 16 WHEN 1 THEN 17 ELSE 7 END) AS INTEGER) AS kept FROM pages",
     "service_enrich_left": STEPS + """ SELECT netns, seq, kind, CASE WHEN netns = 1004 THEN 'unknown' ELSE 'proj_demo' END AS project_id,
         CASE netns WHEN 1001 THEN 'svc_api_gateway' WHEN 1002 THEN 'svc_user_service' WHEN 1003 THEN 'svc_payment_service' ELSE 'unknown' END AS service_id, CASE WHEN netns = 1004 THEN 'unknown' ELSE 'production' END AS environment_id,

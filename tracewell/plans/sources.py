@@ -61,7 +61,7 @@ def stored_spans(spark, sf_dir):
     path = scratch.path(spark, "spans")
     found = adapters.root_spans(spark, sf_dir).where("start_time < '1995-03-01'")
     tables.write_spans(found, path)
-    return tables.read_spans(spark, path, datetime(1995, 1, 5), datetime(1995, 1, 9)).select("trace_id", "span_id", "project_id", "http_route", "start_time", "duration_us", "_date")
+    return tables.read_spans(spark, path, datetime(1995, 1, 5), datetime(1995, 1, 9)).select("trace_id", "span_id", "project_id", "http_route", "start_time", "duration_us", F.col("_date").cast("string").alias("_date"))
 
 
 def _stream(spark, sf_dir, name):
@@ -104,6 +104,6 @@ SQL = {
     "mapping_file": """SELECT c_custkey + 1000 AS netns, 'p' AS project_id, 'svc_' || c_custkey AS service_id, 'na"me' || chr(92) || 'n}{' || c_custkey AS service_name, 'production' AS environment_id, CASE WHEN c_custkey % 2 = 0 THEN 'c-' || c_custkey ELSE '' END AS container_id FROM customer""",
     "stored_spans": """WITH s AS (SELECT md5(CAST(o_orderkey AS VARCHAR)) AS trace_id, o_orderkey * 1000 + 1 AS span_id, CASE WHEN o_custkey % 10 = 0 THEN 'proj_other' ELSE 'proj_demo' END AS project_id, '/api/orders/:id' AS http_route,
             o_orderdate + to_seconds(o_orderkey % 86400) AS start_time, CAST(floor(o_totalprice) AS BIGINT) AS duration_us FROM orders)
-        SELECT *, CAST(start_time AS DATE) AS _date FROM s WHERE start_time BETWEEN TIMESTAMP '1995-01-05' AND TIMESTAMP '1995-01-09'""",
+        SELECT *, CAST(CAST(start_time AS DATE) AS VARCHAR) AS _date FROM s WHERE start_time BETWEEN TIMESTAMP '1995-01-05' AND TIMESTAMP '1995-01-09'""",
 }
 QUERIES = {f.__name__: f for f in (record_decode, address_fill, synthetic_requests, event_expansion, mapping_file, stored_spans, stream_rollup)}
