@@ -105,3 +105,31 @@ def test_fingerprints_and_ids(spark):
     x = spark.range(1).select(fn.fingerprint(F.lit("r"), F.lit("s"), F.lit("info")), fn.fingerprint(F.lit("r"), F.lit("t"), F.lit("info")), fn.derived_span_id(F.lit("a"))).first()
     assert len(x[0]) == 16 and x[0] != x[1] and x[2] > 0
     assert traces.SUMMARY[0] == "trace_id"
+
+
+def test_lookups_of_what_is_not_there(spark):
+    from tracewell.operators import api
+
+    table = spark.createDataFrame([("rule_1", "n")], "id string, name string")
+    assert api.found(rules.get(table, "rule_1"), "rule rule_1").count() == 1
+    with pytest.raises(api.NotFoundError):
+        api.found(rules.get(table, "rule_2"), "rule rule_2")
+    assert api.health(spark).first().status == "ok"
+
+
+def test_header_value_equals_the_map_of_headers(spark):
+    heads = ["Host: a", "HOST:b ", " Host : c", "host:", "no colon", ": d", "X-Host: e", "Host: f:g", "traceparent: t"]
+    import itertools
+
+    texts = ["GET / HTTP/1.1\r\n" + "\r\n".join(x) + end for x in itertools.permutations(heads, 2) for end in ("\r\n\r\nHost: late\r\n", "\r\n", "")] + ["GET / HTTP/1.1\r\n\r\nHost: body\r\n", "GET / HTTP/1.1", ""]
+    df = spark.createDataFrame([(x.encode(),) for x in texts], "p binary")
+    p = F.col("p")
+    for name in ("host", "traceparent"):
+        bad = df.select(p.cast("string").alias("t"), http.header_value(http.latin(p), name).alias("a"), http.header(http.parse_headers(p), name).alias("b")).where("NOT a <=> b")
+        assert bad.collect() == []
+
+
+def test_alert_ids_order_by_number(spark):
+    kind = "id string, project_id string, status string, severity string, fired_at int"
+    events = spark.createDataFrame([(f"evt_{k}", "p", "firing", "info", 1) for k in (10, 2, 1)], kind)
+    assert [r.id for r in alerting.list_events(events, "p").collect()] == ["evt_1", "evt_2", "evt_10"]
