@@ -186,6 +186,29 @@ def test_word_model_against_brute_force(spark):
             assert abs(got[k] - bits / max(1, len(texts[k].split()))) < 1e-6
 
 
+def test_verdict_of_the_band_by_brute_force(spark):
+    """kept from the scores of all documents: medians and median deviations of each language, worked out plainly."""
+    rng = random.Random(34)
+    texts = [prose(rng.randint(30, 120)) for _ in range(120)] + [" ".join("".join(rng.choice("#~^@xq") for _ in range(4)) for _ in range(80)) for _ in range(5)] + ["ab cd " * 60]
+    docs = spark.createDataFrame([(k, t, ["en", "de", None][k % 3], "s", 0) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(2)
+    scores = perplexity.learned(docs, 5.0, 0.1)[0].collect()
+    got = {r.doc_id: r.kept for r in perplexity.quality_rules(docs).collect()}
+    middle = lambda x: (np.floor(x * 256) + 0.5) / 256
+    lower = lambda x: sorted(x)[(len(x) - 1) // 2]
+    for lang in ("en", "de", None):
+        mine = [r for r in scores if r.lang == lang]
+        fine = [r for r in mine if r.n_words >= 50 and 100 * r.n_repeat_words <= 50 * r.n_words]
+        band = {}
+        for c in ("bits", "word_bits"):
+            values = [middle(r[c]) for r in fine]
+            m = lower(values)
+            band[c] = (m, max(5.0 * 1.4826 * lower([abs(v - m) for v in values]), 0.1))
+        for r in mine:
+            inside = abs(r.bits - band["bits"][0]) <= band["bits"][1] and r.word_bits <= sum(band["word_bits"])
+            assert got[r.doc_id] == (r in fine and inside)
+    assert {True, False} == set(got.values())
+
+
 def test_each_language_has_its_own_band(spark):
     rng = random.Random(33)
     rows, noise = [], []
@@ -463,6 +486,69 @@ def test_gam_learns_pairs_and_odd_inputs(spark):
     assert features.features([]).shape == (0, len(features.NAMES)) and not features.features([b""]).any()
 
 
+def test_quality_scores_by_plain_lookups(spark):
+    """The same fit on one machine, and each score as a sum of table entries found by bisection."""
+    import bisect
+    import zlib
+
+    texts = [prose(60) for _ in range(40)] + [" ".join(prose(9).upper() + "!!" for _ in range(5)) for _ in range(40)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, int(k < 40), 0) for k in range(80)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.score for r in quality_gam.quality_scores(docs, labels).collect()}
+    x = features.features([(t or "").encode() for t in texts])
+    learnt = sorted((*x[k].tolist(), int(k < 40)) for k in range(80) if zlib.crc32(str(k).encode()) % 3 != 1)
+    fitted = np.array(learnt)
+    model = quality_gam.fit_gam(fitted[:, :-1], fitted[:, -1])
+    for k in range(len(texts)):
+        fine = [bisect.bisect_right(c.tolist(), v) for c, v in zip(model.cuts, x[k])]
+        rough = [bisect.bisect_right(c.tolist(), v) for c, v in zip(model.coarse, x[k])]
+        margin = model.intercept + sum(t[b] for t, b in zip(model.tables, fine)) + sum(t[rough[i], rough[j]] for i, j, t in model.pairs)
+        assert got[k] == pytest.approx(1 / (1 + np.exp(-margin)), abs=1e-9)
+
+
+def test_toxic_lexicon_and_scores_by_brute_force(spark):
+    rng = random.Random(16)
+    texts = []
+    for k in range(160):
+        w = prose(40).split()
+        for _ in range(k // 12 if k % 4 == 0 else 0):
+            w.insert(rng.randrange(len(w)), rng.choice(["grobble", "snark", "vexit"]))
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(160)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels)
+    import zlib
+
+    learnt = [k for k in range(160) if zlib.crc32(str(k).encode()) % 5]
+    sets = {y: Counter(w for k in learnt if (k % 4 == 0) == y for w in set(texts[k].lower().split())) for y in (True, False)}
+    total = {y: sum(c.values()) for y, c in sets.items()}
+    both = total[True] + total[False]
+    want = {}
+    for w in {*sets[True], *sets[False]}:
+        t, c = sets[True][w], sets[False][w]
+        alpha = 0.1 * (t + c)
+        odds = [np.log((n + alpha) / (m + 0.1 * both - n - alpha)) for n, m in ((t, total[True]), (c, total[False]))]
+        if (odds[0] - odds[1]) / np.sqrt(1 / (t + alpha) + 1 / (c + alpha)) >= 4.5:
+            want[w.encode()] = odds[0] - odds[1]
+    assert want and model.weights.keys() == want.keys() and all(abs(model.weights[w] - x) < 1e-9 for w, x in want.items())
+    got = {r.doc_id: r.score for r in toxicity.scored(docs, model).collect()}
+
+    def brute(scores):
+        if not scores or max(scores) <= 0:
+            return []
+        _, _, _, a, b = max((sum(scores[a:b]), -(b - a), -a, a, b) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1))
+        return [*brute(scores[:a]), sum(scores[a:b]), *brute(scores[b:])]
+
+    for k in range(0, 160, 4):
+        tokens = texts[k].lower().split()
+        expected = [np.log(model.scale * len(tokens)) - model.decay * x for x in brute([model.weights.get(w.encode(), -model.loss) for w in tokens])]
+        strong = [-e for e in expected if e < np.log(model.level)]
+        found = sum(strong) if strong else -min(expected) if expected else -model.bound
+        found = model.bound + np.log1p(found - model.bound) if found > model.bound else max(found, -model.bound)
+        assert got[k] == pytest.approx(1 / (1 + np.exp(-(model.slope * found + model.intercept))), abs=1e-6)
+    assert len({round(got[k], 12) for k in range(100, 160, 4)}) > 5
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     bad = ["grobble", "snark", "vexit"]
