@@ -133,3 +133,13 @@ def test_alert_ids_order_by_number(spark):
     kind = "id string, project_id string, status string, severity string, fired_at int"
     events = spark.createDataFrame([(f"evt_{k}", "p", "firing", "info", 1) for k in (10, 2, 1)], kind)
     assert [r.id for r in alerting.list_events(events, "p").collect()] == ["evt_1", "evt_2", "evt_10"]
+
+
+def test_scratch_tables_are_cleared_by_age(spark, tmp_path, monkeypatch):
+    from tracewell.sources import scratch
+
+    monkeypatch.setattr(scratch, "root", lambda _: f"file://{tmp_path}/tables")
+    assert scratch.clear(spark) == 0
+    kept = scratch.written(spark.range(3), "some")
+    assert scratch.clear(spark) == 0 and kept.count() == 3
+    assert scratch.clear(spark, older_than_hours=-1) == 1
