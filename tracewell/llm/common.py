@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -13,25 +12,19 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.sources import scratch
+
 #: Words of several contracts: runs without ASCII white space.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORD_BYTES = re.compile(rb"[^\x20\x09-\x0D]+")
 
-FALLBACK_DIR = "/tmp/checkpoints"
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors share.
-
-    The cluster names that folder in spark.checkpoint.dir; only where it is unset
-    (tests on one machine) a local folder takes its place.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{FALLBACK_DIR}"
-    return f"{root.rstrip('/')}/tracewell/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the folder that all executors share, which spark.checkpoint.dir names; only a local master may go without it."""
+    return scratch.path(spark, name)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
