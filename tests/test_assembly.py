@@ -89,6 +89,15 @@ def test_seventy_open_requests_leave_the_newest_64(spark):
     assert sorted(int(s.http_path[1:]) for s in spans(spark, rows)) == list(range(6, 70))
 
 
+def test_nulls(spark):
+    """A null namespace is 0, null addresses are equal, null payloads are empty, and other kinds mean nothing."""
+    rows = [(0, 0, None, "send", None, None, None, None, GET), (1, 500_000, 0, "recv", None, None, None, None, OK), (2, 1, 1, "send", None, None, None, None, None), (3, 1, 1, None, "a", 1, "b", 2, GET), (4, 9, 1, "odd", "a", 1, "b", 2, GET)]
+    df = spark.createDataFrame(rows, DDL)
+    for form in (assembly.assemble, assembly.assemble_stateful):
+        (s,) = form(df).collect()
+        assert (s.netns, s.duration_us, s.http_status) == (0, 500, 200)
+
+
 def test_no_events_give_no_spans(spark):
     assert assembly.assemble(events(spark, [(0, 1, "send", 5, GET)]).limit(0)).count() == 0
 

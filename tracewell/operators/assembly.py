@@ -45,11 +45,14 @@ def parsed(events: DataFrame, *more: str) -> DataFrame:
     """What assembly reads of each event: requests, responses, and whether it makes the connection known.
 
     Each step is read more than once by the next, so that no text is worked out twice. more: columns of events that pass through.
+    A null namespace is 0; null addresses are one with each other; an unknown or null kind is an event without meaning.
     """
     p = F.col("payload")
     data = F.col("kind").isin("send", "recv")
     empty = F.coalesce(F.octet_length(p), F.lit(0)) == 0
-    conn = F.concat(F.col("src_ip"), F.lit(":"), F.col("src_port").cast("string"), F.lit(">"), F.col("dst_ip"), F.lit(":"), F.col("dst_port").cast("string"))
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    conn = F.concat(shown("src_ip"), F.lit(":"), shown("src_port"), F.lit(">"), shown("dst_ip"), F.lit(":"), shown("dst_port"))
+    events = events.withColumn("netns", F.coalesce("netns", F.lit(0).cast("bigint")))
     # Payloads that can't be HTTP are never decoded.
     out = events.select("seq", F.col("timestamp_ns").alias("ts"), "netns", "kind", "src_ip", "src_port", "dst_ip", "dst_port", "payload", conn.alias("conn"), F.when(data & http.passes_prefilter(p), http.latin(p)).alias("t"), (data & empty).alias("blank"), *more)
     asks, answers = F.col("t").rlike(http.REQUEST_PREFIX), F.col("t").startswith("HTTP/")
