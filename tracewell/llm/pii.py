@@ -284,7 +284,8 @@ def redacted(docs: DataFrame) -> DataFrame:
     n_chars, where there is such a column, follows the new text.
     """
     found = with_spans(docs)
-    weights = fit(written(found.select("candidates").where(F.size("candidates") > 0), "pii-candidates"))
+    # All rows, as a filter on the candidates would work them out twice.
+    weights = fit(written(found.select("candidates"), "pii-candidates"))
     out = found.withColumn("every", _all_spans(weights))
     out = out.withColumn("redacted", F.when(F.size("every") > 0, _redaction()))
     changed = {"text": F.coalesce("redacted", "row.text")}
