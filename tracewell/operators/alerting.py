@@ -7,14 +7,18 @@ samples of their second in arrival order, as quantiles and spreads are over thos
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.spans import compare, fingerprint, ratio
+from tracewell.operators import sliding
 from tracewell.operators.rules import number_of
 
 KEYS = ["project_id", "service_id"]
 SAMPLES = 100
+LATENCIES = {"p99_latency_us": 0.99, "p95_latency_us": 0.95, "p50_latency_us": 0.5}
 
 
 def buckets(observations: DataFrame, samples: int | None = SAMPLES, gather: bool = True) -> DataFrame:
@@ -36,17 +40,19 @@ def buckets(observations: DataFrame, samples: int | None = SAMPLES, gather: bool
     )
 
 
-def over_range(bucket_rows: DataFrame, frames: dict[str, tuple[int, int]]) -> DataFrame:
-    """Aggregates of the seconds in (sec - a, sec - b] for each named frame (a, b), at every bucket; of samples if the buckets have them."""
-    order = Window.partitionBy(*KEYS).orderBy("sec")
-    out = {}
-    for name, (a, b) in frames.items():
-        w = order.rangeBetween(-(a - 1), -b)
-        total = lambda c: F.coalesce(F.sum(c).over(w), F.lit(0))  # noqa: E731, B023
-        out |= {f"{name}_count": total("count"), f"{name}_errors": total("errors"), f"{name}_sum_us": total("sum_us"), f"{name}_min_us": F.min("min_us").over(w), f"{name}_max_us": F.max("max_us").over(w), f"{name}_s_n": total("s_n")}
-        if "samples" in bucket_rows.columns:
-            out |= {f"{name}_s_sum": total("s_sum"), f"{name}_s_squares": total("s_squares").cast("decimal(38,0)"), f"{name}_samples": F.array_sort(F.flatten(F.collect_list("samples").over(w)))}
-    return bucket_rows.withColumns(out)
+def over_range(bucket_rows: DataFrame, frames: dict[str, tuple[int, int]], latencies: bool = True) -> DataFrame:
+    """Aggregates of the seconds in (sec - a, sec - b] for each named frame (a, b), at every bucket.
+
+    If the buckets have samples, of them too: their number, sums and, as {frame}_{metric}, the
+    latencies by nearest rank (not without latencies); the samples themselves are left out then.
+    """
+    sampled = "samples" in bucket_rows.columns
+    out = sliding.with_sums(bucket_rows, KEYS, ["count", "errors", "sum_us", "s_n", *(["s_sum", "s_squares"] if sampled else [])], frames)
+    out = sliding.with_extremes(out, KEYS, "min_us", "max_us", frames)
+    if not sampled:
+        return out
+    out = out.withColumns({f"{name}_s_squares": F.col(f"{name}_s_squares").cast("decimal(38,0)") for name in frames})
+    return sliding.with_quantiles(out, KEYS, "samples", frames, LATENCIES) if latencies else out.drop("samples")
 
 
 def accepted(observations: DataFrame, capacity: int = 3600) -> DataFrame:
@@ -79,11 +85,9 @@ def newest(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_last", F.max("sec").over(Window.partitionBy(*KEYS))).where("sec = _last").drop("_last")
 
 
-def nearest_rank(samples: Column, p: float) -> Column:
-    """The sample of rank ceil(n p), 0 without samples; samples are sorted."""
-    n = F.size(samples)
-    rank = F.greatest(F.lit(1), F.least(n, F.ceil(n * F.lit(p)).cast("int")))
-    return F.when(n > 0, F.try_element_at(samples, rank)).otherwise(F.lit(0)).cast("double")
+def rank_of(n: int, p: float) -> int:
+    """The nearest rank ceil(n p), from 1."""
+    return max(1, min(n, math.ceil(n * p)))
 
 
 def mean_of(name: str) -> Column:
@@ -103,9 +107,6 @@ def fixed(value: Column, digits: int) -> Column:
     return F.format_string(f"%.{digits}f", F.bround(value, digits))
 
 
-LATENCIES = {"p99_latency_us": 0.99, "p95_latency_us": 0.95, "p50_latency_us": 0.5}
-
-
 def metric_of(metric: str, name: str) -> Column:
     """Value of a metric over the frame of that name."""
     count, errors = F.col(f"{name}_count"), F.col(f"{name}_errors")
@@ -113,7 +114,7 @@ def metric_of(metric: str, name: str) -> Column:
         return ratio(errors, count)
     if metric == "request_count":
         return count.cast("double")
-    return nearest_rank(F.col(f"{name}_samples"), LATENCIES[metric])
+    return F.col(f"{name}_{metric}")
 
 
 def metric_spread(metric: str, name: str) -> Column:
@@ -140,6 +141,15 @@ def evaluate(observations: DataFrame, rules: DataFrame, rule_rows: list, every_s
     has and that are on count. All of them are answered in one pass over the buckets, which keep
     samples only if some rule looks at latencies.
     """
+    rows = over_range(buckets(observations, samples, any(r["metric"] in LATENCIES for r in rule_rows)), frames_of(rule_rows))
+    if not every_second:
+        rows = newest(rows)
+    on = rules.where("enabled").select(F.col("id").alias("rule_id"))
+    return judged(rows, rule_rows).join(on, "rule_id", "left_semi")
+
+
+def frames_of(rule_rows: list[dict]) -> dict[str, tuple[int, int]]:
+    """The frames that rules look at, by name."""
     frames: dict[str, tuple[int, int]] = {}
     for r in rule_rows:
         if r["rule_type"] == "threshold":
@@ -150,9 +160,11 @@ def evaluate(observations: DataFrame, rules: DataFrame, rule_rows: list, every_s
         else:
             w = r["window_secs"]
             frames |= {_frame(2 * w, w): (2 * w, w), _frame(w, 0): (w, 0)}
-    rows = over_range(buckets(observations, samples, any(r["metric"] in LATENCIES for r in rule_rows)), frames)
-    if not every_second:
-        rows = newest(rows)
+    return frames
+
+
+def judged(rows: DataFrame, rule_rows: list[dict]) -> DataFrame:
+    """Verdicts of the rules on rows with the aggregates of their frames."""
     found = []
     for r in rule_rows:
         fields = {"rule_id": F.lit(r["id"]), "rule_name": F.lit(r["name"]), "severity": F.lit(r["severity"]), "cooldown_secs": F.lit(r["cooldown_secs"]).cast("bigint")} | _verdict(r)
@@ -160,8 +172,7 @@ def evaluate(observations: DataFrame, rules: DataFrame, rule_rows: list, every_s
         found.append(F.when(scope, F.struct(*[v.alias(k) for k, v in fields.items()])))
     out = rows.select("project_id", "service_id", "sec", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("v"))
     out = out.select("v.rule_id", "v.rule_name", "project_id", "service_id", "v.severity", "v.cooldown_secs", "sec", "v.fired", "v.metric_value", "v.threshold_value", "v.message")
-    on = rules.where("enabled").select(F.col("id").alias("rule_id"))
-    return out.join(on, "rule_id", "left_semi").withColumn("fingerprint", fingerprint(F.col("rule_id"), F.col("service_id"), F.col("severity")))
+    return out.withColumn("fingerprint", fingerprint(F.col("rule_id"), F.col("service_id"), F.col("severity")))
 
 
 def _frame(a: int, b: int) -> str:

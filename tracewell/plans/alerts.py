@@ -57,22 +57,22 @@ def bucket_first_samples(spark, sf_dir):
 
 
 def trailing_window(spark, sf_dir):
-    rows = alerting.trailing(alerting.buckets(adapters.observations(spark, sf_dir)), W)
+    rows = alerting.trailing(alerting.buckets(adapters.observations(spark, sf_dir), gather=False), W)
     return rows.select("service_id", "sec", "w_count", "w_errors", "w_sum_us", "w_min_us", "w_max_us")
 
 
 def range_window(spark, sf_dir):
-    rows = alerting.over_range(alerting.buckets(adapters.observations(spark, sf_dir)), {"w": (2 * W, W)})
+    rows = alerting.over_range(alerting.buckets(adapters.observations(spark, sf_dir), gather=False), {"w": (2 * W, W)})
     return rows.select("service_id", "sec", "w_count", "w_errors", "w_sum_us")
 
 
 def nearest_rank_percentile(spark, sf_dir):
     rows = alerting.trailing(alerting.buckets(adapters.observations(spark, sf_dir)), W)
-    return rows.select("service_id", "sec", *[alerting.nearest_rank(F.col("w_samples"), p).alias(f"p{round(p * 100)}") for p in (0.5, 0.95, 0.99)])
+    return rows.select("service_id", "sec", *[F.col(f"w_p{p}_latency_us").alias(f"p{p}") for p in (50, 95, 99)])
 
 
 def zscore_baseline(spark, sf_dir):
-    rows = alerting.over_range(alerting.buckets(adapters.observations(spark, sf_dir)), {"b": (168, W)})
+    rows = alerting.over_range(alerting.buckets(adapters.observations(spark, sf_dir)), {"b": (168, W)}, latencies=False)
     return rows.select("service_id", "sec", F.col("b_s_n").cast("int").alias("n"), F.round(alerting.mean_of("b"), 3).alias("mean"), F.round(alerting.spread_of("b"), 3).alias("stddev"))
 
 
