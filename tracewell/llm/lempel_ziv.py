@@ -19,6 +19,7 @@ enough.
 Defined cases: null and empty texts have no words; texts under min_words words keep all; a
 null doc_id counts as greater than any other; of rows with one doc_id none is earlier than another;
 an empty table gives an empty result; only doc_id and text are read; a text is never cut.
+Words are compared by 64-bit hashes, windows round hot anchors by 128-bit ones.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import bytes_of, key_of, slices, text_key, written
+from tracewell.llm.substrings import POWERS, SPACE, VALUES
 from tracewell.llm.suffix import common_prefixes, nearest_before, suffix_order
 
 GRAM = 4
@@ -40,44 +42,60 @@ LAST = (1 << 63) - 1
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Hashes(dict):
-    """Hash of a word, remembered while a block of texts is read."""
-
-    def __missing__(self, word: bytes) -> int:
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(32))
 
 
-def anchors(texts: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, place, hash) of all anchors of texts, by text and place."""
+class Words:
+    """The words of some texts: their hashes, and their places in raw, all texts one after another."""
+
+    def __init__(self, texts: list[bytes], chunk: int = 1 << 17):
+        self.raw = b" ".join(texts) + b" "
+        raw = np.frombuffer(self.raw, np.uint8)
+        gap = SPACE[raw]
+        edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+        edges = np.concatenate([[0], edge]) if not gap[0] else edge
+        self.starts, self.stops = edges[::2], edges[1::2]
+        sizes = np.array([len(x) + 1 for x in texts], np.int64)
+        self.counts = np.diff(np.searchsorted(self.starts, np.concatenate([[0], np.cumsum(sizes)])))
+        self.hashes = np.empty(len(self.starts), np.uint64)
+        for k in range(0, len(self.starts), chunk):
+            own = slice(k, k + chunk)
+            starts = self.starts[own]
+            first, last = starts[0], self.stops[own][-1]
+            place = np.arange(first, last) - np.repeat(starts, np.diff(np.append(starts, last)))
+            terms = VALUES[raw[first:last]] * POWERS[place & 4095]
+            terms[gap[first:last]] = 0
+            self.hashes[own] = np.add.reduceat(terms, starts - first)
+        self.hashes = _mixed(self.hashes)
+
+
+def anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, place among all words, hash) of all anchors, in order of place."""
     gram = min(GRAM, window)
-    known = Hashes()
-    sizes = np.array([len(x) for x in texts], np.int64)
-    words = np.fromiter((known[w] for x in texts for w in x), np.uint64, int(sizes.sum()))
-    n = len(words)
+    n = len(words.hashes)
     none = np.zeros(0, np.int64)
     if n < window:
         return none, none, none
-    g = np.zeros(n - gram + 1, np.uint64)
-    for j in range(gram):
-        g = g * MIX + words[j : j + len(g)]
+    g = words.hashes[: n - gram + 1].copy()
+    for j in range(1, gram):
+        g *= MIX
+        g += words.hashes[j : j + len(g)]
     g = _mixed(g)
     span = window - gram + 1
+    owner = np.repeat(np.arange(len(words.counts)), words.counts)
+    # 0 for windows that reach over a text's end; then an anchor equals the least of some window that holds it.
     least = g[: n - window + 1].copy()
     for j in range(1, span):
         np.minimum(least, g[j : j + len(least)], out=least)
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    inside = owner[: n - window + 1] == owner[window - 1 :]
-    chosen = np.zeros(len(g), bool)
+    least *= owner[: n - window + 1] == owner[window - 1 :]
+    most = np.zeros(len(g), np.uint64)
     for j in range(span):
-        chosen[j : j + len(least)] |= inside & (least == g[j : j + len(least)])
-    at = np.flatnonzero(chosen)
-    return owner[at], at - (np.cumsum(sizes) - sizes)[owner[at]], g[at].view(np.int64)
+        part = most[j : j + len(least)]
+        np.maximum(part, least, out=part)
+    at = np.flatnonzero((g == most) & (most > 0))
+    return owner[at], at, g[at].view(np.int64)
 
 
 def anchor_rows(docs: DataFrame, window: int) -> DataFrame:
@@ -85,41 +103,59 @@ def anchor_rows(docs: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1_000_000):
+            for part in slices(batch, "text"):
                 rows = {(d, k): x for d, k, x in zip(part.column("doc_id").to_pylist(), part.column("text_hash").to_pylist(), bytes_of(part))}
                 ids, keys = (np.array(x, np.int64) for x in zip(*rows))
-                owner, _, h = anchors([x.split() for x in rows.values()], window)
+                owner, _, h = anchors(Words(list(rows.values())), window)
                 yield pa.record_batch([pa.array(h), pa.array(ids[owner]), pa.array(keys[owner])], ["h", "doc_id", "text_hash"])
 
     return docs.select("doc_id", "text", "text_hash").mapInArrow(run, "h long, doc_id long, text_hash long")
 
 
-STRETCH_SCHEMA = "h long, key binary, doc_id long, at long, stretch binary, whole binary"
+STRETCH_SCHEMA = "h long, key binary, doc_id long, at long, stretch binary, whole binary, members array<struct<key:binary,doc_id:long,at:long>>"
 
 
 def stretches(texts: DataFrame, window: int) -> DataFrame:
-    """Stretches round the anchors of each text (wanted: h and hot), or, round hot ones, the 16-byte hashes of their windows."""
+    """Stretches round the anchors of each text (wanted: h and hot), or, round hot ones, their windows.
+
+    A window is told by a 16-byte hash, with all places that have it among the texts at hand, so
+    that a passage in any number of texts sends one row for each lot of them.
+    """
     gram = min(GRAM, window)
+    place = pa.struct([("key", pa.binary()), ("doc_id", pa.int64()), ("at", pa.int64())])
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(place)]
+    names = ["h", "key", "doc_id", "at", "stretch", "whole", "members"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1_000_000):
-                texts = [x.split() for x in bytes_of(part)]
-                wanted = [({x["h"] for x in w if not x["hot"]}, {x["h"] for x in w if x["hot"]}) for w in part.column("wanted").to_pylist()]
+            for part in slices(batch, "text", 4_000_000):
+                words = Words(bytes_of(part))
+                first = np.concatenate([[0], np.cumsum(words.counts)]).tolist()
+                wanted = [{x["h"]: x["hot"] for x in w} for w in part.column("wanted").to_pylist()]
                 keys, ids = part.column("key").to_pylist(), part.column("doc_id").to_pylist()
-                rows, hot = [], {}
-                for t, p, h in zip(*(x.tolist() for x in anchors(texts, window))):
-                    words = texts[t]
-                    if h in wanted[t][0]:
-                        low = max(0, p + gram - window)
-                        rows.append((h, keys[t], ids[t], low, b" ".join(words[low : p + window]), None))
-                    elif h in wanted[t][1]:
-                        hot.setdefault(t, set()).update(range(max(0, p + gram - window), min(p, len(words) - window) + 1))
+                raw, starts, stops = words.raw, words.starts.tolist(), words.stops.tolist()
+                rows: list[tuple] = []
+                hot: dict[int, set[int]] = {}
+                owner, at, h = anchors(words, window)
+                some = np.isin(h, np.fromiter({x for w in wanted for x in w}, np.int64))
+                for t, p, x in zip(owner[some].tolist(), at[some].tolist(), h[some].tolist()):
+                    kind = wanted[t].get(x)
+                    if kind is None:
+                        continue
+                    low = max(first[t], p + gram - window)
+                    if kind:
+                        hot.setdefault(t, set()).update(range(low, min(p, first[t + 1] - window) + 1))
+                        continue
+                    high = min(p + window, first[t + 1])
+                    rows.append((x, keys[t], ids[t], low - first[t], raw[starts[low] : stops[high - 1]], None, None))
+                windows: dict[bytes, list[tuple]] = {}
                 for t, places in hot.items():
-                    rows += [(None, keys[t], ids[t], p, None, xxhash.xxh3_128_digest(b" ".join(texts[t][p : p + window]))) for p in sorted(places)]
-                kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                    for p in sorted(places):
+                        whole = xxhash.xxh3_128_digest(b" ".join(raw[starts[p] : stops[p + window - 1]].split()))
+                        windows.setdefault(whole, []).append((keys[t], ids[t], p - first[t]))
+                rows += [(None, None, min(m[1] for m in x), None, None, w, [dict(zip(("key", "doc_id", "at"), m)) for m in x]) for w, x in windows.items()]
                 for k in range(0, len(rows), 20_000):
-                    yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows[k : k + 20_000]), kinds)], ["h", "key", "doc_id", "at", "stretch", "whole"])
+                    yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows[k : k + 20_000]), kinds)], names)
 
     return texts.mapInArrow(run, STRETCH_SCHEMA)
 
@@ -163,7 +199,7 @@ def parsed(longest: np.ndarray, begin: np.ndarray, end: np.ndarray, window: int)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     while len(number):
         length = np.maximum(longest[at], 1)
-        big = length >= window
+        big = longest[at] >= window
         found.append((number[big], at[big], (at + length)[big]))
         # At the boundary: windows that start in this factor and reach over its end.
         for back in range(1, window):
@@ -188,22 +224,32 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _block_repeats(rows: list[tuple], window: int) -> dict[bytes, list[tuple[int, int]]]:
     """Spans (by word number) of each text's repeats in a block of rows (key, doc_id, at, stretch)."""
-    numbers: dict[bytes, int] = {}
-    texts = [r[3].split() for r in rows]
-    sizes = np.array([len(x) + 1 for x in texts], np.int64)
+    distinct: dict[bytes, int] = {}
+    for _, d, _, x in rows:
+        if distinct.setdefault(x, d) > d:
+            distinct[x] = d
+    words = Words(list(distinct))
+    sizes = words.counts + 1
     end = np.cumsum(sizes) - 1
     begin = end - sizes + 1
     symbols = np.empty(int(sizes.sum()), np.int64)
     inner = np.ones(len(symbols), bool)
     inner[end] = False
-    symbols[inner] = [numbers.setdefault(w, len(numbers)) for x in texts for w in x]
-    symbols[end] = len(numbers) + np.arange(len(end))  # ends differ, so that no piece crosses them
-    ids = np.repeat(np.array([r[1] for r in rows], np.int64), sizes)
+    symbols[inner] = words.hashes.view(np.int64)
+    symbols[end] = np.arange(len(end))  # ends differ, so that no piece crosses them
+    ids = np.repeat(np.fromiter(distinct.values(), np.int64), sizes)
     longest = longest_earlier(symbols, ids, 2 * window)
-    out: dict[bytes, list[tuple[int, int]]] = {}
+    found: dict[int, list[tuple[int, int]]] = {}
     for k, a, b in zip(*(x.tolist() for x in parsed(longest, begin, end, window))):
-        at = rows[k][2] - int(begin[k])
-        out.setdefault(rows[k][0], []).append((a + at, b + at))
+        found.setdefault(k, []).append((a - int(begin[k]), b - int(begin[k])))
+    number = {x: k for k, x in enumerate(distinct)}
+    out: dict[bytes, list[tuple[int, int]]] = {}
+    for key, d, at, x in rows:
+        # A stretch that an earlier document has as it is repeats as a whole.
+        k = number[x]
+        spans = found.get(k, ()) if d == distinct[x] else [(0, int(words.counts[k]))] if words.counts[k] >= window else ()
+        if spans:
+            out.setdefault(key, []).extend((a + at, b + at) for a, b in spans)
     return {k: _merged(x) for k, x in out.items()}
 
 
@@ -212,34 +258,41 @@ SPAN_SCHEMA = "key binary, spans array<struct<start:long,stop:long>>"
 
 def block_spans(rows: DataFrame, window: int, block_words: int = 60_000) -> DataFrame:
     """(key, spans) of repeats among the stretches of each anchor; anchors share blocks of about so many words."""
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-
-    def found(block: list[tuple]) -> pa.RecordBatch:
-        spans = _block_repeats(block, window)
-        return pa.record_batch([pa.array(list(spans), pa.binary()), pa.array([[{"start": a, "stop": b} for a, b in x] for x in spans.values()], kind)], ["key", "spans"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: list[tuple] = []
         last = None
         for batch in batches:
             for h, *row in zip(*(batch.column(x).to_pylist() for x in ("h", "key", "doc_id", "at", "stretch"))):
                 if h != last and len(block) * (2 * window - GRAM) >= block_words:
-                    yield found(block)
+                    yield _span_batch(_block_repeats(block, window))
                     block = []
                 block.append(tuple(row))
                 last = h
         if block:
-            yield found(block)
+            yield _span_batch(_block_repeats(block, window))
 
     return rows.repartition("h").sortWithinPartitions("h").select("h", "key", "doc_id", "at", "stretch").mapInArrow(run, SPAN_SCHEMA)
 
 
+def _span_batch(spans: dict[bytes, list[tuple[int, int]]]) -> pa.RecordBatch:
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+    return pa.record_batch([pa.array(list(spans), pa.binary()), pa.array([[{"start": a, "stop": b} for a, b in _merged(x)] for x in spans.values()], kind)], ["key", "spans"])
+
+
 def hot_spans(rows: DataFrame, window: int) -> DataFrame:
     """(key, spans) of the windows round hot anchors that an earlier document holds."""
     least = rows.groupBy("whole").agg(F.min("doc_id").alias("first")).withColumnRenamed("whole", "w")
-    later = rows.join(least, (F.col("whole") == F.col("w")) & (F.col("first") < F.col("doc_id")))
-    span = F.struct(F.col("at").alias("start"), (F.col("at") + window).alias("stop"))
-    return later.groupBy("key").agg(F.collect_list(span).alias("spans"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans: dict[bytes, list[tuple[int, int]]] = {}
+            for first, members in zip(batch.column("first").to_pylist(), batch.column("members").to_pylist()):
+                for m in members:
+                    if m["doc_id"] > first:
+                        spans.setdefault(m["key"], []).append((m["at"], m["at"] + window))
+            yield _span_batch(spans)
+
+    return rows.join(least, F.col("whole") == F.col("w")).select("first", "members").mapInArrow(run, SPAN_SCHEMA)
 
 
 def remaining(texts: DataFrame) -> DataFrame:
