@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tracewell.functions.spans import lookback_secs
 from tracewell.operators import alerting, api, rules as rule_ops
 from tracewell.schema import RULE_DDL
-from tracewell.sources import adapters
+from tracewell.sources import adapters, scratch
+from tracewell.streaming import alert_windows
 
 W = 24
 SUMS = ("s_n", "s_sum", "s_squares")
@@ -138,6 +139,40 @@ def late_data(spark, sf_dir):
     return alerting.accepted(o.withColumn("sec", F.col("sec") - F.when(k % 7 == 0, k % 60).otherwise(0)), capacity=W).select("service_id", "sec", "arrival_seq")
 
 
+PARTS = 8
+MAX_AGE = 150
+
+
+def _streamed(spark, sf_dir, found):
+    """What found makes of a stream of the observations, PARTS batches of arrival order; run to the end, state in RocksDB."""
+    root = scratch.path(spark, "stream")
+    o = adapters.observations(spark, sf_dir)
+    last = o.agg(F.max("arrival_seq")).first()[0] or 0
+    part = F.floor(F.col("arrival_seq") * PARTS / (last + 1))
+    for k in range(PARTS):  # one after another, so that a stream of files takes them in order
+        o.where(part == k).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(o.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    alert_windows.rocksdb(spark)
+    try:
+        found(stream).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.parquet(f"{root}/out")
+
+
+def stream_verdicts(spark, sf_dir):
+    """Verdicts at each service's newest second after every batch, from windows kept as state."""
+    return _shown(_streamed(spark, sf_dir, lambda o: alert_windows.verdict_stream(o, rule_rows("r1", "r7"))))
+
+
+def stream_alert_events(spark, sf_dir):
+    """Alerts of a stream as they fire and resolve."""
+    found = _streamed(spark, sf_dir, lambda o: alert_windows.alert_stream(o, rule_rows("r1", "r7"), MAX_AGE))
+    return found.select("fingerprint", "rule_id", "service_id", "status", F.unix_timestamp("fired_at").alias("fired_sec"), F.unix_timestamp("resolved_at").cast("string").alias("resolved_sec"))
+
+
 def health(spark, sf_dir):
     return api.health(spark)
 
@@ -266,7 +301,20 @@ SPOKE = f"""{FIRED.replace("WITH obs", "WITH RECURSIVE obs", 1)}, spoke AS (SELE
     SELECT s.fingerprint, min(f.sec) FROM spoke s JOIN f ON f.fingerprint = s.fingerprint AND f.sec >= s.sec + 48 GROUP BY s.fingerprint)"""
 NAMED = f"""{CANDIDATES}, r AS (SELECT c.id, c.k, c.name, CASE WHEN c.k = 2 THEN repeat('p', 129) ELSE c_mktsegment END AS project_id, CASE WHEN c.k = 4 THEN 'loud' ELSE 'info' END AS severity FROM c JOIN customer ON c.id = 'rule_' || c_custkey)"""
 
+STREAMED = f"""WITH o AS (SELECT 'svc_' || (user_id % 4) AS service_id, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS sec, event_type = 'error' AS e, event_id * {PARTS} // (max(event_id) OVER () + 1) AS part FROM events),
+    n AS (SELECT part, service_id, max(sec) AS sec FROM o GROUP BY ALL),
+    x AS (SELECT n.part, n.service_id, n.sec, count(*) FILTER (o.sec > n.sec - {W}) AS count, count(*) FILTER (o.sec > n.sec - {W} AND e) AS errors, count(*) FILTER (o.sec <= n.sec - {W}) AS before
+        FROM n JOIN o ON o.service_id = n.service_id AND o.part <= n.part AND o.sec > n.sec - {2 * W} GROUP BY ALL),
+    v AS (SELECT 'r1' AS rule_id, 'proj_demo' AS project_id, service_id, 'critical' AS severity, sec, count >= 10 AND errors / count > 0.1 AS fired, round(CASE WHEN count >= 10 THEN errors / count ELSE CAST(0 AS DOUBLE) END, 6) AS metric_value,
+            CAST(0.1 AS DOUBLE) AS threshold_value, {_finger('r1', 'critical')} AS fingerprint, 48 AS cooldown FROM x
+        UNION ALL SELECT 'r7', 'proj_demo', service_id, 'info', sec, before > 0 AND (count - before) / nullif(before, 0) * 100 <= -20, CAST(count AS DOUBLE), CASE WHEN before > 0 THEN CAST(before AS DOUBLE) ELSE CAST(-20 AS DOUBLE) END, {_finger('r7', 'info')}, 24 FROM x)"""
+
 SQL = {
+    "stream_verdicts": f"{STREAMED} SELECT * EXCLUDE (cooldown) FROM v",
+    "stream_alert_events": f"""{STREAMED}, f AS (SELECT *, sec - lag(sec) OVER own AS gap, lead(sec) OVER own - sec AS next FROM v WHERE fired WINDOW own AS (PARTITION BY fingerprint ORDER BY sec)),
+        g AS (SELECT *, last_value(CASE WHEN gap IS NULL OR gap >= {MAX_AGE} THEN sec END IGNORE NULLS) OVER (PARTITION BY fingerprint ORDER BY sec ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS first FROM f)
+        SELECT fingerprint, rule_id, service_id, 'firing' AS status, sec AS fired_sec, CAST(NULL AS VARCHAR) AS resolved_sec FROM g WHERE gap IS NULL OR gap >= least(cooldown, {MAX_AGE})
+        UNION ALL SELECT fingerprint, rule_id, service_id, 'resolved', first, CAST(sec + {MAX_AGE} AS VARCHAR) FROM g WHERE next >= {MAX_AGE} OR (next IS NULL AND (SELECT max(sec) FROM o) - sec >= {MAX_AGE})""",
     "alert_messages": f"""{BASE}, {_frame('w', W, 0)}, {CHANGED}
         SELECT 'r1' AS rule_id, service_id, sec, CASE WHEN count < 10 THEN printf('insufficient data: %d requests < 10 min_requests', count)
             WHEN errors / count > 0.1 THEN 'error_rate > ' || CAST(errors / count AS VARCHAR) || ' FIRING (threshold: 0.1)' ELSE printf('error_rate = %.4f (threshold: > 0.1)', errors / count) END AS message FROM w
@@ -313,5 +361,5 @@ SQL = {
 QUERIES = {f.__name__: f for f in (
     bucket_1s, bucket_first_samples, trailing_window, range_window, nearest_rank_percentile, zscore_baseline, rate_of_change, threshold_rule, threshold_newest,
     anomaly_rule, anomaly_latency_rule, rate_rule, rule_service_scope, cooldown_emit, cooldown_fixed, stale_resolve, alert_event_filter, rule_validation, rule_delete_cascade, rule_update,
-    alert_messages, every_nth_span, late_data, health, rule_create, rule_get, rules_of_project, rule_duplicates, rule_lookback,
+    alert_messages, every_nth_span, late_data, stream_verdicts, stream_alert_events, health, rule_create, rule_get, rules_of_project, rule_duplicates, rule_lookback,
 )}

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tracewell.sources import adapters, capture, discovery, scratch, synthetic, tables
+from tracewell.sources.capture_files import CaptureFiles
 from tracewell.streaming import queries as streaming
 
 
@@ -26,6 +27,15 @@ def record_decode(spark, sf_dir):
     return capture.decoded(_records(spark, sf_dir)).withColumn("payload", F.decode("payload", "UTF-8"))
 
 
+def capture_files(spark, sf_dir):
+    """Records written to capture files and read back in pieces."""
+    spark.dataSource.register(CaptureFiles)
+    path = scratch.path(spark, "capture")
+    _records(spark, sf_dir).select("record").write.format("capture").option("block_bytes", 65536).mode("append").save(path)
+    records = spark.read.format("capture").option("max_partition_bytes", 1 << 20).load(path).select("record")
+    return capture.decoded(records).withColumn("payload", F.decode("payload", "UTF-8"))
+
+
 def address_fill(spark, sf_dir):
     processes = adapters.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pid"), (F.col("c_custkey") + 5000).alias("netns"))
     filled = capture.with_addresses(capture.decoded(_records(spark, sf_dir)))
@@ -91,6 +101,7 @@ RECORD = """SELECT event_id AS seq, event_id * 1000 AS timestamp_ns, user_id AS
     CASE WHEN event_id % 3 = 0 THEN '' ELSE 'GET /' || event_type || ' HTTP/1.1' END AS payload FROM events"""
 SQL = {
     "record_decode": RECORD,
+    "capture_files": f"SELECT * EXCLUDE (seq) FROM ({RECORD})",
     "address_fill": f"""WITH r AS ({RECORD}), f AS (SELECT *, last_value(CASE WHEN src_ip <> '0.0.0.0' THEN src_port END IGNORE NULLS) OVER (PARTITION BY pid ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p FROM r)
         SELECT seq, pid, CASE WHEN netns <> 0 THEN netns ELSE coalesce(c_custkey + 5000, 0) END AS netns, CASE WHEN src_ip = '0.0.0.0' AND payload <> '' AND p IS NOT NULL THEN '10.0.1.2' ELSE src_ip END AS src_ip,
             CASE WHEN src_ip = '0.0.0.0' AND payload <> '' AND p IS NOT NULL THEN '10.0.3.4' ELSE dst_ip END AS dst_ip, CASE WHEN src_ip = '0.0.0.0' AND payload <> '' AND p IS NOT NULL THEN p ELSE src_port END AS src_port
@@ -106,4 +117,4 @@ SQL = {
             o_orderdate + to_seconds(o_orderkey % 86400) AS start_time, CAST(floor(o_totalprice) AS BIGINT) AS duration_us FROM orders)
         SELECT *, CAST(CAST(start_time AS DATE) AS VARCHAR) AS _date FROM s WHERE start_time BETWEEN TIMESTAMP '1995-01-05' AND TIMESTAMP '1995-01-09'""",
 }
-QUERIES = {f.__name__: f for f in (record_decode, address_fill, synthetic_requests, event_expansion, mapping_file, stored_spans, stream_rollup)}
+QUERIES = {f.__name__: f for f in (record_decode, capture_files, address_fill, synthetic_requests, event_expansion, mapping_file, stored_spans, stream_rollup)}
