@@ -25,6 +25,7 @@ Words are compared by 64-bit hashes, windows round hot anchors by 128-bit ones.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -112,19 +113,19 @@ def anchor_rows(docs: DataFrame, window: int) -> DataFrame:
     return docs.select("doc_id", "text", "text_hash").mapInArrow(run, "h long, doc_id long, text_hash long")
 
 
-STRETCH_SCHEMA = "h long, key binary, doc_id long, at long, stretch binary, whole binary, members array<struct<key:binary,doc_id:long,at:long>>"
+STRETCH_SCHEMA = "h long, key binary, doc_id long, at long, stretch binary, whole binary, lot long, members array<struct<key:binary,doc_id:long,at:long>>"
 
 
 def stretches(texts: DataFrame, window: int) -> DataFrame:
     """Stretches round the anchors of each text (wanted: h and hot), or, round hot ones, their windows.
 
-    A window is told by a 16-byte hash, with all places that have it among the texts at hand, so
-    that a passage in any number of texts sends one row for each lot of them.
+    A window is told by a 16-byte hash, with all places that have it in the lot of texts at hand,
+    so that a passage in any number of texts sends one row a lot.
     """
     gram = min(GRAM, window)
     place = pa.struct([("key", pa.binary()), ("doc_id", pa.int64()), ("at", pa.int64())])
-    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(place)]
-    names = ["h", "key", "doc_id", "at", "stretch", "whole", "members"]
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.list_(place)]
+    names = ["h", "key", "doc_id", "at", "stretch", "whole", "lot", "members"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,13 +148,14 @@ def stretches(texts: DataFrame, window: int) -> DataFrame:
                         hot.setdefault(t, set()).update(range(low, min(p, first[t + 1] - window) + 1))
                         continue
                     high = min(p + window, first[t + 1])
-                    rows.append((x, keys[t], ids[t], low - first[t], raw[starts[low] : stops[high - 1]], None, None))
+                    rows.append((x, keys[t], ids[t], low - first[t], raw[starts[low] : stops[high - 1]], None, None, None))
                 windows: dict[bytes, list[tuple]] = {}
                 for t, places in hot.items():
                     for p in sorted(places):
                         whole = xxhash.xxh3_128_digest(b" ".join(raw[starts[p] : stops[p + window - 1]].split()))
                         windows.setdefault(whole, []).append((keys[t], ids[t], p - first[t]))
-                rows += [(None, None, min(m[1] for m in x), None, None, w, [dict(zip(("key", "doc_id", "at"), m)) for m in x]) for w, x in windows.items()]
+                lot = uuid.uuid4().int >> 65
+                rows += [(None, None, min(m[1] for m in x), None, None, w, lot, [dict(zip(("key", "doc_id", "at"), m)) for m in x]) for w, x in windows.items()]
                 for k in range(0, len(rows), 20_000):
                     yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows[k : k + 20_000]), kinds)], names)
 
@@ -280,19 +282,25 @@ def _span_batch(spans: dict[bytes, list[tuple[int, int]]]) -> pa.RecordBatch:
 
 
 def hot_spans(rows: DataFrame, window: int) -> DataFrame:
-    """(key, spans) of the windows round hot anchors that an earlier document holds."""
+    """(key, spans) of the windows round hot anchors that an earlier document holds.
+
+    Answers go back to the lots that the windows came from, so that each text of a lot gets its spans at once.
+    """
     least = rows.groupBy("whole").agg(F.min("doc_id").alias("first")).withColumnRenamed("whole", "w")
+    later = rows.join(least, F.col("whole") == F.col("w")).where(F.exists("members", lambda m: m["doc_id"] > F.col("first")))
+    lots = later.groupBy("lot").agg(F.collect_list(F.struct("first", "members")).alias("found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans: dict[bytes, list[tuple[int, int]]] = {}
-            for first, members in zip(batch.column("first").to_pylist(), batch.column("members").to_pylist()):
-                for m in members:
-                    if m["doc_id"] > first:
-                        spans.setdefault(m["key"], []).append((m["at"], m["at"] + window))
-            yield _span_batch(spans)
-
-    return rows.join(least, F.col("whole") == F.col("w")).select("first", "members").mapInArrow(run, SPAN_SCHEMA)
+            for found in batch.column("found"):
+                spans: dict[bytes, list[tuple[int, int]]] = {}
+                for x in found.as_py():
+                    for m in x["members"]:
+                        if m["doc_id"] > x["first"]:
+                            spans.setdefault(m["key"], []).append((m["at"], m["at"] + window))
+                yield _span_batch(spans)
+
+    return lots.select("found").mapInArrow(run, SPAN_SCHEMA)
 
 
 def remaining(texts: DataFrame) -> DataFrame:
