@@ -37,7 +37,7 @@ def test_span_sink(spark, tmp_path):
 
 
 def test_rollup_sink_merges_to_the_batch_result(spark, tmp_path):
-    spans = adapters.spans(spark, SF).where("start_time < '1992-06-01'")
+    spans = adapters.spans(spark, SF).where("start_time < '1995-06-01'")
     stream = batches(spark, spans, str(tmp_path / "in"), "span_id")
     drained(streaming.rollup_sink(stream, str(tmp_path / "out"), str(tmp_path / "c"), availableNow=True))
     keys, counters = ["project_id", "service_id"], ["request_count", "error_count", "total_duration_us", "min_us", "max_us"]

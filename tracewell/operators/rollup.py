@@ -38,6 +38,12 @@ def partial(spans: DataFrame, k: int = 200) -> DataFrame:
     return windowed(spans).groupBy(*KEYS).agg(*_counters(), F.kll_sketch_agg_bigint("duration_us", F.lit(k)).alias("sketch"))
 
 
+def remerged(stored: DataFrame) -> DataFrame:
+    """Stored partial rows with one row a key, partial still."""
+    sums = [F.sum(c).alias(c) for c in ("request_count", "error_count", "total_duration_us")]
+    return stored.groupBy(*KEYS).agg(*sums, F.min("min_us").alias("min_us"), F.max("max_us").alias("max_us"), F.kll_merge_agg_bigint("sketch").alias("sketch"))
+
+
 def merged(stored: DataFrame, keys: list[str]) -> DataFrame:
     """Stored partial rows, merged to coarser keys."""
     sums = [F.sum(c).alias(c) for c in ("request_count", "error_count", "total_duration_us")]

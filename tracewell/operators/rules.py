@@ -43,10 +43,6 @@ def decode_config(rules: DataFrame, column: str = "config") -> DataFrame:
     return rules.select(*[c for c in rules.columns if c != column], F.try_variant_get(v, "$.type", "string").alias("rule_type"), field("metric", "string"), field("operator", "string"), field("value", "double"), *[field(n, "bigint") for n in numbers], field("z_score_threshold", "double"), field("change_threshold_pct", "double"))
 
 
-def add(rules: DataFrame, fresh: DataFrame) -> DataFrame:
-    return rules.unionByName(fresh)
-
-
 DEFAULT_COOLDOWN = 300
 
 

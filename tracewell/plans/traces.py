@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tracewell.operators import rollup, topology, traces
-from tracewell.sources import adapters
+from tracewell.sources import adapters, rollups, scratch, versions
 
 PROJECT, SERVICE = "proj_demo", "svc_api_gateway"
 SINCE = datetime(1998, 1, 1)
@@ -68,21 +68,60 @@ def q2_service_metrics(spark, sf_dir):
     return rollup.service_metrics(spans(spark, sf_dir), PROJECT, SERVICE, SINCE)
 
 
+_STORES: dict[tuple[str, str], str] = {}
+
+
+def stored_rollup(spark, sf_dir):
+    """Path of the stored roll-up of a folder's spans, added by months as a stream would and compacted; made once a session."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _STORES:
+        path = scratch.path(spark, "rollup")
+        whole = scratch.written(spans(spark, sf_dir).withColumn("_batch", F.pmod(F.xxhash64(F.trunc("start_time", "month")), F.lit(5))), "rollup-input")
+        for k in range(5):
+            rollups.append(whole.where(F.col("_batch") == k).drop("_batch"), path, "spans", k)
+            if k == 3:
+                rollups.compact(spark, path, fan_in=4)
+        _STORES[at] = path
+    return _STORES[at]
+
+
 def q2_service_metrics_stored(spark, sf_dir):
-    return rollup.service_metrics_stored(rollup.partial(spans(spark, sf_dir)), PROJECT, SERVICE, SINCE)
+    return rollup.service_metrics_stored(rollups.read(spark, stored_rollup(spark, sf_dir), SINCE), PROJECT, SERVICE, SINCE)
 
 
 def q3_top_endpoints_stored(spark, sf_dir):
-    return rollup.top_endpoints_stored(rollup.partial(spans(spark, sf_dir)), PROJECT, SERVICE, SINCE)
+    return rollup.top_endpoints_stored(rollups.read(spark, stored_rollup(spark, sf_dir), SINCE), PROJECT, SERVICE, SINCE)
 
 
 def q8_error_rate_stored(spark, sf_dir):
-    return rollup.error_rate_by_service_stored(rollup.partial(spans(spark, sf_dir)), PROJECT, SINCE)
+    return rollup.error_rate_by_service_stored(rollups.read(spark, stored_rollup(spark, sf_dir), SINCE), PROJECT, SINCE)
+
+
+def q2_counters_stored(spark, sf_dir):
+    return q2_service_metrics_stored(spark, sf_dir).drop(*rollup.QUANTILES)
+
+
+def q3_counters_stored(spark, sf_dir):
+    return q3_top_endpoints_stored(spark, sf_dir).drop("p99_us")
+
+
+def q8_counters_stored(spark, sf_dir):
+    return q8_error_rate_stored(spark, sf_dir).drop("p99_us")
+
+
+def rollup_compaction(spark, sf_dir):
+    """Counters by service from the version before a compaction, the one it made and the newest."""
+    path = stored_rollup(spark, sf_dir)
+    numbers = versions.numbers(spark, path)
+    done = next(n for n in numbers if any(x["level"] for x in versions.version(spark, path, n).notes["folders"].values()))
+    shown = {"before": done - 1, "after": done, "newest": numbers[-1]}
+    merged = [rollup.recounted(rollups.read(spark, path, number=n), ["project_id", "service_id"]).withColumn("phase", F.lit(phase)) for phase, n in shown.items()]
+    return merged[0].unionByName(merged[1]).unionByName(merged[2])
 
 
 def rollup_stored_counters(spark, sf_dir):
     """Counters of stored partial rows, merged to services; the sketches of the same rows merge beside them."""
-    return rollup.merged(rollup.partial(spans(spark, sf_dir)), ["project_id", "service_id"]).drop(*rollup.QUANTILES)
+    return rollup.merged(rollups.read(spark, stored_rollup(spark, sf_dir)), ["project_id", "service_id"]).drop(*rollup.QUANTILES)
 
 
 def span_details(spark, sf_dir):

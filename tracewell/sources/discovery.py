@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.spans import service_id_of
 from tracewell.schema import INSPECT_DDL, MAPPING_DDL
+from tracewell.sources import versions
 
 
 def inspected(raw: DataFrame, column: str = "inspect", labels: str = "observe") -> DataFrame:
@@ -32,19 +33,24 @@ def inspected(raw: DataFrame, column: str = "inspect", labels: str = "observe")
 
 
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:
-    """JSON objects of namespace to service, one a file or one a line; a broken one is an error."""
-    whole = spark.read.text(path, wholetext=True)
+    """The newest version that write_mapping made at path, or else files there: JSON objects of namespace to service, one a file or one a line; a broken one is an error."""
+    made = versions.version(spark, path)
+    whole = spark.read.text(versions.paths(path, made) if made.number else path, wholetext=True)
     text = whole.select(F.explode(F.split("value", r"(?<=\})\n(?=\{)")).alias("value")).where(F.trim("value") != "")
     kind = "map<string,struct<project_id:string,service_id:string,service_name:string,environment_id:string,container_id:string>>"
     rows = text.select(F.explode(F.from_json("value", kind, {"mode": "FAILFAST"})).alias("netns", "x"))
     return rows.select(F.col("netns").cast("bigint").alias("netns"), "x.*")
 
 
-def write_mapping(mapping: DataFrame, path: str) -> None:
-    """The mapping as JSON objects of namespace to service, one a line; a reader sees the old files or the new ones, as Spark's writer commits them by renaming."""
+def write_mapping(mapping: DataFrame, path: str, former: versions.Version | None = None) -> versions.Version:
+    """The mapping as JSON objects of namespace to service, one a line, as the next version at path.
+
+    A reader sees the former version or this one, whole. former: the version that mapping was made
+    from; versions.Conflict if another writer has replaced it since.
+    """
     fields = ["project_id", "service_id", "service_name", "environment_id", "container_id"]
     line = F.to_json(F.create_map(F.col("netns").cast("string"), F.struct(*fields)))
-    mapping.select(line.alias("value")).write.mode("overwrite").text(path)
+    return versions.replace(mapping.select(line.alias("value")), path, former, lambda rows, to: rows.write.text(to))
 
 
 def upsert(changes: DataFrame, order: str = "seq") -> DataFrame:
