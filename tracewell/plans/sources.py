@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from tracewell.operators import traces, tree
 from tracewell.sources import adapters, capture, discovery, scratch, synthetic, tables
 from tracewell.sources.capture_files import CaptureFiles
 from tracewell.streaming import queries as streaming
@@ -66,12 +67,56 @@ def mapping_file(spark, sf_dir):
     return discovery.read_mapping(spark, path)
 
 
+_STORES: dict[tuple[str, str], str] = {}
+
+
+def _stored(spark, sf_dir):
+    """Path of the stored spans of a folder's events, in two versions; made once a session."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _STORES:
+        path = scratch.path(spark, "spans")
+        found = scratch.written(adapters.event_spans(spark, sf_dir), "event-spans")
+        for k in (0, 1):
+            tables.write(tables.stored_rows(found.where(F.col("span_id") % 2 == k)), path, "spans", shards=4)
+        _STORES[at] = path
+    return _STORES[at]
+
+
 def stored_spans(spark, sf_dir):
     """Spans written by day and read back for some days."""
-    path = scratch.path(spark, "spans")
-    found = adapters.root_spans(spark, sf_dir).where("start_time < '1995-03-01'")
-    tables.write_spans(found, path)
-    return tables.read_spans(spark, path, datetime(1995, 1, 5), datetime(1995, 1, 9)).select("trace_id", "span_id", "project_id", "http_route", "start_time", "duration_us", F.col("_date").cast("string").alias("_date"))
+    found = tables.read_spans(spark, _stored(spark, sf_dir), datetime(2024, 1, 5), datetime(2024, 1, 9))
+    return found.select("trace_id", "span_id", "project_id", "http_route", "start_time", "duration_us", F.col("_date").cast("string").alias("_date"))
+
+
+def _user(spark, sf_dir):
+    """The trace of the user with the least id."""
+    return adapters.table(spark, sf_dir, "events").agg(F.md5(F.min("user_id").cast("string"))).first()[0]
+
+
+def q1_waterfall_stored(spark, sf_dir):
+    """The waterfall of a trace from the files that can hold it."""
+    trace = _user(spark, sf_dir)
+    return traces.waterfall(tables.lookup(spark, _stored(spark, sf_dir), "spans", {"trace_id": trace}), "proj_demo", trace)
+
+
+def r3_trace_detail_stored(spark, sf_dir):
+    trace = _user(spark, sf_dir)
+    found = traces.trace_detail(tables.lookup(spark, _stored(spark, sf_dir), "spans", {"trace_id": trace}), "proj_demo", trace)
+    return found.withColumn("span_ids", F.array_join(F.transform("spans", lambda s: s["span_id"].cast("string")), ",")).drop("spans")
+
+
+def retention_drop(spark, sf_dir):
+    """Spans by day after the days that retention no longer keeps have been deleted."""
+    path = scratch.path(spark, "retained")
+    found = scratch.written(tables.stored_rows(adapters.event_spans(spark, sf_dir)), "event-spans")
+    tables.write(found, path, "spans", shards=1)
+    tables.drop_expired(spark, path, found.agg(F.max("start_time")).first()[0])
+    return tables.read_spans(spark, path).groupBy(F.col("_date").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("spans"))
+
+
+def trace_depths(spark, sf_dir):
+    """Depth, root and critical path of every span."""
+    return tree.depths(adapters.event_spans(spark, sf_dir))
 
 
 def _stream(spark, sf_dir, name):
@@ -99,6 +144,10 @@ RECORD = """SELECT event_id AS seq, event_id * 1000 AS timestamp_ns, user_id AS
     CASE WHEN event_id % 4 = 0 THEN '10.0.1.2' ELSE '0.0.0.0' END AS src_ip, CASE WHEN event_id % 4 = 0 THEN '10.0.3.4' ELSE '0.0.0.0' END AS dst_ip,
     CASE event_id % 6 WHEN 0 THEN 'connect' WHEN 1 THEN 'accept' WHEN 2 THEN 'send' WHEN 3 THEN 'recv' ELSE 'close' END AS kind,
     CASE WHEN event_id % 3 = 0 THEN '' ELSE 'GET /' || event_type || ' HTTP/1.1' END AS payload FROM events"""
+EVENT_SPANS = """WITH n AS (SELECT *, row_number() OVER own AS k, lag(event_id, 1) OVER own AS p1, lag(event_id, 2) OVER own AS p2, lag(event_id, 3) OVER own AS p3 FROM events WINDOW own AS (PARTITION BY user_id ORDER BY event_id)),
+    s AS (SELECT md5(CAST(user_id AS VARCHAR)) AS trace_id, event_id + 1 AS span_id, coalesce(CASE least(k - 1, 1 + event_id % 3) WHEN 1 THEN p1 WHEN 2 THEN p2 WHEN 3 THEN p3 END + 1, 0) AS parent_span_id,
+        'proj_demo' AS project_id, 'svc_' || (user_id % 4) AS service_id, 'GET' AS http_method, '/' || event_type || '/' || event_id AS http_path, '/' || event_type || '/:id' AS http_route,
+        CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS http_status, ts AS start_time, CAST(floor(value * 1000) AS BIGINT) AS duration_us, event_type = 'error' AS is_error, event_id + 1 AS arrival_seq FROM n)"""
 SQL = {
     "record_decode": RECORD,
     "capture_files": f"SELECT * EXCLUDE (seq) FROM ({RECORD})",
@@ -113,8 +162,15 @@ SQL = {
         SELECT id * 7 + k AS seq, CAST(id * 1000000000 + (off_us + late * latency) * 1000 AS BIGINT) AS timestamp_ns, CAST(CASE side WHEN 'c' THEN client ELSE server END AS BIGINT) AS netns, kind, '172.17.0.' || (client - 999) AS src_ip, CAST(40000 + id % 20001 AS INTEGER) AS src_port,
             '172.17.0.' || (server - 999) AS dst_ip, CAST(8001 AS INTEGER) AS dst_port, CASE what WHEN 'a' THEN ask WHEN 'b' THEN answer ELSE '' END AS payload FROM r, s""",
     "mapping_file": """SELECT c_custkey + 1000 AS netns, 'p' AS project_id, 'svc_' || c_custkey AS service_id, 'na"me' || chr(92) || 'n}{' || c_custkey AS service_name, 'production' AS environment_id, CASE WHEN c_custkey % 2 = 0 THEN 'c-' || c_custkey ELSE '' END AS container_id FROM customer""",
-    "stored_spans": """WITH s AS (SELECT md5(CAST(o_orderkey AS VARCHAR)) AS trace_id, o_orderkey * 1000 + 1 AS span_id, CASE WHEN o_custkey % 10 = 0 THEN 'proj_other' ELSE 'proj_demo' END AS project_id, '/api/orders/:id' AS http_route,
-            o_orderdate + to_seconds(o_orderkey % 86400) AS start_time, CAST(floor(o_totalprice) AS BIGINT) AS duration_us FROM orders)
-        SELECT *, CAST(CAST(start_time AS DATE) AS VARCHAR) AS _date FROM s WHERE start_time BETWEEN TIMESTAMP '1995-01-05' AND TIMESTAMP '1995-01-09'""",
+    "stored_spans": f"""{EVENT_SPANS} SELECT trace_id, span_id, project_id, http_route, start_time, duration_us, CAST(CAST(start_time AS DATE) AS VARCHAR) AS _date FROM s
+        WHERE start_time BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-09'""",
+    "q1_waterfall_stored": f"{EVENT_SPANS} SELECT {', '.join(traces.WATERFALL)} FROM s WHERE trace_id = (SELECT md5(CAST(min(user_id) AS VARCHAR)) FROM events)",
+    "r3_trace_detail_stored": f"""{EVENT_SPANS} SELECT trace_id, max(duration_us) AS total_duration_us, count(*) AS span_count, bool_or(is_error) AS has_error, string_agg(CAST(span_id AS VARCHAR), ',' ORDER BY arrival_seq) AS span_ids
+        FROM s WHERE trace_id = (SELECT md5(CAST(min(user_id) AS VARCHAR)) FROM events) GROUP BY trace_id""",
+    "retention_drop": """SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS spans FROM events WHERE CAST(ts AS DATE) >= (SELECT CAST(max(ts) AS DATE) - 7 FROM events) GROUP BY 1""",
+    "trace_depths": f"""{EVENT_SPANS.replace("WITH ", "WITH RECURSIVE ", 1)}, last AS (SELECT trace_id, parent_span_id AS parent, arg_max(span_id, (epoch_us(start_time) + duration_us, -span_id)) AS child FROM s WHERE parent_span_id <> 0 GROUP BY ALL),
+        w AS (SELECT trace_id, span_id, CAST(0 AS BIGINT) AS depth, span_id AS root_id, true AS critical FROM s WHERE parent_span_id = 0
+            UNION ALL SELECT s.trace_id, s.span_id, w.depth + 1, w.root_id, w.critical AND s.span_id = last.child FROM w JOIN s ON s.trace_id = w.trace_id AND s.parent_span_id = w.span_id JOIN last ON last.trace_id = w.trace_id AND last.parent = w.span_id)
+        SELECT trace_id, span_id, depth, root_id, critical FROM w""",
 }
-QUERIES = {f.__name__: f for f in (record_decode, capture_files, address_fill, synthetic_requests, event_expansion, mapping_file, stored_spans, stream_rollup)}
+QUERIES = {f.__name__: f for f in (record_decode, capture_files, address_fill, synthetic_requests, event_expansion, mapping_file, stored_spans, q1_waterfall_stored, r3_trace_detail_stored, retention_drop, trace_depths, stream_rollup)}

@@ -76,7 +76,7 @@ def stored_rollup(spark, sf_dir):
     at = (spark.sparkContext.applicationId, sf_dir)
     if at not in _STORES:
         path = scratch.path(spark, "rollup")
-        whole = scratch.written(spans(spark, sf_dir).withColumn("_batch", F.pmod(F.xxhash64(F.trunc("start_time", "month")), F.lit(5))), "rollup-input")
+        whole = scratch.written(spans(spark, sf_dir).withColumn("_batch", F.pmod(F.year("start_time") * 12 + F.month("start_time"), F.lit(5)).cast("int")), "rollup-input")
         for k in range(5):
             rollups.append(whole.where(F.col("_batch") == k).drop("_batch"), path, "spans", k)
             if k == 3:
@@ -253,6 +253,12 @@ SQL = {
         WHERE l_orderkey IN (SELECT o_orderkey FROM orders)""",
     "span_details": f"""{SPANS} SELECT trace_id, span_id, parent_span_id, service_id, http_method, http_path, CASE WHEN span_id % 2 = 1 THEN '/given' ELSE http_route END AS http_route, http_status, start_time, duration_us, is_error FROM spans""",
     "rollup_stored_counters": f"{SPANS} SELECT project_id, service_id, count(*) AS request_count, count(*) FILTER (WHERE is_error) AS error_count, CAST(sum(duration_us) AS BIGINT) AS total_duration_us, min(duration_us) AS min_us, max(duration_us) AS max_us FROM spans GROUP BY ALL",
+    "q2_counters_stored": f"{SPANS} SELECT window_start, request_count, error_count, error_count / request_count AS error_rate, min_us, max_us FROM (SELECT window_start, {ROLLUP} FROM spans WHERE {MINE} GROUP BY window_start)",
+    "q3_counters_stored": f"{SPANS} SELECT http_route, http_method, request_count, error_count FROM (SELECT http_route, http_method, {ROLLUP} FROM spans WHERE {MINE} GROUP BY ALL) ORDER BY request_count DESC, http_route, http_method LIMIT 20",
+    "q8_counters_stored": f"{SPANS} SELECT service_id, request_count AS requests, error_count AS errors, error_count / request_count AS error_rate FROM (SELECT service_id, {ROLLUP} FROM spans WHERE project_id = '{PROJECT}' AND start_time >= TIMESTAMP '{SINCE}' GROUP BY service_id)",
+    # The versions before and after the compaction hold batches 0 to 3, the newest all.
+    "rollup_compaction": f"""{SPANS} SELECT phase, project_id, service_id, count(*) AS request_count, count(*) FILTER (WHERE is_error) AS error_count, CAST(sum(duration_us) AS BIGINT) AS total_duration_us, min(duration_us) AS min_us, max(duration_us) AS max_us
+        FROM spans, (VALUES ('before', 3), ('after', 3), ('newest', 4)) t(phase, last) WHERE (year(start_time) * 12 + month(start_time)) % 5 <= last GROUP BY ALL""",
     "ttl_retention": f"{SPANS} SELECT trace_id, span_id, start_time FROM spans WHERE start_time >= TIMESTAMP '2001-08-01' - INTERVAL 7 DAY",
 }
 
@@ -260,5 +266,5 @@ QUERIES = {f.__name__: f for f in (
     q1_trace_waterfall, q2_service_metrics, q3_top_endpoints, q4_dependency_graph, q5_slow_roots, q6_spike_spans, q7_trace_logs, q8_error_rate_by_service,
     r2_trace_list, r2_trace_list_errors, r3_trace_detail, r5_topology_nodes, r5_live_edges, r11_metric_to_traces_latency, r11_metric_to_traces_errors,
     r12_synth_logs, rollup_5min_exact, rollup_remerge, rollup_kll, dependency_5min, spike_join, parent_links, ttl_retention,
-    q2_service_metrics_stored, q3_top_endpoints_stored, q8_error_rate_stored, rollup_stored_counters, span_details,
+    q2_service_metrics_stored, q3_top_endpoints_stored, q8_error_rate_stored, q2_counters_stored, q3_counters_stored, q8_counters_stored, rollup_compaction, rollup_stored_counters, span_details,
 )}

@@ -47,6 +47,28 @@ def root_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
+def event_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A span per event over 30 days; a user's events are a trace, in which each has one of the last three before it as parent."""
+    e = table(spark, sf_dir, "events")
+    k = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    back = F.least(k - 1, F.lit(1) + F.col("event_id") % 3).cast("int")
+    own = Window.partitionBy("user_id").orderBy("event_id")
+    parent = F.when(back == 1, F.lag("event_id", 1).over(own)).when(back == 2, F.lag("event_id", 2).over(own)).when(back == 3, F.lag("event_id", 3).over(own))
+    return _completed(e.select(
+        F.md5(F.col("user_id").cast("string")).alias("trace_id"),
+        (F.col("event_id") + 1).alias("span_id"),
+        F.coalesce(parent + 1, F.lit(0)).cast("bigint").alias("parent_span_id"),
+        F.lit("proj_demo").alias("project_id"),
+        F.concat(F.lit("svc_"), (F.col("user_id") % 4).cast("string")).alias("service_id"),
+        F.lit("GET").alias("http_method"),
+        F.concat(F.lit("/"), F.col("event_type"), F.lit("/"), F.col("event_id").cast("string")).alias("http_path"),
+        F.when(F.col("event_type") == "error", 500).otherwise(200).alias("http_status"),
+        F.col("ts").cast("timestamp").alias("start_time"),
+        F.floor(F.col("value") * 1000).cast("bigint").alias("duration_us"),
+        F.lit("").alias("dst_service_id"),
+    ))
+
+
 def child_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One child span per order line, numbered within its order."""
     line = table(spark, sf_dir, "lineitem")
