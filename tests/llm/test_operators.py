@@ -186,6 +186,21 @@ def test_word_model_against_brute_force(spark):
             assert abs(got[k] - bits / max(1, len(texts[k].split()))) < 1e-6
 
 
+def test_rules_of_rows_that_come_in_another_order_each_time(spark):
+    rows = [(k, prose(RNG.randint(40, 120)), ["en", "de", None][k % 3], "s", 0) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+    def stirred(batches):
+        for batch in batches:
+            yield batch.take(np.random.default_rng().permutation(batch.num_rows))
+
+    shown = lambda df: sorted((r.doc_id, r.n_words, round(r.bits, 9), r.base_failed, r.kept) for r in perplexity.quality_rules(df).collect())
+    want = shown(docs)
+    for other in (docs.repartition(3).mapInArrow(stirred, docs.schema), docs.repartition(7), docs.coalesce(1)):
+        assert shown(other) == want
+        assert {r.doc_id for r in perplexity.kept_documents(other).collect()} == {x[0] for x in want if x[4]}
+
+
 def test_verdict_of_the_band_by_brute_force(spark):
     """kept from the scores of all documents: medians and median deviations of each language, worked out plainly."""
     rng = random.Random(34)

@@ -292,7 +292,7 @@ def _median(value: np.ndarray, n: np.ndarray) -> float:
 
 
 def learned(docs: DataFrame, width: float, least_bits: float) -> tuple[DataFrame, tuple[str, tuple[str, str]], dict[str | None, tuple[float, float, float]]]:
-    """The stored scores, the models and the limits of the languages."""
+    """The stored scores, the models and the limits of the languages; docs must be frozen (word_model.frozen)."""
     models = fit(docs), word_model.fit(docs)
     scores = written(scored(docs, *models), "perplexity")
     return scores, models, bands(scores, width, least_bits)
@@ -300,7 +300,7 @@ def learned(docs: DataFrame, width: float, least_bits: float) -> tuple[DataFrame
 
 def quality_rules(docs: DataFrame, width: float = 5.0, least_bits: float = 0.1) -> DataFrame:
     """doc_id, the measures, bits, base_failed and kept of every document."""
-    scores, _, limits = learned(docs.select("doc_id", "text", "lang"), width, least_bits)
+    scores, _, limits = learned(word_model.frozen(docs.select("doc_id", "text", "lang")), width, least_bits)
     rows = docs.sparkSession.createDataFrame([(k, *x) for k, x in limits.items()], "of string, low double, high double, word_high double")
     judged = scores.join(F.broadcast(rows), F.col("lang").eqNullSafe(F.col("of")), "left")
     inside = F.col("bits").between(F.col("low"), F.col("high")) & (F.col("word_bits") <= F.col("word_high"))
@@ -314,6 +314,7 @@ def kept_documents(docs: DataFrame, width: float = 5.0, least_bits: float = 0.1)
     Texts are scored once for the bands and once more for the verdict: that costs less
     than to store or shuffle them.
     """
+    docs = word_model.frozen(docs)
     _, models, limits = learned(docs, width, least_bits)
     shipped = docs.sparkSession.sparkContext.broadcast(limits)
 

@@ -20,6 +20,7 @@ hash (bigrams by 56); id 0 stands before the first word of a text.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -123,6 +124,26 @@ def table_of(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 5, SCHEMA.types)], schema=SCHEMA)
 
 
+#: Steps of a plan that give the same rows in the same order each time, if files are split alike.
+STEADY = {"FileScan", "Project", "Filter", "ColumnarToRow", "InputAdapter", "WholeStageCodegen", "AdaptiveSparkPlan", "BatchScan"}
+
+
+def frozen(docs: DataFrame) -> DataFrame:
+    """docs such that every pass cuts it into the same chunks.
+
+    What is more than a scan of files (a shuffle, a Python step, a retried stage may each give
+    rows in another order) is written to a table first. Files are split by the number of cores
+    that Spark has at the time, which may change between passes, unless
+    spark.sql.files.minPartitionNum says how many parts there are: so that is set for the session, if it isn't yet.
+    """
+    spark = docs.sparkSession
+    if not spark.conf.get("spark.sql.files.minPartitionNum", None):
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    found = {m for line in plan.splitlines() for m in re.findall(r"^[\s:+\-*]*(?:\(\d+\) )?([A-Za-z]+)", line)}
+    return docs if found <= STEADY else written(docs, "frozen")
+
+
 def per_chunk(docs: DataFrame, rows_of) -> DataFrame:
     """Rows that rows_of gives for (lang, chunk key, bigrams) of each chunk and language.
 
