@@ -143,3 +143,15 @@ def test_scratch_tables_are_cleared_by_age(spark, tmp_path, monkeypatch):
     kept = scratch.written(spark.range(3), "some")
     assert scratch.clear(spark) == 0 and kept.count() == 3
     assert scratch.clear(spark, older_than_hours=-1) == 1
+
+
+def test_decimals_round_what_a_double_stands_for(spark):
+    import random
+
+    rng = random.Random(2)
+    values = [0.175, 0.225, 2.095, 0.125, 0.375, 2.5, 3.5, 0.5, -0.175, -0.001, 0.0, 1e14, 123456789.005, 1.005, 2.675, 1e-9, 99.995]
+    values += [rng.randrange(10**6) / rng.choice([200, 2000, 7, 8]) for _ in range(2000)] + [rng.uniform(-100, 100) for _ in range(500)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (1, 2, 4):
+        got = [r[0] for r in df.select(alerting.fixed(F.col("v"), digits)).collect()]
+        assert got == [f"{v:.{digits}f}" for v in values]

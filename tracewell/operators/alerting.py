@@ -103,8 +103,17 @@ def spread_of(name: str) -> Column:
 
 
 def fixed(value: Column, digits: int) -> Column:
-    """value with so many decimals, halves to the even digit."""
-    return F.format_string(f"%.{digits}f", F.bround(value, digits))
+    """value with so many decimals, rounded by what the double stands for exactly (0.175 lies below its half); true halves to the even digit."""
+    scale, x = float(10**digits), F.abs(value)
+    # x * scale as a double and what that leaves out, from x in two parts of 26 bits.
+    product, wide = x * scale, x * 134217729.0
+    high = wide - (wide - x)
+    rest = (high * scale - product) + (x - high) * scale
+    low = F.floor(product)
+    half = product - low
+    up = (half > 0.5) | ((half == 0.5) & ((rest > 0) | ((rest == 0) & (low % 2 == 1))))
+    rounded = F.when(x < 1e15 / scale, (low + up.cast("bigint")) / scale).otherwise(x)
+    return F.format_string(f"%.{digits}f", F.when(value < 0, -rounded).otherwise(rounded))
 
 
 def metric_of(metric: str, name: str) -> Column:

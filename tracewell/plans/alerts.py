@@ -174,7 +174,7 @@ def stream_alert_events(spark, sf_dir):
 
 
 def health(spark, sf_dir):
-    return api.health(spark)
+    return api.health(spark, events=adapters.table(spark, sf_dir, "events"), orders=adapters.table(spark, sf_dir, "orders"))
 
 
 FRESH = "name string, project_id string, service_id string, rule_type string, severity string, cooldown_secs bigint"
@@ -202,7 +202,15 @@ def rule_duplicates(spark, sf_dir):
 
 
 def rule_lookback(spark, sf_dir):
-    return rule_table(spark).select("id", lookback_secs().alias("lookback"))
+    """Seconds of history that rules of all types, made from customers, read."""
+    k = F.col("c_custkey")
+    kind = F.element_at(F.array(*[F.lit(x) for x in rule_ops.TYPES]), (k % 3 + 1).cast("int"))
+    return adapters.table(spark, sf_dir, "customer").select(k.alias("id"), kind.alias("rule_type"), (k % 600).alias("window_secs"), (k % 7000).alias("baseline_window_secs")).select("id", lookback_secs().alias("lookback"))
+
+
+def anomaly_messages(spark, sf_dir):
+    """Messages of the anomaly rule: of too little data, of no variance, and with the score."""
+    return verdicts(spark, sf_dir, "r3").select("rule_id", "service_id", "sec", "message")
 
 
 def _candidates(spark, sf_dir):
@@ -320,7 +328,7 @@ SQL = {
             WHEN errors / count > 0.1 THEN 'error_rate > ' || CAST(errors / count AS VARCHAR) || ' FIRING (threshold: 0.1)' ELSE printf('error_rate = %.4f (threshold: > 0.1)', errors / count) END AS message FROM w
         UNION ALL SELECT 'r7', service_id, sec, CASE WHEN before = 0 THEN 'no previous window data' ELSE printf('request_count: previous=%.2f, current=%.2f, change=%.1f%% (threshold: -20.0%%)', CAST(before AS DOUBLE), CAST(now AS DOUBLE), (now - before) / before * 100.0) END FROM j""",
     "every_nth_span": "SELECT event_id AS arrival_seq, 'svc_' || (user_id % 4) AS service_id, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS sec FROM events QUALIFY row_number() OVER (ORDER BY event_id) % 50 = 0",
-    "health": f"SELECT 'ok' AS status, '{api.VERSION}' AS version",
+    "health": f"SELECT 'ok' AS status, '{api.VERSION}' AS version, (SELECT count(*) FROM events) AS events, (SELECT count(*) FROM orders) AS orders",
     "cooldown_fixed": f"{SPOKE} SELECT 'r1' AS rule_id, f.service_id, f.sec, f.fingerprint FROM f JOIN spoke USING (fingerprint, sec)",
     "alert_event_filter": f"""{BASE}, {_frame('w', W, 0)}, {CHANGED}, one AS ({R1}),
         fired AS (SELECT rule_id, service_id, severity, sec, fingerprint, 48 AS cooldown FROM one WHERE fired UNION ALL SELECT 'r7', service_id, 'info', sec, {_finger('r7', 'info')}, 24 FROM ch WHERE fired),
@@ -333,7 +341,19 @@ SQL = {
     "rule_get": f"{NAMED} SELECT id, name, severity FROM r WHERE id = 'rule_42'",
     "rules_of_project": f"{NAMED} SELECT id, name, severity FROM r WHERE project_id = 'BUILDING'",
     "rule_duplicates": f"{NAMED} SELECT project_id, name, count(*) AS count FROM r GROUP BY ALL HAVING count(*) > 1",
-    "rule_lookback": f"SELECT * FROM (VALUES ('r1', CAST({W} AS BIGINT)), ('r2', {W}), ('r3', 168), ('r4', {2 * W}), ('r5', {W}), ('r6', {W}), ('r7', {2 * W}), ('r8', 168)) t(id, lookback)",
+    "rule_lookback": "SELECT c_custkey AS id, CAST(CASE c_custkey % 3 WHEN 0 THEN c_custkey % 600 WHEN 1 THEN c_custkey % 7000 ELSE 2 * (c_custkey % 600) END AS BIGINT) AS lookback FROM customer",
+    "anomaly_messages": f"""{BASE}, {_frame("b", 168, W)}, {_frame("c", W, 0)}, j AS (SELECT b.service_id, b.sec, len(b.samples) AS n, {RATE.replace("count", "b.count").replace("errors", "b.errors")} AS base, {RATE.replace("count", "c.count").replace("errors", "c.errors")} AS cur,
+            CASE WHEN b.count > 0 THEN sqrt((b.errors / b.count) * (1 - b.errors / b.count) / b.count) ELSE CAST(0 AS DOUBLE) END AS sd FROM b JOIN c ON b.service_id = c.service_id AND b.sec = c.sec)
+        SELECT 'r3' AS rule_id, service_id, sec, CASE WHEN n < 10 THEN 'insufficient baseline data' WHEN sd < 1e-10 THEN 'baseline has zero variance for error_rate'
+            ELSE printf('error_rate: current=%.2f, baseline=%.2f, stddev=%.2f, z_score=%.2f (threshold: 1.5)', cur, base, sd, abs(cur - base) / sd) END AS message FROM j""",
+    # The window as a list of seconds, one observation of each service a step.
+    "late_data": f"""WITH RECURSIVE o AS (SELECT 'svc_' || (user_id % 4) AS service_id, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) - CASE WHEN event_id % 7 = 0 THEN event_id % 60 ELSE 0 END AS sec, event_id AS arrival_seq FROM events),
+        n AS (SELECT *, row_number() OVER (PARTITION BY service_id ORDER BY arrival_seq) AS k FROM o),
+        w AS (SELECT service_id, sec, arrival_seq, k, [sec] AS held, true AS taken FROM n WHERE k = 1
+            UNION ALL SELECT n.service_id, n.sec, n.arrival_seq, n.k,
+                CASE WHEN n.sec > w.held[-1] THEN list_concat(w.held, range(w.held[-1] + 1, w.held[-1] + least(n.sec - w.held[-1], {W})), [n.sec])[-{W}:] ELSE w.held END, n.sec > w.held[-1] OR list_contains(w.held, n.sec)
+            FROM w JOIN n ON n.service_id = w.service_id AND n.k = w.k + 1)
+        SELECT service_id, sec, arrival_seq FROM w WHERE taken""",
     "bucket_1s": BASE + SAMPLES_OUT,
     "bucket_first_samples": OBS.format(cap=3) + SAMPLES_OUT,
     "trailing_window": f"{BASE}, {_frame('w', W, 0)} SELECT service_id, sec, count AS w_count, errors AS w_errors, sum_us AS w_sum_us, min_us AS w_min_us, max_us AS w_max_us FROM w",
@@ -361,5 +381,5 @@ SQL = {
 QUERIES = {f.__name__: f for f in (
     bucket_1s, bucket_first_samples, trailing_window, range_window, nearest_rank_percentile, zscore_baseline, rate_of_change, threshold_rule, threshold_newest,
     anomaly_rule, anomaly_latency_rule, rate_rule, rule_service_scope, cooldown_emit, cooldown_fixed, stale_resolve, alert_event_filter, rule_validation, rule_delete_cascade, rule_update,
-    alert_messages, every_nth_span, late_data, stream_verdicts, stream_alert_events, health, rule_create, rule_get, rules_of_project, rule_duplicates, rule_lookback,
+    alert_messages, every_nth_span, late_data, stream_verdicts, stream_alert_events, health, rule_create, rule_get, rules_of_project, rule_duplicates, rule_lookback, anomaly_messages,
 )}

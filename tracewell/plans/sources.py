@@ -44,7 +44,8 @@ def address_fill(spark, sf_dir):
 
 
 def synthetic_requests(spark, sf_dir):
-    return synthetic.requests(spark, 5000)
+    """A synthetic request for every event."""
+    return synthetic.requests_of(adapters.table(spark, sf_dir, "events").select(F.col("event_id").alias("id")))
 
 
 def event_expansion(spark, sf_dir):

@@ -10,7 +10,7 @@ from tracewell.operators import rollup, topology, traces
 from tracewell.sources import adapters, rollups, scratch, versions
 
 PROJECT, SERVICE = "proj_demo", "svc_api_gateway"
-SINCE = datetime(1998, 1, 1)
+SINCE, UNTIL = datetime(1998, 1, 1), datetime(1998, 4, 1)
 TRACE = "a1d0c6e83f027327d8461063f4ac58a6"  # md5 of order 42
 
 #: spans as a DuckDB table expression.
@@ -54,6 +54,7 @@ SUMMARY_SQL = f"""{SPANS}, summed AS (
 )
 """
 SUMMARY = ", ".join(traces.SUMMARY)
+RECENT_SQL = SUMMARY_SQL.replace(f"project_id = '{PROJECT}'", f"project_id = '{PROJECT}' AND start_time BETWEEN TIMESTAMP '{SINCE}' AND TIMESTAMP '{UNTIL}'")
 
 
 def spans(spark, sf_dir):
@@ -159,6 +160,15 @@ def r2_trace_list(spark, sf_dir):
     return traces.list_traces(spans(spark, sf_dir), PROJECT, service="svc_s3", min_duration_us=50_000)
 
 
+def r2_trace_list_recent(spark, sf_dir):
+    """Only spans of the time asked for are read and folded."""
+    return traces.list_traces(spans(spark, sf_dir), PROJECT, service="svc_s3", since=SINCE, until=UNTIL)
+
+
+def r11_metric_to_traces_recent(spark, sf_dir):
+    return traces.metric_to_traces(spans(spark, sf_dir), PROJECT, "svc_s1", "p99_latency_us", min_duration_us=50_000, since=SINCE, until=UNTIL)
+
+
 def r2_trace_list_errors(spark, sf_dir):
     return traces.list_traces(spans(spark, sf_dir), PROJECT, route="/internal/parts/:id", errors_only=True, limit=30)
 
@@ -232,6 +242,8 @@ SQL = {
         CASE WHEN role = 'user' THEN 'INFO' ELSE 'DEBUG' END AS log_level, md5(text) AS message, conv_id * 1000 + turn AS span_id FROM conversations WHERE conv_id = 1""",
     "q8_error_rate_by_service": f"{SPANS} SELECT service_id, request_count AS requests, error_count AS errors, error_count / request_count AS error_rate, p99_us FROM (SELECT service_id, {ROLLUP} FROM spans WHERE project_id = '{PROJECT}' AND start_time >= TIMESTAMP '{SINCE}' GROUP BY service_id)",
     "r2_trace_list": f"{SUMMARY_SQL} SELECT {SUMMARY} FROM listed WHERE list_contains(services, 'svc_s3') AND total_duration_us >= 50000 ORDER BY start_time DESC, trace_id LIMIT 50",
+    "r2_trace_list_recent": f"{RECENT_SQL} SELECT {SUMMARY} FROM listed WHERE list_contains(services, 'svc_s3') ORDER BY start_time DESC, trace_id LIMIT 50",
+    "r11_metric_to_traces_recent": f"{RECENT_SQL} SELECT {SUMMARY} FROM listed WHERE list_contains(services, 'svc_s1') AND total_duration_us >= 50000 ORDER BY total_duration_us DESC, trace_id LIMIT 50",
     "r2_trace_list_errors": f"{SUMMARY_SQL} SELECT {SUMMARY} FROM listed WHERE list_contains(routes, '/internal/parts/:id') AND has_error ORDER BY start_time DESC, trace_id LIMIT 30",
     "r3_trace_detail": f"{SPANS} SELECT trace_id, max(duration_us) AS total_duration_us, count(*) AS span_count, bool_or(is_error) AS has_error, string_agg(CAST(span_id AS VARCHAR), ',' ORDER BY arrival_seq) AS span_ids FROM spans WHERE project_id = '{PROJECT}' AND trace_id = '{TRACE}' GROUP BY trace_id",
     "r5_live_edges": f"{SPANS} SELECT service_id AS caller, dst_service_id AS callee, count(*) AS call_count, count(*) FILTER (WHERE is_error) AS error_count, CAST(sum(duration_us) AS BIGINT) / count(*) AS avg_duration_us FROM spans WHERE dst_service_id <> '' AND service_id <> dst_service_id GROUP BY ALL",
@@ -264,7 +276,7 @@ SQL = {
 
 QUERIES = {f.__name__: f for f in (
     q1_trace_waterfall, q2_service_metrics, q3_top_endpoints, q4_dependency_graph, q5_slow_roots, q6_spike_spans, q7_trace_logs, q8_error_rate_by_service,
-    r2_trace_list, r2_trace_list_errors, r3_trace_detail, r5_topology_nodes, r5_live_edges, r11_metric_to_traces_latency, r11_metric_to_traces_errors,
+    r2_trace_list, r2_trace_list_recent, r11_metric_to_traces_recent, r2_trace_list_errors, r3_trace_detail, r5_topology_nodes, r5_live_edges, r11_metric_to_traces_latency, r11_metric_to_traces_errors,
     r12_synth_logs, rollup_5min_exact, rollup_remerge, rollup_kll, dependency_5min, spike_join, parent_links, ttl_retention,
     q2_service_metrics_stored, q3_top_endpoints_stored, q8_error_rate_stored, q2_counters_stored, q3_counters_stored, q8_counters_stored, rollup_compaction, rollup_stored_counters, span_details,
 )}

@@ -12,16 +12,21 @@ PATTERNS = [
 ]
 
 
-def requests(spark: SparkSession, n: int, seed: int = 42, spike_chance: float = 0.02, spike_factor: float = 10.0, start_ns: int = 1_700_000_000_000_000_000, gap_ns: int = 20_000_000) -> DataFrame:
-    """n requests: a pattern by weight, ports in turn, 30 % jitter, rare spikes and errors; equal seeds give equal rows."""
-    total = sum(p[0] for p in PATTERNS)
+def requests(spark: SparkSession, n: int, **more) -> DataFrame:
+    """n requests, as requests_of makes them."""
+    return requests_of(spark.range(n), **more)
+
+
+def requests_of(ids: DataFrame, seed: int = 42, spike_chance: float = 0.02, spike_factor: float = 10.0, start_ns: int = 1_700_000_000_000_000_000, gap_ns: int = 20_000_000, patterns: list[tuple] = PATTERNS) -> DataFrame:
+    """A request for every id: a pattern by weight, ports in turn, 30 % jitter, rare spikes and errors; equal seeds give equal rows."""
+    total = sum(p[0] for p in patterns)
     u = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.col("id")), F.lit(1_000_003)) / 1_000_003.0
-    draw, pick, at = u(1) * total, F.lit(len(PATTERNS) - 1), 0
-    for k, p in reversed(list(enumerate(PATTERNS[:-1]))):
-        at = sum(q[0] for q in PATTERNS[: k + 1])
+    draw, pick, at = u(1) * total, F.lit(len(patterns) - 1), 0
+    for k, p in reversed(list(enumerate(patterns[:-1]))):
+        at = sum(q[0] for q in patterns[: k + 1])
         pick = F.when(draw < at, k).otherwise(pick)
-    field = lambda k: F.element_at(F.array(*[F.lit(p[k]) for p in PATTERNS]), F.col("pattern") + 1)
-    out = spark.range(n).withColumn("pattern", pick)
+    field = lambda k: F.element_at(F.array(*[F.lit(p[k]) for p in patterns]), F.col("pattern") + 1)
+    out = ids.withColumn("pattern", pick)
     spike = F.when(u(2) < spike_chance, spike_factor).otherwise(1.0)
     return out.select(
         F.col("id").alias("request_id"), field(1).cast("bigint").alias("client"), field(2).cast("bigint").alias("server"), field(3).alias("method"), field(4).alias("path"), field(5).alias("dst_port"),
