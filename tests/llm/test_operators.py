@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tracewell.llm import components, features, perplexity, pii, positional_index, quality_gam, sharding, simhash, substrings, toxicity
 from tracewell.llm.bwt import repeated_starts
@@ -319,6 +320,28 @@ def test_sharding_keeps_large_groups_together(spark):
     assert sharding.seeded([(b"a", 7), (b"b", 3)], [4, 4, 3]) == ([(b"a", [4, 0, 3]), (b"b", [0, 3, 0])], [0, 1, 0])
 
 
+def test_a_hot_group_is_numbered_in_many_tasks(spark):
+    """Also where the join before the numbering deals rows by group."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        rows = spark.range(20_000).select(F.when(F.col("id") % 1000 == 999, "cold").otherwise("hot").alias("grp"), F.col("id").alias("doc_id"), F.col("id").alias("uid"))
+        joined = rows.join(spark.createDataFrame([("hot",), ("cold",)], "g string"), F.col("grp") == F.col("g")).drop("g")
+        out = sharding.numbered(joined, ["grp"], [F.col("doc_id"), F.col("uid")], 16, "rank")
+        assert sorted(r["rank"] for r in out.where("grp = 'hot'").select("rank").collect()) == list(range(19_980))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(grp" in plan and any("_chunk" in x for x in plan.split("hashpartitioning(")[1:])
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        sizes = sharding.numbered(joined, ["grp"], [F.col("doc_id"), F.col("uid")], 16, "rank").groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in sizes) < 12_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
 def test_sharding_brings_pairs_together(spark):
     """With every row in a pair there is no free place; an optimum cuts no pair."""
     rows = sharding.sharded(spark.createDataFrame([(k, f"text {k // 2}") for k in range(640)], "doc_id long, text string"), chunk_rows=100).collect()

@@ -58,7 +58,8 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], chunks: int, n
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     own = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    local = cut.withColumn("_local", F.row_number().over(own) - 1)
+    # Dealt by key and chunk even where df is dealt by the key already (after a join), so that a hot key is spread.
+    local = cut.repartition(*keys, "_chunk").withColumn("_local", F.row_number().over(own) - 1)
     return local.join(starts, [*keys, "_chunk"]).withColumn(name, (F.col("_start") + F.col("_local")).cast("long")).drop("_chunk", "_start", "_local")
 
 
@@ -214,7 +215,7 @@ def sharded(docs: DataFrame, shards: int = 16, rounds: int = 6, chunk_rows: int
     in_groups = numbered(keyed.where("counts IS NOT NULL"), ["grp"], order, chunks, "rank")
     ends = F.aggregate("counts", F.array().cast("array<long>"), lambda done, n: F.concat(done, F.array(n + F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0).cast("long")))))
     in_groups = in_groups.withColumn("shard", F.size(F.filter(ends, lambda e: e <= F.col("rank"))))
-    alone = numbered(keyed.where("counts IS NULL").withColumn("one", F.pmod(F.crc32("grp"), F.lit(1)).cast("int")), ["one"], order, chunks, "rank")
+    alone = numbered(keyed.where("counts IS NULL").withColumn("one", F.lit(0)), ["one"], order, chunks, "rank")
     stops, at = [], 0
     for n in left:
         at += n
