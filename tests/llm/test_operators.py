@@ -279,6 +279,28 @@ def test_one_index_answers_any_benchmark(spark):
         assert {r.doc_id for r in found.collect() if r.spans} == hits
 
 
+def test_a_large_test_set_takes_little_memory(spark):
+    import pickle
+
+    rng = random.Random(4)
+    vocabulary = [word() for _ in range(30_000)]
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([3, 9, 10, 400])))) for k in range(1500)] + [(1500, None), (1501, "  ")]
+    items += [(2000 + k, items[k][1]) for k in range(20)]
+    size = sum(len(t or "") for _, t in items)
+    test = positional_index.TestSet(items, 10)
+    assert len(pickle.dumps(test)) < 4 * size
+    got = {tuple(test.terms[test.window(k)].tolist()): set(test.items(k)) for k in range(len(test))}
+    want = defaultdict(set)
+    for item, text in items:
+        terms = [positional_index.term_of(w) for w in positional_index.words_of((text or "").encode())]
+        for k in range(max(1, len(terms) - 9) if terms else 0):
+            want[tuple(terms[k : k + 10])].add(str(item))
+    assert got == want and len(test) == len(want)
+    numbers = np.where(np.arange(len(test.terms)) % 7 == 0, -1, 5)
+    assert test.within(numbers).tolist() == [k for k in range(len(test)) if (numbers[test.window(k)] >= 0).all()]
+    assert len(positional_index.TestSet([(1, None)], 10)) == 0 and not len(positional_index.TestSet([], 10).within(np.zeros(0, np.int64)))
+
+
 def test_proximity(spark):
     docs = table(spark, ["a x b", "b q q q a", "a", "c a b a"], 1)
     got = {(r.doc_id, r.first, r.last) for r in positional_index.proximity_matches(docs, [("q1", "a b")], 3).collect()}

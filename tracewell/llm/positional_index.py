@@ -52,22 +52,51 @@ def term_of(word: bytes) -> int:
 
 
 class TestSet:
-    """The windows of a block of test items, as numbers of its own sorted terms."""
+    """The different windows of a block of test items, in flat arrays of some 20 bytes a word.
+
+    words holds the numbers of all items' words (places in the sorted terms), one item after
+    another; window k is words[starts[k] : starts[k] + widths[k]] and stands in the items
+    names[x] for x in owners[bounds[k] : bounds[k + 1]].
+    """
 
     def __init__(self, items: list[tuple[object, str | None]], window: int):
-        split = [(item_id, [term_of(w) for w in words_of((text or "").encode())]) for item_id, text in items]
-        self.terms = np.array(sorted({t for _, x in split for t in x}), np.int64)
-        number = {t: k for k, t in enumerate(self.terms.tolist())}
-        found: dict[tuple[int, ...], set[str]] = defaultdict(set)
-        for item_id, terms in split:
-            ids = [number[t] for t in terms]
-            for k in range(max(1, len(ids) - window + 1) if ids else 0):
-                found[tuple(ids[k : k + window])].add(str(item_id))
-        self.windows = [np.array(w) for w in found]
-        self.items = [sorted(x) for x in found.values()]
-        # All windows in a row, to test at once which have all their terms in an entry.
-        self.flat = np.concatenate([*self.windows, np.zeros(0, np.int64)]).astype(np.int64)
-        self.starts = np.cumsum([0, *map(len, self.windows)])[:-1]
+        split = [(str(item_id), np.fromiter(map(term_of, words_of((text or "").encode())), np.int64)) for item_id, text in items]
+        split = [x for x in split if len(x[1])]
+        self.names = [name for name, _ in split]
+        sizes = np.array([len(x) for _, x in split], np.int64)
+        self.terms, words = np.unique(np.concatenate([*(x for _, x in split), np.zeros(0, np.int64)]), return_inverse=True)
+        self.words = words.astype(np.int32)
+        counts = np.maximum(sizes - window, 0) + 1
+        first = np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        owner = np.repeat(np.arange(len(split)), counts)
+        widths = np.repeat(np.minimum(sizes, window), counts)
+        starts, wide, owners, held = [], [], [], []
+        for w in np.unique(widths).tolist():
+            at = np.flatnonzero(widths == w)
+            rows = np.lib.stride_tricks.sliding_window_view(self.words, w)[first[at]]
+            _, one, of = np.unique(rows, axis=0, return_index=True, return_inverse=True)
+            pairs = np.unique(of.reshape(-1) * (len(split) + 1) + owner[at])
+            starts.append(first[at][one])
+            wide.append(np.full(len(one), w))
+            owners.append(pairs % (len(split) + 1))
+            held.append(np.bincount(pairs // (len(split) + 1), minlength=len(one)))
+        joined_ = lambda parts: np.concatenate([*parts, np.zeros(0, np.int64)])
+        self.starts, self.widths, self.owners = (joined_(x).astype(np.int32) for x in (starts, wide, owners))
+        self.bounds = np.concatenate([[0], np.cumsum(joined_(held))]).astype(np.int32)
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def window(self, k: int) -> np.ndarray:
+        return self.words[self.starts[k] : self.starts[k] + self.widths[k]]
+
+    def items(self, k: int) -> list[str]:
+        return [self.names[x] for x in self.owners[self.bounds[k] : self.bounds[k + 1]].tolist()]
+
+    def within(self, numbers: np.ndarray) -> np.ndarray:
+        """The windows all of whose terms have a number."""
+        missing = np.concatenate([[0], np.cumsum(numbers[self.words] < 0)])
+        return np.flatnonzero(missing[self.starts + self.widths] == missing[self.starts])
 
 
 class Entry:
@@ -160,15 +189,14 @@ class Entry:
         spans: dict[int, list] = defaultdict(list)
         items: dict[int, set] = defaultdict(set)
         numbers = self.numbers(test.terms)
-        whole = np.minimum.reduceat(numbers[test.flat], test.starts) >= 0 if len(test.windows) else np.zeros(0, bool)
-        for k in np.flatnonzero(whole).tolist():
-            terms = test.windows[k]
+        for k in test.within(numbers).tolist():
+            terms = test.window(k)
             at = self.phrase(numbers[terms])
             if len(at):
                 documents = np.searchsorted(self.starts, at, "right") - 1
                 for d, a in zip(documents.tolist(), (at - self.starts[documents]).tolist()):
                     spans[d].append((a, a + len(terms)))
-                    items[d].update(test.items[k])
+                    items[d].update(test.items(k))
         return self.rows({d: joined(x) for d, x in spans.items()}, items)
 
 
@@ -255,7 +283,7 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, bloc
 def proximity_matches(docs: DataFrame, queries: list[tuple[str, str]], within: int) -> DataFrame:
     """(doc_id, query, first, last): stretches of at most within words that hold all words of a query, in any order."""
     test = TestSet(queries, 1 << 30)
-    wanted = [(items, terms) for items, terms in zip(test.items, test.windows)]
+    wanted = [(test.items(k), test.window(k)) for k in range(len(test))]
     index = build_index(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
