@@ -1,5 +1,8 @@
 """Windows, rules and routes on small written-out cases."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,3 +158,26 @@ def test_decimals_round_what_a_double_stands_for(spark):
     for digits in (1, 2, 4):
         got = [r[0] for r in df.select(alerting.fixed(F.col("v"), digits)).collect()]
         assert got == [f"{v:.{digits}f}" for v in values]
+
+
+def test_late_data_is_told_in_chunks_of_arrival(spark):
+    """Against a walk over the arrivals; no frame reaches to the end of its group, and none holds a service whole."""
+    rng = random.Random(5)
+    rows, now = [], 1000
+    for k in range(600):
+        now += rng.choice([0, 0, 1, 1, 2, 5, 40])
+        rows.append((rng.choice(["p", None]), rng.choice("ab"), now - rng.choice([0, 0, 1, 3, 9, 10, 11, 60]), 5, False, k))
+    df = spark.createDataFrame(rows, OBS)
+    kept, held = [], {}
+    for p, s, sec, *_, k in rows:
+        w = held.setdefault((p, s), [sec])
+        if sec > w[-1]:
+            w += [*range(w[-1] + 1, w[-1] + min(sec - w[-1], 10)), sec]
+            del w[:-10]
+        if sec in w:
+            kept.append(k)
+    for chunk in (7, 100_000):
+        assert sorted(r.arrival_seq for r in alerting.accepted(df, 10, chunk).collect()) == kept
+    plan = alerting.accepted(df, 10)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "unboundedfollowing" not in plan
+    assert all("_part#" in w for w in re.findall(r"windowspecdefinition\(([^)]*)", plan) if "arrival_seq#" in w)

@@ -55,25 +55,46 @@ def over_range(bucket_rows: DataFrame, frames: dict[str, tuple[int, int]], laten
     return sliding.with_quantiles(out, KEYS, "samples", frames, LATENCIES) if latencies else out.drop("samples")
 
 
-def accepted(observations: DataFrame, capacity: int = 3600) -> DataFrame:
-    """The observations that a window of so many one-second buckets takes, in arrival order; others come too late.
+def accepted(observations: DataFrame, capacity: int = 3600, chunk: int = 100_000) -> DataFrame:
+    """The observations that a window of so many one-second buckets takes; others come too late.
 
     A newer second adds buckets up to itself, at most capacity of them: after a longer gap those
     right after the former newest second, and its own. The oldest buckets go beyond capacity. A late
     observation counts if its second has a bucket at that moment. Buckets are numbered as they are
     made, so that one is still there if fewer than capacity came after it.
+
+    The newest second runs on within chunks of arrival numbers, from what the chunks before reached,
+    so that no task orders a service. All else follows from tables of one row a second.
     """
-    arrival = Window.partitionBy(*KEYS).orderBy("arrival_seq")
+    rows = observations.withColumn("_part", F.floor(F.col("arrival_seq") / chunk))
+    # One row a chunk of a service.
+    chunks = Window.partitionBy(*KEYS).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    reached = rows.groupBy(*KEYS, "_part").agg(F.max("sec").alias("_reached")).withColumn("_reached", F.max("_reached").over(chunks))
+    arrival = Window.partitionBy(*KEYS, "_part").orderBy("arrival_seq")
+    rows = _with(rows, reached, [*KEYS, "_part"])
+    rows = rows.withColumn("_newest", F.greatest("_reached", F.max("sec").over(arrival.rowsBetween(Window.unboundedPreceding, -1))))
     gap = F.col("sec") - F.col("_newest")
-    rows = observations.withColumn("_newest", F.max("sec").over(arrival.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumn("_made", F.when(F.col("_newest").isNull(), F.lit(1)).when(gap > 0, F.least(gap, F.lit(capacity))))
-    rows = rows.withColumn("_number", F.sum(F.coalesce("_made", F.lit(0))).over(arrival.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    # Of the seconds that were the newest when they came, the first that isn't before this one.
-    later = Window.partitionBy(*KEYS).orderBy("sec").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    step = F.first(F.when(F.col("_made").isNotNull(), F.struct("sec", "_newest", "_made", "_number")), ignorenulls=True).over(later)
-    rows = rows.withColumn("_step", step)
+    rows = rows.withColumn("_made", F.when(F.col("_newest").isNull(), F.lit(1)).when(gap > 0, F.least(gap, F.lit(capacity)))).drop("_part", "_reached")
+    # One row a second of a service: the buckets that were made up to it where it was the newest when it came, and of such
+    # seconds the first that isn't before it.
+    first = F.max(F.when(F.col("_made").isNotNull(), F.struct("_newest", "_made")))
+    seconds = rows.where("sec IS NOT NULL").groupBy(*KEYS, "sec").agg(first.alias("_first"))
+    rising, falling = Window.partitionBy(*KEYS).orderBy("sec"), Window.partitionBy(*KEYS).orderBy(F.desc("sec"))
+    seconds = seconds.withColumn("_number", F.sum(F.coalesce("_first._made", F.lit(0))).over(rising.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    step = F.last(F.when(F.col("_first").isNotNull(), F.struct("sec", "_first._newest", "_first._made", "_number")), ignorenulls=True).over(falling.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    seconds = seconds.withColumn("_step", step)
     at = F.when(F.col("sec") == F.col("_step.sec"), F.col("_step._number")).when(F.col("sec") - F.col("_step._newest") < F.col("_step._made"), F.col("_step._number") - F.col("_step._made") + F.col("sec") - F.col("_step._newest"))
-    return rows.where(F.col("_made").isNotNull() | (F.col("_number") - at < capacity)).drop("_newest", "_made", "_number", "_step")
+    places = seconds.select(*KEYS, "sec", at.alias("_at"))
+    rows = _with(rows, places, [*KEYS, "sec"])
+    rows = _with(rows, seconds.select(*KEYS, F.col("sec").alias("_newest"), "_number"), [*KEYS, "_newest"])
+    return rows.where(F.col("_made").isNotNull() | (F.col("_number") - F.col("_at") < capacity)).select(*observations.columns)
+
+
+def _with(rows: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the other columns of more, which has at most one row a key; a null key is one as others."""
+    named = more.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    return rows.join(named, same, "left").drop(*[f"_of_{k}" for k in keys])
 
 
 def trailing(bucket_rows: DataFrame, seconds: int, name: str = "w") -> DataFrame:
