@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from tracewell.operators import assembly
@@ -77,6 +78,24 @@ def test_forms_agree_on_random_events(spark, seed):
     assert set(odd.values()) == {True, False}
 
 
+def test_parts_grow_with_the_events(spark, monkeypatch):
+    """A task holds some PART_EVENTS events whatever the batch; also of those that are walked."""
+    monkeypatch.setattr(assembly, "PART_EVENTS", 50)
+    rows = [(10 * k + i, 1 + i % 2, ("send", "recv", "send", "recv")[i], k, GET if i < 2 else OK) for k in range(200) for i in range(4)]
+    df = events(spark, rows)
+    whole, walked = assembly.assemble(df), assembly.assemble_stateful(df)
+    assert walked.rdd.getNumPartitions() == 16 and len(whole.inputFiles()) == 16
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, walked.collect())) and whole.count() == 400
+    monkeypatch.setattr(assembly, "PART_EVENTS", 800)
+    assert assembly.assemble_stateful(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("values, kind", [([1, None, -(2**62) - 1], "int64"), ([None, "a"], "string"), ([3, 2**62 + 1], "int64"), ([None, True], "bool_"), ([None, None], "int32")])
+def test_listed_equals_to_pylist(values, kind):
+    column = pa.array(values, getattr(pa, kind)())
+    assert assembly._listed(column) == column.to_pylist()
+
+
 def test_cap_drops_the_oldest(spark):
     rows = [(k, 1, "send", 5, GET.replace(b"/a", b"/%d" % k)) for k in range(4)] + [(10, 1, "recv", 5, OK)]
     for form in (assembly.assemble, assembly.assemble_stateful):

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -39,22 +40,31 @@ SPAN_ROW = (
 COLUMNS = [x.split()[0] for x in SPAN_ROW.split(", ")]
 
 MAX_PENDING = 64  # requests of a side that may wait
+PART_EVENTS = 200_000  # events that a task holds about, so that its sorts don't grow with the batch
 
 
-def parsed(events: DataFrame, *more: str) -> DataFrame:
+def parts_of(events: DataFrame) -> int:
+    """In how many parts a batch is dealt by connection; one pass counts its events."""
+    return max(events.sparkSession.sparkContext.defaultParallelism, math.ceil(events.count() / PART_EVENTS))
+
+
+def parsed(events: DataFrame, *more: str, parts: int | None = None) -> DataFrame:
     """What assembly reads of each event: requests, responses, and whether it makes the connection known.
 
     Each step is read more than once by the next, so that no text is worked out twice. more: columns of events that pass through.
     A null namespace is 0; null addresses are one with each other; an unknown or null kind is an event without meaning.
+    parts: the events are dealt by connection into so many before any text is read.
     """
     p = F.col("payload")
     data = F.col("kind").isin("send", "recv")
     empty = F.coalesce(F.octet_length(p), F.lit(0)) == 0
     shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     conn = F.concat(shown("src_ip"), F.lit(":"), shown("src_port"), F.lit(">"), shown("dst_ip"), F.lit(":"), shown("dst_port"))
-    events = events.withColumn("netns", F.coalesce("netns", F.lit(0).cast("bigint")))
+    events = events.withColumns({"netns": F.coalesce("netns", F.lit(0).cast("bigint")), "conn": conn})
+    if parts is not None:
+        events = events.select("seq", "timestamp_ns", "netns", "kind", "src_ip", "src_port", "dst_ip", "dst_port", "payload", "conn", *more).repartition(parts, "conn")
     # Payloads that can't be HTTP are never decoded.
-    out = events.select("seq", F.col("timestamp_ns").alias("ts"), "netns", "kind", "src_ip", "src_port", "dst_ip", "dst_port", "payload", conn.alias("conn"), F.when(data & http.passes_prefilter(p), http.latin(p)).alias("t"), (data & empty).alias("blank"), *more)
+    out = events.select("seq", F.col("timestamp_ns").alias("ts"), "netns", "kind", "src_ip", "src_port", "dst_ip", "dst_port", "payload", "conn", F.when(data & http.passes_prefilter(p), http.latin(p)).alias("t"), (data & empty).alias("blank"), *more)
     asks, answers = F.col("t").rlike(http.REQUEST_PREFIX), F.col("t").startswith("HTTP/")
     line = F.try_validate_utf8(F.substring(p, F.lit(1), F.col("at") - 1).cast("string"))
     out = out.withColumns({"at": F.locate("\r\n", F.col("t")), "asks": F.coalesce(asks, F.lit(False)), "answers": F.coalesce(answers, F.lit(False))})
@@ -159,7 +169,8 @@ def assemble(events: DataFrame, connection_spans: bool = True, max_pending: int
 
     The paired entries are a table: spans and the events to walk are both read from it.
     """
-    entries = _entries(_counted(parsed(events), max_pending))
+    parts = parts_of(events)
+    entries = _entries(_counted(parsed(events, parts=parts), max_pending))
     keys = ["conn", "netns", "closes", "opens", "n", F.when(F.col("n") == -2, F.col("seq")).alias("one")]
     asks = F.struct("ts", "tp_trace", "tp_parent", "method", "path", "host", "final", "close_ts", "peer")
     answer = F.struct("ts", "status", "pending", "begun", "close_ts")
@@ -169,23 +180,35 @@ def assemble(events: DataFrame, connection_spans: bool = True, max_pending: int
         F.max(F.when(F.col("n") == -2, F.struct(*EVENT))).alias("event"),
     )
     pairs = written(pairs, "assembly")
-    return _spans(pairs.where("n > -2"), connection_spans).unionByName(_walk(pairs.where("n = -2").select("event.*"), max_pending, connection_spans))
+    return _spans(pairs.where("n > -2"), connection_spans).unionByName(_walk(pairs.where("n = -2").select("event.*").repartition(parts, "conn"), max_pending, connection_spans))
 
 
 def _walk(rows: DataFrame, max_pending: int, connection_spans: bool) -> DataFrame:
-    """Spans of parsed events, walked in arrival order; a task holds the state of one connection at a time."""
+    """Spans of parsed events that are dealt by connection, walked in arrival order; a task holds the state of one connection at a time."""
+    rows = rows.sortWithinPartitions("conn", "seq").drop("seq")
+    names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, assembler = None, None
         for batch in batches:
             found = []
-            for e in batch.to_pylist():
+            for e in (dict(zip(names, row)) for row in zip(*map(_listed, batch.columns))):
                 if e["conn"] != last:
                     last, assembler = e["conn"], Assembler(None, max_pending, connection_spans)
                 found += assembler.process(e)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found) if found else [[]] * len(KINDS), KINDS)], COLUMNS)
 
-    return rows.repartition("conn").sortWithinPartitions("conn", "seq").mapInArrow(run, SPAN_ROW)
+    return rows.mapInArrow(run, SPAN_ROW)
+
+
+def _listed(column: pa.Array) -> list:
+    """to_pylist without an Arrow scalar for each value."""
+    if not column.null_count or pa.types.is_string(column.type):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    if not pa.types.is_integer(column.type):
+        return column.to_pylist()
+    there = column.is_valid().to_numpy(zero_copy_only=False).tolist()
+    return [x if ok else None for x, ok in zip(column.fill_null(0).to_numpy(zero_copy_only=False).tolist(), there)]
 
 
 #: Arrow kinds of SPAN_ROW.
@@ -281,7 +304,7 @@ def walked(rows: pd.DataFrame, assembler: Assembler) -> pd.DataFrame:
 
 def assemble_stateful(events: DataFrame, max_pending: int = MAX_PENDING, connection_spans: bool = True) -> DataFrame:
     """Spans of a batch by the walk alone."""
-    return _walk(parsed(events), max_pending, connection_spans)
+    return _walk(parsed(events, parts=parts_of(events)), max_pending, connection_spans)
 
 
 def assemble_stream(events: DataFrame, max_pending: int = MAX_PENDING, connection_spans: bool = True, idle_ms: int = 3_600_000, delay: str = "10 minutes") -> DataFrame:
