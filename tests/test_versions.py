@@ -122,6 +122,20 @@ def totals(rows):
     return sorted(map(tuple, rollup.recounted(rows, ["project_id", "service_id"]).collect()))
 
 
+def test_rollup_folders_are_dealt_by_key_and_not_by_tenant(spark, tmp_path, monkeypatch):
+    """One tenant has all rows: the parts of a compaction follow the rows, and more than one task holds some."""
+    monkeypatch.setattr(rollups, "PART_ROWS", 100)
+    path = str(tmp_path / "r")
+    found = adapters.root_spans(spark, SF).where("project_id = 'proj_demo'").limit(1000).cache()
+    for k in range(2):
+        rollups.append(found.where(F.col("span_id") % 2000 < 1000 if k else F.col("span_id") % 2000 >= 1000), path, "s", k)
+    want, n = totals(rollup.exact(found)), rollups.read(spark, path).count()
+    made = rollups.compact(spark, path, fan_in=2)
+    (folder,) = made.folders
+    assert len(list((tmp_path / "r" / folder).glob("*.parquet"))) > min(4, n // 200)
+    assert totals(rollups.read(spark, path)) == want
+
+
 def test_rollups_before_during_and_after_compaction(spark, tmp_path):
     path = str(tmp_path / "r")
     found = adapters.spans(spark, SF).where("start_time < '1996-06-01'").withColumn("_b", F.pmod("span_id", F.lit(9))).cache()

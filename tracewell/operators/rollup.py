@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tracewell.functions.spans import bucket, ratio
 
 KEYS = ["project_id", "service_id", "environment_id", "http_route", "http_method", "window_start"]
+#: Columns of spans that a roll-up reads.
+READS = [*KEYS[:-1], "start_time", "duration_us", "is_error"]
 QUANTILES = {"p50_us": 0.5, "p95_us": 0.95, "p99_us": 0.99}
 
 
@@ -38,8 +40,14 @@ def partial(spans: DataFrame, k: int = 200) -> DataFrame:
     return windowed(spans).groupBy(*KEYS).agg(*_counters(), F.kll_sketch_agg_bigint("duration_us", F.lit(k)).alias("sketch"))
 
 
-def remerged(stored: DataFrame) -> DataFrame:
-    """Stored partial rows with one row a key, partial still."""
+def remerged(stored: DataFrame, parts: int | None = None) -> DataFrame:
+    """Stored partial rows with one row a key, partial still.
+
+    parts: rows are dealt by key into so many before they are merged, as a map task would sort all its
+    sketches for little: a key has one row a folder at most.
+    """
+    if parts is not None:
+        stored = stored.repartition(parts, *KEYS)
     sums = [F.sum(c).alias(c) for c in ("request_count", "error_count", "total_duration_us")]
     return stored.groupBy(*KEYS).agg(*sums, F.min("min_us").alias("min_us"), F.max("max_us").alias("max_us"), F.kll_merge_agg_bigint("sketch").alias("sketch"))
 

@@ -77,7 +77,8 @@ def stored_rollup(spark, sf_dir):
     at = (spark.sparkContext.applicationId, sf_dir)
     if at not in _STORES:
         path = scratch.path(spark, "rollup")
-        whole = scratch.written(spans(spark, sf_dir).withColumn("_batch", F.pmod(F.year("start_time") * 12 + F.month("start_time"), F.lit(5)).cast("int")), "rollup-input")
+        batch = F.pmod(F.year("start_time") * 12 + F.month("start_time"), F.lit(5)).cast("int")
+        whole = scratch.written(spans(spark, sf_dir).select(*rollup.READS, batch.alias("_batch")), "rollup-input")
         for k in range(5):
             rollups.append(whole.where(F.col("_batch") == k).drop("_batch"), path, "spans", k)
             if k == 3:

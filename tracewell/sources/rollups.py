@@ -9,6 +9,7 @@ last window stand in the list, so that a query over a time opens only those that
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from datetime import datetime, timezone
 from typing import Any
@@ -25,17 +26,22 @@ SCHEMA = (
     "request_count bigint, error_count bigint, total_duration_us bigint, min_us bigint, max_us bigint, sketch binary"
 )
 
+PART_ROWS = 100_000  # rows that a task of a compaction merges about
+
 
 def _folders(made: versions.Version) -> dict[str, dict[str, Any]]:
     return made.notes.get("folders", {})
 
 
 def _written(rows: DataFrame, path: str, level: int) -> tuple[str, dict[str, Any] | None]:
-    """A folder of rows by tenant and time, and what the list says of it; None for no rows."""
+    """A folder of rows, each file by tenant and time, and what the list says of it; None for no rows.
+
+    Rows stay in the tasks that made them: few tenants have most rows, and no task takes a whole one.
+    """
     name = versions.fresh(f"level-{level}")
     at = f"{path.rstrip('/')}/{name}"
     spark = rows.sparkSession
-    ordered = rows.select(*[f.name for f in spark.createDataFrame([], SCHEMA).schema]).repartition("project_id", "service_id").sortWithinPartitions("project_id", "service_id", "window_start")
+    ordered = rows.select(*[f.name for f in spark.createDataFrame([], SCHEMA).schema]).sortWithinPartitions("project_id", "service_id", "window_start")
     ordered.write.parquet(at)
     first, last, n = spark.read.schema(SCHEMA).parquet(at).agg(F.min(F.unix_timestamp("window_start")), F.max(F.unix_timestamp("window_start")), F.count(F.lit(1))).first()
     return name, None if not n else {"level": level, "first": first, "last": last, "rows": n}
@@ -84,7 +90,8 @@ def compact(spark: SparkSession, path: str, fan_in: int = 8) -> versions.Version
         if not full:
             return made
         old = by_level[full[0]]
-        merged = rollup.remerged(spark.read.schema(SCHEMA).parquet(*[f"{path.rstrip('/')}/{f}" for f in old]))
+        parts = max(spark.sparkContext.defaultParallelism, math.ceil(sum(_folders(made)[f]["rows"] for f in old) / PART_ROWS))
+        merged = rollup.remerged(spark.read.schema(SCHEMA).parquet(*[f"{path.rstrip('/')}/{f}" for f in old]), parts)
         name, told = _written(merged, path, full[0] + 1)
 
         def change(former: versions.Version, old: list[str] = old, name: str = name, told: dict | None = told) -> dict[str, Any] | None:
