@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tracewell.llm import components, features, perplexity, pii, positional_index, quality_gam, sharding, simhash, substrings, toxicity
-from tracewell.llm.bwt import repeated_starts
+from tracewell.llm.bwt import repeated_ranges, repeated_starts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, fp string"
 RNG = random.Random(11)
@@ -644,3 +644,66 @@ def test_maximal_segments_against_brute_force():
         loss = 0.513
         got = toxicity.maximal_segments(np.array(sorted(gains)), np.array([gains[k] for k in sorted(gains)]), loss)
         assert [(a, b) for a, b, _ in got] == brute([gains.get(k, -loss) for k in range(n)])
+
+
+def test_expansion_of_wide_symbols_and_short_strings():
+    rng = random.Random(4)
+    for _ in range(150):
+        width, length = rng.choice([1, 3]), rng.choice([1, 2, 4, 6, 11])
+        letters = [bytes(rng.choices(range(256), k=width)) for _ in range(3)]
+        base = [rng.choice(letters) for _ in range(50)]
+        strings = [base[a : a + rng.randint(1, 50)] for a in (rng.randint(0, 30) for _ in range(rng.randint(1, 6)))]
+        seen = defaultdict(set)
+        for k, s in enumerate(strings):
+            for i in range(len(s) - length + 1):
+                seen[tuple(s[i : i + length])].add((k, i))
+        want = [[i for i in range(len(s) - length + 1) if len(seen[tuple(s[i : i + length])]) > 1] for s in strings]
+        given = [b"".join(s) for s in strings], [(k, 0) for k in range(len(strings))], [False] * len(strings), length
+        assert [x.tolist() for x in repeated_starts(*given, width=width)] == want
+        assert repeated_ranges(*given, width=width) == [(k, x[0], x[-1]) for k, x in enumerate(want) if x]
+
+
+def test_each_string_is_searched_once_by_its_first_least_gram(monkeypatch):
+    monkeypatch.setattr(substrings, "BLOCK", 500)
+    rng = random.Random(6)
+    texts = [(x or "").encode() for x in (*ODD, prose(150), "ab" * 700, "x" * 900, prose(20) * 4, "a b " * 200 + prose(90))]
+    for words, least, gram in ((False, 40, 12), (False, 400, 64), (True, 20, 8), (True, 51, 8), (True, 5, 5)):
+        given = substrings.word_symbols(texts) if words else texts
+        given = given + [bytes(rng.choices(b"ab", k=3000))]
+        unit = substrings.Unit(words, least, gram)
+        # Of strings as short as a gram, each is its own anchor: so all hashes of grams are told.
+        grams = [[h % (1 << 64) >> 24 for h in x] for x in substrings.Anchors(substrings.Unit(words, gram, gram))(given)[0].to_pylist()]
+        for k, (size, *found) in enumerate(zip((len(x) // unit.width for x in given), *(x.to_pylist() for x in substrings.Anchors(unit)(given)))):
+            owners = [(p, i) for _, p, back, more in zip(*found) for i in range(p - back, p - back + more + 1)]
+            assert owners == [(min(range(i, i + least - gram + 1), key=lambda j: (grams[k][j], j)), i) for i in range(size - least + 1)]
+
+
+def test_segments_hold_no_string_twice(spark, monkeypatch):
+    searched, cut = [], substrings.cut_segments
+
+    def counted(texts, units):
+        out = cut(texts, units).localCheckpoint()
+        searched.append(sum(len(x.segment) - 399 for x in out.where("NOT words AND segment IS NOT NULL").collect()))
+        return out
+
+    monkeypatch.setattr(substrings, "cut_segments", counted)
+    passage = prose(1500)
+    texts = [f"{prose(3)} {passage} {prose(3)}", f"{prose(5)} {passage} {prose(2)}"]
+    got = substrings.without_repeats(table(spark, texts)).collect()
+    assert all(x.n_removed >= len(passage) and x.n_passage_words >= 1500 for x in got)
+    # One task may settle the segments in which the two texts agree.
+    assert len(passage) // 2 < searched[0] <= sum(len(x) - 399 for x in texts)
+
+
+def test_substrings_of_other_lengths(spark):
+    texts = [f"{prose(6)} {x} {prose(6)}" for p in [prose(14)] for x in (p, p, p[1:], p[:-1], prose(14))]
+    for least, words in ((64, 8), (66, 9), (67, 12)):
+        counts = Counter(b[i : i + least] for t in texts for b in [t.encode()] for i in range(len(b) - least + 1))
+        passages = Counter(tuple(w[i : i + words]) for t in texts for w in [t.split()] for i in range(len(w) - words + 1))
+        want = []
+        for k, t in enumerate(texts):
+            gone = {j for i in range(len(t.encode()) - least + 1) if counts[t.encode()[i : i + least]] > 1 for j in range(i, i + least)}
+            covered = {j for i in range(len(t.split()) - words + 1) if passages[tuple(t.split()[i : i + words])] > 1 for j in range(i, i + words)}
+            want.append((str(k if k != 2 else None), len(gone), len(covered)))
+        got = substrings.without_repeats(table(spark, texts), min_bytes=least, min_words=words).collect()
+        assert sorted((str(x.doc_id), x.n_removed, x.n_passage_words) for x in got) == sorted(want)

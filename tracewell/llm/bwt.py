@@ -11,17 +11,18 @@ from __future__ import annotations
 
 import numpy as np
 
-PACKED = 7  # symbols of 9 bits in a first sort key
-INNER = 3  # symbols that stand for a common part
+INNER = 3  # symbols that stand for a common part among bytes
 
 
-def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes sorted by their first depth symbols at least, and whether the first PACKED symbols change at each."""
+def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Suffixes sorted by their first depth symbols at least, whether the first symbols of a packed key change at each, and how many those are."""
     n = len(text)
-    padded = np.concatenate([text.astype(np.int64), np.zeros(PACKED, np.int64)])
+    bits = max(1, int(text.max()).bit_length())
+    packed = min(63 // bits, depth)
+    padded = np.concatenate([text.astype(np.int64), np.zeros(packed, np.int64)])
     key = np.zeros(n, np.int64)
-    for k in range(PACKED):
-        key = (key << 9) | padded[k : k + n]
+    for k in range(packed):
+        key = (key << bits) | padded[k : k + n]
     order = np.argsort(key)
     sorted_key = key[order]
     change = np.ones(n + 1, bool)
@@ -30,7 +31,7 @@ def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     rank = np.zeros(n + 1, np.int64)
     rank[n] = -1
     rank[order] = np.maximum.accumulate(np.where(change[:n], np.arange(n), 0))
-    width = PACKED
+    width = packed
     while width < depth:
         rows = np.flatnonzero(~(change[:n] & change[1:]))
         if not len(rows):
@@ -45,17 +46,18 @@ def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         change[rows] = fresh | change[rows]
         rank[order[rows]] = np.maximum.accumulate(np.where(fresh, rows, 0))
         width *= 2
-    return order, first
+    return order, first, packed
 
 
-def long_borders(text: np.ndarray, order: np.ndarray, first: np.ndarray, length: int) -> np.ndarray:
+def long_borders(text: np.ndarray, order: np.ndarray, first: np.ndarray, packed: int, length: int) -> np.ndarray:
     """For each sorted suffix, whether it shares fewer than length symbols with the one before it.
 
     text: symbols from 1 on, with 0 between strings. Shared stretches over a 0 may count.
+    first: whether it shares fewer than packed symbols.
     """
-    n = len(text)
+    n, symbols = len(text), int(text.max()) + 1
     bwt = np.where(order > 0, text[np.maximum(order - 1, 0)], 0).astype(np.int64)
-    by_symbol = np.argsort(bwt.astype(np.uint16), kind="stable")
+    by_symbol = np.argsort(bwt.astype(np.uint16) if symbols <= 1 << 16 else bwt, kind="stable")
     step = np.empty(n, np.int64)  # where the suffix one longer stands
     step[by_symbol] = np.arange(n)
     before, after = np.full(n, -1, np.int64), np.full(n, n, np.int64)
@@ -66,7 +68,7 @@ def long_borders(text: np.ndarray, order: np.ndarray, first: np.ndarray, length:
     border[n] = True
     left = np.flatnonzero(border[:n])
     right = np.append(left[1:], n) - 1
-    for _ in range(PACKED, length):
+    for _ in range(packed, length):
         if not len(left):
             break
         sizes = right - left + 1
@@ -80,7 +82,7 @@ def long_borders(text: np.ndarray, order: np.ndarray, first: np.ndarray, length:
         if not fresh.any():
             break
         begin = (before[rows] < lows) & (symbol > 0)
-        key = np.repeat(np.arange(len(left)) * 512, sizes) + symbol
+        key = np.repeat(np.arange(len(left)) * symbols, sizes) + symbol
         opened = rows[begin][np.argsort(key[begin])]
         closed = np.argsort(key[last])
         new_left = np.empty(len(new_right), np.int64)
@@ -93,28 +95,28 @@ def long_borders(text: np.ndarray, order: np.ndarray, first: np.ndarray, length:
     return border
 
 
-def repeated_starts(strings: list[bytes], owners: list[tuple[int, int]], several: list[bool], length: int, inner: list[tuple[int, int]] | None = None) -> list[np.ndarray]:
-    """For each string, the offsets at which a repeated string of the given length starts.
-
-    owners: a text's number and the string's place in it; the same place of the same text,
-    seen through two strings, is no repeat. several: the whole string is known to stand
-    elsewhere too. inner: (offset, number) of a long common part of each string, for which
-    INNER placeholder bytes stand at the offset; parts of other numbers are other parts.
-    """
-    sizes = np.array([len(x) for x in strings], np.int64)
+def _repeated(strings: list[bytes], owners: list[tuple[int, int]], several: list[bool], length: int, inner: list[tuple[int, int]] | None, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a repeated string starts at each symbol of the strings, with one more symbol after each string; and where each string starts there."""
+    sizes = np.array([len(x) for x in strings], np.int64) // width
     n = int(sizes.sum()) + len(strings)
     starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-    text = np.zeros(n, np.int16)
+    text = np.zeros(n, np.int32)
     filled = np.ones(n, bool)
     filled[starts + sizes] = False
-    text[filled] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int16) + 1
+    raw = np.frombuffer(b"".join(strings), np.uint8)
+    if width > 1:
+        _, raw = np.unique(sum(raw[k::width].astype(np.int32) << 8 * k for k in range(width)), return_inverse=True)
+    text[filled] = raw.astype(np.int32) + 1
     if inner is not None:
         at = starts + np.array([a for a, _ in inner], np.int64)
         number = np.array([k for _, k in inner], np.int64)
-        for k in range(INNER):
-            text[at + k] = 257 + number // 255**k % 255
-    order, first = suffix_order(text, length)
-    border = long_borders(text, order, first, length)
+        if width > 1:
+            text[at] = int(text.max()) + 1 + number - number.min()
+        else:
+            for k in range(INNER):
+                text[at + k] = 257 + number // 255**k % 255
+    order, first, packed = suffix_order(text, length)
+    border = long_borders(text, order, first, packed, length)
     string = np.repeat(np.arange(len(strings)), sizes + 1)
     offset = np.arange(n) - starts[string]
     whole = (sizes[string] - offset) >= length
@@ -126,4 +128,30 @@ def repeated_starts(strings: list[bytes], owners: list[tuple[int, int]], several
     rows = np.repeat(hit, np.diff(np.append(runs, n))) & whole[order]
     found = np.zeros(n, bool)
     found[order[rows]] = True
-    return [np.flatnonzero(found[a : a + s]) for a, s in zip(starts.tolist(), sizes.tolist())]
+    return found, starts
+
+
+def repeated_starts(strings: list[bytes], owners: list[tuple[int, int]], several: list[bool], length: int, inner: list[tuple[int, int]] | None = None, width: int = 1) -> list[np.ndarray]:
+    """For each string, the offsets at which a repeated string of the given length starts.
+
+    owners: a text's number and the string's place in it; the same place of the same text,
+    seen through two strings, is no repeat. several: the whole string is known to stand
+    elsewhere too. inner: (offset, number) of a long common part of each string, for which
+    placeholder bytes stand at the offset (INNER; of wider symbols, one symbol); parts of
+    other numbers are other parts. width: bytes of a symbol; offsets and lengths are in symbols.
+    """
+    found, starts = _repeated(strings, owners, several, length, inner, width)
+    return [np.flatnonzero(x) for x in np.split(found, starts[1:])]
+
+
+def repeated_ranges(strings: list[bytes], owners: list[tuple[int, int]], several: list[bool], length: int, inner: list[tuple[int, int]] | None = None, width: int = 1) -> list[tuple[int, int, int]]:
+    """(string, first, last) of the offsets of repeated_starts, for the strings that have any."""
+    found, starts = _repeated(strings, owners, several, length, inner, width)
+    rows = np.flatnonzero(found)
+    if not len(rows):
+        return []
+    string = np.searchsorted(starts, rows, "right") - 1
+    change = string[1:] != string[:-1]
+    first, last = rows[np.append(True, change)], rows[np.append(change, True)]
+    string = string[np.append(True, change)]
+    return list(zip(string.tolist(), (first - starts[string]).tolist(), (last - starts[string]).tolist()))

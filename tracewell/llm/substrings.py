@@ -1,10 +1,10 @@
 """Suffix-array dedup: remove every byte of a string of min_bytes that stands elsewhere too.
 
-Equal texts are one text with a number of copies. In each text, anchors are the 64-byte
-grams whose hash is the least in some window of min_bytes: equal strings of min_bytes have
-an anchor in common, at the same place. Anchors that stand once in the corpus are dropped.
-Around each of the others a segment is cut that holds every string of min_bytes with that
-anchor, and segments of one anchor meet in one task. There the strings are taken in classes
+Equal texts are one text with a number of copies. Each string of min_bytes has one anchor,
+the 64-byte gram of least hash in it (of equal ones the first): equal strings have equal
+anchors at the same place. Anchors that stand once in the corpus are dropped. For each of
+the others a segment is cut that holds just the strings whose anchor it is, so that each
+string is searched once, and segments of one anchor meet in one task. There the strings are taken in classes
 of 48 by their place relative to the anchor, and by the bytes that all strings of a class
 share, their core. What stands around the core differs; for the core, a number is written,
 which keeps repeats as they are and makes texts short. Interval expansion on the
@@ -14,8 +14,8 @@ Hot anchors (more than hot_count places) leave the map task by class and core ra
 by anchor, so that they are dealt out. Equal segments within a map task are settled there: all but one of them
 leave it as results, so that a passage in any number of texts sends a few rows per task.
 
-The same search runs in a second unit: a text's words (runs without ASCII white space) as
-symbols of 3 bytes of their hash. It finds passages of min_words words that stand elsewhere
+The same search runs in a second unit: a text's words (runs without ASCII white space), each
+a symbol of 3 bytes of its hash and one item of the search. It finds passages of min_words words that stand elsewhere
 too, shorter than min_bytes or differently spaced ones included; they are told, not removed.
 Two different words are taken for one with a chance of 2^-24.
 
@@ -30,6 +30,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.bwt import INNER, repeated_starts
+from tracewell.llm.bwt import INNER, repeated_ranges
 from tracewell.llm.common import bytes_of, slices, written
 
 CLASS = 48
@@ -45,6 +46,7 @@ SYMBOL = 3  # bytes of a word's symbol
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 BLOCK = 1 << 16
+PLACE = np.uint64((1 << 24) - 1)  # bits of a place in a block, below a hash
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -55,12 +57,26 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Unit:
-    """What repeats: strings of least bytes; anchors are grams of gram bytes. words: of word symbols, not of the text."""
+    """What repeats: strings of least items; anchors are grams of gram items. Items are bytes, or words: word symbols."""
 
     words: bool
     least: int
     gram: int
 
+    @property
+    def width(self) -> int:
+        """Bytes of an item."""
+        return SYMBOL if self.words else 1
+
+    def values(self, raw: np.ndarray) -> np.ndarray:
+        """A number for each item."""
+        if not self.words:
+            return VALUES[raw]
+        out = sum(raw[k::SYMBOL].astype(np.uint64) << np.uint64(8 * k) for k in range(SYMBOL)) + np.uint64(1)
+        out *= np.uint64(0xD6E8FEB86659FD93)
+        out ^= out >> np.uint64(32)
+        return out * BASE
+
 
 def _space() -> np.ndarray:
     out = np.zeros(256, bool)
@@ -110,66 +126,68 @@ def _pieces(sizes: list[int], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
 
 
 class Anchors:
-    """Anchors (hash, place) of texts, found together block by block."""
+    """Anchors of texts, found together block by block."""
 
     def __init__(self, unit: Unit):
-        self.gram, self.min_bytes = unit.gram, unit.least
-        self.window = self.min_bytes - self.gram + 1
+        self.unit, self.gram, self.least = unit, unit.gram, unit.least
+        self.window = self.least - self.gram + 1
+        if BLOCK + self.least > int(PLACE):
+            raise ValueError(f"strings of {self.least} items are too long")
         self.up = self.down = np.zeros(0, np.uint64)
 
-    def __call__(self, texts: list[bytes]) -> tuple[pa.Array, pa.Array]:
-        """Lists of hashes and of places, one of each a text."""
-        long = np.array([len(x) >= self.min_bytes for x in texts], bool)
-        sizes = np.array([len(x) for x in texts], np.int64) * long
+    def __call__(self, texts: list[bytes]) -> list[pa.Array]:
+        """Lists of each text: hashes of its anchors, their places, how far before each its first string starts, and how far after that its last one."""
+        sizes = np.array([len(x) for x in texts], np.int64) // self.unit.width
+        long = sizes >= self.least
+        sizes *= long
         ends = np.cumsum(sizes)
-        raw = np.frombuffer(b"".join(x for x, use in zip(texts, long) if use), np.uint8)
+        values = self.unit.values(np.frombuffer(b"".join(x for x, use in zip(texts, long) if use), np.uint8))
         stop = np.repeat(ends, sizes)
-        hashes, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for a in range(0, len(raw) - self.min_bytes + 1, BLOCK):
-            part = slice(a, a + BLOCK + self.min_bytes - 1)
-            h, p = self._block(raw[part], np.arange(a, min(part.stop, len(raw))) + self.min_bytes <= stop[part])
-            hashes.append(h)
-            places.append(p + a)
-        places, at = np.unique(np.concatenate(places), return_index=True)
-        hashes = np.concatenate(hashes)[at]
+        found = [(np.zeros(0, np.int64),) * 4]
+        for a in range(0, len(values) - self.least + 1, BLOCK):
+            part = slice(a, a + BLOCK + self.least - 1)
+            h, *where = self._block(values[part], np.arange(a, min(part.stop, len(values))) + self.least <= stop[part])
+            found.append((h, *(x + a for x in where)))
+        hashes, places, low, high = (np.concatenate(x) for x in zip(*found))
+        # An anchor on whose strings two blocks meet is one.
+        change = places[1:] != places[:-1]
+        first, last = np.append(len(places) > 0, change), np.append(change, len(places) > 0)
+        if len(places):
+            hashes, places, low, high = hashes[first], places[first], low[first], high[last]
         starts = ends - sizes
         bounds = np.append(np.searchsorted(places, starts), len(places)).astype(np.int32)
         own = places - np.repeat(starts, np.diff(bounds))
-        return pa.ListArray.from_arrays(bounds, hashes), pa.ListArray.from_arrays(bounds, own)
+        return [pa.ListArray.from_arrays(bounds, x) for x in (hashes, own, places - low, high - low)]
 
-    def _block(self, raw: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """inside: whether the window that starts at a place stays in its text."""
-        n = len(raw)
+    def _block(self, values: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, place, start of the first string, start of the last one) of anchors. inside: whether the string that starts at a place stays in its text."""
+        n = len(values)
         if len(self.up) < n:
             self.up, self.down = _powers(BASE, 2 * n), _powers(INVERSE, 2 * n)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(VALUES[raw] * self.up[:n], out=sums[1:])
+        np.cumsum(values * self.up[:n], out=sums[1:])
         g = (sums[self.gram :] - sums[: -self.gram]) * self.down[: n - self.gram + 1]
         g ^= g >> np.uint64(32)
         g *= np.uint64(0xD6E8FEB86659FD93)
         g ^= g >> np.uint64(32)
         w = self.window
-        # Least hash of each window, from the running minima of blocks of w, forwards and backwards.
+        # Least hash of each string with its place, from the running minima of blocks of w, forwards and backwards.
         rows = -(-len(g) // w)
         padded = np.full(rows * w, np.iinfo(np.uint64).max, np.uint64)
-        padded[: len(g)] = g
+        padded[: len(g)] = (g & ~PLACE) | np.arange(len(g), dtype=np.uint64)
         grid = padded.reshape(rows, w)
         ahead = np.minimum.accumulate(grid, 1).ravel()
         behind = np.minimum.accumulate(grid[:, ::-1], 1)[:, ::-1].ravel()
-        least = np.where(inside[: len(g) - w + 1], np.minimum(behind[: len(g) - w + 1], ahead[w - 1 : len(g)]), 0).astype(np.uint64)
-        # A gram is an anchor if it equals the least of some window that holds it: the nearest
-        # change of minimum tells, so compare with the largest least among those windows.
-        lows = np.zeros(len(g) + w - 1, np.uint64)
-        lows[w - 1 : w - 1 + len(least)] = least
-        rows = -(-len(lows) // w)
-        padded = np.zeros(rows * w, np.uint64)
-        padded[: len(lows)] = lows
-        grid = padded.reshape(rows, w)
-        ahead = np.maximum.accumulate(grid, 1).ravel()
-        behind = np.maximum.accumulate(grid[:, ::-1], 1)[:, ::-1].ravel()
-        most = np.maximum(behind[: len(g)], ahead[w - 1 : w - 1 + len(g)])
-        places = np.flatnonzero((g == most) & (most > 0))
-        return g[places].view(np.int64), places.astype(np.int64)
+        starts = np.flatnonzero(inside[: len(g) - w + 1])
+        at = (np.minimum(behind[starts], ahead[starts + w - 1]) & PLACE).astype(np.int64)
+        if not len(at):
+            return at, at, at, at
+        change = at[1:] != at[:-1]
+        first, last = np.append(True, change), np.append(change, True)
+        return g[at[first]].view(np.int64), at[first], starts[first], starts[last]
+
+
+LISTS = [kind + x for kind in ("", "word_") for x in ("hashes", "places", "backs", "mores")]
 
 
 def described(docs: DataFrame, units: tuple[Unit, Unit]) -> DataFrame:
@@ -190,50 +208,41 @@ def described(docs: DataFrame, units: tuple[Unit, Unit]) -> DataFrame:
                         *in_bytes(texts),
                         *in_words(coded),
                     ],
-                    ["doc_id", "key", "n_bytes", "n_words", "hashes", "places", "word_hashes", "word_places"],
+                    ["doc_id", "key", "n_bytes", "n_words", *LISTS],
                 )
 
-    lists = ", ".join(f"{x} array<long>" for x in ("hashes", "places", "word_hashes", "word_places"))
+    lists = ", ".join(f"{x} array<long>" for x in LISTS)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, key binary, n_bytes long, n_words long, {lists}")
 
 
-def covered(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
-    """Stretches covered by strings of the length at the sorted starts."""
-    if not len(starts):
-        return []
-    cut = np.flatnonzero(np.diff(starts) > length)
-    return list(zip(starts[np.append(0, cut + 1)].tolist(), (starts[np.append(cut, len(starts) - 1)] + length).tolist()))
-
-
 SEGMENT_SCHEMA = "bucket long, segment binary, key binary, place long, several boolean, stop long, pivot int, level int, words boolean"
 
 
-def classes(pivot: int, size: int, min_bytes: int, gram: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """(class, low, high, core start, core stop) of the strings around an anchor at pivot in size bytes.
+def classes(pivot: int, size: int, unit: Unit) -> Iterator[tuple[int, int, int, int, int]]:
+    """(class, low, high, core start, core stop) of the strings around an anchor at pivot in a segment of size items.
 
     Strings of the class start in low .. high and all hold the core.
     """
-    for k in range(0, min_bytes - gram + 1, CLASS):
-        most = min(CLASS, min_bytes - gram + 1 - k) - 1
-        low, high = max(0, pivot - k - most), min(pivot - k, size - min_bytes)
-        if low <= high:
-            yield k, low, high, pivot - k, pivot - k - most + min_bytes
+    window = unit.least - unit.gram + 1
+    for k in range(max(0, pivot - size + unit.least) // CLASS * CLASS, min(window, pivot + 1), CLASS):
+        most = min(CLASS, window - k) - 1
+        yield k, max(0, pivot - k - most), min(pivot - k, size - unit.least), pivot - k, pivot - k - most + unit.least
 
 
 def cut_segments(texts: DataFrame, units: tuple[Unit, Unit]) -> DataFrame:
     """Segments around repeated anchors, one row each; rows with a stop are results already."""
 
-    def around(unit: Unit, h: int, p: int, text: bytes, hot: bool) -> Iterator[tuple[int, int, int, int, int]]:
+    def around(unit: Unit, h: int, p: int, back: int, more: int, text: bytes, hot: bool) -> Iterator[tuple[int, int, int, int, int]]:
         """(bucket, start, stop, pivot, level) of the segments of an anchor.
 
         The pivot is the anchor's place in the segment; for a hot one it is the core's, and level its class.
         """
+        start, size, width = p - back, more + unit.least, unit.width
         if not hot:
-            start = max(0, p - unit.least + unit.gram)
-            yield h, start, min(len(text), p + unit.least), p - start, -1
+            yield h, start, start + size, back, -1
             return
-        for k, low, high, core, end in classes(p, len(text), unit.least, unit.gram):
-            yield xxhash.xxh64_intdigest(text[core:end], k) - (1 << 63), low, high + unit.least, core - low, k
+        for k, low, high, core, end in classes(back, size, unit):
+            yield xxhash.xxh64_intdigest(text[(start + core) * width : (start + end) * width], k) - (1 << 63), start + low, start + high + unit.least, core - low, k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,14 +250,13 @@ def cut_segments(texts: DataFrame, units: tuple[Unit, Unit]) -> DataFrame:
                 found: dict[tuple, tuple[bytes, int]] = {}
                 several: set[tuple] = set()
                 settled: dict[tuple[bytes, bool], list[tuple[int, int]]] = {}
-                texts = bytes_of(part)
-                for raw, coded, key, anchors in zip(texts, word_symbols(texts), part.column("key").to_pylist(), part.column("anchors").to_pylist()):
-                    shown = (raw, coded)
-                    for x in anchors:
-                        w = x["w"]
-                        text = shown[w]
-                        for bucket, a, b, pivot, level in around(units[w], x["h"], x["p"], text, x["hot"]):
-                            name = (bucket, text[a:b], pivot, level, w)
+                texts, lists = bytes_of(part), part.column("anchors")
+                anchors = zip(*(x.to_pylist() for x in lists.flatten().flatten()))
+                for raw, coded, key, n in zip(texts, word_symbols(texts), part.column("key").to_pylist(), lists.value_lengths().to_pylist()):
+                    for h, p, back, more, w, hot in islice(anchors, n):
+                        text, width = (coded, SYMBOL) if w else (raw, 1)
+                        for bucket, a, b, pivot, level in around(units[w], h, p, back, more, text, hot):
+                            name = (bucket, text[a * width : b * width], pivot, level, w)
                             first = found.setdefault(name, (key, a))
                             if first != (key, a):
                                 if name not in several:
@@ -285,7 +293,7 @@ class Block:
     """Strings of some buckets, for one run of the interval expansion per length."""
 
     def __init__(self, unit: Unit):
-        self.unit, self.min_bytes = unit, unit.least
+        self.unit, self.inner = unit, 1 if unit.words else INNER
         self.out: dict[bytes, list[tuple[int, int]]] = {}
         self.numbers: dict[bytes, int] = {}
         self.symbols = self.cores = 0
@@ -300,58 +308,80 @@ class Block:
             entry = distinct.setdefault((segment, pivot, level), [set(), False])
             entry[0].add((key, place))
             entry[1] |= many
+        least, width = self.unit.least, self.unit.width
         if len(distinct) == 1:
             (((segment, _, _), (where, many)),) = distinct.items()
             if many or len(where) > 1:
-                self._settle(where, 0, len(segment))
+                self._settle(where, 0, len(segment) // width)
             return
-        cored: dict[tuple, dict[tuple, list]] = {}
+        cored: dict[tuple, list[tuple]] = {}
         for (segment, pivot, level), (where, many) in distinct.items():
+            size = len(segment) // width
             if level >= 0:
-                most = min(CLASS, self.min_bytes - self.unit.gram + 1 - level) - 1
-                found = [(level, 0, len(segment) - self.min_bytes, pivot, pivot - most + self.min_bytes)]
+                most = min(CLASS, least - self.unit.gram + 1 - level) - 1
+                found = [(level, 0, size - least, pivot, pivot - most + least)]
             else:
-                found = classes(pivot, len(segment), self.min_bytes, self.unit.gram)
+                found = classes(pivot, size, self.unit)
             for k, low, high, core, end in found:
-                parts = cored.setdefault((k, segment[core:end]), {})
-                entry = parts.setdefault((segment[low:core], segment[end : high + self.min_bytes]), [[], False])
+                name = (k, segment[core * width : end * width])
+                around = (segment, low, core, end, high + least, where, many)
+                if name in cored:
+                    cored[name].append(around)
+                else:
+                    cored[name] = [around]
+        for found in cored.values():
+            if len(found) == 1:
+                ((_, low, _, _, stop, where, many),) = found
+                if many or len(where) > 1:
+                    self._settle(where, low, stop)
+                continue
+            parts: dict[tuple, list] = {}
+            for segment, low, core, end, stop, where, many in found:
+                entry = parts.setdefault((segment[low * width : core * width], segment[end * width : stop * width]), [[], False])
                 entry[0].append((where, low))
                 entry[1] |= many
-        for (_, core), parts in cored.items():
-            self._strings(len(core), parts)
+            self._strings(end - core, parts)
 
     def _settle(self, where: set, start: int, stop: int) -> None:
         for key, place in where:
-            self.out.setdefault(key, []).append((place + start, place + stop))
+            if key in self.out:
+                self.out[key].append((place + start, place + stop))
+            else:
+                self.out[key] = [(place + start, place + stop)]
 
     def _strings(self, core: int, parts: dict[tuple, list]) -> None:
         """Texts around one core; equal ones in two places are settled, a single one has no repeat."""
+        width = self.unit.width
         for (left, right), entry in parts.items():
             entry[1] |= len(entry[0]) > 1 or len(entry[0][0][0]) > 1
             if entry[1]:
                 for where, low in entry[0]:
-                    self._settle(where, low, low + len(left) + core + len(right))
+                    self._settle(where, low, low + (len(left) + len(right)) // width + core)
         if len(parts) < 2:
             return
-        length = self.min_bytes - core + INNER
+        length = self.unit.least - core + self.inner
         strings, owners, several, inner, places = self.runs.setdefault(length, ([], [], [], [], []))
+        filler = bytes(self.inner * width)
         for (left, right), (wheres, many) in parts.items():
             where, low = wheres[0]
             key, place = next(iter(where))
-            strings.append(left + bytes(INNER) + right)
+            string = left + filler + right
+            strings.append(string)
             owners.append((self.numbers.setdefault(key, len(self.numbers)), place + low))
             several.append(many)
-            inner.append((len(left), self.cores))
-            places.append((wheres, core))
-            self.symbols += len(left) + len(right) + INNER + 1
+            inner.append((len(left) // width, self.cores))
+            places.append(wheres)
+            self.symbols += len(string) // width + 1
         self.cores += 1
 
     def finish(self) -> dict[bytes, list[tuple[int, int]]]:
         for length, (strings, owners, several, inner, places) in self.runs.items():
-            for starts, (wheres, core) in zip(repeated_starts(strings, owners, several, length, inner), places):
-                for a, b in covered(starts, self.min_bytes):
-                    for where, low in wheres:
-                        self._settle(where, low + a, low + b)
+            # All strings of a class hold its core, so that repeated ones of one text are a single stretch.
+            for k, first, last in repeated_ranges(strings, owners, several, length, inner, self.unit.width):
+                if several[k]:
+                    continue  # settled whole
+                for where, low in places[k]:
+                    self._settle(where, low + first, low + last + self.unit.least)
         return self.out
 
 
@@ -390,13 +420,7 @@ def repeated_spans(segments: DataFrame, units: tuple[Unit, Unit], block_symbols:
     return segments.repartition("bucket", "words").sortWithinPartitions("bucket", "words").mapInArrow(run, "key binary, words boolean, spans array<struct<start:long,stop:long>>")
 
 
-def whole_words(spans: list[tuple[int, int]], least: int) -> int:
-    """Words within the spans of symbols that hold at least so many; spans may start or end within a symbol."""
-    sizes = [b // SYMBOL - -(-a // SYMBOL) for a, b in spans]
-    return sum(n for n in sizes if n >= least)
-
-
-def remaining(texts: DataFrame, min_words: int) -> DataFrame:
+def remaining(texts: DataFrame) -> DataFrame:
     """key, n_removed, n_spans, kept_sha256 and n_passage_words of texts with repeated spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,7 +431,7 @@ def remaining(texts: DataFrame, min_words: int) -> DataFrame:
                     spans, passages = (_merged([(x["start"], x["stop"]) for x in y]) for y in (spans, passages))
                     ends = [0, *(b for _, b in spans)]
                     kept = b"".join(text[a:b] for a, b in zip(ends, [*(a for a, _ in spans), len(text)]))
-                    rows.append((key, len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), whole_words(passages, min_words)))
+                    rows.append((key, len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), sum(b - a for a, b in passages)))
                 kinds = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["key", "n_removed", "n_spans", "kept_sha256", "n_passage_words"])
 
@@ -419,18 +443,17 @@ def without_repeats(docs: DataFrame, min_bytes: int = 400, min_words: int = 51,
 
     The last counts words in passages of at least min_words words that stand elsewhere too.
     """
-    units = (Unit(False, min_bytes, min(64, min_bytes)), Unit(True, SYMBOL * min_words, min(24, SYMBOL * min_words)))
+    units = (Unit(False, min_bytes, min(64, min_bytes)), Unit(True, min_words, min(8, min_words)))
     rows = written(described(docs, units), "anchors")
     # One row stands for all with its text: the one of the least doc_id.
-    lists = ["hashes", "places", "word_hashes", "word_places"]
-    distinct = rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep_id"), F.min(F.struct(*lists)).alias("x"))
-    both = [F.expr(f"transform(arrays_zip(x.{h}, x.{p}), z -> struct(z.{h} AS h, z.{p} AS p, {w} AS w))") for h, p, w in (("hashes", "places", "false"), ("word_hashes", "word_places", "true"))]
+    distinct = rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep_id"), F.min(F.struct(*LISTS)).alias("x"))
+    both = [F.expr(f"transform(arrays_zip(x.{h}, x.{p}, x.{b}, x.{m}), z -> struct(z.{h} AS h, z.{p} AS p, z.{b} AS back, z.{m} AS more, {w} AS w))") for h, p, b, m, w in ((*LISTS[:4], "false"), (*LISTS[4:], "true"))]
     distinct = written(distinct.select("key", "copies", "rep_id", F.concat(*both).alias("anchors")), "different-texts")
     places = distinct.select("key", "rep_id", F.explode("anchors").alias("x")).select("key", "rep_id", "x.*")
     # As a table of its own, so that adaptive execution can split the places of a hot anchor in the join.
     counts = places.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("hash"), F.col("w").alias("of_words"), (F.col("n") > hot_count).alias("hot"))
     counts = written(counts, "repeated-anchors")
-    wanted = places.join(counts, (F.col("h") == F.col("hash")) & (F.col("w") == F.col("of_words"))).groupBy("key", "rep_id").agg(F.collect_list(F.struct("h", "p", "w", "hot")).alias("anchors"))
+    wanted = places.join(counts, (F.col("h") == F.col("hash")) & (F.col("w") == F.col("of_words"))).groupBy("key", "rep_id").agg(F.collect_list(F.struct("h", "p", "back", "more", "w", "hot")).alias("anchors"))
     utf8 = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.sha2(utf8, 256)).alias("text_key"))
     texts = whole.join(wanted, (F.col("text_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("key", "text", "anchors")
@@ -438,7 +461,7 @@ def without_repeats(docs: DataFrame, min_bytes: int = 400, min_words: int = 51,
     spans = repeated_spans(cut_segments(texts, units), units)
     of = lambda words: F.flatten(F.collect_list(F.when(F.col("words") == words, F.col("spans"))))
     spans = spans.groupBy("key").agg(of(False).alias("spans"), of(True).alias("passages")).withColumnRenamed("key", "span_key")
-    left = remaining(texts.select("key", "text").join(spans, F.col("key") == F.col("span_key")).select("key", "text", "spans", "passages"), min_words).dropDuplicates(["key"])
+    left = remaining(texts.select("key", "text").join(spans, F.col("key") == F.col("span_key")).select("key", "text", "spans", "passages")).dropDuplicates(["key"])
     # Texts with copies go whole, if they are long enough; for others, what the search found.
     empty = hashlib.sha256(b"").hexdigest()
     copied = distinct.where("copies > 1").select("key", F.lit(True).alias("copied"))
